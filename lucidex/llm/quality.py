@@ -147,10 +147,11 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 def filter_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that are kept, unchanged.
 
-    The thresholds come from a first pass that keeps only counters; the texts
-    are judged in the second pass, so no text is written or shuffled by id.
+    One pass over the texts writes their measures; the rejected rows' ids (and
+    a hash of the row, for repeated ids) are then taken out by an anti join.
     """
-    names = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    rejected = materialize(judged(materialize(with_measures(docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.xxhash64(F.col(key), F.col(text)).alias("id"), F.col(text).alias("text")), F.col("text")).drop("text"), "measures")).where("not _kept").select("id").distinct(), "rejected")
-    return rows.withColumn("id", F.xxhash64(F.col(f"row.{key}"), F.col(f"row.{text}"))).join(rejected, "id", "left_anti").select("row.*")
+    mark = F.xxhash64(F.col(lang), F.lit(0), F.col(source), F.lit(0), F.col(text))
+    rows = docs.select(F.col(key).alias("key"), mark.alias("mark"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
+    measured = materialize(with_measures(rows, F.col("text")).drop("text"), "measures")
+    rejected = materialize(judged(measured).where("not _kept").select(F.col("key").alias("_key"), F.col("mark").alias("_mark")).distinct(), "rejected")
+    return docs.join(rejected, F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (mark == F.col("_mark")), "left_anti")
