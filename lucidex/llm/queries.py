@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hash_tree, html_text, language_id, mixing, quality, repeats, simhash, token_rollup
+from . import decontaminate, hash_tree, html_text, language_id, licenses, mixing, quality, repeats, simhash, token_rollup
 from .common import scratch_path
 
 
@@ -44,6 +44,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_table(table(spark, sf_dir, "documents"))
+
+
 def op9_longest_previous_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest_table(table(spark, sf_dir, "documents"))
 
@@ -52,4 +56,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_rollup, op3_soft_mixing, op4_hash_tree, op5_decontaminate, op6_simhash, op7_html_text, op9_longest_previous_factor, op10_language_id)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_rollup, op3_soft_mixing, op4_hash_tree, op5_decontaminate, op6_simhash, op7_html_text, op8_license_scan, op9_longest_previous_factor, op10_language_id)}
