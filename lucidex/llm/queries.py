@@ -57,3 +57,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_rollup, op3_soft_mixing, op4_hash_tree, op5_decontaminate, op6_simhash, op7_html_text, op8_license_scan, op9_longest_previous_factor, op10_language_id)}
+
+SQL: dict[str, str] = {}
