@@ -187,7 +187,8 @@ def fuzzy_ratio(haystack: str, needle: str) -> float:
     matcher.set_seq1(own)
     for i in range(0, len(hay) - len(own) + 1, max(1, len(own) // 4)):
         matcher.set_seq2(hay[i : i + len(own)])
-        best = max(best, matcher.ratio())
+        if matcher.quick_ratio() > best:  # an upper bound of the ratio
+            best = max(best, matcher.ratio())
         if best >= EARLY:
             break
     return round(best, 3)

@@ -30,6 +30,11 @@ MIN_SENTENCE = 30
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85  ]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, also where body uses it inside another lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(c: Column) -> Column:
     """White space runs as one space, none at the ends."""
     return trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -42,8 +47,7 @@ def trim(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines at any line end; no empty last one."""
-    parts = F.split(c, LINE_END)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(c, LINE_END), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def normal_line(c: Column) -> Column:
@@ -77,9 +81,11 @@ def named_entities(c: Column) -> Column:
 def rejoin_hyphens(c: Column) -> Column:
     """Join words split by a hyphen at a line end or by a spaced hyphen."""
     keep = "|".join(KEEP_HYPHEN)
-    for gap in (r"-\s*\n\s*", " - ", r" -\s*\n\s*"):
-        c = F.regexp_replace(c, rf"(?U)(?<!\w)((?i:{keep})){gap}([a-z]\w*)", "$1-$2")
-        c = F.regexp_replace(c, rf"(?U)(\w+)(?<!(?<!\w)(?i:{keep})){gap}([a-z]\w*)", "$1$2")
+    # The hyphen comes first in each pattern, so the engine looks behind only at hyphens; group 1 is
+    # there only behind a prefix; \\G keeps a word just joined on from being half of another join.
+    for pre, gap in (("", r"\s*\n\s*"), (" ", " "), (" ", r"\s*\n\s*")):
+        hyphen = rf"(?:(-)(?<=(?<!\w)(?i:{keep}){pre}-)|-(?<=\w{pre}-))"
+        c = F.regexp_replace(c, rf"(?U)(?!\G){pre}{hyphen}{gap}([a-z]\w*)", "$1$2")
     return c
 
 
@@ -94,10 +100,17 @@ def drop_repeated_lines(c: Column, least: int = 3) -> Column:
     Counting is by sorted runs, so a text costs n log n.
     """
     pairs = F.transform(lines(c), lambda x: F.struct(x.alias("line"), normal_line(x).alias("norm")))
-    norms = F.array_sort(F.transform(pairs, lambda p: p["norm"]))
-    # In sorted order a form that occurs often enough equals the one least - 1 places on.
-    often = F.array_distinct(F.filter(F.zip_with(norms, F.slice(norms, least, F.greatest(F.size(norms), F.lit(1))), lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull() & (x != "")))
-    return F.array_join(F.transform(F.filter(pairs, lambda p: ~F.array_contains(often, p["norm"])), lambda p: p["line"]), "\n")
+
+    def often(norms: Column) -> Column:
+        # In sorted order a form that occurs often enough equals the one least - 1 places on.
+        later = F.slice(norms, least, F.greatest(F.size(norms), F.lit(1)))
+        return F.array_distinct(F.filter(F.zip_with(norms, later, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull() & (x != "")))
+
+    def kept(ps: Column) -> Column:
+        gone = often(F.array_sort(F.transform(ps, lambda p: p["norm"])))
+        return let(gone, lambda g: F.transform(F.filter(ps, lambda p: ~F.array_contains(g, p["norm"])), lambda p: p["line"]))
+
+    return F.array_join(let(pairs, kept), "\n")
 
 
 def low_signal(s: Column) -> Column:
@@ -127,8 +140,12 @@ def fixed_windows(c: Column, size: int = MAX_CHUNK, overlap: int = OVERLAP) -> C
     """Pieces of size characters at every size - overlap, trimmed, non-empty."""
     if size <= overlap:
         raise ValueError("size must be larger than overlap")
-    starts = F.when(F.length(c) > 0, F.sequence(F.lit(0), F.length(c) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: trim(F.substring(c, i + 1, F.lit(size)))), lambda x: x != "")
+
+    def pieces(t: Column) -> Column:
+        starts = F.when(F.length(t) > 0, F.sequence(F.lit(0), F.length(t) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(starts, lambda i: trim(F.substring(t, i + 1, F.lit(size)))), lambda x: x != "")
+
+    return let(c, pieces)
 
 
 def chunks(c: Column, size: int = MAX_CHUNK, overlap: int = OVERLAP) -> Column:
@@ -185,17 +202,19 @@ def preview(c: Column, n: int = 80) -> Column:
 def duplicate_ratio(c: Column, least: int = 50) -> Column:
     """Share of paragraphs (of at least so many characters) that repeat another."""
     own = F.filter(F.transform(F.split(c, r"(?U)\n\s*\n"), trim), lambda p: F.length(p) >= least)
-    norms = F.transform(own, normal_line)
-    n = F.size(norms)
-    return F.when(n < 2, 0.0).otherwise(F.round((n - F.size(F.array_distinct(norms))) / F.greatest(n, F.lit(1)), 4))
+    share = lambda norms: F.round((F.size(norms) - F.size(F.array_distinct(norms))) / F.greatest(F.size(norms), F.lit(1)), 4)
+    return let(F.transform(own, normal_line), lambda norms: F.when(F.size(norms) < 2, 0.0).otherwise(share(norms)))
 
 
 def fragmentation(c: Column) -> Column:
     """Share of non-blank lines that end in a broken word or are orphans."""
-    ls = F.transform(lines(c), trim)
-    beside = F.arrays_zip(ls.alias("s"), F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1))).alias("next"))
-    bad = F.filter(beside, lambda x: broken_line(x["s"], x["next"]))
-    return F.round(F.size(bad) / F.greatest(F.size(F.filter(ls, lambda s: s != "")), F.lit(1)), 4)
+
+    def share(ls: Column) -> Column:
+        following = F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1)))
+        bad = F.filter(F.zip_with(ls, following, lambda s, n: broken_line(s, n)), lambda b: b)
+        return F.round(F.size(bad) / F.greatest(F.size(F.filter(ls, lambda s: s != "")), F.lit(1)), 4)
+
+    return let(F.transform(lines(c), trim), share)
 
 
 def broken_line(s: Column, following: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 # Weights of metadata fields, weights and worst cases of structure.
 METADATA_WEIGHTS = {"title": 20, "authors": 20, "doi": 15, "date": 10, "source": 10, "abstract": 15, "keywords": 10}
 FRAGMENTATION_WEIGHT, ORDER_WEIGHT, DUPLICATE_WEIGHT = 0.50, 0.30, 0.20
@@ -35,6 +37,10 @@ def structural_quality(fragmentation: Column, order: Column, duplicates: Column)
 
 def concordance(positions: Column) -> Column:
     """Share of pairs of a list of places that are in rising order; null under two."""
+    return let(positions, _concordance)
+
+
+def _concordance(positions: Column) -> Column:
     n = F.size(positions)
     pairs = F.aggregate(F.transform(positions, lambda p, i: F.size(F.filter(F.slice(positions, i + 2, F.greatest(n, F.lit(1))), lambda q: q > p))), F.lit(0), lambda a, b: a + b)
     return F.when(n >= 2, pairs / (n * (n - 1) / 2))
@@ -42,10 +48,14 @@ def concordance(positions: Column) -> Column:
 
 def section_order(text: Column, expected: Column) -> Column:
     """Concordance of the first headings that hold, or are held by, each expected title."""
-    headings = F.transform(F.regexp_extract_all(text, F.lit(r"(?mUd)^#{1,3}\s+(.+)"), F.lit(1)), lambda h: F.lower(F.trim(h)))
-    place = lambda e: F.array_position(F.transform(headings, lambda h: F.when(h.contains(e) | e.contains(h), 1).otherwise(0)), F.lit(1))
-    found = F.filter(F.transform(expected, lambda e: place(F.lower(e))), lambda p: p > 0)
-    return F.when((F.size(expected) >= 2) & (F.size(headings) > 0), F.round(concordance(found), 4))
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?mUd)^#{1,3}\s+(.+)"), F.lit(1)), lambda h: F.lower(F.trim(h)))
+
+    def score(headings: Column) -> Column:
+        place = lambda e: F.array_position(F.transform(headings, lambda h: F.when(h.contains(e) | e.contains(h), 1).otherwise(0)), F.lit(1))
+        places = F.filter(F.transform(expected, lambda e: place(F.lower(e))), lambda p: p > 0)
+        return F.when((F.size(expected) >= 2) & (F.size(headings) > 0), F.round(concordance(places), 4))
+
+    return let(found, score)
 
 
 def exact_matches(extracted: DataFrame, reference: DataFrame, key: str) -> DataFrame:

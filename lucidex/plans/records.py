@@ -284,19 +284,19 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Reports
 
 
-@query("SELECT l_shipmode, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_discount), 6) AS l_discount, round(avg(l_tax), 6) AS l_tax FROM lineitem GROUP BY l_shipmode")
+@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_discount), 6) AS l_discount, round(avg(l_tax), 6) AS l_tax FROM lineitem GROUP BY l_returnflag")
 def config_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.profile(table(spark, sf_dir, "lineitem"), ["l_shipmode"], ["l_quantity", "l_discount", "l_tax"])
+    return P.profile(table(spark, sf_dir, "lineitem"), ["l_returnflag"], ["l_quantity", "l_discount", "l_tax"])
 
 
-@query("SELECT l_returnflag, l_shipmode, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_discount), 6) AS l_discount FROM lineitem GROUP BY ALL")
+@query("SELECT l_linestatus, l_returnflag, round(avg(l_quantity), 6) AS l_quantity, round(avg(l_discount), 6) AS l_discount FROM lineitem GROUP BY ALL")
 def doctype_config_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.profile(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_shipmode"], ["l_quantity", "l_discount"])
+    return P.profile(table(spark, sf_dir, "lineitem"), ["l_linestatus", "l_returnflag"], ["l_quantity", "l_discount"])
 
 
-@query("SELECT l_shipmode, count(*) AS n, round(avg(l_quantity), 6) AS mean_total, median(l_quantity) AS median_total, median(l_discount) AS median_per_page FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_shipmode")
+@query("SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean_total, median(l_quantity) AS median_total, median(l_discount) AS median_per_page FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY l_returnflag")
 def runtime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.runtime(table(spark, sf_dir, "lineitem"), "l_shipmode", "l_quantity", "l_discount")
+    return P.runtime(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_discount")
 
 
 @query("SELECT l_orderkey, l_linenumber, metric, score FROM (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) UNPIVOT (score FOR metric IN (l_quantity, l_discount, l_tax))")
@@ -309,9 +309,9 @@ def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pivot(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", ["O", "F"], "l_quantity")
 
 
-@query("SELECT m AS l_shipmode, count(b) AS wins FROM (SELECT DISTINCT l_shipmode AS m FROM lineitem) LEFT JOIN (SELECT l_shipmode AS b FROM (SELECT l_shipmode, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS n FROM lineitem) WHERE n = 1) ON b = m GROUP BY m")
+@query("SELECT m AS l_returnflag, count(b) AS wins FROM (SELECT DISTINCT l_returnflag AS m FROM lineitem) LEFT JOIN (SELECT l_returnflag AS b FROM (SELECT l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS n FROM lineitem) WHERE n = 1) ON b = m GROUP BY m")
 def parser_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.wins(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_shipmode", "l_quantity", "l_linenumber")
+    return P.wins(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_quantity", "l_linenumber")
 
 
 @query("SELECT o_orderpriority, min(o_totalprice) AS low, quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.5) AS q2, quantile_cont(o_totalprice, 0.75) AS q3, max(o_totalprice) AS high FROM orders GROUP BY 1".replace("quantile_cont(o_totalprice, 0.25)", "round(quantile_cont(o_totalprice, 0.25), 4)").replace("quantile_cont(o_totalprice, 0.5)", "round(quantile_cont(o_totalprice, 0.5), 4)").replace("quantile_cont(o_totalprice, 0.75)", "round(quantile_cont(o_totalprice, 0.75), 4)"))

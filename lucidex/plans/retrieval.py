@@ -21,7 +21,7 @@ _COS = f"SELECT vec_id, label, greatest(0.0, list_cosine_distance(embedding::DOU
 _L2 = f"SELECT vec_id, label, list_distance(embedding::DOUBLE[], q) AS d FROM embeddings, {_Q} WHERE embedding IS NOT NULL"
 _TOP = f"SELECT * FROM ({_COS}) ORDER BY d, vec_id LIMIT {K}"
 _TERMS = "['the','und','que']"
-_SPARSE = f"SELECT doc_id, round(0.1 * len(list_filter(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+)', 1), lambda x: list_contains({_TERMS}, x))), 6) AS similarity FROM documents"
+_SPARSE = f"SELECT doc_id, round(0.1::DOUBLE * len(list_filter(regexp_extract_all(lower(text), '([\\p{{L}}\\p{{N}}_]+)', 1), lambda x: list_contains({_TERMS}, x))), 6) AS similarity FROM documents"
 
 
 def query_vector(spark: SparkSession, sf_dir: str):

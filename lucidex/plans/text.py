@@ -119,11 +119,15 @@ def citation_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_dense(ls: Column, hit, width: int, least: int, share: float) -> Column:
     """1-based place, after share of the lines, of the first full frame of width lines with so many hits."""
-    flags = F.transform(ls, lambda x: F.when(hit(x), 1).otherwise(0))
-    n = F.size(ls)
-    places = F.when(n >= F.floor(n * share) + width, F.sequence((F.floor(n * share) + 1).cast("int"), (n - width + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    dense = F.filter(places, lambda i: F.aggregate(F.slice(flags, i, width), F.lit(0), lambda a, b: a + b) >= least)
-    return F.try_element_at(dense, F.lit(1))
+
+    def first(flags: Column) -> Column:
+        n = F.size(flags)
+        start = F.floor(n * share)
+        places = F.when(n >= start + width, F.sequence((start + 1).cast("int"), (n - width + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+        dense = F.filter(places, lambda i: F.aggregate(F.slice(flags, i, width), F.lit(0), lambda a, b: a + b) >= least)
+        return F.try_element_at(dense, F.lit(1))
+
+    return T.let(F.transform(ls, lambda x: F.when(hit(x), 1).otherwise(0)), first)
 
 
 _TOC = r"(s <> '' AND (regexp_matches(s, '\.{2,}') OR (s LIKE '|%' AND length(s) - length(replace(s, '|', '')) >= 2) OR regexp_matches(s, '^\|?\s*\d{1,3}\s*\|') OR regexp_matches(s, '^\s*(?:[-*]\s*)?(?:\d+(?:\.\d+)*\s+)?[^\n]{2,140}?\s+\d{1,4}\s*$')))"
