@@ -33,6 +33,7 @@ from .common import batches, by_value, share, shared, text_bytes
 ORDER = 3
 SAMPLE_DOCS = 600
 SAMPLE_BYTES = 2 << 20
+SALTS = 64
 MAX_LANGUAGES = 400
 
 #: Bytes scored at a time.
@@ -180,10 +181,15 @@ def sample(labelled: DataFrame, key: str, text: str, language: str) -> dict[str,
     """Bounded training texts by language."""
     rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(language).cast("string").alias("lang")).where("text is not null and lang is not null")
     top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key", F.xxhash64("text"))
-    picked = rows.where(F.col("lang").isin(top)).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_DOCS)
+    # Ids are picked without texts, first in SALTS parts of a language, then among the parts' picks.
+    order = [F.xxhash64("key"), F.col("key")]
+    ids = rows.where(F.col("lang").isin(top)).select("key", "lang").withColumn("salt", F.pmod(F.xxhash64("key", F.lit("salt")), F.lit(SALTS)))
+    for by in (["lang", "salt"], ["lang"]):
+        ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("nth") <= SAMPLE_DOCS)
+    # At most SAMPLE_DOCS ids a language: the bound makes the broadcast safe.
+    picked = rows.join(F.broadcast(ids.select("key", "lang", "nth")), ["key", "lang"])
     out: dict[str, list[bytes]] = {}
-    for r in picked.orderBy("lang", "nth").toLocalIterator():
+    for r in picked.orderBy("lang", "nth", F.xxhash64("text")).toLocalIterator():
         own = out.setdefault(r["lang"], [])
         if not own or sum(map(len, own)) < SAMPLE_BYTES:
             own.append(r["text"].encode())
