@@ -7,10 +7,12 @@ function.  Null text gives null.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 EARLY = 0.95
@@ -34,22 +36,18 @@ _MARKS = re.compile(r"[\d*†‡§]+")
 
 
 def udf(f: Callable, kind: str):
-    """f(text, ...) as an Arrow-batched column function."""
+    """f(text, ...) as an Arrow-batched column function; made when it is applied, so importing needs no session."""
 
     def run(*columns: pd.Series) -> pd.Series:
         return pd.Series([None if row[0] is None else f(*row) for row in zip(*columns, strict=True)])
 
-    if f.__code__.co_argcount - len(f.__defaults__ or ()) == 1:
-
-        def one(a: pd.Series) -> pd.Series:
-            return run(a)
-
-        return F.pandas_udf(one, kind)
+    def one(a: pd.Series) -> pd.Series:
+        return run(a)
 
     def two(a: pd.Series, b: pd.Series) -> pd.Series:
         return run(a, b)
 
-    return F.pandas_udf(two, kind)
+    return lambda *columns: F.pandas_udf(one if len(columns) == 1 else two, kind)(*columns)
 
 
 class Block:
@@ -245,3 +243,7 @@ def move_labelled_footnotes(text: str, notes: list[str], markdown: bool = True)
     if notes:
         text = re.sub(r"\n{3,}", "\n\n", text).strip()
     return "\n\n".join([text, "# Footnotes" if markdown else "Footnotes", *moved]) if moved else text
+
+
+# Functions travel inside the tasks, so workers need not import this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

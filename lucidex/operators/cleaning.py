@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +40,7 @@ def postprocess(df: DataFrame, text: str = "text", doc_type: str | None = None,
         df = df.withColumn(text, folds.udf(folds.clean_policy, "string")(F.col(text)))
     df = df.withColumn(text, T.drop_repeated_lines(F.col(text)))
     return df.withColumn(text, T.indexing_cleanup(F.col(text))) if indexing else df
+
+
+# Functions travel inside the tasks, so workers need not import this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,3 +138,7 @@ def context_chunks(top: DataFrame, document: str, content: str) -> DataFrame:
     """Rank order, and the chunk as callers see it: the score is the distance, the page is unknown."""
     order = Window.orderBy(F.col("distance").asc_nulls_last(), F.col("vec_id"))
     return top.select((F.row_number().over(order) - 1).alias("position"), F.lit("text").alias("type"), F.col(content).alias("content"), F.round("distance", 9).alias("score"), F.col(document).alias("document_id"), F.lit(-1).alias("page"))
+
+
+# Functions travel inside the tasks, so workers need not import this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
