@@ -32,9 +32,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
+    # The shuffles behind df are of no more use; their files go when the driver's JVM notices.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def repeated_ids(df: DataFrame, key: str) -> bool:
+    """Whether two rows share an id; reads the id column only."""
+    return bool(df.groupBy(F.col(f"`{key}`").alias("k")).agg(F.count("*").alias("n")).where("n > 1").take(1))
+
+
 def batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

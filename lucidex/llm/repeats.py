@@ -16,10 +16,14 @@ brought together by content:
 2. Contexts are grouped by anchor.  One that is wholly equal to an earlier
    context has LPF >= LENGTH in all its windows.  An anchor that occurs once
    is done.  Only anchors with different contexts need their windows.
-3. For those, blocks of contexts get a suffix array (prefix doubling up to
-   LENGTH bytes) and the LPF decision from it; each block's first occurrence
-   of a window goes on under a hash of the window, and the first of all stays.
-4. Per document the removed windows merge to spans.
+3. For those, the bytes of the contexts are brought together by anchor, and
+   blocks of whole anchor groups get a suffix array (prefix doubling up to
+   LENGTH bytes) and the LPF decision from it.
+4. An anchor with more than CROWD different contexts is too large for a block:
+   its contexts get suffix arrays where they are, and each block's first
+   occurrence of a window goes on under a hash of the window; the first of all
+   stays.
+5. Per document the removed windows merge to spans.
 
 Equal contexts and windows inside one batch are settled before the shuffle, so
 a passage in a third of all documents sends one row for each batch.  Hashes of
@@ -40,11 +44,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, by_value, materialize, text_bytes
+from .common import batches, by_value, materialize, repeated_ids, text_bytes
 
 LENGTH = 100
 GRAM = 32
 
+#: Different contexts of an anchor that are held together in one block.
+CROWD = 4096
+
 #: Bytes hashed at a time; positions in a block take POSITION_BITS bits.
 POSITION_BITS = 20
 BLOCK = 1 << POSITION_BITS
@@ -222,7 +229,7 @@ _ANCHORS = T.StructType([T.StructField("done", T.BooleanType()), T.StructField("
 def _batch(columns: dict, schema: T.StructType):
     import pyarrow as pa
 
-    kinds = {"long": pa.int64(), "integer": pa.int32(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "integer": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], kinds[f.dataType.typeName()]) for f in schema.fields], names=schema.names)
 
 
@@ -255,14 +262,16 @@ def _anchors(parts):
         repeat = np.zeros(len(order), bool)
         repeat[order] = again & ~same
         n, l, h = _runs(i[repeat], lo[repeat], hi[repeat])
-        yield _batch({"done": np.r_[np.zeros((~repeat).sum(), bool), np.ones(len(n), bool)], "anchor": np.r_[_signed(a[~repeat]), row[by][n]], "context": np.r_[_signed(c[~repeat]), l], "doc": doc[by][np.r_[i[~repeat], n]], "row": row[by][np.r_[i[~repeat], n]], "lo": np.r_[lo[~repeat], l], "hi": np.r_[hi[~repeat], h]}, _ANCHORS)
+        yield _batch({"done": np.r_[np.zeros((~repeat).sum(), bool), np.ones(len(n), bool)], "anchor": np.r_[_signed(a[~repeat]), doc[by][n]], "context": np.r_[_signed(c[~repeat]), l], "doc": doc[by][np.r_[i[~repeat], n]], "row": row[by][np.r_[i[~repeat], n]], "lo": np.r_[lo[~repeat], l], "hi": np.r_[hi[~repeat], h]}, _ANCHORS)
 
 
-_WINDOWS = T.StructType([T.StructField("done", T.BooleanType()), T.StructField("window", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("row", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])
+_CONTEXT, _WINDOW, _DONE = 0, 1, 2
+_OPEN = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("row", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("data", T.BinaryType())])
+_GONE = T.StructType([f for f in _OPEN.fields if f.name in ("doc", "row", "lo", "hi")])
 
 
-def _windows(parts):
-    """First windows of each block of contexts; windows with an earlier one in the block as done spans."""
+def _open_contexts(parts):
+    """Bytes of contexts by anchor; of crowded anchors the first windows of each block, and repeated ones as done."""
     import numpy as np
 
     hasher = Hasher()
@@ -271,57 +280,106 @@ def _windows(parts):
         by = np.lexsort((row, doc))
         texts = text_bytes(part.column("text"))
         spans = part.column("spans").to_pylist()
-        cut = []
+        out: dict[str, list] = {c: [] for c in _OPEN.names}
+        crowded, last = [], None
         for i in by:
-            if len(cut) and doc[i] == doc[cut[-1][0]] and row[i] == row[cut[-1][0]]:
+            if last == (doc[i], row[i]):
                 continue  # the same document once more
-            merged: list[list[int]] = []
-            for s in sorted((s["lo"], s["hi"]) for s in spans[i]):
-                if merged and s[0] <= merged[-1][1] + 1:
-                    merged[-1][1] = max(merged[-1][1], s[1])
+            last = (doc[i], row[i])
+            for s in sorted(spans[i], key=lambda s: s["lo"]):
+                data = texts[i][s["lo"] : s["hi"] + LENGTH]
+                if s["crowd"]:
+                    crowded.append((i, s["lo"], data))
                 else:
-                    merged.append([*s])
-            for lo, hi in merged:
-                for at in range(lo, hi + 1, BLOCK - LENGTH):
-                    cut.append((i, at, texts[i][at : min(hi, at + BLOCK - LENGTH - 1) + LENGTH]))
-        for data, made in pieces([t for *_, t in cut]):
-            starts = np.concatenate([np.arange(start, end - LENGTH + 1) for _, _, start, end in made])
-            piece = np.repeat(np.arange(len(made)), [end - start - LENGTH + 1 for _, _, start, end in made])
-            number = np.array([j for j, *_ in made])[piece]
-            own = np.array([cut[j][0] for j, *_ in made])[piece]
-            lo = starts + np.array([cut[j][1] + off - start for j, off, start, _ in made])[piece]
-            repeat = repeats_before(data, starts)
+                    for c, x in zip(_OPEN.names, (_CONTEXT, s["anchor"], doc[i], row[i], s["lo"], s["hi"], data), strict=True):
+                        out[c].append(x)
+        yield _batch(out, _OPEN)
+        for data, made in pieces([t for *_, t in crowded]):
+            starts, number, lo, repeat = _decided(data, made, [at for _, at, _ in crowded])
+            own = np.array([i for i, *_ in crowded])
             sums = hasher.sums(data)
             first = starts[~repeat]
             n, l, h = _runs(number[repeat], lo[repeat], lo[repeat])
-            docs_at = np.r_[own[~repeat], np.array([cut[j][0] for j in n], np.int64)].astype(np.int64)
-            yield _batch({"done": np.r_[np.zeros(len(first), bool), np.ones(len(n), bool)], "window": np.r_[_signed(mixed(hasher.of(sums, first, first + LENGTH))), l], "doc": doc[docs_at], "row": row[docs_at], "lo": np.r_[lo[~repeat], l], "hi": np.r_[lo[~repeat], h]}, _WINDOWS)
+            at = np.r_[own[number[~repeat]], own[n]].astype(np.int64)
+            kinds = np.r_[np.full(len(first), _WINDOW), np.full(len(n), _DONE)]
+            yield _batch({"kind": kinds, "key": np.r_[_signed(mixed(hasher.of(sums, first, first + LENGTH))), np.zeros(len(n), np.int64)], "doc": doc[at], "row": row[at], "lo": np.r_[lo[~repeat], l], "hi": np.r_[lo[~repeat], h], "data": [None] * len(kinds)}, _OPEN)
+
+
+def _decided(data, made, at):
+    """Window starts of a block of cut contexts, the context and the place of each, and whether it has an earlier equal."""
+    import numpy as np
+
+    starts = np.concatenate([np.arange(start, end - LENGTH + 1) for _, _, start, end in made])
+    piece = np.repeat(np.arange(len(made)), [end - start - LENGTH + 1 for _, _, start, end in made])
+    number = np.array([j for j, *_ in made])[piece]
+    lo = starts + np.array([at[j] + off - start for j, off, start, _ in made])[piece]
+    return starts, number, lo, repeats_before(data, starts)
+
+
+def _grouped(parts):
+    """Removed windows of contexts that come sorted by (key, doc, row, lo); a block holds whole groups."""
+    import numpy as np
+
+    def decide(rows):
+        ends = np.cumsum([len(r[4]) for r in rows]).tolist()
+        made = [(j, 0, end - len(r[4]), end) for j, (r, end) in enumerate(zip(rows, ends, strict=True))]
+        _, number, lo, repeat = _decided(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), made, [r[3] for r in rows])
+        n, l, h = _runs(number[repeat], lo[repeat], lo[repeat])
+        return _batch({"doc": [rows[j][1] for j in n], "row": [rows[j][2] for j in n], "lo": l, "hi": h}, _GONE)
+
+    held, size = [], 0  # whole groups, and the group that still comes in
+    start = 0  # where that group starts in held
+    for part in parts:
+        columns = [part.column(c).to_pylist() for c in ("key", "doc", "row", "lo", "data")]
+        for r in zip(*columns, strict=True):
+            if held and r[0] != held[-1][0]:
+                if size >= BLOCK // 2:
+                    yield decide(held)
+                    held, size = [], 0
+                start = len(held)
+            elif held and r[:4] == held[-1][:4]:
+                continue  # the same document once more
+            held.append(r)
+            size += len(r[4])
+            if size > BLOCK - 256 and start:
+                yield decide(held[:start])
+                held, start = held[start:], 0
+                size = sum(len(x[4]) for x in held)
+    if held:
+        yield decide(held)
+
+
+def _id(key: Column) -> Column:
+    return F.coalesce(key.cast("long"), F.lit(_NO_ID))
 
 
-def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, row, text): the id to order by, a hash of id and text, and the text."""
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("doc"), _row_hash(F.col(key), F.col(text)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def _row_hash(key: Column, text: Column, repeated: bool) -> Column:
+    """0 where ids are unique, so that it costs nothing in a shuffle."""
+    return F.xxhash64(key.cast("long"), F.coalesce(text, F.lit(""))) if repeated else F.lit(0).cast("long")
 
 
-def _row_hash(key: Column, text: Column) -> Column:
-    return F.xxhash64(key.cast("long"), F.coalesce(text, F.lit("")))
+def _rows(docs: DataFrame, key: str, text: str, repeated: bool) -> DataFrame:
+    """(doc, row, text): the id to order by, a hash of id and text if ids repeat, and the text."""
+    return docs.select(_id(F.col(key)).alias("doc"), _row_hash(F.col(key), F.col(text), repeated).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def spans(docs: DataFrame, key: str, text: str, repeated: bool) -> DataFrame:
     """(doc, row, spans): the removed windows of each document that has some, as merged [lo, hi] of window starts."""
     batches(docs.sparkSession)
-    rows = _rows(docs, key, text)
+    rows = _rows(docs, key, text, repeated)
     places = ["doc", "row", "lo"]
     found = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchors, _ANCHORS).repartition("done", "anchor")
     nth = F.dense_rank().over(Window.partitionBy("done", "anchor", "context").orderBy(*places))
     group = Window.partitionBy("done", "anchor")
-    judged = found.withColumn("nth", nth).withColumn("differ", F.min("context").over(group) != F.max("context").over(group))
+    judged = found.withColumn("nth", nth).withColumn("differ", F.min("context").over(group) != F.max("context").over(group)).withColumn("crowd", F.count(F.when(F.col("nth") == 1, 1)).over(group) > CROWD)
     # A context equal to an earlier one is done; the first of each goes on if its anchor has other contexts too.
-    judged = materialize(judged.select((F.col("done") | (F.col("nth") > 1)).alias("done"), "differ", "doc", "row", "lo", "hi").where("done or differ"), "contexts")
-    open_spans = judged.where("not done").groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    texts = rows.join(open_spans.hint("shuffle_hash"), ["doc", "row"]).mapInArrow(_windows, _WINDOWS)
-    later = F.dense_rank().over(Window.partitionBy("done", "window").orderBy(*places))
-    windows = texts.withColumn("nth", later).where("done or nth > 1")
+    judged = materialize(judged.select((F.col("done") | (F.col("nth") > 1)).alias("done"), "differ", "crowd", "anchor", "doc", "row", "lo", "hi").where("done or differ"), "contexts")
+    open_spans = judged.where("not done").groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi", "anchor", "crowd")).alias("spans"))
+    opened = materialize(rows.join(open_spans.hint("shuffle_hash"), ["doc", "row"]).mapInArrow(_open_contexts, _OPEN), "open-contexts")
+    grouped = opened.where(F.col("kind") == _CONTEXT).select("key", *places, "data").repartition("key").sortWithinPartitions("key", *places).mapInArrow(_grouped, _GONE)
+    later = F.dense_rank().over(Window.partitionBy("key").orderBy(*places))
+    crowded = opened.where(F.col("kind") == _WINDOW).select("key", *places, "hi").withColumn("nth", later).where("nth > 1").select(*places, "hi")
+    windows = grouped.union(crowded).union(opened.where(F.col("kind") == _DONE).select(*places, "hi"))
     gone = judged.where("done").select("doc", "row", "lo", "hi").union(windows.select("doc", "row", "lo", "hi"))
     order = Window.partitionBy("doc", "row").orderBy("lo", "hi")
     island = F.sum(F.when(F.col("lo") <= F.col("before") + 1, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -352,8 +410,9 @@ def kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _with_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     """docs with _spans; the spans are the side that is held in memory."""
-    found = spans(docs, key, text).select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    doc, row = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(_NO_ID)), _row_hash(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    repeated = repeated_ids(docs, key)
+    found = spans(docs, key, text, repeated).select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    doc, row = _id(F.col(f"`{key}`")), _row_hash(F.col(f"`{key}`"), F.col(f"`{text}`"), repeated)
     return docs.withColumns({"_d": doc, "_r": row}).join(found.hint("shuffle_hash"), (F.col("_d") == F.col("_doc")) & (F.col("_r") == F.col("_row")), "left").drop("_d", "_r", "_doc", "_row")
 
 
