@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hash_tree, html_text, language_id, licenses, mixing, quality, repeats, simhash, token_rollup
+from . import decontaminate, hash_tree, html_text, language_id, licenses, mixing, oracles, quality, repeats, simhash, token_rollup
 from .common import scratch_path
 
 
@@ -58,4 +58,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_rollup, op3_soft_mixing, op4_hash_tree, op5_decontaminate, op6_simhash, op7_html_text, op8_license_scan, op9_longest_previous_factor, op10_language_id)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_quality_rules": oracles.op1(), "op4_hash_tree": oracles.op4(), "op5_decontaminate": oracles.op5(), "op9_longest_previous_factor": oracles.op9()}

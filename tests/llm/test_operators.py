@@ -1,0 +1,467 @@
+"""Training-data operators against brute force on small tables, and the odd cases."""
+
+from __future__ import annotations
+
+import random
+import zlib
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lucidex.llm import components, decontaminate, hash_tree, html_text, language_id, licenses, mixing, quality, repeats, simhash, token_rollup
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ["", " ", "\n\n", "a", "ab cd", "the quick brown fox " * 30, "x" * 5000, "é ü ß — “q”", "w#% " * 60, "line one\nline one\nline one\nother", "1 2 3 4 5 6 7 8 9 10 11 12"]
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}{'.' * (rng.random() < 0.1)}" for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    passage = words(rng, 60)
+    out = []
+    for i in range(160):
+        text = words(rng, rng.randrange(0, 160))
+        if i % 4 == 0:
+            text = f"{text[: len(text) // 2]} {passage} {text[len(text) // 2 :]}"
+        if i % 7 == 3:
+            text = out[i - 3][1]
+        if i % 9 == 5 and out[i - 5][1]:
+            text = out[i - 5][1][:-2] + " zz"
+        out.append((i, text, rng.choice(["en", "de", None]), rng.choice(["a", "b", None]), 0))
+    out += [(200 + i, t, "en", "a", 0) for i, t in enumerate(ODD)]
+    out += [(300, None, "en", "a", None), (301, None, None, None, None)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, docs):
+    """Extra columns named like the operators' own."""
+    names = ["fp", "key", "text_crc32", "size", "shard", "row", "doc", "lang_pred", "score", "h", "bucket", "count"]
+    return docs.withColumns({n: F.lit("clash") for n in names})
+
+
+def texts(rows):
+    return [(r[0], r[1]) for r in rows]
+
+
+def got(df):
+    return sorted(map(tuple, df.collect()), key=lambda r: tuple((x is None, x) for x in r))
+
+
+def test_quality(docs, rows, clashing, empty):
+    found = {r[0]: r for r in got(quality.verdicts(docs))}
+    assert {d: r[1:7] for d, r in found.items()} == {d: brute.quality_counts(t) for d, t in texts(rows)}
+    assert all(not (r[6] and r[7]) for r in found.values())
+    assert got(quality.verdicts(clashing)) == sorted(found.values())
+    assert got(quality.verdicts(empty)) == []
+    left = got(quality.filter_documents(docs).select("doc_id"))
+    assert left == sorted((d,) for d, r in found.items() if r[7])
+    assert quality.filter_documents(clashing).columns == clashing.columns
+    # With too many thresholds for a broadcast the rows are the same.
+    assert got(quality.filter_documents(docs, broadcast_groups=0).select("doc_id")) == left
+
+
+def test_quality_adapts(spark):
+    """A source where symbols are usual keeps them; one document with many in a plain source goes."""
+    rng = random.Random(4)
+    plain = [(i, words(rng, 60), "en", "plain", 0) for i in range(250)]
+    marked = [(1000 + i, " ".join(w + "##" for w in words(rng, 60).split()), "en", "marked", 0) for i in range(250)]
+    odd = [(5000, " ".join(w + "##" for w in words(rng, 60).split()), "en", "plain", 0)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.verdicts(spark.createDataFrame(plain + marked + odd, DOCS)).collect()}
+    assert all(kept[i] for i, *_ in plain + marked) and not kept[5000]
+
+
+def test_sketch_buckets(spark):
+    xs = [*range(200), 1000, 65535, 10**9]
+    df = spark.createDataFrame([(x,) for x in xs], "x long").withColumn("b", quality.bucket(F.col("x"))).withColumn("f", quality.bucket_floor(F.col("b")))
+    rows = sorted(df.collect())
+    assert [r["b"] for r in rows] == sorted(r["b"] for r in rows)
+    assert all(r["f"] <= r["x"] and r["x"] - r["f"] <= r["x"] / 16 for r in rows)
+
+
+def test_shards(docs, rows, clashing, empty):
+    found = hash_tree.shard_table(docs).collect()
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in found} == {(d, len((t or "").encode()) + 1, brute.crc(t)) for d, t in texts(rows)}
+    by = {}
+    for r in found:
+        by.setdefault(r["shard"], []).append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 8)
+    assert set(by) <= set(range(8)) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert got(hash_tree.shard_table(clashing)) == got(hash_tree.shard_table(docs))
+    assert got(hash_tree.shard_table(empty)) == []
+
+
+def test_shards_null_and_repeated(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "a"), (1, None), (1, None), (2, "b")], "doc_id long, text string")
+    found = hash_tree.shard_table(df).collect()
+    assert len(found) == 5 and len({(r["shard"], r["slot"]) for r in found}) == 5
+
+
+def test_movement_is_confined(spark):
+    """A heavier shard takes keys only into its own subtree; shares follow weights."""
+    keys = spark.range(20000).select(F.col("id").alias("k"))
+    leaves = hash_tree.balanced(8)
+    heavier = [hash_tree.Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in leaves]
+    both = keys.select(hash_tree.descend(hash_tree.key_text(F.col("k")), leaves).alias("a"), hash_tree.descend(hash_tree.key_text(F.col("k")), heavier).alias("b")).collect()
+    moved = [(r["a"], r["b"]) for r in both if r["a"] != r["b"]]
+    assert all(b in (4, 5, 6, 7) for _, b in moved if _ < 4)
+    assert not any(a >= 4 and b < 4 for a, b in moved) and not any(a in (4, 5) and b in (6, 7) for a, b in moved)
+    share = sum(r["b"] == 5 for r in both) / 20000
+    assert abs(share - 0.3) < 0.02
+
+
+ITEMS = [(0, "alpha beta gamma"), (1, None), (2, ""), (3, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (3, "other text of the same item id and some more words here"), (None, "omega"), (12, "w7 w8 w9 w10 w11 w12 w13 w14 w15 w16")]
+
+
+def test_decontamination(spark, docs, rows, clashing, empty, monkeypatch):
+    rng = random.Random(9)
+    items = [*ITEMS, (40, " ".join(rows[0][1].split()[3:25]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    extra = [(900, "Alpha, BETA; gamma! and omega", "en", "a", 0), (901, "say w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 end", "en", "a", 0)]
+    own = docs.union(spark.createDataFrame(extra, DOCS))
+    want = sorted(brute.contamination(texts(rows + extra), items))
+    assert got(decontaminate.flag_table(own, bench)) == want
+    assert any(r[5] for r in want)
+    # In several blocks the result is the same.
+    assert got(decontaminate.flag_table(own, bench, block_bytes=40)) == want
+    assert got(decontaminate.flag_table(empty, bench)) == []
+    assert not any(r[5] for r in got(decontaminate.flag_table(own, bench.where("false"))))
+    clean = decontaminate.remove(clashing, bench)
+    assert clean.columns == clashing.columns
+    hit = {r[0] for r in want if r[5]}
+    assert {r["doc_id"] for r in decontaminate.remove(own, bench).collect()} == {d for d, _ in texts(rows + extra)} - hit
+    cut = decontaminate.remove(own, bench, what="spans")
+    assert {r["doc_id"]: r["text"] for r in cut.where("doc_id >= 900").collect()} == {900: "! and ", 901: "say  end"} or not any(r[5] for r in got(decontaminate.flag_table(cut.where("doc_id < 300"), bench.where("item_id = 40"))))
+    with pytest.raises(ValueError):
+        decontaminate.remove(own, bench, what="x")
+    assert rng
+
+
+def test_simhash(docs, rows, clashing, empty, monkeypatch):
+    want = sorted((d, f, c) for d, (f, c) in brute.near_groups(texts(rows)).items())
+
+    def table(df):
+        return sorted((r["doc"], f"{r['fp'] % 2**64:016x}", r["component"]) for r in simhash.groups(df).collect())
+
+    assert table(docs) == want
+    assert table(clashing) == want
+    assert table(empty) == []
+    kept = sorted(r["doc_id"] for r in simhash.deduplicate(docs).collect())
+    assert kept == sorted({c for _, _, c in want})
+    # Crowded keys go the other way, to the same end.
+    monkeypatch.setattr(simhash, "CROWD", 1)
+    assert table(docs) == want
+
+
+def test_simhash_links(spark, monkeypatch):
+    """Planted fingerprints: chains of one and two bits, and far ones."""
+    rng = random.Random(5)
+    prints = {0}
+    for _ in range(60):
+        x = rng.getrandbits(64)
+        prints.add(x)
+        for _ in range(rng.randrange(6)):
+            for _ in range(rng.randrange(1, 4)):
+                x ^= 1 << rng.randrange(64)
+            prints.add(x)
+    prints = sorted(prints)
+    parent = {p: p for p in prints}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(prints):
+        for b in prints[i + 1 :]:
+            if (a ^ b).bit_count() <= 2:
+                parent[root(a)] = root(b)
+    want = {}
+    for p in prints:
+        want.setdefault(root(p), set()).add(p)
+    df = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
+    for crowd in (64, 1):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        found = {p: {p} for p in prints}
+        for r in components.components(simhash.links(df)).collect():
+            found.setdefault(("root", r["root"]), set()).add(r["node"] % 2**64)
+        grouped = {frozenset(v) for k, v in found.items() if isinstance(k, tuple)}
+        assert grouped == {frozenset(v) for v in want.values() if len(v) > 1}
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(100)] + [(200, 201), (201, 202), (202, 200), (300, 300), (None, 5)]
+    found = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert {n for n, r in found.items() if r == 0} == set(range(101))
+    assert {n for n, r in found.items() if r == 200} == {200, 201, 202}
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_repeats(spark, docs, rows, clashing, empty, monkeypatch):
+    own = [r for r in rows if r[1] is not None or r[0] == 300]
+    want = sorted(brute.repeats(texts(own)))
+    assert any(r[2] for r in want)
+    df = docs.where("doc_id <> 301")
+    assert got(repeats.digest_table(df)) == want
+    monkeypatch.setattr(repeats, "CROWD", 1)
+    assert got(repeats.digest_table(df)) == want
+    assert got(repeats.digest_table(empty)) == []
+    assert repeats.remove(clashing).columns == clashing.columns
+
+
+def test_repeats_inside_long_and_periodic_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    base = words(rng, 400)
+    cases = [(1, base), (2, base[500:1500] + "é" * 300), (3, "ab" * 700), (4, "é" * 200), (5, base[:99]), (6, base[:100]), (7, "x" + base[100:900] + "y" + base[100:900])]
+    df = spark.createDataFrame(cases, "doc_id long, text string").repartition(3)
+    want = sorted(brute.repeats(cases))
+    assert got(repeats.digest_table(df)) == want
+    # Small blocks cut long texts into pieces.
+    monkeypatch.setattr(repeats, "BLOCK", 1 << 9)
+    assert got(repeats.digest_table(df)) == want
+
+
+def test_repeated_rows_are_one_document(spark):
+    text = words(random.Random(2), 100)
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
+    found = sorted(((r["doc_id"] is None, r["doc_id"], r["n_removed"]) for r in repeats.digest_table(df).collect()), key=str)
+    n = len(text.encode())
+    assert found == [(False, 1, 0), (False, 1, 0), (False, 2, n), (True, None, n)]
+
+
+def test_suffix_classes():
+    import numpy as np
+
+    data = np.frombuffer(b"abracadabra abracadabra", np.uint8)
+    for length in (3, 8, 9, 11):
+        order, rank = repeats.suffix_classes(data, length)
+        pieces = [bytes(data[i : i + length]) for i in range(len(data) - length + 1)]
+        assert [pieces[i] for i in order] == sorted(pieces)
+        assert [rank[i] == rank[j] for i in range(len(pieces)) for j in range(len(pieces))] == [a == b for a in pieces for b in pieces]
+
+
+def test_language_model():
+    """Code lengths are the sums of the escape costs, for seen and unseen grams and across blocks."""
+    import math
+
+    tree = language_id.Tree([b"abcabd", b"abx"])
+
+    def cost(context, symbol):
+        rest = 0.0
+        for k in range(language_id.ORDER, -1, -1):
+            own = context[len(context) - k :] if k else b""
+            counts = {}
+            for t in (b"abcabd", b"abx"):
+                whole = b"\n" * language_id.ORDER + t
+                for i in range(language_id.ORDER, len(whole)):
+                    if whole[i - k : i] == own:
+                        counts[whole[i]] = counts.get(whole[i], 0) + 1
+            if not counts:
+                continue
+            total = sum(counts.values()) + len(counts)
+            if symbol in counts:
+                return -math.log2(counts[symbol] / total) + rest
+            rest += -math.log2(len(counts) / total)
+        return rest + 8
+
+    import numpy as np
+
+    for gram in (b"\n\n\na", b"abca"[:4], b"cabd", b"zzzz", b"abcz", b"\nabq"):
+        g = np.array([int.from_bytes(gram[-4:].rjust(4, b"\n"), "big")], np.uint32)
+        assert abs(tree.cost(g)[0] - cost(gram[-4:-1], gram[-1])) < 1e-9
+    model = language_id.Model({"a": [b"abcabd" * 50], "b": [b"xyzxyw" * 50]})
+    text = b"abcxyzabd" * 30
+    whole = model.code_lengths(text)
+    assert np.allclose(model.many([b"q", text, b""])[1], whole)
+    old = language_id.BLOCK
+    language_id.BLOCK = 50
+    assert np.allclose(model.code_lengths(text), whole)
+    language_id.BLOCK = old
+
+
+def test_language(spark, clashing, empty):
+    rng = random.Random(6)
+    syllables = {"aa": ["ka", "mo", "ti", "ru"], "bb": ["sch", "ung", "ein", "ver"], "cc": ["ción", "que", "los", "ñas"]}
+    rows = []
+    for i in range(300):
+        lang = rng.choice(list(syllables))
+        rows.append((i, " ".join("".join(rng.choice(syllables[lang]) for _ in range(3)) for _ in range(30)), lang if i % 10 else None, "s", 0))
+    rows += [(1000, None, "aa", "s", 0), (1001, "123 ... 456", "aa", "s", 0), (1002, "", "bb", "s", 0)]
+    truth = {r[0]: r[2] for r in rows}
+    found = {r["doc_id"]: r for r in language_id.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in found.items())
+    assert all(r["lang_pred"] == truth[d] and r["score"] > 0.9 for d, r in found.items() if d < 1000 and truth[d])
+    assert all(found[d]["lang_pred"] == "und" and found[d]["score"] == 0 for d in (1000, 1001, 1002))
+    assert language_id.identify(empty).collect() == []
+    assert language_id.identify(clashing).columns == ["doc_id", "held_out", "lang_pred", "score"]
+    none = language_id.identify(spark.createDataFrame(rows, DOCS).withColumn("lang", F.lit(None).cast("string")))
+    assert {r["lang_pred"] for r in none.collect()} == {"und"}
+
+
+def test_language_on_given_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    both = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in both) >= 0.95 * len(both)
+
+
+def test_licenses(spark, docs, empty):
+    cases = {
+        "Licensed under the Apache License, Version 2.0.": "Apache", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL", "All rights reserved.": "", "Wir fahren mit dem Zug.": "", "A driving license is needed.": "",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "MIT",
+    }
+    rows = [(i, f"Some text first.\n{p}\nAnd more.") for i, p in enumerate(cases)] + [(90, None), (91, ""), (92, "word " * 20000 + "Released under the MIT License.")]
+    found = {r["doc_id"]: r for r in licenses.document_table(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i]["families"] for i in range(len(cases))] == list(cases.values())
+    assert found[90]["n_paragraphs"] == found[91]["n_paragraphs"] == 0 and found[92]["families"] == "MIT"
+    m = licenses.model()
+    for p, family in cases.items():
+        predicted, confirmed = m.predict(p)
+        assert (predicted if confirmed else "") == family
+    each = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["paragraph"], r["family"]) for r in each} == {(i, 1, f) for i, f in enumerate(cases.values()) if f} | {(92, 0, "MIT")}
+    assert licenses.document_table(empty).collect() == []
+
+
+def test_license_scores_match_plain_python(spark):
+    m = licenses.model()
+    lines = [t for _, t in licenses.examples()][::7]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select("i", licenses.score(F.col("line")).alias("s")).orderBy("i").collect()
+    for x, r in zip(lines, rows, strict=True):
+        p = m.posterior(licenses.grams(licenses.words(x)))
+        assert abs(r["s"]["posterior"] - max(p)) < 1e-9
+        assert (r["s"]["family"], r["s"]["confirmed"]) == m.predict(x) or not r["s"]["confirmed"] and not m.predict(x)[1]
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site</header><nav><ul><li><a href="/x">Menu</a></li></ul></nav>
+<div class="ad">Buy</div><{tag}><h1>Head &amp; more</h1><p><b>One  two
+three<br><p>Second &eacute; &#x41;</p><aside>Side</aside><div class="share-buttons social">Share</div><section id="comments"><p>A comment</p></section></{tag}><form><input>Go</form><footer>&copy; site</footer></body></html>"""
+
+
+@pytest.mark.parametrize("tag", ["article", "main", 'div id="content"'])
+def test_main_text(spark, tag):
+    page = PAGE.replace("</{tag}>", f"</{tag.split()[0]}>").replace("{tag}", tag)
+    rows = [(i, f"http://h.org/{i}", page.replace("Second", f"Page {i}")) for i in range(8)]
+    rows += [(90, None, None), (91, "http://h.org/x", ""), (92, "not a url", "plain text &lt; no markup"), (93, "http://one.org/", page), (0, "http://h.org/0", page.replace("Second", "Page 0"))]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))).collect()
+    text = {r["page_id"]: r["text"] for r in found}
+    assert len(found) == 13
+    assert text[3] == "Head & more\n\nOne two three\n\nPage 3 é A"
+    assert text[90] == text[91] == "" and text[92] == "plain text < no markup"
+    assert text[93] == "Head & more\n\nOne two three\n\nSecond é A"
+    assert all(r["n_chars"] == len(r["text"]) for r in found)
+
+
+def test_main_text_unclosed():
+    assert html_text.main_text("<html><body><article><p>One<p>Two <b>bold", {"/html/body/article"}) == "One\n\nTwo bold"
+    assert html_text.main_text("<p>a</p><!-- never closed", set()) == "a"
+    assert html_text.main_text("<div hidden>no</div><div>yes</div>", set()) == "yes"
+
+
+def test_template_classes(spark):
+    rows = [("h.org", i, PAGE.replace("</{tag}>", "</article>").replace("{tag}", "article") + str(i)) for i in range(6)]
+    found = html_text.equivalence_classes(spark.createDataFrame(rows, "host string, page long, html string")).collect()
+    assert {r["token"] for r in found} >= {"/html", "/html/body", "/html/body/article"}
+    assert html_text.main_slots(spark.createDataFrame(rows, "host string, page long, html string")).collect()[0]["slot"] == "/html/body/article"
+
+
+def test_rollup(spark, docs, rows, empty, tmp_path):
+    count = token_rollup.counter(*token_rollup.vocabulary())
+    want = brute_counts(rows, count)
+    found = {(r["source"], r["lang"]): [r["n_docs"], r["n_tokens"], r["n_bytes"]] for r in token_rollup.replay(docs, str(tmp_path / "r")).collect()}
+    assert found == want
+    assert token_rollup.replay(empty, str(tmp_path / "e")).collect() == []
+
+
+def brute_counts(rows, count):
+    return token_rollup.counts_by(((r[3], r[2], r[1]) for r in rows), count)
+
+
+CHANGES = "source string, lang string, tokenizer string, op string, old_tokens long, old_bytes long, new_tokens long, new_bytes long"
+
+
+def test_rollup_commits(spark, tmp_path):
+    rollup = token_rollup.Rollup(spark, str(tmp_path / "c"))
+    batch = lambda *rows: token_rollup.signed_deltas(spark.createDataFrame(list(rows), CHANGES))
+    assert rollup.totals().collect() == []
+    first = batch(("s", "en", "t", "insert", None, None, 10, 50), ("s", None, "t", "insert", None, None, 3, 9), ("s", "en", "u", "insert", 0, 0, 11, 50))
+    second = batch(("s", "en", "t", "revise", 10, 50, 7, 40), ("s", None, "t", "delete", 3, 9, None, None))
+    assert rollup.commit("one", first) and not rollup.commit("one", second)
+    assert rollup.commit("two", second)
+    want = [("s", "en", "t", 1, 7, 40), ("s", "en", "u", 1, 11, 50)]
+    assert got(rollup.totals()) == want
+    # A commit that was cut short has no marker: it doesn't count, and the retry does.
+    broken = tmp_path / "c" / rollup._folder("three").rpartition("/")[2]
+    broken.mkdir()
+    assert got(rollup.totals()) == want
+    assert rollup.commit("three", batch(("s", "de", "t", "insert", 0, 0, 1, 1)))
+    rollup.compact()
+    assert got(rollup.totals()) == [("s", "de", "t", 1, 1, 1), *want]
+    assert not rollup.commit("one", first) and not rollup.commit("three", first)
+    rollup.commit("four", batch(("s", "de", "t", "delete", 1, 1, 0, 0)))
+    rollup.compact()
+    assert got(rollup.totals()) == want and not rollup.commit("two", second)
+
+
+def test_mixing(spark, empty):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(900):
+        kind = rng.choices([0, 1, 2], [6, 2, 2])[0]
+        own = words(rng, 40).split()
+        if kind == 1:
+            own = [w + "##" for w in own]
+        if kind == 2:
+            own[5] = rng.choice(["idiot", "moron"])
+        rows.append((i, " ".join(own), "en", "a", 0))
+        if i % 2:
+            labels.append((i, int(kind != 1), int(kind == 2)))
+    rows += [(2000, None, "en", "a", 0), (2001, "", "en", "a", 0)]
+    labels += [(3, None, None), (None, 1, 0), (99999, 1, 0)]
+    docs, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r for r in mixing.rates(docs, table).collect()}
+    bad = {r[0] for r in rows if r[1] and ("idiot" in r[1] or "moron" in r[1])}
+    assert len(found) == len(rows) and all(r["rate"] >= 0 for r in found.values())
+    assert all(abs(r["p_clean"] + r["p_low"] + r["p_toxic"] - 1) < 1e-9 for r in found.values())
+    left = {r["doc_id"] for r in mixing.mix(docs, table).collect()}
+    assert len(left & bad) <= 0.03 * len(bad) and len(set(found) - bad - left) <= 0.02 * len(found)
+    targets = {"clean": 1.0, "low": 2.0, "toxic": 0.5}
+    scored = mixing.with_posteriors(docs.select("doc_id", "text"), mixing.train(docs, table))
+    _, info = mixing.fit_rates(scored, targets)
+    for d, x in info["wanted"].items():
+        assert abs(info["after"][d] - x) <= 0.02 * sum(info["wanted"].values())
+    assert mixing.rates(empty, table).collect() == []
+    assert {r["rate"] for r in mixing.rates(docs, table.where("false")).collect()} != set()
+
+
+def test_projected_gradient_against_plain_numpy(spark):
+    """The same steps in numpy, and a target that needs the projection."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    p = np.array([mixing.on_grid(x) for x in rng.dirichlet([0.3, 0.3, 0.3], 200)])
+    t = rng.integers(1, 100, 200)
+    df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], T.StructType([T.StructField("_tokens", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))]))
+    targets = {"clean": 1.0, "low": 1.0, "toxic": 0.0}
+    _, info = mixing.fit_rates(df, targets)
+    r, scale = np.ones(200), np.linalg.pinv((p * t[:, None]).T @ p)
+    wanted = (p * t[:, None]).sum(0) * np.array([1, 1, 0])
+    for _ in range(mixing.STEPS):
+        r = np.maximum(0, r - p @ (scale @ ((p * (t * r)[:, None]).sum(0) - wanted)))
+    assert np.allclose(list(info["after"].values()), (p * (t * r)[:, None]).sum(0), rtol=1e-6)
