@@ -189,7 +189,7 @@ def sample(labelled: DataFrame, key: str, text: str, language: str) -> dict[str,
     # At most SAMPLE_DOCS ids a language: the bound makes the broadcast safe.
     picked = rows.join(F.broadcast(ids.select("key", "lang", "nth")), ["key", "lang"])
     out: dict[str, list[bytes]] = {}
-    for r in picked.orderBy("lang", "nth", F.xxhash64("text")).toLocalIterator():
+    for r in picked.repartition(1).sortWithinPartitions("lang", "nth", F.xxhash64("text")).toLocalIterator():
         own = out.setdefault(r["lang"], [])
         if not own or sum(map(len, own)) < SAMPLE_BYTES:
             own.append(r["text"].encode())
