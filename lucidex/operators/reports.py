@@ -24,11 +24,11 @@ def pivot(scores: DataFrame, rows: str, columns: str, values: list, metric: str)
 
 
 def wins(scores: DataFrame, unit: str, config: str, metric: str, order: str) -> DataFrame:
-    """How often each configuration is a unit's best; ties go to the first row.
+    """How often each configuration is a unit's best; ties go to the first row, then to the larger name.
 
     The best of a unit is an arg-max aggregate with partial sums, not a window.
     """
-    best = scores.where(F.col(metric).isNotNull()).groupBy(unit).agg(F.max_by(config, F.struct(F.col(metric), -F.col(order))).alias(config))
+    best = scores.where(F.col(metric).isNotNull()).groupBy(unit).agg(F.max_by(config, F.struct(F.col(metric), -F.col(order), F.col(config))).alias(config))
     counts = best.groupBy(config).agg(F.count("*").alias("wins"))
     return scores.select(config).distinct().join(counts, config, "left").select(config, F.coalesce("wins", F.lit(0)).alias("wins"))
 

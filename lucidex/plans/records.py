@@ -309,7 +309,7 @@ def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pivot(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", ["O", "F"], "l_quantity")
 
 
-@query("SELECT m AS l_returnflag, count(b) AS wins FROM (SELECT DISTINCT l_returnflag AS m FROM lineitem) LEFT JOIN (SELECT l_returnflag AS b FROM (SELECT l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS n FROM lineitem) WHERE n = 1) ON b = m GROUP BY m")
+@query("SELECT m AS l_returnflag, count(b) AS wins FROM (SELECT DISTINCT l_returnflag AS m FROM lineitem) LEFT JOIN (SELECT l_returnflag AS b FROM (SELECT l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_returnflag DESC) AS n FROM lineitem) WHERE n = 1) ON b = m GROUP BY m")
 def parser_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.wins(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", "l_quantity", "l_linenumber")
 
