@@ -37,10 +37,13 @@ MAX_REPEAT_PERCENT = 30
 
 #: Documents that a sketch needs to stand for its own group.
 MIN_GROUP = 200
+
+#: Threshold rows (about 100 bytes each) that are broadcast at most.
+BROADCAST_GROUPS = 200_000
 FENCE = 4.0
 
 #: Measure -> smallest distance of its threshold from the quartile, in the measure's unit.
-SLACK = {"symbols": 800, "dup_lines": 3000, "repeats": 1500, "word_length": 250}
+SLACK = {"symbols": 800, "dup_lines": 5000, "repeats": 2800, "word_length": 250}
 
 #: Sub-buckets to a power of two.
 SUB_BITS = 4
@@ -123,35 +126,46 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     return limits.groupBy("lang", "source").agg(*[at(k, "hi").alias(f"hi_{k}") for k in SLACK], at("word_length", "lo").alias("lo_word_length"))
 
 
-def judged(measured: DataFrame) -> DataFrame:
+def judged(measured: DataFrame, limit: DataFrame) -> DataFrame:
     """measured joined with the thresholds of its language and source, with _base_failed and _kept."""
-    limit = thresholds(sketches(measured)).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limit = limit.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = measured.join(limit, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     over = F.lit(False)
     for k, c in measures().items():
         over = over | (c > F.col(f"hi_{k}"))
     over = over | (measures()["word_length"] < F.col("lo_word_length"))
-    return joined.withColumn("_base_failed", base_failed()).withColumn("_kept", ~F.col("_base_failed") & ~F.coalesce(over, F.lit(False)))
+    # One sum, not a conjunction: a filter on it can't be split and pushed below, where it would make the measures again.
+    against = base_failed().cast("int") + F.coalesce(over, F.lit(False)).cast("int")
+    return joined.withColumn("_base_failed", base_failed()).withColumn("_kept", against == 0)
 
 
 def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Counts, base result and verdict of every document row."""
     rows = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     measured = materialize(with_measures(rows, F.col("text")).drop("text"), "measures")
-    return judged(measured).select(
+    return judged(measured, thresholds(sketches(measured))).select(
         F.col("key").alias(key), F.col("_words").alias("n_words"), F.col("_chars").alias("word_chars"), F.col("_symbols").alias("n_symbols"), F.col("_dup").alias("n_dup_lines"),
         F.col("_repeat").alias("n_repeat_words"), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"),
     )
 
 
-def filter_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def filter_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """The rows of docs that are kept, unchanged.
 
-    One pass over the texts writes their measures; the rejected rows' ids (and
-    a hash of the row, for repeated ids) are then taken out by an anti join.
+    A first pass over the texts makes the thresholds.  While there are at most
+    broadcast_groups of them they are broadcast, and the measures are made
+    again beside the texts, so no text moves.  Beyond that the rejected rows'
+    ids (and a hash of the row, for repeated ids) are taken out by an anti
+    join.
     """
+    if not docs.columns:
+        raise ValueError("docs has no columns")
     mark = F.xxhash64(F.col(lang), F.lit(0), F.col(source), F.lit(0), F.col(text))
     rows = docs.select(F.col(key).alias("key"), mark.alias("mark"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
     measured = materialize(with_measures(rows, F.col("text")).drop("text"), "measures")
-    rejected = materialize(judged(measured).where("not _kept").select(F.col("key").alias("_key"), F.col("mark").alias("_mark")).distinct(), "rejected")
+    limit = materialize(thresholds(sketches(measured)), "thresholds")
+    if limit.count() <= broadcast_groups:
+        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+        return judged(with_measures(packed, F.col(f"row.{text}")), F.broadcast(limit)).where("_kept").select("row.*")
+    rejected = materialize(judged(measured, limit).where("not _kept").select(F.col("key").alias("_key"), F.col("mark").alias("_mark")).distinct(), "rejected")
     return docs.join(rejected, F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (mark == F.col("_mark")), "left_anti")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, by_value, materialize, text_bytes
+from .common import batches, by_value, materialize, repeated_ids, text_bytes
 from .components import components
 
 SHINGLE = 3
@@ -157,10 +157,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row of each group: that with the smallest id; of rows that repeat it, the first by text."""
-    kept = groups(docs, key, text, shingle).select(F.col("component").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(f"`{key}`").eqNullSafe(F.col("_kept")), "left_semi")
-    order = Window.partitionBy(F.col(f"`{key}`")).orderBy(F.col(f"`{text}`").asc_nulls_first())
-    return rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    kept = groups(docs, key, text, shingle).select(F.struct("component").alias("_id")).distinct()
+    # A struct is never null, so a null id is matched like any other and one exchange serves join and window.
+    rows = docs.withColumn("_id", F.struct(F.col(f"`{key}`").alias("component"))).join(kept, "_id", "left_semi")
+    if repeated_ids(docs, key):
+        order = Window.partitionBy("_id").orderBy(F.col(f"`{text}`").asc_nulls_first())
+        rows = rows.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 by_value(__name__)
