@@ -157,7 +157,12 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row of each group: that with the smallest id; of rows that repeat it, the first by text."""
-    kept = groups(docs, key, text, shingle).select(F.struct("component").alias("_id")).distinct()
+    return keep_first(docs, groups(docs, key, text, shingle), key, text)
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of docs that name a component of grouped; of rows with the same id, the first by text."""
+    kept = grouped.select(F.struct("component").alias("_id")).distinct()
     # A struct is never null, so a null id is matched like any other and one exchange serves join and window.
     rows = docs.withColumn("_id", F.struct(F.col(f"`{key}`").alias("component"))).join(kept, "_id", "left_semi")
     if repeated_ids(docs, key):
