@@ -10,10 +10,12 @@ hashes of (page, occurrences) identifies them, so classes come from two
 partial-aggregated groupings however many pages a host has.  Pages with equal
 markup count as one.
 
-Between the template's tokens are slots.  The main slot of a host is the
-deepest template token, outside menus, headers, footers, sidebars, notices,
-adverts, forms and comments, that holds nearly all of the other text of its
-pages.  Hosts with too few pages, and pages without their host's main slot,
+Between the template's tokens are slots.  The deepest template token, outside
+menus, headers, footers, sidebars, notices, adverts, forms and comments, that
+holds nearly all of the other text of a host's pages finds the article; the
+main slot is the outermost article or main element around it, so that title,
+lead and notes beside the long text stay, or, where there is none, the whole
+page.  Hosts with too few pages, and pages without their host's main slot,
 use the page's own article, main or body in that order.
 
 Extraction reads the main slots of a page, leaves out all boilerplate below
@@ -39,7 +41,7 @@ from .common import batches, by_value, materialize
 #: Distinct pages that a host's template needs, and the share of them that a valid class stands on.
 MIN_PAGES = 4
 MIN_SHARE = 0.5
-#: Share of the text outside boilerplate that the main slot holds.
+#: Share of the text outside boilerplate that the token which finds the main slot holds.
 MAIN_SHARE = 0.9
 
 # HTML element names and customary class and id words.
@@ -221,11 +223,12 @@ def equivalence_classes(pages: DataFrame) -> DataFrame:
 
 
 def main_slots(pages: DataFrame) -> DataFrame:
-    """(host, slot): the deepest once-a-page template token that holds nearly all text outside boilerplate."""
+    """(host, slot): the article or main around the deepest once-a-page template token that holds nearly all text outside boilerplate, '' for whole pages."""
     classes = equivalence_classes(pages).where("most = 1")
     whole = classes.withColumn("whole", F.max("chars").over(Window.partitionBy("host")))
     deep = whole.where((F.col("chars") >= MAIN_SHARE * F.col("whole")) & (F.col("whole") > 0))
-    return deep.groupBy("host").agg(F.max(F.struct(F.size(F.split("token", "/")), "token"))["token"].alias("slot"))
+    found = deep.groupBy("host").agg(F.max(F.struct(F.size(F.split("token", "/")), "token"))["token"].alias("token"))
+    return found.select("host", F.regexp_extract("token", r"^(.*?/(?:article|main)(?:\.[^/]*)?)(?:/|$)", 1).alias("slot"))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
@@ -240,7 +243,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: st
         import pyarrow as pa
 
         for part in parts:
-            texts = [main_text(s, {x} if x else set()) for s, x in zip(part.column("html").to_pylist(), part.column("slot").to_pylist(), strict=True)]
+            texts = [main_text(s, set() if x is None else {x}) for s, x in zip(part.column("html").to_pylist(), part.column("slot").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("key"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema).withColumnRenamed("key", key)
