@@ -14,6 +14,13 @@ Only n-grams with a positive weight for a family can move a paragraph away
 from `unknown`; paragraphs without any are told apart by one regular
 expression, which changes no result.
 
+A paragraph is a line.  Notices wrapped over several lines are found in joins
+of neighbouring lines: each line with those after it, up to a blank line or
+as many words as the longest template has.  Of joins that start on successive
+lines and find the same family the last counts, and none counts that holds a
+line which names the family by itself; so wrapped notices of one family that
+follow each other without a blank line can count as one.
+
 Defined cases: null text has no paragraph; empty paragraphs are none; very
 long paragraphs are scored whole; repeated rows give a row each; empty tables
 give no rows; extra columns are ignored.
@@ -54,7 +61,7 @@ NOTICES = {
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "GPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
     "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 FRAMES = [
@@ -211,20 +218,53 @@ def score(line: Column) -> Column:
     return _let(found, lambda own: _let(sums(F.concat(F.lit(" "), F.array_join(own, " "), F.lit(" "))), lambda z: judged(own, z)))
 
 
+def longest_template() -> int:
+    return max(len(words(x)) for f in FAMILIES for x in [*FAMILIES[f], *NOTICES.get(f, [])])
+
+
+def joined(lines: Column, i: Column) -> Column:
+    """Line i (from 0) with the lines after it, up to a blank line or the words of the longest template."""
+    n = longest_template()
+    ahead = F.array_join(F.slice(lines, i + 1, F.lit(n + 1)), "\n")
+    block = F.regexp_replace(ahead, r"\n[ \t\r]*(?:\n[\s\S]*|$)", "")
+    return F.regexp_extract(block, rf"^[^\n]*(?:\s+(?:[^\sA-Za-z0-9]+\s+)*+\S*[A-Za-z0-9]\S*){{0,{n}}}+", 0)
+
+
+def hits(text: Column) -> Column:
+    """array of struct(i, paragraph, s): confirmed licences of a text, by their first line."""
+    blank = lambda x: F.trim(x) == ""
+
+    def confirmed(lines: Column) -> Column:
+        one = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("k"), x.alias("t")))
+        some = F.filter(F.transform(one, lambda x: F.when(~F.rlike(x["t"], F.lit(r"^[ \t\r]*$")), _let(joined(lines, x["i"]), lambda t: F.struct(x["i"].alias("i"), F.size(F.split(t, "\n")).alias("k"), t.alias("t"))))), lambda x: x["k"] > 1)
+        tried = F.filter(F.concat(one, some), lambda x: ~blank(x["t"]) & possible(F.lower(x["t"])))
+        return F.filter(F.transform(tried, lambda x: F.struct(x["i"].alias("i"), x["k"].alias("k"), score(x["t"]).alias("s"))), lambda x: x["s"]["confirmed"])
+
+    def counted(found: Column) -> Column:
+        same = lambda x, y: x["s"]["family"] == y["s"]["family"]
+        single = lambda x, y: (y["k"] == 1) & (y["i"] >= x["i"]) & (y["i"] < x["i"] + x["k"])
+        later = lambda x, y: (y["k"] > 1) & (y["i"] == x["i"] + 1)
+        # First joins without a line that says it alone, then the last of each run of them.
+        alone = F.filter(found, lambda x: (x["k"] == 1) | ~F.exists(found, lambda y: same(x, y) & single(x, y)))
+        return _let(alone, lambda left: F.filter(left, lambda x: (x["k"] == 1) | ~F.exists(left, lambda y: same(x, y) & later(x, y))))
+
+    none = F.array().cast("array<struct<i:int,paragraph:int,s:struct<family:string,posterior:double,similarity:double,confirmed:boolean>>>")
+    number = lambda lines, i: F.size(F.filter(F.slice(lines, F.lit(1), i), lambda p: ~blank(p)))
+    found = _let(F.split(text, "\n"), lambda lines: F.transform(_let(confirmed(lines), counted), lambda x: F.struct(x["i"].alias("i"), number(lines, x["i"]).alias("paragraph"), x["s"].alias("s"))))
+    return F.when(possible(F.lower(text)), F.array_sort(found)).otherwise(none)
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, paragraph, family, posterior, similarity) of each paragraph with a confirmed licence; narrow."""
+    """(key, paragraph, family, posterior, similarity) of each paragraph, or join of some by its first, with a confirmed licence; narrow."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(possible(F.lower("text")))
-    each = rows.select("key", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "line")).where(possible(F.lower("line")))
-    return each.withColumn("s", score(F.col("line"))).where("s.confirmed").select(F.col("key").alias(key), "paragraph", "s.family", "s.posterior", "s.similarity")
+    return rows.select("key", F.explode(hits(F.col("text"))).alias("x")).select(F.col("key").alias(key), "x.paragraph", "x.s.family", "x.s.posterior", "x.s.similarity")
 
 
 def document_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_paragraphs, n_licences, families) for every document row; narrow.
 
-    n_licences counts paragraphs with a confirmed licence; families lists
-    their families, sorted and joined by commas.
+    n_licences counts paragraphs, and wrapped notices, with a confirmed
+    licence; families lists their families, sorted and joined by commas.
     """
-    rows = docs.select(F.col(key).alias("key"), paragraphs(F.col(text)).alias("lines"), possible(F.lower(text)).alias("any"))
-    rows = rows.withColumn("hits", F.when(F.col("any"), F.filter("lines", lambda p: possible(F.lower(p)))).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("found", F.filter(F.transform("hits", score), lambda s: s["confirmed"]))
-    return rows.select(F.col("key").alias(key), F.size("lines").cast("long").alias("n_paragraphs"), F.size("found").cast("long").alias("n_licences"), F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda s: s["family"]))), ",").alias("families"))
+    rows = docs.select(F.col(key).alias("key"), F.size(paragraphs(F.col(text))).cast("long").alias("n_paragraphs"), F.transform(hits(F.col(text)), lambda x: x["s"]["family"]).alias("found"))
+    return rows.select(F.col("key").alias(key), "n_paragraphs", F.size("found").cast("long").alias("n_licences"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("families"))
