@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the session names no folder, as in tests on one machine.
-DEFAULT_SCRATCH = "/tmp/checkpoints"
-
 #: Upper bounds of one Arrow batch sent to a Python worker, so that long texts don't pile up.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
@@ -19,7 +17,11 @@ BATCH_BYTES = 8 << 20
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SCRATCH
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.gettempdir() + "/checkpoints"  # one machine, as in tests
     return f"{base.rstrip('/')}/lucidex/{label}-{uuid.uuid4().hex}"
 
 
@@ -69,6 +71,33 @@ def text_bytes(array) -> list:
     return array.cast(pa.large_binary()).to_pylist()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until df has no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def first_of_groups(docs: DataFrame, rooted: DataFrame, key: str, text: str) -> DataFrame:
+    """One row of docs for each root of rooted (doc, mark, root): that with the smallest id, then text hash; null ids come last.
+
+    mark is xxhash64 of the text.  Rows that repeat both id and text are one row.
+    """
+    best = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "mark")).alias("best")
+    kept = rooted.groupBy("root").agg(best).select(F.struct("best.doc", "best.mark").alias("place"))
+    (place,) = fresh(docs, "place")
+    # A struct is never null, so a null id is matched like any other.
+    own = docs.withColumn(place, F.struct(F.col(f"`{key}`").alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("mark")))
+    rows = own.join(kept.withColumnRenamed("place", "kept"), F.col(f"`{place}`") == F.col("kept"), "left_semi")
+    if repeated_ids(docs, key):
+        rows = rows.dropDuplicates([place])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

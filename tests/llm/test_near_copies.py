@@ -8,7 +8,7 @@ import random
 import brute
 import corpus_pipeline
 
-from lucidex.llm import near_copies
+from lucidex.llm import near_copies, simhash
 
 
 def shingle_set(text, n=5):
@@ -83,3 +83,35 @@ def test_given_documents(spark, sf):
 
 def test_similarity_at_the_limit():
     assert near_copies.MIN_JACCARD == 0.8
+
+
+def test_no_text_is_lost(spark):
+    """Null and repeated ids with different texts, repeated rows, and columns with the operators' own names."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    texts = [text() for _ in range(8)]
+    rows = [(None, t) for t in texts[:5]] + [(7, texts[5]), (7, texts[6]), (8, texts[7])]
+    rows += [(None, texts[0]), (7, texts[5]), (9, texts[1]), (7, texts[5])]
+    schema = "doc_id long, text string, _id string, place string, mark string, root string, node string, fp string, `a.b` string"
+    docs = spark.createDataFrame([(d, t, *["x"] * 7) for d, t in rows], schema).repartition(3)
+    for own in (simhash, near_copies):
+        kept = own.deduplicate(docs)
+        assert kept.columns == docs.columns
+        got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        # One row of each text; a text with an id keeps the smallest one.
+        want = {texts[0]: None, texts[1]: 9, **dict.fromkeys(texts[2:5]), texts[5]: 7, texts[6]: 7, texts[7]: 8}
+        assert len(got) == 8 and {t: d for d, t in got} == want
+        assert own.deduplicate(docs.where("false")).collect() == []
+
+
+def test_crowd_bound_is_exact(spark):
+    """A crowd of edited copies at all distances from its origin against brute force."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        own = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            own[rng.randrange(120)] = f"x{rng.randrange(40)}" if rng.random() < 0.3 else f"y{rng.random()}"
+        rows.append((i, " ".join(own)))
+    assert stage(spark, rows) == survivors(rows)

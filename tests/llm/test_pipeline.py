@@ -5,6 +5,7 @@ from __future__ import annotations
 import brute
 import corpus_pipeline
 from pyspark.sql import functions as F
+from test_near_copies import survivors
 
 from lucidex.llm import hash_tree
 
@@ -22,8 +23,7 @@ def test_stages(spark, sf):
         if name == "quality_rules":
             assert {d for d, t in before.items() if brute.quality_counts(t)[-1]} <= gone
         if name == "near_duplicates":
-            groups = brute.near_groups(before.items(), corpus_pipeline.SHINGLE)
-            assert set(rows) == {c for _, c in groups.values()}
+            assert set(rows) == survivors(before.items())
         if name == "decontamination":
             assert gone == {r[0] for r in brute.contamination(before.items(), items) if r[5]}
         if name == "mixing":
