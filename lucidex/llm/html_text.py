@@ -1,29 +1,41 @@
 """Main text of web pages through equivalence classes of template tokens.
 
-A page is read as structural tokens: opening tags told apart by the path of
-tags (with class or id) above them.  Over the pages of one host each token has
-an occurrence vector, its number of occurrences page by page.  Tokens with
-equal vectors form an equivalence class; a class is valid if it stands on
-enough of the host's pages and its tokens nest in one order, and the valid
-classes nest into the host's template.  Vectors are never built: a sum of
-hashes of (page, occurrences) identifies them, so classes come from two
-partial-aggregated groupings however many pages a host has.  Pages with equal
-markup count as one.
-
-Between the template's tokens are slots.  The deepest template token, outside
-menus, headers, footers, sidebars, notices, adverts, forms and comments, that
-holds nearly all of the other text of a host's pages finds the article; the
-main slot is the outermost article or main element around it, so that title,
-lead and notes beside the long text stay, or, where there is none, the whole
-page.  Hosts with too few pages, and pages without their host's main slot,
-use the page's own article, main or body in that order.
-
-Extraction reads the main slots of a page, leaves out all boilerplate below
-them, and joins blocks in page order.
+A page is read as tokens: opening tags told apart by the path of tags above
+them (class and id are opaque parts of a path), and words with the path they
+stand on.  Over the pages of one host each token has an occurrence vector, its
+number of occurrences page by page.  Tokens with equal vectors form an
+equivalence class; a class is valid if it stands on MIN_SHARE of the host's
+distinct pages, has MIN_CLASS tokens, and its tokens nest below one place.  The
+valid classes nest into the host's template, each below the class that owns
+the tag around it.
+
+Vectors are never built: sums of hashes of (page, occurrences) identify them.
+Words are too many to be counted each by itself, so a first pass over the pages
+only finds tokens that are on MIN_SHARE of a host's pages in some chunk of
+pages (a token that is on that share of all pages must be so in some chunk) and
+notes them in a bit map of fixed size; a second pass counts the tokens on the
+map, chunk by chunk, which drops those that chance let in.  Copies of a page
+share one page's weight.
+
+Between the template's tokens are slots.  The deepest template tag that holds
+MAIN_SHARE of the host's text outside links and boilerplate elements finds the
+article; the main slot is the outermost article or main element around it, or,
+where there is none, the outermost template tag below body, together with the
+page's heading.  Hosts with fewer than MIN_PAGES distinct pages, and pages
+without their host's main slot, use the page's own article, main or body in
+that order.
+
+Extraction reads the main slot of a page and joins its blocks in page order.
+Menus, headers, footers, sidebars, forms and the like go by their elements.
+Where no tag holds the article alone and the slot is the body, blocks made of
+template words only go too; a slot of the article's own is kept whole, since
+articles of a host may share a passage.  Only for containers with less than
+half of the page's text a list of customary class names decides.
 
 Defined cases: null or empty html has the text ''; a null url is a host of its
-own; repeated pages each get a row; unclosed tags end with their parent;
-empty tables give no rows; extra columns are ignored.
+own; repeated pages each get a row; unclosed tags end with their parent, and
+unclosed form controls hold nothing; a page whose blocks are all template keeps
+them; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,60 +44,81 @@ import html
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, by_value, materialize
+from .common import batches, by_value, materialize, share, shared
 
-#: Distinct pages that a host's template needs, and the share of them that a valid class stands on.
+#: Distinct pages that a host's template needs, and the share of them that a valid class stands on; tokens that make a class.
 MIN_PAGES = 4
-MIN_SHARE = 0.5
-#: Share of the text outside boilerplate that the token which finds the main slot holds.
+MIN_SHARE = 0.75
+MIN_CLASS = 3
+
+#: Share of the text outside links and boilerplate that the tag which finds the main slot holds.
 MAIN_SHARE = 0.9
 
-# HTML element names and customary class and id words.
+#: Different tokens that a chunk of pages may gather, and bits of the map of frequent tokens (2 MB).
+CHUNK_TOKENS = 300_000
+MAP_BITS = 24
+
+# HTML and MathML element names and customary class and id words.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-_RAW = frozenset("script style noscript template iframe svg math object textarea select option button title head canvas audio video".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math mfrac mi mn mo mover mroot mrow ms msqrt msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+_RAW = frozenset("script style noscript template iframe svg object textarea select option button title head canvas audio video annotation".split())
+_RUNS_ON = frozenset("script style template iframe textarea title noscript".split())
 _BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 _BOILER_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+_BOX_WORDS = frozenset("area bar block box container inner item items list outer panel row section slot wrap wrapper".split())
+_STATE_WORDS = frozenset("has is no not with without".split())
 _CLOSED_BY = {"p": frozenset("p".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 _BLOCKS_CLOSE_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An open element: its token (path), whether it or a parent is boilerplate."""
+    """An open element: its token (path); whether it or a parent is boilerplate; the path of the outermost parent with a customary boilerplate name."""
 
-    __slots__ = ("boiler", "path", "tag")
+    __slots__ = ("boiler", "named", "path", "tag")
 
-    def __init__(self, tag: str, path: str, boiler: bool):
-        self.tag, self.path, self.boiler = tag, path, boiler
+    def __init__(self, tag: str, path: str, boiler: bool, named: str):
+        self.tag, self.path, self.boiler, self.named = tag, path, boiler, named
 
 
-def _names(attributes: str) -> tuple[str, set[str], bool]:
-    """A short name for the path, the words of class, id and role, and hidden or not."""
-    name, words, hidden = "", set(), False
+def _customary(value: str) -> bool:
+    """Whether a class or id says boilerplate: its last part, but for words for boxes, is on the list."""
+    for own in value.split():
+        parts = _NAME.findall(own)
+        if parts and parts[0] in _STATE_WORDS:
+            continue
+        while len(parts) > 1 and parts[-1] in _BOX_WORDS:
+            parts.pop()
+        if parts and parts[-1] in _BOILER_WORDS:
+            return True
+    return False
+
+
+def _names(attributes: str) -> tuple[str, bool, bool]:
+    """An opaque name for the path, customary boilerplate name or not, and hidden or not."""
+    name, customary, hidden = "", False, False
     if "=" in attributes or "hidden" in attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             value = value.strip("\"'").lower()
             if key.lower() in ("hidden", "aria-hidden"):
                 hidden |= key.lower() == "hidden" or value == "true"
                 continue
-            own = _NAME.findall(value)
-            words.update(own)
-            name = name or "-".join(own[:3])
-    return name, words, hidden
+            customary |= _customary(value)
+            name = name or "-".join(_NAME.findall(value)[:3])
+    return name, customary, hidden
 
 
 def walk(source: str) -> Iterator[tuple[str, Node | None, str]]:
     """("open", node, "") for each structural element, ("text", node, text) and ("break", node, "") in page order."""
-    stack: list[Node] = [Node("", "", False)]
+    stack: list[Node] = [Node("", "", False, "")]
     at, end = 0, len(source)
     while at < end:
         m = _TOKEN.search(source, at)
@@ -111,75 +144,81 @@ def walk(source: str) -> Iterator[tuple[str, Node | None, str]]:
             if tag in ("br", "img"):
                 yield "text", stack[-1], " "
             continue
-        yield "break", stack[-1], ""
-        if tag in _VOID:
-            continue
         if tag in _RAW:
             if not m[3].rstrip().endswith("/"):
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-                if close or tag != "head":
+                if close or tag in _RUNS_ON:
                     at = close.end() if close else end
             continue
+        yield "break", stack[-1], ""
+        if tag in _VOID:
+            continue
         closed = _CLOSED_BY.get(tag, frozenset())
         if tag in _BLOCKS_CLOSE_P:
             closed = closed | {"p"}
         if stack[-1].tag in closed:
             stack.pop()
-        name, words, hidden = _names(m[3]) if m[3] else ("", set(), False)
+        name, customary, hidden = _names(m[3]) if m[3] else ("", False, False)
         inside = {n.tag for n in stack}
         boiler = stack[-1].boiler or hidden or tag in _BOILER_TAGS or (tag == "header" and not inside & {"article", "main"})
-        if not boiler and words & _BOILER_WORDS and tag not in ("html", "body", "article", "main"):
-            boiler = True
-        node = Node(tag, f"{stack[-1].path}/{tag}" + f".{name}" * bool(name), boiler)
+        path = f"{stack[-1].path}/{tag}" + f".{name}" * bool(name)
+        named = stack[-1].named or (path if customary and tag not in ("html", "body", "article", "main") else "")
+        node = Node(tag, path, boiler, named)
         stack.append(node)
         yield "open", node, ""
 
 
-def structure(source: str) -> tuple[dict[str, int], dict[str, int]]:
-    """Occurrences of each structural token outside boilerplate, and the characters of text below it."""
-    counts: dict[str, int] = {}
-    chars: dict[str, int] = {}
+def tokens(source: str) -> dict[str, list[int]]:
+    """[occurrences, characters of text below outside links and boilerplate] of each token: "<path" of a tag, "word path" of a word."""
+    out: dict[str, list[int]] = {}
     for kind, node, text in walk(source):
-        if node.boiler:
-            continue
-        if kind == "open" and node.tag not in ("p", "li"):
-            counts[node.path] = counts.get(node.path, 0) + 1
-        elif kind == "text" and (n := len(text.strip())):
-            path = node.path
+        if kind == "open":
+            out.setdefault(f"<{node.path}", [0, 0])[0] += 1
+        elif kind == "text" and (words := text.split()):
+            for word in words:
+                out.setdefault(f"{word} {node.path}", [0, 0])[0] += 1
+            path = "" if node.boiler else node.path
             while path:
-                chars[path] = chars.get(path, 0) + n
+                if own := out.get(f"<{path}"):
+                    own[1] += sum(map(len, words))
                 path = path.rpartition("/")[0]
-    return counts, chars
+    return out
 
 
-def blocks(source: str) -> list[tuple[str, str]]:
-    """(path, text) of each block of text outside boilerplate, in page order."""
-    out: list[tuple[str, str]] = []
+def blocks(source: str) -> list[tuple[str, str, str, str]]:
+    """(path, path of a customary boilerplate container or '', text, text as it stands) of each block of text outside boilerplate elements, in page order."""
+    out: list[tuple[str, str, str]] = []
     part: list[str] = []
-    where = ""
+    where: tuple[str, str] = ("", "")
     for kind, node, text in walk(source):
-        if kind == "text" and not node.boiler and node.path == where:
+        own = (node.path, node.named)
+        if kind == "text" and not node.boiler and own == where:
             part.append(text)
             continue
         if part:
-            out.append((where, "".join(part)))
-        part, where = ([text], node.path) if kind == "text" and not node.boiler else ([], node.path)
+            out.append((*where, "".join(part)))
+        part, where = ([text], own) if kind == "text" and not node.boiler else ([], own)
     if part:
-        out.append((where, "".join(part)))
-    cleaned = ((path, _SPACE.sub(" ", html.unescape(text)).strip()) for path, text in out)
-    return [(path, text) for path, text in cleaned if text]
+        out.append((*where, "".join(part)))
+    cleaned = ((path, named, _SPACE.sub(" ", html.unescape(text)).strip(), text) for path, named, text in out)
+    return [(path, named, text, raw) for path, named, text, raw in cleaned if text]
 
 
-def main_text(source: str, slots: set[str]) -> str:
-    """Blocks of text below the given tokens, or below the page's own article, main or body."""
+def main_text(source: str, slots: set[str] | frozenset[str] = frozenset(), template: frozenset[int] = frozenset(), of: str = "") -> str:
+    """Blocks of text below the slots, or below the page's own article, main or body; template: numbers of host of's template words."""
     found = blocks(source)
-    paths = {path for path, _ in found}
-    roots = {s for s in slots if any(_below(p, s) for p in paths)}
+    roots = {s for s in slots if any(_below(path, s) for path, *_ in found)}
     for tag in () if roots else ("article", "main", "body"):
         at = re.compile(rf"(.*?/{tag}(?:\.[^/]*)?)(?:/|$)")
-        if roots := {m[1] for p in paths if (m := at.match(p))}:
+        if roots := {m[1] for path, *_ in found if (m := at.match(path))}:
             break
-    return "\n\n".join(text for path, text in found if not roots or any(_below(path, r) for r in roots))
+    inside = [x for x in found if not roots or any(_below(x[0], r) for r in roots)]
+    if template and (own := [x for x in inside if not all(number(of, f"{w} {x[0]}") in template for w in x[3].split())]):
+        inside = own
+    every, sizes = sum(len(x[2]) for x in inside), {}
+    for _, named, text, _ in inside:
+        sizes[named] = sizes.get(named, 0) + len(text)
+    return "\n\n".join(text for _, named, text, _ in inside if not named or 2 * sizes[named] >= every)
 
 
 def _below(path: str, root: str) -> bool:
@@ -190,60 +229,152 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-def _tokens(parts):
-    import pyarrow as pa
+def number(of: str, token: str) -> int:
+    """64 bits for a token of a host, signed."""
+    from xxhash import xxh64_intdigest as h
 
+    x = h(f"{of} {token}", 7)
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _chunks(parts):
+    """{host: (weight of its pages, {token: [weight, ...]})} of runs of pages with at most about CHUNK_TOKENS different tokens; yields (chunk, add)."""
+    chunk: dict[str, dict] = {}
+    size = 0
     for part in parts:
-        hosts, pages, tokens, occurrences, chars = [], [], [], [], []
-        for h, page, source in zip(part.column("host").to_pylist(), part.column("page").to_pylist(), part.column("html").to_pylist(), strict=True):
-            counts, own = structure(source)
-            for token, n in counts.items():
-                hosts.append(h)
-                pages.append(page)
-                tokens.append(token)
-                occurrences.append(n)
-                chars.append(own.get(token, 0))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(tokens, pa.string()), pa.array(occurrences, pa.int32()), pa.array(chars, pa.int64())], names=["host", "page", "token", "n", "chars"])
+        for own, page, copies, source in zip(*(part.column(c).to_pylist() for c in ("host", "page", "copies", "html")), strict=True):
+            at = chunk.setdefault(own, {"pages": 0.0, "tokens": {}})
+            at["pages"] += 1 / copies
+            before = len(at["tokens"])
+            yield at["tokens"], own, page, 1 / copies, source
+            size += len(at["tokens"]) - before
+        if size > CHUNK_TOKENS:
+            yield chunk
+            chunk, size = {}, 0
+    yield chunk
+
+
+def _frequent(parts):
+    """Numbers of the tokens that are on MIN_SHARE of a host's pages in a chunk."""
+    import pyarrow as pa
+
+    for at in _chunks(parts):
+        if isinstance(at, dict):
+            found = [number(own, t) for own, x in at.items() for t, w in x["tokens"].items() if w >= MIN_SHARE * x["pages"] - 1e-6]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["token"])
+            continue
+        seen, _, _, weight, source = at
+        for token in tokens(source):
+            seen[token] = seen.get(token, 0.0) + weight
+
 
+_COUNTED = T.StructType([T.StructField("host", T.StringType()), T.StructField("token", T.StringType()), T.StructField("number", T.LongType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("most", T.LongType()), T.StructField("chars", T.DoubleType())])
 
-_TOKENS = T.StructType([T.StructField("host", T.StringType()), T.StructField("page", T.LongType()), T.StructField("token", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("chars", T.LongType())])
+
+def _counted(bits):
+    """Sums over a chunk's pages for each token that is on the map of frequent ones."""
+
+    def run(parts):
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest as h
+
+        on = shared(bits)
+        for at in _chunks(parts):
+            if isinstance(at, dict):
+                rows = [(own, t, *x) for own, seen in at.items() for t, x in seen["tokens"].items()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()), strict=True)], names=_COUNTED.names)
+                continue
+            seen, own, page, weight, source = at
+            for token, (n, chars) in tokens(source).items():
+                x = number(own, token)
+                place = x % (1 << MAP_BITS)
+                if not on[place >> 3] >> (place & 7) & 1:
+                    continue
+                # Copies of a page add its numbers as often for every token, so equal vectors keep equal sums.
+                v = h(f"{page} {n}", 9)
+                to = seen.setdefault(token, [x, 0, 0, 0.0, 0, 0.0])
+                to[1] += v & 0x7FFFFFFF
+                to[2] += v >> 33
+                to[3] += weight
+                to[4] = max(to[4], n)
+                to[5] += chars * weight
+
+    return run
 
 
 def equivalence_classes(pages: DataFrame) -> DataFrame:
-    """(host, vector, token, n_pages, chars, host_pages) of the tokens of valid classes; pages: host, page, html."""
-    distinct = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("host_pages"))
-    # Equal pages have equal rows; of each token and page one row counts.
-    rows = pages.mapInArrow(_tokens, _TOKENS).groupBy("host", "token", "page", "n", "chars").agg(F.lit(1).alias("one"))
-    vectors = rows.groupBy("host", "token").agg(F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count("*").alias("n_pages"), F.max("n").alias("most"), F.sum("chars").alias("chars"))
-    own = Window.partitionBy("host", "vector")
-    # Tokens of a class nest in one order: every token but the outermost stands below or beside the class's shortest path.
-    classes = vectors.withColumn("shortest", F.min(F.struct(F.length("token"), "token")).over(own)["token"])
-    nested = F.col("token").startswith(F.concat(F.regexp_replace("shortest", "/[^/]*$", ""), F.lit("/")))
-    return classes.join(distinct, "host").where(nested & (F.col("n_pages") >= MIN_SHARE * F.col("host_pages")) & (F.col("host_pages") >= MIN_PAGES)).select("host", "vector", "token", "most", "n_pages", "chars", "host_pages")
-
-
-def main_slots(pages: DataFrame) -> DataFrame:
-    """(host, slot): the article or main around the deepest once-a-page template token that holds nearly all text outside boilerplate, '' for whole pages."""
-    classes = equivalence_classes(pages).where("most = 1")
-    whole = classes.withColumn("whole", F.max("chars").over(Window.partitionBy("host")))
-    deep = whole.where((F.col("chars") >= MAIN_SHARE * F.col("whole")) & (F.col("whole") > 0))
-    found = deep.groupBy("host").agg(F.max(F.struct(F.size(F.split("token", "/")), "token"))["token"].alias("token"))
-    return found.select("host", F.regexp_extract("token", r"^(.*?/(?:article|main)(?:\.[^/]*)?)(?:/|$)", 1).alias("slot"))
-
-
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
-    """(key, url, text, n_chars) for every page row."""
+    """(host, low, high, token, number, most, weight, chars, host_pages, parent_low, parent_high) of the tokens of valid classes.
+
+    pages: host, page (a hash of html) and html.  low and high name the class, parent_* the class that owns the tag around it.
+    """
+    spark = pages.sparkSession
+    copies = pages.groupBy("host", "page").agg(F.count("*").alias("copies"))
+    counts = copies.groupBy("host").agg(F.count("*").cast("double").alias("host_pages"))
+    several = materialize(copies.where("copies > 1"), "page-copies")
+    rows = pages.join(several, ["host", "page"], "left").select("host", "page", F.coalesce("copies", F.lit(1)).alias("copies"), "html")
+    place = F.pmod(F.col("token"), F.lit(1 << MAP_BITS)) + 1
+    marked = rows.mapInArrow(_frequent, "token long").select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    # The map has 2 ** MAP_BITS bits, in pieces of 4096 bytes numbered from 1, whatever the input.
+    bits = bytearray(1 << (MAP_BITS - 3))
+    for r in marked.collect():
+        bits[(r["bucket"] - 1) << 12 : r["bucket"] << 12] = r["bits"]
+    sums = ["low", "high", "weight", "chars"]
+    counted = rows.mapInArrow(_counted(share(spark, bytes(bits))), _COUNTED).groupBy("host", "token", "number").agg(*[F.sum(c).alias(c) for c in sums], F.max("most").alias("most"))
+    frequent = materialize(counted.join(counts, "host").where((F.col("host_pages") >= MIN_PAGES) & (F.col("weight") >= MIN_SHARE * F.col("host_pages") - 1e-6)), "template-tokens")
+    path = F.regexp_replace("token", r"^(?:<|\S+ )", "")
+    frequent = frequent.withColumn("path", path).withColumn("around", F.when(F.col("token").startswith("<"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")))
+    # The class's place is the shortest path around one of its tokens; those elsewhere don't nest with it.
+    places = frequent.groupBy("host", "low", "high").agg(F.min(F.struct(F.length("around"), "around"))["around"].alias("place"))
+    nested = frequent.join(places, ["host", "low", "high"]).where(F.col("around").startswith(F.col("place")))
+    large = nested.groupBy("host", "low", "high").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_CLASS).drop("size")
+    valid = nested.join(large, ["host", "low", "high"])
+    owners = valid.where(F.col("token").startswith("<")).select("host", F.col("path").alias("place"), F.col("low").alias("parent_low"), F.col("high").alias("parent_high"))
+    return valid.join(owners, ["host", "place"], "left").select("host", "low", "high", "token", "number", "path", "most", "weight", "chars", "host_pages", "parent_low", "parent_high")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """(host, slot, words) for each host that has a template: the path of the main slot, and the numbers of the template's words if that slot is the body."""
+    classes = materialize(equivalence_classes(pages), "template")
+    tags = classes.where(F.col("token").startswith("<") & (F.col("most") == 1))
+    every = tags.groupBy("host").agg(F.max("chars").alias("every"))
+    deep = tags.join(every, "host").where((F.col("chars") >= MAIN_SHARE * F.col("every")) & (F.col("every") > 0))
+    found = deep.groupBy("host").agg(F.max(F.struct(F.size(F.split("path", "/")), "path"))["path"].alias("deepest"))
+    heading = tags.where(F.col("path").rlike(r"/h1(?:\.[^/]*)?$")).groupBy("host").agg(F.min("path").alias("heading"))
+    semantic = F.regexp_extract("deepest", r"^(.*?/(?:article|main)(?:\.[^/]*)?)(?:/|$)", 1)
+    outermost = F.regexp_extract("deepest", r"^(.*?/body(?:\.[^/]*)?/[^/]+)(?:/|$)", 1)
+    # A heading outside the outermost tag belongs to the article too, whose slot then is the body.
+    body = F.regexp_extract("deepest", r"^(.*?/body(?:\.[^/]*)?)(?:/|$)", 1)
+    covers = F.col("heading").isNull() | F.col("heading").startswith(F.concat(outermost, F.lit("/")))
+    slot = F.when(semantic != "", semantic).when((outermost != "") & covers, outermost).otherwise(body)
+    slots = found.join(heading, "host", "left").select("host", slot.alias("slot"))
+    shared_slots = slots.where(F.col("slot").rlike(r"/body(?:\.[^/]*)?$|^$")).select("host")
+    words = classes.where(~F.col("token").startswith("<")).join(shared_slots, "host", "left_semi").groupBy("host").agg(F.collect_list("number").alias("words"))
+    return slots.join(words, "host", "left").select("host", "slot", F.coalesce("words", F.array().cast("array<bigint>")).alias("words"))
+
+
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", template: bool = True) -> DataFrame:
+    """(key, url, text, n_chars) for every page row; template=False reads each page by itself."""
     batches(pages.sparkSession)
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(source), F.lit("")).alias("html")).withColumn("host", host(F.col("url")))
-    slots = materialize(main_slots(rows.select("host", F.xxhash64("html").alias("page"), "html").where("html <> ''")), "slots").withColumnRenamed("host", "slot_host")
-    joined = rows.join(slots, F.col("host") == F.col("slot_host"), "left").select("key", "url", "html", "slot")
+    rows = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("html")).withColumn("host", host(F.col("url")))
+    if template:
+        found = materialize(templates(rows.select("host", F.xxhash64("html").alias("page"), "html").where("html <> ''")), "slots").withColumnRenamed("host", "slot_host")
+        joined = rows.join(found, F.col("host") == F.col("slot_host"), "left").select("key", "url", "html", "host", "slot", "words")
+    else:
+        joined = rows.select("key", "url", "html", "host", F.lit(None).cast("string").alias("slot"), F.lit(None).cast("array<bigint>").alias("words"))
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(parts):
         import pyarrow as pa
 
+        sets: dict = {}
         for part in parts:
-            texts = [main_text(s, set() if x is None else {x}) for s, x in zip(part.column("html").to_pylist(), part.column("slot").to_pylist(), strict=True)]
+            texts = []
+            for own, page, slot, words in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), part.column("slot").to_pylist(), part.column("words"), strict=True):
+                if own not in sets:
+                    if len(sets) > 1000:
+                        sets.clear()
+                    sets[own] = frozenset(words.as_py() or ())
+                texts.append(main_text(page, {slot} if slot else frozenset(), sets[own], own))
             yield pa.RecordBatch.from_arrays([part.column("key"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
     return joined.mapInArrow(run, schema).withColumnRenamed("key", key)
