@@ -11,15 +11,14 @@ def op1() -> str:
     """Base counts by unnested windows; thresholds from the same log-linear buckets."""
     shift = f"greatest(length(bin(x)) - {quality.SUB_BITS + 1}, 0)"
     base = 2**quality.SUB_BITS
-    floor_shift = f"(CASE WHEN bucket < {2 * base} THEN 0 ELSE bucket // {base} - 1 END)"
-    slack = "CASE measure " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in quality.SLACK.items()) + " END"
-    q = lambda p: f"min(floor) FILTER (WHERE upto * 100 >= docs * {p})"
+    def floor(b: str) -> str:
+        at = f"(CASE WHEN {b} < {2 * base} THEN 0 ELSE {b} // {base} - 1 END)"
+        return f"(({b} - {at} * {base})::BIGINT << {at})"
 
-    def sketch(by: str) -> str:
-        keys = f"{by}, " if by else ""
-        return f"""SELECT {keys}measure, max(docs) AS docs, {q(25)} AS q25, {q(75)} AS q75 FROM (
-          SELECT {keys}measure, floor, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {keys}measure) AS docs
-          FROM (SELECT {keys}measure, bucket, (bucket - {floor_shift} * {base}) << {floor_shift} AS floor, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY {keys}measure"""
+    q = lambda p: f"min(bucket) FILTER (WHERE upto * 1000 >= docs * {p})"
+    least = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.FLOOR.items()) + " END"
+    fenced = ", ".join(f"'{k}'" for k in quality.FENCED)
+    prior = quality.PRIOR * quality.WEIGHT
 
     return f"""
 WITH w AS (SELECT doc_id, lang, source, text, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w,
@@ -33,9 +32,16 @@ f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
     CASE WHEN n_words > 0 THEN n_repeat_words * 10000 // n_words ELSE 0 END AS repeats, CASE WHEN n_words > 0 THEN word_chars * 100 // n_words ELSE 0 END AS word_length FROM m),
 long AS (SELECT lang, source, unnest(['symbols', 'dup_lines', 'repeats', 'word_length']) AS measure, unnest([symbols, dup_lines, repeats, word_length]) AS x FROM f WHERE NOT base_failed),
 sketch AS (SELECT lang, source, measure, CASE WHEN x < {base} THEN x ELSE {shift} * {base} + (x >> {shift}) END AS bucket, count(*) AS n FROM long GROUP BY ALL),
-t AS (SELECT o.lang, o.source, o.measure, CASE WHEN o.docs >= {quality.MIN_GROUP} THEN o.q25 WHEN g.docs >= {quality.MIN_GROUP} THEN g.q25 ELSE e.q25 END AS q25, CASE WHEN o.docs >= {quality.MIN_GROUP} THEN o.q75 WHEN g.docs >= {quality.MIN_GROUP} THEN g.q75 ELSE e.q75 END AS q75
-    FROM ({sketch('lang, source')}) o JOIN ({sketch('lang')}) g ON o.lang IS NOT DISTINCT FROM g.lang AND o.measure = g.measure JOIN ({sketch('')}) e ON o.measure = e.measure),
-h AS (SELECT lang, source, measure, q75 + greatest({quality.FENCE} * (q75 - q25), {slack}) AS hi, q25 - greatest({quality.FENCE} * (q75 - q25), {slack}) AS lo FROM t),
+g AS (SELECT DISTINCT lang, source, measure FROM sketch),
+l AS (SELECT lang, measure, bucket, {prior} * sum(n) // sum(sum(n)) OVER (PARTITION BY lang, measure) AS w FROM sketch GROUP BY lang, measure, bucket),
+e AS (SELECT measure, bucket, {prior} * sum(n) // sum(sum(n)) OVER (PARTITION BY measure) AS w FROM sketch GROUP BY measure, bucket),
+mix AS (SELECT lang, source, measure, bucket, sum(w) AS w FROM (SELECT lang, source, measure, bucket, n * {quality.WEIGHT} AS w FROM sketch
+    UNION ALL SELECT g.lang, g.source, g.measure, l.bucket, l.w FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.measure = l.measure
+    UNION ALL SELECT g.lang, g.source, g.measure, e.bucket, e.w FROM g JOIN e ON g.measure = e.measure) GROUP BY ALL),
+b AS (SELECT lang, source, measure, {q(250)} AS b25, {q(500)} AS b50, {q(750)} AS b75, {q(quality.TAIL)} AS bt
+    FROM (SELECT lang, source, measure, bucket, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY lang, source, measure) AS docs FROM mix) GROUP BY ALL),
+t AS (SELECT lang, source, measure, {floor('b25')} AS q25, {floor('(b50 + 1)')} - 1 AS q50, {floor('(b75 + 1)')} - 1 AS q75, {floor('(bt + 1)')} - 1 AS tail FROM b),
+h AS (SELECT lang, source, measure, greatest(CASE WHEN measure IN ({fenced}) THEN q75 + {quality.FENCE} * (q75 - q25) ELSE tail + (tail - q50) // 2 END, {least}) AS hi, q25 - {quality.FENCE} * (q75 - q25) AS lo FROM t),
 lim AS (SELECT lang, source, max(hi) FILTER (WHERE measure = 'symbols') AS a, max(hi) FILTER (WHERE measure = 'dup_lines') AS b, max(hi) FILTER (WHERE measure = 'repeats') AS c, max(hi) FILTER (WHERE measure = 'word_length') AS d, max(lo) FILTER (WHERE measure = 'word_length') AS e FROM h GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(symbols > a OR dup_lines > b OR repeats > c OR word_length > d OR word_length < e, false) AS kept
 FROM f LEFT JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS NOT DISTINCT FROM lim.source"""

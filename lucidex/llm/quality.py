@@ -5,14 +5,18 @@ thousand: symbols per word character, repeated lines per line, words in
 repeated 8-word windows per word, and characters per word (in hundredths).
 The measures of documents that pass the base rules go into mergeable
 log-linear quantile sketches: counters over buckets of a relative width of
-1/16, one sketch for each language, source and measure.  Sketches add up, so
-those of small groups (under MIN_GROUP documents) are replaced by the merged
-sketch of their language, or of everything.
-
-A threshold is q75 + max(FENCE * (q75 - q25), slack) of the sketch (for the
-lower limit of the word length q25 - ...), so it follows what is usual for
-the language and source instead of a fixed cutoff.  Documents are joined with
-their group's thresholds; one over a threshold is rejected.
+1/64, one sketch for each language, source and measure.  Sketches add up: a
+group's own is merged with PRIOR documents' worth of its language's and as much
+of everything's, so a small group leans on the others and a large one on
+itself, without a switch between them.
+
+Thresholds are read from the merged sketch.  What nearly all documents have
+much alike (symbols, word length) may lie FENCE quartile distances beyond the
+quartiles, on both sides for the word length.  What few documents have at all
+(repeated lines and passages) may lie half as far again from the median as the
+TAIL quantile.  FLOOR is the least limit of a share, for groups in which the
+sketch says zero.  Documents are joined with their group's thresholds; one
+beyond a threshold is rejected.
 
 One pass over the texts makes the measures, which are written once; sketches
 and filtering read that narrow table.
@@ -25,6 +29,8 @@ by filter_documents().
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,18 +41,23 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-#: Documents that a sketch needs to stand for its own group.
-MIN_GROUP = 200
+#: Documents' worth of the language's and of all documents' sketch that is merged into each group's.
+PRIOR = 100
 
 #: Threshold rows (about 100 bytes each) that are broadcast at most.
 BROADCAST_GROUPS = 200_000
-FENCE = 4.0
+#: Measures with a fence around the quartiles, and its quartile distances.
+FENCED = ("symbols", "word_length")
+FENCE = 6
+#: Of the others, the quantile in parts per thousand whose distance from the median counts one and a half times.
+TAIL = 995
 
-#: Measure -> smallest distance of its threshold from the quartile, in the measure's unit.
-SLACK = {"symbols": 800, "dup_lines": 5000, "repeats": 2800, "word_length": 250}
+#: Measure -> least limit, in the measure's unit: 1 % symbols; one line or word in ten repeated.
+FLOOR = {"symbols": 100, "dup_lines": 1000, "repeats": 1000, "word_length": 0}
 
-#: Sub-buckets to a power of two.
-SUB_BITS = 4
+#: Sub-buckets to a power of two, and the weight of one document in a merged sketch.
+SUB_BITS = 6
+WEIGHT = 1000
 
 
 def with_measures(df: DataFrame, text: Column) -> DataFrame:
@@ -103,27 +114,42 @@ def sketches(measured: DataFrame) -> DataFrame:
     return long.groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """by..., measure, docs, q25, q75 of the sketches merged to by."""
-    merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
-    up_to = Window.partitionBy(*by, "measure").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = merged.withColumn("upto", F.sum("n").over(up_to)).withColumn("docs", F.sum("n").over(Window.partitionBy(*by, "measure")))
-    q = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("docs") * p, bucket_floor(F.col("bucket"))))
-    return ranked.groupBy(*by, "measure").agg(F.max("docs").alias("docs"), q(25).alias("q25"), q(75).alias("q75"))
+def merged(sketch: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, w): each group's sketch with PRIOR documents of its language's and of everything's, in WEIGHTs."""
+    groups = sketch.select("lang", "source", "measure").distinct()
+
+    def prior(by: list[str]) -> DataFrame:
+        summed = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+        totals = summed.groupBy(*by, "measure").agg(F.sum("n").alias("docs"))
+        names = {c: f"p_{c}" for c in (*by, "measure")}
+        same = lambda x, y: functools.reduce(lambda a, b: a & b, [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in (*by, "measure")])
+        share = summed.alias("s").join(totals.alias("t"), same("s", "t")).select(*[F.col(f"s.{c}").alias(n) for c, n in names.items()], "bucket", F.expr(f"({PRIOR * WEIGHT} * n) div docs").alias("w"))
+        on = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+        return groups.join(share, on).select("lang", "source", "measure", "bucket", "w")
+
+    own = sketch.select("lang", "source", "measure", "bucket", (F.col("n") * WEIGHT).alias("w"))
+    return own.union(prior(["lang"])).union(prior([])).groupBy("lang", "source", "measure", "bucket").agg(F.sum("w").alias("w"))
+
+
+def quantiles(sketch: DataFrame) -> DataFrame:
+    """(lang, source, measure, q25, q50, q75, tail): upper ends of the buckets that hold these quantiles, the lower end for q25."""
+    group = ["lang", "source", "measure"]
+    ranked = sketch.withColumn("upto", F.sum("w").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(Window.partitionBy(*group)))
+    q = lambda p: F.min(F.when(F.col("upto") * 1000 >= F.col("all") * p, F.col("bucket")))
+    found = ranked.groupBy(*group).agg(q(250).alias("b25"), q(500).alias("b50"), q(750).alias("b75"), q(TAIL).alias("btail"))
+    top = lambda c: bucket_floor(F.col(c) + 1) - 1
+    return found.select(*group, bucket_floor(F.col("b25")).alias("q25"), top("b50").alias("q50"), top("b75").alias("q75"), top("btail").alias("tail"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, hi_<measure>..., lo_word_length): one row for each language and source."""
-    own = quantiles(sketch, ["lang", "source"]).alias("o")
-    lang = quantiles(sketch, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_measure"), F.struct("docs", "q25", "q75").alias("l"))
-    every = quantiles(sketch, []).select(F.col("measure").alias("e_measure"), F.struct("docs", "q25", "q75").alias("e"))
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure"))).join(every, F.col("measure") == F.col("e_measure"))
-    used = F.when(F.col("docs") >= MIN_GROUP, F.struct("docs", "q25", "q75")).when(F.col("l.docs") >= MIN_GROUP, F.col("l")).otherwise(F.col("e"))
-    slack = F.create_map(*[x for k, v in SLACK.items() for x in (F.lit(k), F.lit(float(v)))])
-    width = F.greatest(FENCE * (F.col("u.q75") - F.col("u.q25")), F.element_at(slack, F.col("measure")))
-    limits = joined.withColumn("u", used).select("lang", "source", "measure", (F.col("u.q75") + width).alias("hi"), (F.col("u.q25") - width).alias("lo"))
+    spread = FENCE * (F.col("q75") - F.col("q25"))
+    fenced = F.col("measure").isin(*FENCED)
+    least = F.create_map(*[x for k, v in FLOOR.items() for x in (F.lit(k), F.lit(v))])
+    hi = F.when(fenced, F.col("q75") + spread).otherwise(F.expr("tail + (tail - q50) div 2"))
+    limits = quantiles(merged(sketch)).select("lang", "source", "measure", F.greatest(hi, F.element_at(least, F.col("measure"))).alias("hi"), (F.col("q25") - spread).alias("lo"))
     at = lambda k, c: F.max(F.when(F.col("measure") == k, F.col(c)))
-    return limits.groupBy("lang", "source").agg(*[at(k, "hi").alias(f"hi_{k}") for k in SLACK], at("word_length", "lo").alias("lo_word_length"))
+    return limits.groupBy("lang", "source").agg(*[at(k, "hi").alias(f"hi_{k}") for k in FLOOR], at("word_length", "lo").alias("lo_word_length"))
 
 
 def judged(measured: DataFrame, limit: DataFrame) -> DataFrame:
@@ -152,20 +178,14 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 def filter_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """The rows of docs that are kept, unchanged.
 
-    A first pass over the texts makes the thresholds.  While there are at most
-    broadcast_groups of them they are broadcast, and the measures are made
-    again beside the texts, so no text moves.  Beyond that the rejected rows'
-    ids (and a hash of the row, for repeated ids) are taken out by an anti
-    join.
+    One pass over the texts writes the rows with their measures; the sketches
+    read the narrow columns of that table only, and the filter reads the rows.
+    While there are at most broadcast_groups thresholds they are broadcast, so
+    no text moves.
     """
     if not docs.columns:
         raise ValueError("docs has no columns")
-    mark = F.xxhash64(F.col(lang), F.lit(0), F.col(source), F.lit(0), F.col(text))
-    rows = docs.select(F.col(key).alias("key"), mark.alias("mark"), F.col(lang).alias("lang"), F.col(source).alias("source"), F.col(text).alias("text"))
-    measured = materialize(with_measures(rows, F.col("text")).drop("text"), "measures")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
+    measured = materialize(with_measures(packed, F.col("row").getField(text)), "measured-rows")
     limit = materialize(thresholds(sketches(measured)), "thresholds")
-    if limit.count() <= broadcast_groups:
-        packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-        return judged(with_measures(packed, F.col(f"row.{text}")), F.broadcast(limit)).where("_kept").select("row.*")
-    rejected = materialize(judged(measured, limit).where("not _kept").select(F.col("key").alias("_key"), F.col("mark").alias("_mark")).distinct(), "rejected")
-    return docs.join(rejected, F.col(f"`{key}`").eqNullSafe(F.col("_key")) & (mark == F.col("_mark")), "left_anti")
+    return judged(measured, F.broadcast(limit) if limit.count() <= broadcast_groups else limit).where("_kept").select("row.*")

@@ -92,7 +92,18 @@ def test_sketch_buckets(spark):
     df = spark.createDataFrame([(x,) for x in xs], "x long").withColumn("b", quality.bucket(F.col("x"))).withColumn("f", quality.bucket_floor(F.col("b")))
     rows = sorted(df.collect())
     assert [r["b"] for r in rows] == sorted(r["b"] for r in rows)
-    assert all(r["f"] <= r["x"] and r["x"] - r["f"] <= r["x"] / 16 for r in rows)
+    assert all(r["f"] <= r["x"] and r["x"] - r["f"] <= r["x"] / 64 for r in rows)
+
+
+def test_thresholds_follow_the_groups(spark):
+    """On the given documents limits differ by language and source, and good ones are left alone."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    measured = quality.with_measures(docs.select("lang", "source", "text"), F.col("text")).drop("text")
+    limits = quality.thresholds(quality.sketches(measured)).collect()
+    assert len({r["hi_word_length"] for r in limits}) > 3 and len({r["hi_repeats"] for r in limits}) > 3 and len({r["lo_word_length"] for r in limits}) > 3
+    found = quality.verdicts(docs).join(labels, "doc_id").where("not base_failed")
+    good, poor = found.where("quality = 1"), found.where("quality = 0")
+    assert good.where("kept").count() >= 0.98 * good.count() and poor.where("not kept").count() >= 0.9 * poor.count()
 
 
 def test_shards(docs, rows, clashing, empty):
