@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lucidex.llm import components, decontaminate, hash_tree, html_text, language_id, licenses, mixing, quality, repeats, simhash, token_rollup
+from lucidex.llm import common, components, decontaminate, hash_tree, html_text, language_id, licenses, mixing, quality, repeats, simhash, token_rollup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = ["", " ", "\n\n", "a", "ab cd", "the quick brown fox " * 30, "x" * 5000, "é ü ß — “q”", "w#% " * 60, "line one\nline one\nline one\nother", "1 2 3 4 5 6 7 8 9 10 11 12"]
@@ -98,7 +98,7 @@ def test_sketch_buckets(spark):
 def test_thresholds_follow_the_groups(spark):
     """On the given documents limits differ by language and source, and good ones are left alone."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    measured = quality.with_measures(docs.select("lang", "source", "text"), F.col("text")).drop("text")
+    measured = common.materialize(quality.with_measures(docs.select("lang", "source", "text"), F.col("text")).drop("text"), "measures")
     limits = quality.thresholds(quality.sketches(measured)).collect()
     assert len({r["hi_word_length"] for r in limits}) > 3 and len({r["hi_repeats"] for r in limits}) > 3 and len({r["lo_word_length"] for r in limits}) > 3
     found = quality.verdicts(docs).join(labels, "doc_id").where("not base_failed")
