@@ -18,16 +18,18 @@ brought together by content:
    is done.  Only anchors with different contexts need their windows.
 3. For those, the bytes of the contexts are brought together by anchor, and
    blocks of whole anchor groups get a suffix array (prefix doubling up to
-   LENGTH bytes) and the LPF decision from it.
+   LENGTH bytes), the common prefixes of neighbours in it, and from the previous
+   and next smaller positions the LPF array, cut at LENGTH.
 4. An anchor with more than CROWD different contexts is too large for a block:
-   its contexts get suffix arrays where they are, and each block's first
-   occurrence of a window goes on under a hash of the window; the first of all
-   stays.
+   its contexts get LPF arrays where they are, and each block's first
+   occurrence of a window goes on under 128 bits of XXH3 of the window; the
+   first of all stays.
 5. Per document the removed windows merge to spans.
 
 Equal contexts and windows inside one batch are settled before the shuffle, so
-a passage in a third of all documents sends one row for each batch.  Hashes of
-64 bits decide equality between blocks.
+a passage in a third of all documents sends one row for each batch.  Between
+batches contexts are equal if their anchors' hashes and 64 bits of XXH3 of all
+their bytes are.
 
 Defined cases: null text is empty; texts under LENGTH bytes lose nothing; rows
 that repeat an id and a text are one document and get equal results; of rows
@@ -44,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, by_value, materialize, repeated_ids, text_bytes
+from .common import batches, by_value, fresh, materialize, repeated_ids, text_bytes
 
 LENGTH = 100
 GRAM = 32
@@ -104,6 +106,7 @@ def contexts(hasher: Hasher, data, ends):
     each ends.  Windows that cross an end are left out.
     """
     import numpy as np
+    from xxhash import xxh3_64_intdigest as xxh3
 
     n = len(data) - LENGTH + 1
     if n <= 0:
@@ -126,9 +129,9 @@ def contexts(hasher: Hasher, data, ends):
     start = np.flatnonzero(new & inside)
     stop = np.r_[np.flatnonzero(new[1:] | ~inside[1:]), n - 1]
     last = stop[np.searchsorted(stop, start)]
-    at = anchor[start]
-    ctx = mixed(hasher.of(sums, start, last + LENGTH)) + ((at - start) * 1009 + (last - start)).astype(np.uint64) * np.uint64(_ODD)
-    return h[at], mixed(ctx), start, last
+    whole = data.tobytes()
+    ctx = np.fromiter((xxh3(whole[a:b]) for a, b in zip(start.tolist(), (last + LENGTH).tolist(), strict=True)), np.uint64, len(start))
+    return h[anchor[start]], ctx, start, last
 
 
 def pieces(texts: list[bytes]):
@@ -158,50 +161,86 @@ def pieces(texts: list[bytes]):
         yield block(own)
 
 
-def suffix_classes(data, length: int = LENGTH):
-    """Suffix order of data's suffixes cut at length bytes, and each suffix's rank in it; equal ranks are equal strings.
+def suffix_ranks(data, length: int = LENGTH):
+    """{reach: ranks} of data's substrings of 1, 2, 4, ... and length bytes in their order; equal ranks are equal strings.
 
-    Prefix doubling: ranks by 8 bytes, then 16, 32, ... and last by two
-    overlapping halves that add up to length.  Suffixes shorter than length
-    aren't ranked.
+    Prefix doubling: a rank of twice the reach comes from two neighbouring
+    ranks; the last step takes two overlapping halves that add up to length.
     """
     import numpy as np
 
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    reach = 1
-    rank = data.astype(np.uint64)
-    while reach < 8 and 2 * reach <= length:
-        rank = (rank[: len(rank) - reach] << np.uint64(8 * reach)) | rank[reach:]
-        reach *= 2
-    _, rank = np.unique(rank, return_inverse=True)
-    while reach < length:
-        step = min(reach, length - reach)
-        both = rank[: len(rank) - step].astype(np.int64) * (int(rank.max()) + 1) + rank[step:]
-        _, rank = np.unique(both, return_inverse=True)
+    rank, reach = data.astype(np.uint64), 1
+    ranks = {1: rank}
+    while reach < length and len(rank) > (step := min(reach, length - reach)):
+        if reach < 8 and step == reach:
+            # Up to eight bytes the bytes themselves are the rank.
+            rank = (rank[:-step] << np.uint64(8 * step)) | rank[step:]
+        else:
+            rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64) if reach <= 8 else rank
+            rank = np.unique(rank[:-step] * np.uint64(len(data) + 1) + rank[step:], return_inverse=True)[1].astype(np.uint64)
         reach += step
-    return np.argsort(rank[:n], kind="stable"), rank[:n]
+        ranks[reach] = rank
+    return ranks
+
 
+def common_prefix(ranks, a, b, length: int = LENGTH):
+    """Length of the common prefixes of suffixes a and b, cut at length; both have that many bytes."""
+    import numpy as np
 
-def repeats_before(data, starts):
-    """For window starts (ascending, in order of precedence): whether the window's LPF is at least LENGTH.
+    whole = ranks[length][a] == ranks[length][b]
+    found = np.where(whole, length, 0)
+    open_ = np.flatnonzero(~whole)
+    x, y, at = a[open_], b[open_], np.zeros(len(open_), np.int64)
+    for reach in sorted((r for r in ranks if r & (r - 1) == 0), reverse=True):
+        own, i, j = ranks[reach], x + at, y + at
+        inside = (i < len(own)) & (j < len(own))
+        equal = np.zeros(len(at), bool)
+        equal[inside] = own[i[inside]] == own[j[inside]]
+        at += reach * equal
+    found[open_] = at
+    return found
+
+
+def nearest_smaller(position, lcp):
+    """Common prefix with the nearest suffix before, in suffix order, that has a smaller position; 0 where there is none.
+
+    lcp[i]: common prefix of suffixes i - 1 and i.  A suffix with a greater
+    position is passed over to where its own search has come, all at once.
+    """
+    import numpy as np
 
-    In suffix order the suffixes that share LENGTH bytes stand together.  One
-    of them has a smaller position before or after it, with a common prefix of
-    at least LENGTH, unless it is the smallest of its run.
+    n = len(position)
+    at, low = np.arange(-1, n - 1), lcp.copy()
+    going = np.flatnonzero(at >= 0)
+    while len(going := going[position[at[going]] > position[going]]):
+        via = at[going]
+        low[going] = np.minimum(low[going], low[via])
+        at[going] = at[via]
+        # Nothing shares a prefix any longer, or nothing is left before.
+        stop = (at[going] < 0) | (low[going] == 0)
+        low[going[at[going] < 0]] = 0
+        going = going[~stop]
+    return low
+
+
+def longest_previous_factors(data, starts, length: int = LENGTH):
+    """LPF, cut at length, of each window start; starts ascend in order of precedence and have length bytes.
+
+    The longest string at a position that also starts earlier is shared with
+    the nearest suffix of a smaller position before or after it in suffix order.
     """
     import numpy as np
 
-    _, rank = suffix_classes(data)
-    own = rank[starts]
-    order = np.argsort(own, kind="stable")
-    first = np.empty(len(order), bool)
-    if len(order):
-        first[0] = True
-        first[1:] = own[order][1:] != own[order][:-1]
-    out = np.ones(len(order), bool)
-    out[order[first]] = False
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    ranks = suffix_ranks(data, length)
+    order = np.argsort(ranks[length][starts], kind="stable")
+    lcp = np.zeros(len(order), np.int64)
+    lcp[1:] = common_prefix(ranks, starts[order[:-1]], starts[order[1:]], length)
+    back = np.r_[0, lcp[1:][::-1]] if len(lcp) > 1 else np.zeros(len(lcp), np.int64)
+    before, after = nearest_smaller(order, lcp), nearest_smaller(order[::-1], back)[::-1]
+    out = np.zeros(len(order), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -252,9 +291,8 @@ def _anchors(parts):
         if not found[0]:
             continue
         a, c, i, lo, hi = map(np.concatenate, found)
-        key = a ^ (c * np.uint64(_ODD))
-        order = np.argsort(key, kind="stable")
-        again = np.r_[False, key[order][1:] == key[order][:-1]] if len(order) else np.zeros(0, bool)
+        order = np.lexsort((c, a))
+        again = np.r_[False, (a[order][1:] == a[order][:-1]) & (c[order][1:] == c[order][:-1])] if len(order) else np.zeros(0, bool)
         # Rows that repeat an id and a text are one document: only another place is an earlier one.
         first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
         f = order[first]
@@ -273,8 +311,8 @@ _GONE = T.StructType([f for f in _OPEN.fields if f.name in ("doc", "row", "lo",
 def _open_contexts(parts):
     """Bytes of contexts by anchor; of crowded anchors the first windows of each block, and repeated ones as done."""
     import numpy as np
+    from xxhash import xxh3_128_digest as xxh3_128
 
-    hasher = Hasher()
     for part in parts:
         doc, row = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "row"))
         by = np.lexsort((row, doc))
@@ -286,7 +324,11 @@ def _open_contexts(parts):
             if last == (doc[i], row[i]):
                 continue  # the same document once more
             last = (doc[i], row[i])
+            taken = -1
             for s in sorted(spans[i], key=lambda s: s["lo"]):
+                if s["lo"] == taken:
+                    continue  # a repeated row's
+                taken = s["lo"]
                 data = texts[i][s["lo"] : s["hi"] + LENGTH]
                 if s["crowd"]:
                     crowded.append((i, s["lo"], data))
@@ -297,12 +339,12 @@ def _open_contexts(parts):
         for data, made in pieces([t for *_, t in crowded]):
             starts, number, lo, repeat = _decided(data, made, [at for _, at, _ in crowded])
             own = np.array([i for i, *_ in crowded])
-            sums = hasher.sums(data)
-            first = starts[~repeat]
+            first, whole = starts[~repeat], data.tobytes()
+            digests = [xxh3_128(whole[x : x + LENGTH]) for x in first.tolist()]
             n, l, h = _runs(number[repeat], lo[repeat], lo[repeat])
             at = np.r_[own[number[~repeat]], own[n]].astype(np.int64)
             kinds = np.r_[np.full(len(first), _WINDOW), np.full(len(n), _DONE)]
-            yield _batch({"kind": kinds, "key": np.r_[_signed(mixed(hasher.of(sums, first, first + LENGTH))), np.zeros(len(n), np.int64)], "doc": doc[at], "row": row[at], "lo": np.r_[lo[~repeat], l], "hi": np.r_[lo[~repeat], h], "data": [None] * len(kinds)}, _OPEN)
+            yield _batch({"kind": kinds, "key": np.r_[np.array([int.from_bytes(x[:8], "little", signed=True) for x in digests], np.int64), np.zeros(len(n), np.int64)], "doc": doc[at], "row": row[at], "lo": np.r_[lo[~repeat], l], "hi": np.r_[lo[~repeat], h], "data": [*digests, *[None] * len(n)]}, _OPEN)
 
 
 def _decided(data, made, at):
@@ -313,7 +355,7 @@ def _decided(data, made, at):
     piece = np.repeat(np.arange(len(made)), [end - start - LENGTH + 1 for _, _, start, end in made])
     number = np.array([j for j, *_ in made])[piece]
     lo = starts + np.array([at[j] + off - start for j, off, start, _ in made])[piece]
-    return starts, number, lo, repeats_before(data, starts)
+    return starts, number, lo, longest_previous_factors(data, starts) >= LENGTH
 
 
 def _grouped(parts):
@@ -360,7 +402,7 @@ def _row_hash(key: Column, text: Column, repeated: bool) -> Column:
 
 def _rows(docs: DataFrame, key: str, text: str, repeated: bool) -> DataFrame:
     """(doc, row, text): the id to order by, a hash of id and text if ids repeat, and the text."""
-    return docs.select(_id(F.col(key)).alias("doc"), _row_hash(F.col(key), F.col(text), repeated).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return docs.select(_id(F.col(f"`{key}`")).alias("doc"), _row_hash(F.col(f"`{key}`"), F.col(f"`{text}`"), repeated).alias("row"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 
 
 def spans(docs: DataFrame, key: str, text: str, repeated: bool) -> DataFrame:
@@ -377,8 +419,8 @@ def spans(docs: DataFrame, key: str, text: str, repeated: bool) -> DataFrame:
     open_spans = judged.where("not done").groupBy("doc", "row").agg(F.collect_list(F.struct("lo", "hi", "anchor", "crowd")).alias("spans"))
     opened = materialize(rows.join(open_spans.hint("shuffle_hash"), ["doc", "row"]).mapInArrow(_open_contexts, _OPEN), "open-contexts")
     grouped = opened.where(F.col("kind") == _CONTEXT).select("key", *places, "data").repartition("key").sortWithinPartitions("key", *places).mapInArrow(_grouped, _GONE)
-    later = F.dense_rank().over(Window.partitionBy("key").orderBy(*places))
-    crowded = opened.where(F.col("kind") == _WINDOW).select("key", *places, "hi").withColumn("nth", later).where("nth > 1").select(*places, "hi")
+    later = F.dense_rank().over(Window.partitionBy("key", "data").orderBy(*places))
+    crowded = opened.where(F.col("kind") == _WINDOW).select("key", "data", *places, "hi").withColumn("nth", later).where("nth > 1").select(*places, "hi")
     windows = grouped.union(crowded).union(opened.where(F.col("kind") == _DONE).select(*places, "hi"))
     gone = judged.where("done").select("doc", "row", "lo", "hi").union(windows.select("doc", "row", "lo", "hi"))
     order = Window.partitionBy("doc", "row").orderBy("lo", "hi")
@@ -408,17 +450,18 @@ def kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _with_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """docs with _spans; the spans are the side that is held in memory."""
+def _with_spans(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """docs with a column of spans, and its name; the spans are the side that is held in memory."""
     repeated = repeated_ids(docs, key)
-    found = spans(docs, key, text, repeated).select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    doc, row = _id(F.col(f"`{key}`")), _row_hash(F.col(f"`{key}`"), F.col(f"`{text}`"), repeated)
-    return docs.withColumns({"_d": doc, "_r": row}).join(found.hint("shuffle_hash"), (F.col("_d") == F.col("_doc")) & (F.col("_r") == F.col("_row")), "left").drop("_d", "_r", "_doc", "_row")
+    d, r, doc, row, own = fresh(docs, "own_doc", "own_row", "span_doc", "span_row", "spans")
+    found = spans(docs, key, text, repeated).select(F.col("doc").alias(doc), F.col("row").alias(row), F.col("spans").alias(own))
+    placed = docs.withColumns({d: _id(F.col(f"`{key}`")), r: _row_hash(F.col(f"`{key}`"), F.col(f"`{text}`"), repeated)})
+    return placed.join(found.hint("shuffle_hash"), (F.col(d) == F.col(doc)) & (F.col(r) == F.col(row)), "left").drop(d, r, doc, row), own
 
 
 def digest_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Bytes, removed bytes, removed runs and the digest of what is left, per document row."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept_sha256", T.StringType())])
 
     def run(parts):
@@ -426,25 +469,26 @@ def digest_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
         for part in parts:
             out = []
-            for t, s in zip(text_bytes(part.column("text")), part.column("_spans").to_pylist(), strict=True):
+            for t, s in zip(text_bytes(part.column("text")), part.column(own).to_pylist(), strict=True):
                 runs = removed_bytes(s)
                 out.append((len(t or b""), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept(t or b"", runs)).hexdigest()))
             numbers = [pa.array([x[j] for x in out], pa.int64()) for j in range(3)]
             yield pa.RecordBatch.from_arrays([part.column("key"), *numbers, pa.array([x[3] for x in out], pa.string())], names=schema.names)
 
-    return _with_spans(rows, "key", "text").mapInArrow(run, schema).withColumnRenamed("key", key)
+    joined, own = _with_spans(rows, "key", "text")
+    return joined.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with later copies of LENGTH-byte passages cut out; characters cut in part go whole."""
-    joined = _with_spans(docs, key, text)
+    joined, own = _with_spans(docs, key, text)
 
     def run(parts):
         import pyarrow as pa
 
         for part in parts:
             out = []
-            for t, s in zip(text_bytes(part.column(text)), part.column("_spans").to_pylist(), strict=True):
+            for t, s in zip(text_bytes(part.column(text)), part.column(own).to_pylist(), strict=True):
                 out.append(None if t is None else kept(t, removed_bytes(s)).decode("utf-8", "ignore"))
             at = part.schema.get_field_index(text)
             yield part.set_column(at, part.schema.field(at), pa.array(out, part.schema.field(at).type))

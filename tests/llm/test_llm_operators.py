@@ -256,15 +256,23 @@ def test_repeated_rows_are_one_document(spark):
     assert found == [(False, 1, 0), (False, 1, 0), (False, 2, n), (True, None, n)]
 
 
-def test_suffix_classes():
+def test_longest_previous_factors():
+    """LPF arrays against all pairs of positions."""
     import numpy as np
 
-    data = np.frombuffer(b"abracadabra abracadabra", np.uint8)
-    for length in (3, 8, 9, 11):
-        order, rank = repeats.suffix_classes(data, length)
-        pieces = [bytes(data[i : i + length]) for i in range(len(data) - length + 1)]
-        assert [pieces[i] for i in order] == sorted(pieces)
-        assert [rank[i] == rank[j] for i in range(len(pieces)) for j in range(len(pieces))] == [a == b for a in pieces for b in pieces]
+    rng = random.Random(2)
+    texts = [b"abracadabra abracadabra", b"a" * 60, b"ab" * 40, bytes(rng.choice(b"ab") for _ in range(150)), bytes(rng.choice(b"abcdef") for _ in range(150)), b"abc"]
+    for data in texts:
+        for length in (3, 8, 9, 11, 40):
+            n = len(data) - length + 1
+            ranks = repeats.suffix_ranks(np.frombuffer(data, np.uint8), length)
+            if n > 0:
+                pieces = [data[i : i + length] for i in range(n)]
+                assert [pieces[i] for i in np.argsort(ranks[length], kind="stable")] == sorted(pieces)
+            starts = np.array([i for i in range(max(n, 0)) if i % 7 != 3], np.int64)
+            found = repeats.longest_previous_factors(np.frombuffer(data, np.uint8), starts, length)
+            common = lambda i, j: next((k for k in range(length) if data[i + k] != data[j + k]), length)  # noqa: E731,B023
+            assert found.tolist() == [max((common(i, j) for j in starts if j < i), default=0) for i in starts]
 
 
 def test_language_model():
