@@ -1,12 +1,16 @@
 """Sharding by a hierarchical weighted hash tree (DataFrame functions only).
 
-The tree has the levels region, rack and shard.  At every level each child c
-of the current node draws -ln(u(key, c)) / weight(c) with u a hash of the key
-and the child's path, and the smallest draw wins: child c gets a share
-weight(c) / sum of weights, and when one weight changes, only keys that enter
-or leave that child move at its level.  Below a child whose subtree has not
-changed, no key moves.  A new shard in a region of its own therefore takes
-keys into itself and moves no other key.
+The tree has the levels region, rack and shard.  Every shard s draws
+-ln(u(key, s)) / weight(s) with u a hash of the key and the shard's path, and
+the draw of a rack or region is the least in its subtree.  The least of such
+draws is one of the subtree's summed weight, so from the root down the child
+with the least draw wins with the share weight(child) / sum of weights.  A
+change of a weight, or a new shard anywhere in the tree, changes the draws of
+the nodes above it only: keys move between that subtree and the others, and
+below nodes whose subtree has not changed no key moves.  With one more shard
+keys go only into it, whatever rack it stands in.
+
+The price is one draw for each shard and row.
 
 Defined cases: a null key is a key like any other; a null text has size 1 and
 CRC-32 0; repeated rows share a shard and get different slots; an empty table
@@ -44,45 +48,29 @@ def balanced(shards: int, racks: int = 2, per_rack: int = 2) -> list[Leaf]:
     return [Leaf(f"region{i // (racks * per_rack)}", f"rack{i // per_rack}", i) for i in range(shards)]
 
 
-def with_new_region(leaves: list[Leaf], shard: int, weight: float = 1.0) -> list[Leaf]:
-    """Grow by one shard in a region of its own: keys move only into it."""
-    return [*leaves, Leaf(f"region-of-{shard}", f"rack-of-{shard}", shard, weight)]
-
-
-def children(leaves: list[Leaf]) -> dict[str, dict[str, float]]:
-    """Parent path -> child path -> weight of the child's subtree; the root is ''."""
-    out: dict[str, dict[str, float]] = {}
-    for leaf in leaves:
-        if leaf.weight <= 0:
-            raise ValueError(f"weight of shard {leaf.shard} must be positive")
-        path = ""
-        for part in (leaf.region, leaf.rack, str(leaf.shard)):
-            child = f"{path}/{part}"
-            kids = out.setdefault(path, {})
-            kids[child] = kids.get(child, 0.0) + leaf.weight
-            path = child
-    return out
+def path_of(leaf: Leaf) -> str:
+    if leaf.weight <= 0:
+        raise ValueError(f"weight of shard {leaf.shard} must be positive")
+    return f"/{leaf.region}/{leaf.rack}/{leaf.shard}"
 
 
 def key_text(key: Column) -> Column:
     return F.coalesce(F.concat(F.lit("k"), key.cast("string")), F.lit("null"))
 
 
-def draw(key: Column, child: Column, weight: Column) -> Column:
-    """-ln(u) / weight with u in (0, 1] from 52 bits of a hash of key and child."""
-    bits = F.conv(F.substring(F.md5(F.concat(key, child).cast("binary")), 1, 13), 16, 10).cast("double")
-    return -F.log((bits + 1.0) / F.lit(float(2**52))) / weight
+def draw(key: Column, leaf: Leaf) -> Column:
+    """-ln(u) / weight with u in (0, 1] from 52 bits of a hash of key and path."""
+    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(path_of(leaf))).cast("binary")), 1, 13), 16, 10).cast("double")
+    return -F.log((bits + 1.0) / F.lit(float(2**52))) / F.lit(leaf.weight)
 
 
 def descend(key: Column, leaves: list[Leaf]) -> Column:
-    """The shard number that the key's descent from the root ends in."""
-    kids = children(leaves)
-    table = F.create_map(*[x for parent, own in kids.items() for x in (F.lit(parent), F.array(*[F.struct(F.lit(c).alias("node"), F.lit(w).alias("weight")) for c, w in own.items()]))])
-    path: Column = F.lit("")
-    for _ in LEVELS:
-        best = F.array_min(F.transform(F.element_at(table, path), lambda c: F.struct(draw(key, c["node"], c["weight"]).alias("draw"), c["node"].alias("node"))))
-        path = best["node"]
-    return F.element_at(F.split(path, "/"), -1).cast("int")
+    """The shard that the key's descent ends in.
+
+    The region with the least draw holds the rack with the least, and that the
+    shard, so the way down ends at the least draw of all.
+    """
+    return F.array_min(F.array(*[F.struct(draw(key, x).alias("draw"), F.lit(x.region), F.lit(x.rack), F.lit(x.shard).alias("shard")) for x in leaves]))["shard"]
 
 
 def assign(df: DataFrame, key: str, leaves: list[Leaf], out: str = "shard") -> DataFrame:
@@ -93,24 +81,21 @@ def assign(df: DataFrame, key: str, leaves: list[Leaf], out: str = "shard") -> D
 def shard_table(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8) -> DataFrame:
     """Shard, slot in the shard and the shard after growth by one, per row.
 
-    Slots number the rows of a shard without gaps from 0, in the order of the
-    key's hash.  They are numbered inside hash buckets and shifted by the
-    counts of the buckets before, so no task holds a whole shard.
+    Slots number the rows of a shard without gaps from 0, in the order of a
+    hash of key, size and checksum.  Equal rows are counted before they are
+    numbered; the others are numbered inside hash buckets and shifted by the
+    counts of the buckets before.  So no task holds a whole shard or the rows
+    of one key.
     """
-    leaves = balanced(shards)
     k = key_text(F.col("key"))
-    hashed = F.md5(k.cast("binary"))
-    placed = (
-        df.select(F.col(key).alias("key"), text_or_empty(text).alias("text"))
-        .select("key", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), hashed.alias("hash"), descend(k, leaves).alias("shard"), descend(k, with_new_region(leaves, shards)).alias("grown_shard"))
-        .withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS))
-    )
-    counts = df.select(F.col(key).alias("key")).select(descend(k, leaves).alias("shard"), F.substring(hashed, 1, BUCKET_DIGITS).alias("bucket")).groupBy("shard", "bucket").count()
+    rows = df.select(F.col(f"`{key}`").alias("key"), text_or_empty(text).alias("text")).select("key", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    hashed = F.md5(F.concat_ws("/", k, F.col("size").cast("string"), F.col("text_crc32").cast("string")).cast("binary"))
+    distinct = rows.groupBy("key", "size", "text_crc32").agg(F.count("*").alias("n"))
+    placed = distinct.select("*", hashed.alias("hash"), descend(k, balanced(shards)).alias("shard"), descend(k, balanced(shards + 1)).alias("grown_shard")).withColumn("bucket", F.substring("hash", 1, BUCKET_DIGITS))
+    # Rows of each bucket; the bucket of a row follows from the row alone.
+    counts = rows.select(descend(k, balanced(shards)).alias("shard"), F.substring(hashed, 1, BUCKET_DIGITS).alias("bucket")).groupBy("shard", "bucket").count()
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("hash", "key", "size", "text_crc32")
-    return (
-        placed.withColumn("rank", F.row_number().over(inside) - 1)
-        .join(offsets, ["shard", "bucket"])
-        .select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("rank")).cast("long").alias("slot"), "grown_shard")
-    )
+    inside = Window.partitionBy("shard", "bucket").orderBy("hash", "key", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.withColumn("rank", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(offsets, ["shard", "bucket"]).withColumn("first", F.col("offset") + F.col("rank"))
+    return first.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"), "grown_shard")

@@ -48,30 +48,19 @@ FROM f LEFT JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS NOT
 
 
 def _descend(key: str, leaves: list[hash_tree.Leaf]) -> str:
-    kids = hash_tree.children(leaves)
-
-    def best(parent: str) -> str:
-        draws = ", ".join(f"{{'d': -ln((('0x' || substr(md5({key} || '{c}'), 1, 13))::BIGINT + 1.0::DOUBLE) / {float(2**52)}::DOUBLE) / {w}::DOUBLE, 'n': '{c}'}}" for c, w in kids[parent].items())
-        return f"list_min([{draws}]).n"
-
-    path = f"(SELECT {best('')} AS p0)"
-    for level in (1, 2):
-        parents = [p for p in kids if p.count("/") == level]
-        cases = " ".join(f"WHEN '{p}' THEN {best(p)}" for p in parents)
-        path = f"(SELECT CASE p{level - 1} {cases} END AS p{level} FROM {path})"
-    return f"(SELECT string_split(p2, '/')[-1]::INT FROM {path})"
+    draws = ", ".join(f"{{'d': -ln((('0x' || substr(md5({key} || '{hash_tree.path_of(x)}'), 1, 13))::BIGINT + 1.0::DOUBLE) / {float(2**52)}::DOUBLE) / {x.weight}::DOUBLE, 'n': {x.shard}}}" for x in leaves)
+    return f"list_min([{draws}]).n"
 
 
 def op4(shards: int = 8) -> str:
     """The descent by md5 draws; the checksum by its own table, byte by byte."""
     table = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
-    leaves = hash_tree.balanced(shards)
     key = "key"
     return f"""
 WITH t AS MATERIALIZED (SELECT {table} AS crc), d AS (SELECT doc_id, coalesce('k' || doc_id, 'null') AS key, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
 b AS (SELECT doc_id, key, size, hex(encode(text)) AS h FROM d),
 c AS (SELECT doc_id, key, size, xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
-s AS (SELECT *, {_descend(key, leaves)} AS shard, {_descend(key, hash_tree.with_new_region(leaves, shards))} AS grown_shard, md5(key) AS hash FROM c)
+s AS (SELECT *, {_descend(key, hash_tree.balanced(shards))} AS shard, {_descend(key, hash_tree.balanced(shards + 1))} AS grown_shard, md5(concat_ws('/', key, size, text_crc32)) AS hash FROM c)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY hash, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM s"""
 
 

@@ -124,6 +124,20 @@ def test_shards_null_and_repeated(spark):
     assert len(found) == 5 and len({(r["shard"], r["slot"]) for r in found}) == 5
 
 
+def test_growth_by_one(spark):
+    """From every shard count to the next, keys go into the new shard only, as the table of the lesser count foretells."""
+    key = hash_tree.key_text(F.col("k"))
+    counts = range(1, 21)
+    rows = spark.range(3000).select(F.col("id").alias("k")).select(*[hash_tree.descend(key, hash_tree.balanced(n)).alias(f"s{n}") for n in counts]).collect()
+    for n in counts[:-1]:
+        moved = [(r[n - 1], r[n]) for r in rows if r[n - 1] != r[n]]
+        assert moved and {b for _, b in moved} == {n}
+    df = spark.createDataFrame([(i, "x") for i in range(200)] + [(None, "x")] * 50, "doc_id long, text string")
+    now, then = (hash_tree.shard_table(df, shards=n).collect() for n in (8, 9))
+    assert {(r["doc_id"], r["grown_shard"]) for r in now} == {(r["doc_id"], r["shard"]) for r in then}
+    assert len(now) == 250 and len({(r["shard"], r["slot"]) for r in now}) == 250
+
+
 def test_movement_is_confined(spark):
     """A heavier shard takes keys only into its own subtree; shares follow weights."""
     keys = spark.range(20000).select(F.col("id").alias("k"))
