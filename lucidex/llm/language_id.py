@@ -7,12 +7,17 @@ next shorter context, down to a uniform 1/256.  After training the counts are
 frozen: a text's code length in a language is the exact sum over all its
 bytes, and the shortest wins (ties: the smaller language name).
 
-Training takes whole texts of labelled rows, at most SAMPLE_DOCS for each of
-at most MAX_LANGUAGES languages (the most frequent), in the order of a hash of
-the id, and at most SAMPLE_BYTES of them; prediction covers every byte.
-
-Code lengths of all (ORDER + 1)-grams seen in any language are tabulated
-once; other grams are coded by the same rule when they occur.
+Training takes a sample of labelled rows, spread over all languages: different
+(id, text) rows in the order of a hash, at most SAMPLE_DOCS a language and, by
+a running sum, at most SAMPLE_BYTES of them or the language's share of
+TOTAL_BYTES if that is less; of a text at most TEXT_CHARS characters are
+learned.  Rows are picked by narrow columns before any text moves, and their
+(ORDER + 1)-grams are counted on Spark, so only counts come to the driver.
+Prediction covers every byte.
+
+Each language's counts are sparse tables.  Code lengths of the most frequent
+grams are tabulated for all languages, TABLE_ENTRIES numbers at most; other
+grams are coded by the same rule when they occur.
 
 Defined cases: null text and text without a letter is `und` with score 0, as
 is everything when there is no training row; null languages aren't learned;
@@ -33,8 +38,15 @@ from .common import batches, by_value, share, shared, text_bytes
 ORDER = 3
 SAMPLE_DOCS = 600
 SAMPLE_BYTES = 2 << 20
+TOTAL_BYTES = 16 << 20
+TEXT_CHARS = 1 << 16
+
+#: Parts in which a language's rows are first picked, and rows of each: a third more than three times the even share of SAMPLE_DOCS.
 SALTS = 64
-MAX_LANGUAGES = 400
+SALT_DOCS = 40
+
+#: Numbers in the table of code lengths (four bytes each).
+TABLE_ENTRIES = 8 << 20
 
 #: Bytes scored at a time.
 BLOCK = 4 << 20
@@ -58,21 +70,32 @@ def grams(data, n: int):
         out = (out << np.uint32(8)) | data[j : len(data) - n + 1 + j]
     return out
 
+def gram_counts(texts: list[bytes]):
+    """Different (ORDER + 1)-grams that end at a byte of the texts, in ascending order, and their counts."""
+    import numpy as np
+
+    data = np.frombuffer(b"".join(_PAD + t for t in texts), np.uint8)
+    inside = np.concatenate([np.r_[np.zeros(ORDER, bool), np.ones(len(t), bool)] for t in texts])
+    return np.unique(grams(data, ORDER + 1)[inside[ORDER:]], return_counts=True)
+
 
 class Tree:
     """Frozen context statistics of one language."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, grams, n):
+        """grams: different (ORDER + 1)-grams in ascending order; n: their counts."""
         import numpy as np
 
-        data = np.frombuffer(b"".join(_PAD + t for t in texts), np.uint8)
-        inside = np.concatenate([np.r_[np.zeros(ORDER, bool), np.ones(len(t), bool)] for t in texts])
         self.levels = []
-        for k in range(ORDER + 1):
-            g = grams(data, k + 1)[inside[k:]]
-            keys, counts = np.unique(g, return_counts=True)
+        for k in range(ORDER, -1, -1):
+            keys, back = np.unique(grams & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            counts = np.bincount(back, n, len(keys))
             contexts, first, distinct = np.unique(keys >> np.uint32(8), return_index=True, return_counts=True)
-            self.levels.append((keys, counts.astype(np.float64), contexts, np.add.reduceat(counts, first).astype(np.float64), distinct.astype(np.float64)))
+            self.levels.insert(0, (keys, counts, contexts, np.add.reduceat(counts, first), distinct.astype(np.float64)))
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Tree:
+        return cls(*gram_counts(texts))
 
     def cost(self, g):
         """Bits of the last byte of each (ORDER + 1)-gram after the bytes before it."""
@@ -97,23 +120,31 @@ class Tree:
 class Model:
     """All languages' trees and the table of code lengths of every gram seen in training."""
 
-    def __init__(self, texts: dict[str, list[bytes]]):
+    def __init__(self, counts: dict[str, tuple]):
+        """counts: grams and their counts by language."""
         import numpy as np
 
-        self.languages = sorted(k for k, v in texts.items() if any(v))
-        self.trees = [Tree([t for t in texts[k] if t]) for k in self.languages]
+        self.languages = sorted(k for k, (g, _) in counts.items() if len(g))
+        self.trees = [Tree(*counts[k]) for k in self.languages]
         if not self.trees:
             return
-        keys = np.unique(np.concatenate([t.levels[ORDER][0] for t in self.trees]))
+        keys, back = np.unique(np.concatenate([counts[k][0] for k in self.languages]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([counts[k][1] for k in self.languages]))
+        room = max(1, TABLE_ENTRIES // len(self.trees))
+        if len(keys) > room:
+            keys = np.sort(keys[np.argsort(-total, kind="stable")[:room]])
         self.shift = np.uint32(32 - max(12, min(22, int(np.log2(len(keys))) + 4)))
         slots = self._slot(keys)
         self.slot_key = np.zeros(1 << (32 - int(self.shift)), np.uint32)
         self.slot_row = np.full(len(self.slot_key), -1, np.int32)
         self.slot_key[slots] = keys
         self.slot_row[slots] = np.arange(len(keys))
-        self.keys = keys
         self.costs = np.stack([t.cost(keys) for t in self.trees], 1).astype(np.float32)
 
+    @classmethod
+    def of(cls, texts: dict[str, list[bytes]]) -> Model:
+        return cls({k: gram_counts(v) for k, v in texts.items() if v})
+
     def _slot(self, g):
         import numpy as np
 
@@ -177,22 +208,49 @@ def remainder(key: Column) -> Column:
     return F.pmod(F.coalesce(F.crc32(key.cast("string").cast("binary")), F.lit(0)), F.lit(4))
 
 
-def sample(labelled: DataFrame, key: str, text: str, language: str) -> dict[str, list[bytes]]:
-    """Bounded training texts by language."""
-    rows = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(language).cast("string").alias("lang")).where("text is not null and lang is not null")
-    top = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    # Ids are picked without texts, first in SALTS parts of a language, then among the parts' picks.
-    order = [F.xxhash64("key"), F.col("key")]
-    ids = rows.where(F.col("lang").isin(top)).select("key", "lang").withColumn("salt", F.pmod(F.xxhash64("key", F.lit("salt")), F.lit(SALTS)))
-    for by in (["lang", "salt"], ["lang"]):
-        ids = ids.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("nth") <= SAMPLE_DOCS)
-    # At most SAMPLE_DOCS ids a language: the bound makes the broadcast safe.
-    picked = rows.join(F.broadcast(ids.select("key", "lang", "nth")), ["key", "lang"])
-    out: dict[str, list[bytes]] = {}
-    for r in picked.repartition(1).sortWithinPartitions("lang", "nth", F.xxhash64("text")).toLocalIterator():
-        own = out.setdefault(r["lang"], [])
-        if not own or sum(map(len, own)) < SAMPLE_BYTES:
-            own.append(r["text"].encode())
+def sample(labelled: DataFrame, key: str, text: str, language: str) -> DataFrame:
+    """(lang, text): the bounded training texts."""
+    rows = labelled.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{language}`").cast("string").alias("lang")).where("text is not null and lang is not null")
+    mark = F.xxhash64("key", F.lit(0), "text")
+    part = F.least(F.octet_length("text"), F.lit(4 * TEXT_CHARS)).cast("long")
+    picked = rows.select("lang", mark.alias("mark"), part.alias("bytes")).groupBy("lang", "mark").agg(F.min("bytes").alias("bytes"))
+    languages = picked.select("lang").distinct().count()
+    room = min(SAMPLE_BYTES, TOTAL_BYTES // max(1, languages))
+    picked = picked.withColumn("salt", F.pmod(F.xxhash64("mark", F.lit("salt")), F.lit(SALTS)))
+    for by, most in ((["lang", "salt"], SALT_DOCS), (["lang"], SAMPLE_DOCS)):
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("mark"), "mark")
+        picked = picked.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
+        before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        picked = picked.withColumn("before", before).where(F.col("before") < room)
+    # Different texts of one mark are as good as impossible; of repeated rows one is learned.
+    found = rows.withColumn("mark", mark).join(picked.select("lang", "mark"), ["lang", "mark"]).groupBy("lang", "mark").agg(F.first(F.substring("text", 1, TEXT_CHARS)).alias("text"))
+    return found.select("lang", "text")
+
+
+def counted(texts: DataFrame) -> dict[str, tuple]:
+    """Grams and counts by language of a bounded sample."""
+    import numpy as np
+
+    def run(parts):
+        import pyarrow as pa
+
+        for part in parts:
+            by: dict[str, list[bytes]] = {}
+            for own, t in zip(part.column("lang").to_pylist(), text_bytes(part.column("text")), strict=True):
+                if t:
+                    by.setdefault(own, []).append(t)
+            for own, found in by.items():
+                g, n = gram_counts(found)
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+
+    # At most TOTAL_BYTES different rows.
+    table = texts.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    lang, gram, n = np.array(table.column("lang").to_pylist(), object), table.column("gram").to_numpy(), table.column("n").to_numpy()
+    out = {}
+    for own in sorted(set(lang.tolist())):
+        at = np.flatnonzero(lang == own)
+        at = at[np.argsort(gram[at])]
+        out[own] = (gram[at].astype(np.uint32), n[at].astype(np.float64))
     return out
 
 
@@ -202,7 +260,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     batches(spark)
     own = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    broadcast = share(spark, model)  # at most MAX_LANGUAGES trees of SAMPLE_BYTES each
+    broadcast = share(spark, model)  # tables of at most TOTAL_BYTES grams, and TABLE_ENTRIES numbers
 
     def run(parts):
         import pyarrow as pa
@@ -218,13 +276,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> Model:
-    return Model(sample(labelled, key, text, language))
+    batches(labelled.sparkSession)
+    return Model(counted(sample(labelled, key, text, language)))
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
     """Learn from rows whose id isn't held out and predict every row."""
-    model = fit(docs.where(remainder(F.col(key)) != 2), key, text, language)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    model = fit(docs.where(remainder(F.col(f"`{key}`")) != 2), key, text, language)
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     return predict(rows, model, "text").select(F.col("key").alias(key), (remainder(F.col("key")) == 2).alias("held_out"), "lang_pred", "score")
 
 

@@ -293,7 +293,7 @@ def test_language_model():
     """Code lengths are the sums of the escape costs, for seen and unseen grams and across blocks."""
     import math
 
-    tree = language_id.Tree([b"abcabd", b"abx"])
+    tree = language_id.Tree.of([b"abcabd", b"abx"])
 
     def cost(context, symbol):
         rest = 0.0
@@ -318,7 +318,7 @@ def test_language_model():
     for gram in (b"\n\n\na", b"abca"[:4], b"cabd", b"zzzz", b"abcz", b"\nabq"):
         g = np.array([int.from_bytes(gram[-4:].rjust(4, b"\n"), "big")], np.uint32)
         assert abs(tree.cost(g)[0] - cost(gram[-4:-1], gram[-1])) < 1e-9
-    model = language_id.Model({"a": [b"abcabd" * 50], "b": [b"xyzxyw" * 50]})
+    model = language_id.Model.of({"a": [b"abcabd" * 50], "b": [b"xyzxyw" * 50]})
     text = b"abcxyzabd" * 30
     whole = model.code_lengths(text)
     assert np.allclose(model.many([b"q", text, b""])[1], whole)
@@ -347,6 +347,24 @@ def test_language(spark, clashing, empty):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_language_of_one_hot_id_and_a_small_table(spark, monkeypatch):
+    """Rows that share an id, long texts and a table too small for all grams change nothing but the time."""
+    rng = random.Random(6)
+    text = lambda own, n=30: " ".join("".join(rng.choice(own) for _ in range(3)) for _ in range(n))
+    known = {"aa": ["ka", "mo", "ti", "ru"], "bb": ["sch", "ung", "ein", "ver"]}
+    hot = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(hot, text(known[k]), k, "s", 0) for k in known for _ in range(300)] + [(None, text(known["aa"], 40000), "aa", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = language_id.identify(docs)
+    truth = docs.groupBy("lang").count().collect()
+    assert sorted((r["lang_pred"], r["count"]) for r in found.groupBy("lang_pred").count().collect()) == sorted(map(tuple, truth))
+    before = sorted(map(tuple, found.select("lang_pred", F.round("score", 4)).collect()))
+    monkeypatch.setattr(language_id, "TABLE_ENTRIES", 20)
+    assert sorted(map(tuple, language_id.identify(docs).select("lang_pred", F.round("score", 4)).collect())) == before
+    sample = language_id.sample(docs, "doc_id", "text", "lang")
+    assert max(len(r["text"]) for r in sample.collect()) == language_id.TEXT_CHARS
+
+
 def test_language_on_given_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     both = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
