@@ -6,9 +6,11 @@ families and `unknown`.  It is trained here, once per process, on sentences
 made by rule from the family names and notices below, and on sentences that
 aren't licences.  The threshold for a family is calibrated on held-out made
 sentences: the smallest posterior at which nothing unknown passes, at least
-one half.  A prediction counts when its posterior reaches the threshold and a
-template of the family is found in the paragraph (all of the template's words
-in MIN_SIMILARITY of its length).
+one half.  Sentences that aren't licences are parted into training and held-out
+ones by themselves, so none is in both.  A prediction counts when its posterior reaches the
+threshold and a template of the family is found in the paragraph: MIN_SIMILARITY
+of the template's pairs of neighbouring words stand there as neighbours (a
+template of one word stands there itself).
 
 Only n-grams with a positive weight for a family can move a paragraph away
 from `unknown`; paragraphs without any are told apart by one regular
@@ -61,6 +63,12 @@ NOTICES = {
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "GPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
     "MIT": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
+    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "AGPL": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "LGPL": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License"],
+    "CC0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "Apache": ["You may not use this file except in compliance with the License. You may obtain a copy of the License at apache.org"],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"],
     "Unlicense": ["This is free and unencumbered software released into the public domain"],
 }
@@ -74,7 +82,8 @@ OTHER = [
     "You need a driving license to rent a car.", "The license fee is due every year.", "The institute in Massachusetts published a study.", "The apache helicopter landed.", "He spoke of general public opinion.",
     "Wir fahren mit dem Zug und kommen mit dem Rad zurück.", "Die Lizenz wurde erteilt.", "La licence de pêche est valable un an.", "El permiso se concede por un año.", "She cc'd the manager by mistake at 4.0.",
     "The attribution of the painting is unknown.", "Version 2.0 of the software was released in March.", "Permission to enter was granted by the guard.", "Free software is software that you can change.",
-    "The terms of the treaty were published.", "This program is on television tonight.", "See the appendix for details.", "The public domain of science grows.", "Mozilla and Eclipse are names of programs.",
+    "The MIT faculty renewed the library license for another year.", "Students of the MIT asked for a license.", "A public license to fish in the lake is free of charge.", "The foundation published a general report on free software.",
+    "You may not use this room except in compliance with the house rules.", "Redistribution of the seats was permitted under certain conditions.", "The terms of the treaty were published.", "This program is on television tonight.", "See the appendix for details.", "The public domain of science grows.", "Mozilla and Eclipse are names of programs.",
 ]
 
 
@@ -90,7 +99,7 @@ def examples() -> list[tuple[str, str]]:
     made = [(family, frame.format(name)) for family, names in FAMILIES.items() for name in names for frame in FRAMES]
     made += [(family, notice) for family, notices in NOTICES.items() for notice in notices for _ in range(3)]
     blank = ["new plan", "old agreement", "terms below", "house rules", "first edition", "editor's name", "committee", "city council", "school license", "general license", "public license office", "GNU project", "by 4.0 percent"]
-    return made + [(UNKNOWN, s) for s in OTHER for _ in range(8)] + [(UNKNOWN, frame.format(x)) for frame in FRAMES for x in blank]
+    return made + [(UNKNOWN, s) for s in OTHER] + [(UNKNOWN, frame.format(x)) for frame in FRAMES for x in blank]
 
 
 class Model:
@@ -100,9 +109,12 @@ class Model:
         import numpy as np
 
         self.families = [UNKNOWN, *FAMILIES]
-        rows = [(self.families.index(y), grams(words(t))) for y, t in examples()]
-        fit = [r for i, r in enumerate(rows) if zlib.crc32(str(i).encode()) % 5]
-        held = [r for i, r in enumerate(rows) if not zlib.crc32(str(i).encode()) % 5]
+        # Sentences that aren't licences are few, and so are notices: each counts several times in training.
+        notices = {x for own in NOTICES.values() for x in own}
+        rows = [(self.families.index(y), grams(words(t)), 8 if t in OTHER else 6 if t in notices else 1, zlib.crc32(t.encode()) % 5) for y, t in dict.fromkeys(examples())]
+        # The threshold is about unknown sentences only, so those alone are held out.
+        fit = [(k, own) for k, own, often, part in rows if k or part for _ in range(often)]
+        held = [(k, own) for k, own, _, part in rows if not k and not part]
         often: dict[str, int] = {}
         for _, own in fit:
             for g in own:
@@ -153,7 +165,7 @@ class Model:
         k = max(range(len(p)), key=lambda k: (p[k], -k))
         if not k or p[k] < self.threshold:
             return UNKNOWN, False
-        own = set(words(paragraph))
+        own = set(pairs(words(paragraph)))
         return self.families[k], any(len(own & set(t)) >= MIN_SIMILARITY * len(t) for t in templates()[self.families[k]])
 
 
@@ -162,22 +174,28 @@ def model() -> Model:
     return Model()
 
 
+def pairs(tokens: list[str]) -> list[str]:
+    """Pairs of neighbouring words, and the single words."""
+    return [*tokens, *(f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False))]
+
+
 def templates() -> dict[str, list[list[str]]]:
-    """Distinct words of each family's names and notices."""
-    return {f: [sorted(set(words(x))) for x in [*names, *NOTICES.get(f, [])]] for f, names in FAMILIES.items()}
+    """Distinct pairs of neighbouring words of each family's names and notices; the word itself where there is one."""
+    return {f: [sorted(set(pairs(t)[len(t) :] or t)) for t in map(words, [*names, *NOTICES.get(f, [])])] for f, names in FAMILIES.items()}
 
 
 def possible(low: Column) -> Column:
     """Whether a lower-case text has words enough for a template to be found in it.
 
-    Of a template of n words, n - ceil(MIN_SIMILARITY * n) may be missing: if
-    none may, all are looked for, the longest first; else one of so many and
-    one more.  A text without them has no confirmed prediction.
+    Of a template of n pairs, n - ceil(MIN_SIMILARITY * n) may be missing, and
+    twice as many words: if none may, all are looked for, the longest first;
+    else one of so many and one more.  A text without them has no confirmed
+    prediction.
     """
     out = F.lit(False)
     for template in {tuple(t) for ts in templates().values() for t in ts}:
-        missing = len(template) + math.floor(-MIN_SIMILARITY * len(template))
-        by_length = sorted(template, key=lambda w: (-len(w), w))
+        missing = 2 * (len(template) + math.floor(-MIN_SIMILARITY * len(template)))
+        by_length = sorted({w for pair in template for w in pair.split()}, key=lambda w: (-len(w), w))
         if missing:
             own = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in by_length[: missing + 1]])
         else:
@@ -207,7 +225,8 @@ def score(line: Column) -> Column:
     def sums(padded: Column) -> Column:
         return F.aggregate(vocabulary, array(m.bias), lambda acc, x: F.when(F.contains(padded, x["g"]), F.zip_with(acc, x["w"], lambda a, b: a + b)).otherwise(acc))
 
-    def judged(own: Column, z: Column) -> Column:
+    def judged(single: Column, z: Column) -> Column:
+        own = F.concat(single, F.zip_with(single, F.slice(single, F.lit(2), F.greatest(F.size(single) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
         best = F.array_position(z, F.array_max(z)).cast("int")
         posterior = 1 / F.aggregate(F.transform(z, lambda v: F.exp(v - F.array_max(z))), F.lit(0.0), lambda a, v: a + v)
         alike = F.array_max(F.transform(F.element_at(table, best), lambda t: F.size(F.array_intersect(t, own)) / F.size(t)))

@@ -373,6 +373,7 @@ def test_language_on_given_documents(spark, sf):
 
 def test_licenses(spark, docs, empty):
     cases = {
+        "The MIT faculty renewed the library license for another year.": "", "The MIT board met, and a fishing license was sold.": "", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL",
         "Licensed under the Apache License, Version 2.0.": "Apache", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
         "This work is licensed under the GNU General Public License, version 3.": "GPL", "All rights reserved.": "", "Wir fahren mit dem Zug.": "", "A driving license is needed.": "",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "MIT",
@@ -388,6 +389,11 @@ def test_licenses(spark, docs, empty):
     each = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["paragraph"], r["family"]) for r in each} == {(i, 1, f) for i, f in enumerate(cases.values()) if f} | {(92, 0, "MIT")}
     assert licenses.document_table(empty).collect() == []
+    assert licenses.document_table(docs.union(docs)).count() == 2 * docs.count()
+    named = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("key", "found", "paragraph", "family")})
+    assert {r["doc_id"]: r for r in licenses.document_table(named).collect()} == found
+    parts = {t: zlib.crc32(t.encode()) % 5 for _, t in licenses.examples()}
+    assert 0 < sum(p == 0 for p in parts.values()) < len(parts)
 
 
 def test_license_scores_match_plain_python(spark):
