@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import folds
+from ..functions import folds, policy
 from ..functions import text as T
 
 
@@ -26,8 +26,7 @@ def scientific(c: Column) -> Column:
 def postprocess(df: DataFrame, text: str = "text", doc_type: str | None = None, indexing: bool = False) -> DataFrame:
     """Artifacts, entities, hyphens, comments, stitching, document type, repeated lines, indexing.
 
-    The steps that can are column expressions; stitching and the policy
-    clean-up are one Arrow pass each.
+    All but stitching and numeric entities are column expressions.
     """
     hexed = folds.udf(_hex_entities, "string")
     c = T.letter_artifacts(F.col(text))
@@ -37,7 +36,7 @@ def postprocess(df: DataFrame, text: str = "text", doc_type: str | None = None,
     if doc_type == "scientific_paper":
         df = df.withColumn(text, scientific(F.col(text)))
     elif doc_type == "policy_advocacy":
-        df = df.withColumn(text, folds.udf(folds.clean_policy, "string")(F.col(text)))
+        df = df.withColumn(text, policy.clean_policy(F.col(text)))
     df = df.withColumn(text, T.drop_repeated_lines(F.col(text)))
     return df.withColumn(text, T.indexing_cleanup(F.col(text))) if indexing else df
 

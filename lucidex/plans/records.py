@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import folds
+from ..functions import folds, policy
 from ..functions import metadata as M
 from ..functions import text as T
 from ..operators import layout as L
@@ -71,8 +71,7 @@ def extract_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def extract_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    find = folds.udf(folds.authors, "array<struct<name:string,surname:string,email:string>>")
-    return docs(spark, sf_dir, "text").select("doc_id", F.to_json(find(F.concat(F.lit("Ann Lee, Bo Chu and Carl May\n"), "text"))).alias("authors"))
+    return docs(spark, sf_dir, "text").select("doc_id", F.to_json(policy.authors(F.concat(F.lit("Ann Lee, Bo Chu and Carl May\n"), "text"))).alias("authors"))
 
 
 @query(r"SELECT doc_id, nullif(regexp_extract(text, '([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\s+Journal)', 1), '') AS journal FROM (SELECT doc_id, 'A Small Town Journal' || chr(10) || text AS text FROM documents)")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import folds
+from ..functions import folds, policy
 from ..functions import text as T
 from .registry import query, table
 
@@ -62,7 +62,7 @@ add("duplicate_ratio", lambda c: T.duplicate_ratio(spread(c)), f"(SELECT CASE WH
 add("chunk_documents", lambda c: F.array_join(T.chunks(spread(c)), "|"), None)
 add("stitch_paragraphs", folds.udf(folds.stitch_paragraphs, "string"), None)
 add("strip_toc", folds.udf(folds.strip_toc, "string"), None)
-add("clean_policy", folds.udf(folds.clean_policy, "string"), None)
+add("clean_policy", policy.clean_policy, None)
 add("strip_footnotes_heading", lambda c: T.strip_footnotes_heading(F.concat(c, F.lit("\n# Footnotes\n1 note"))), None)
 add("strip_references_heading", lambda c: T.strip_references_heading(F.concat(c, F.lit("\nReferences\n1. A."))), "CASE WHEN length(text) + 1 > floor((length(text) + 17) * 0.4) THEN " + _TRIM.format("text") + " ELSE text || chr(10) || 'References' || chr(10) || '1. A.' END")
 

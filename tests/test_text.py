@@ -8,7 +8,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lucidex.functions import folds
+from lucidex.functions import folds, policy
 from lucidex.functions import text as T
 
 
@@ -115,9 +115,17 @@ def test_toc():
     assert folds.strip_toc("") == ""
 
 
-def test_footnotes():
+def one(spark, c, text):
+    return spark.createDataFrame([(text,)], "text string").select(c(F.col("text")).alias("x")).first()["x"]
+
+
+def test_footnotes(spark):
     text = "Intro text\n\nBody two\n\n3 See: Regulation of 2019\n\nTail\n\n4 Other https://x.org 2020"
-    assert folds.clean_policy(text).endswith("# Footnotes\n\n3 See: Regulation of 2019\n\n4 Other https://x.org 2020")
+    assert one(spark, policy.clean_policy, text) == "Intro text\n\nTail\n\n# Footnotes\n\n3 See: Regulation of 2019\n\n4 Other https://x.org 2020"
+    # A citation and the next numbered text in one line; a labelled section; one citation twice.
+    text = "ACME-7 EU GROUP\nBody one is long enough\n5 Law of 2018 (see). 6 Next text goes on\n\nEU by us\n\n# Footnotes\n\n7 Old one\n\n5 Law of 2018 (see)."
+    assert one(spark, policy.clean_policy, text) == "Body one is long enough\n6 Next text goes on\n\n# Footnotes\n\n7 Old one\n\n5 Law of 2018 (see)."
+    assert one(spark, policy.clean_policy, "") == "" and one(spark, policy.clean_policy, None) is None
     assert folds.move_labelled_footnotes("a\n\nnote \\_x\n\nb", ["note _x", "absent"]) == "a\n\nb\n\n# Footnotes\n\nnote _x"
 
 
@@ -129,6 +137,7 @@ def test_fuzzy():
     assert folds.best_sentence_ratio("abc", ["a much longer sentence"]) == 0.0
 
 
-def test_authors():
-    found = folds.authors("A Title\nAnn Lee1, Bo Chu* and Carl May\n*Correspondence: Bo Chu bo@x.org")
-    assert found == [{"name": "Ann", "surname": "Lee", "email": ""}, {"name": "Bo", "surname": "Chu", "email": "bo@x.org"}, {"name": "Carl", "surname": "May", "email": ""}]
+def test_authors(spark):
+    found = one(spark, policy.authors, "A Title\nAnn Lee1, Bo Chu* and Carl May\n*Correspondence: Bo Chu bo@x.org")
+    assert [tuple(r) for r in found] == [("Ann", "Lee", ""), ("Bo", "Chu", "bo@x.org"), ("Carl", "May", "")]
+    assert one(spark, policy.authors, "University of X, Y\nshort, a") == [] and one(spark, policy.authors, None) is None
