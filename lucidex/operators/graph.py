@@ -12,36 +12,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _joined(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+def relevant(chunks: DataFrame, rows: DataFrame, key: str = "document_id") -> DataFrame:
+    """The rows of the documents that the chunks name; do this before anything is joined to or grouped by documents."""
+    return rows.join(chunks.select(F.col("document_id").alias("named")).distinct(), F.col(key) == F.col("named"), "left_semi")
+
+
+def joined(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row for each chunk with its document: what nodes() and edges() read."""
     return chunks.join(documents, "document_id").withColumn("document", F.col("document_id").cast("string")).withColumn("chunk", F.concat(F.lit("chunk_"), F.col("position")))
 
 
-def nodes(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """One row per node; of nodes with an id the first, in chunk order, counts."""
-    rows = _joined(chunks, documents)
-    names = F.transform("authors", lambda a: a["name"])
-    base = [F.col("position"), F.col("keywords"), F.array_compact(names).alias("author_names"), "journal", "date", "document"]
-    none = [F.col("position"), F.lit(None).cast("array<string>").alias("keywords"), F.lit(None).cast("array<string>").alias("author_names"), F.lit(None).cast("string").alias("journal"), F.lit(None).cast("string").alias("date"), F.lit(None).cast("string").alias("document")]
-    no_type = F.lit(None).cast("string").alias("chunk_type")
-    chunk = rows.select(F.col("chunk").alias("id"), F.col("chunk").alias("label"), F.lit("chunk").alias("kind"), F.col("type").alias("chunk_type"), *base)
-    document = rows.select(F.col("document").alias("id"), F.coalesce("title", "document").alias("label"), F.lit("document").alias("kind"), no_type, *base)
-    journal = rows.where(F.coalesce("journal", F.lit("")) != "").select(F.concat(F.lit("journal_"), "journal").alias("id"), F.col("journal").alias("label"), F.lit("journal").alias("kind"), no_type, *none)
-    author = rows.withColumn("a", F.explode("authors")).select(F.concat(F.lit("author_"), "a.id").alias("id"), F.coalesce("a.name", F.concat(F.lit("author_"), "a.id")).alias("label"), F.lit("author").alias("kind"), no_type, *none)
-    keyword = rows.withColumn("k", F.explode("keywords")).select(F.concat(F.lit("keyword_"), "k").alias("id"), F.col("k").alias("label"), F.lit("keyword").alias("kind"), no_type, *none)
-    every = chunk.unionByName(document).unionByName(journal).unionByName(author).unionByName(keyword)
-    rest = [c for c in every.columns if c not in ("id", "position")]
-    return every.groupBy("id").agg(F.min_by(F.struct(*rest), "position").alias("first")).select("id", "first.*")
-
-
-def edges(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """(source, target), as often as a document's chunks repeat them."""
-    rows = _joined(chunks, documents)
-    return (
-        rows.select(F.col("chunk").alias("source"), F.col("document").alias("target"))
-        .union(rows.where(F.coalesce("journal", F.lit("")) != "").select("document", F.concat(F.lit("journal_"), "journal")))
-        .union(rows.select("document", F.explode("authors").alias("a")).select("document", F.concat(F.lit("author_"), "a.id")))
-        .union(rows.select("document", F.explode("keywords").alias("k")).select("document", F.concat(F.lit("keyword_"), "k")))
-    )
+def nodes(rows: DataFrame) -> DataFrame:
+    """One row per node of joined() rows; of nodes with an id the first, in chunk order, counts."""
+    text, words = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    names = F.array_compact(F.transform("authors", lambda a: a["name"]))
+
+    def node(key: Column, label: Column, kind: str, chunk_type: Column = text, own: bool = False) -> Column:
+        facts = {"keywords": F.col("keywords"), "author_names": names, "journal": F.col("journal"), "date": F.col("date"), "document": F.col("document")} if own else {"keywords": words, "author_names": words, "journal": text, "date": text, "document": text}
+        return F.struct(key.alias("id"), label.alias("label"), F.lit(kind).alias("kind"), chunk_type.alias("chunk_type"), *[c.alias(n) for n, c in facts.items()])
+
+    journal = F.when(F.coalesce("journal", F.lit("")) != "", F.array(node(F.concat(F.lit("journal_"), "journal"), F.col("journal"), "journal")))
+    author = F.transform("authors", lambda a: node(F.concat(F.lit("author_"), a["id"]), F.coalesce(a["name"], F.concat(F.lit("author_"), a["id"])), "author"))
+    keyword = F.transform("keywords", lambda k: node(F.concat(F.lit("keyword_"), k), k, "keyword"))
+    fixed = F.array(node(F.col("chunk"), F.col("chunk"), "chunk", F.col("type"), True), node(F.col("document"), F.coalesce("title", "document"), "document", text, True))
+    empty = F.filter(fixed, lambda x: F.lit(False))
+    every = F.concat(fixed, *[F.coalesce(x, empty) for x in (journal, author, keyword)])
+    return rows.select("position", F.explode(every).alias("node")).groupBy(F.col("node.id").alias("id")).agg(F.min_by("node", "position").alias("first")).select("first.*")
+
+
+def edges(rows: DataFrame) -> DataFrame:
+    """(source, target) of joined() rows, as often as a document's chunks repeat them."""
+    edge = lambda a, b: F.struct(a.alias("source"), b.alias("target"))
+    document = F.col("document")
+    fixed = F.array(edge(F.col("chunk"), document))
+    empty = F.filter(fixed, lambda x: F.lit(False))
+    journal = F.when(F.coalesce("journal", F.lit("")) != "", F.array(edge(document, F.concat(F.lit("journal_"), "journal"))))
+    author = F.transform("authors", lambda a: edge(document, F.concat(F.lit("author_"), a["id"])))
+    keyword = F.transform("keywords", lambda k: edge(document, F.concat(F.lit("keyword_"), k)))
+    return rows.select(F.explode(F.concat(fixed, *[F.coalesce(x, empty) for x in (journal, author, keyword)])).alias("e")).select("e.*")
 
 
 def _within(kinds: tuple[str, ...], condition: Column) -> Column:
@@ -98,12 +106,15 @@ def filtered(node_rows: DataFrame, edge_rows: DataFrame, condition: Column) -> t
 
 def facet_options(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """One row: sorted distinct values of each facet, first and last date."""
-    rows = _joined(chunks, documents)
-    values = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return rows.agg(
-        F.array_sort(F.collect_set("type")).alias("chunk_types"), F.array_sort(F.collect_set("document")).alias("documents"), F.array_sort(F.collect_set("journal")).alias("journals"),
-        values(F.col("keywords")).alias("keywords"), values(F.transform("authors", lambda a: F.coalesce(a["name"], F.concat(F.lit("author_"), a["id"])))).alias("authors"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-    )
+    rows = joined(chunks, documents)
+    # Values are made single before they come together, so no row holds every chunk's lists.
+    each = lambda kind, c: F.transform(c, lambda x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("value")))
+    names = F.transform("authors", lambda a: F.coalesce(a["name"], F.concat(F.lit("author_"), a["id"])))
+    lists = {"chunk_types": F.array("type"), "documents": F.array("document"), "journals": F.array("journal"), "keywords": F.col("keywords"), "authors": names, "dates": F.array("date")}
+    found = rows.select(F.explode(F.flatten(F.array_compact(F.array(*[each(k, c) for k, c in lists.items()])))).alias("x")).select("x.*").where("value is not null").distinct()
+    values = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("value")))).alias(kind)
+    date = F.when(F.col("kind") == "dates", F.col("value"))
+    return found.agg(*[values(k) for k in lists if k != "dates"], F.min(date).alias("first_date"), F.max(date).alias("last_date"))
 
 
 def metadata_text(entries: Column, hidden: tuple[str, ...] = ("timeStamp",)) -> Column:

@@ -40,8 +40,9 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.context_chunks(top, "document_id", "content").select("position", "type", "document_id")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(
+def documents(spark: SparkSession, sf_dir: str, named: DataFrame) -> DataFrame:
+    """The documents of the named chunks; only their rows meet the authors."""
+    rows = G.relevant(named, table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select(
         F.col("doc_id").alias("document_id"), F.concat(F.lit("Title "), "doc_id").alias("title"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("Journal "), F.col("doc_id") % 2)).alias("journal"),
         F.concat(F.lit("20"), F.lpad((10 + F.col("doc_id") % 10).cast("string"), 2, "0"), F.lit("-01")).alias("date"), F.array(F.concat(F.lit("kw"), F.col("doc_id") % 3), F.col("lang")).alias("keywords"),
         F.explode(F.array(F.col("doc_id") % 3 + 1, F.col("doc_id") % 2 + 200000)).alias("a"),
@@ -52,8 +53,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    c, d = chunks(spark, sf_dir), documents(spark, sf_dir)
-    return G.nodes(c, d), G.edges(c, d)
+    c = chunks(spark, sf_dir)
+    rows = G.joined(c, documents(spark, sf_dir, c))
+    return G.nodes(rows), G.edges(rows)
 
 
 def _ids(condition):
@@ -112,7 +114,8 @@ def graph_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT array_to_string(list_sort(list(DISTINCT type)), ',') AS chunk_types, array_to_string(list_sort(list(DISTINCT document_id::VARCHAR)), ',') AS documents, array_to_string(list_sort(list(DISTINCT journal) FILTER (WHERE journal IS NOT NULL)), ',') AS journals,
   (SELECT array_to_string(list_sort(list(DISTINCT k)), ',') FROM (SELECT unnest(keywords) AS k FROM {_J})) AS keywords, min(date) AS first_date, max(date) AS last_date FROM {_J}""")
 def facet_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = G.facet_options(chunks(spark, sf_dir), documents(spark, sf_dir))
+    c = chunks(spark, sf_dir)
+    rows = G.facet_options(c, documents(spark, sf_dir, c))
     return rows.select(*[F.array_join(c, ",").alias(c) for c in ("chunk_types", "documents", "journals", "keywords")], "first_date", "last_date")
 
 

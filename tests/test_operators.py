@@ -62,7 +62,8 @@ def graph(spark):
         [(1, "One", "J", "2020-01", ["k1", "k2"], [("7", "Ann"), ("8", None)]), (2, None, None, None, ["k2"], [("7", "Ann")]), (3, "Unseen", "J", "2020", ["k9"], [])],
         "document_id long, title string, journal string, date string, keywords array<string>, authors array<struct<id:string,name:string>>",
     )
-    return G.nodes(chunks, documents), G.edges(chunks, documents)
+    rows = G.joined(chunks, documents)
+    return G.nodes(rows), G.edges(rows)
 
 
 def test_graph(graph):
