@@ -23,12 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, by_value, materialize, share, shared, text_bytes
+from .common import batches, by_value, fresh, materialize, share, shared, text_bytes
 
 WINDOW = 10
 
-#: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one broadcast block; its windows take about ten times as much memory.
+BLOCK_BYTES = 8 << 20
+
+#: Columns that scan() adds.
+NAMES = ("_n_words", "_spans", "_items")
 
 _WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
@@ -37,23 +40,33 @@ _BASE = 0x9E3779B97F4A7C15
 
 
 class GramSet:
-    """Windows of one block of items: word numbers, hashes per length, and items per window."""
+    """Windows of one block of items in arrays: by length their hashes in order, their word numbers, and their items."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
-        self.ids: dict[bytes, int] = {}
-        self.items: dict[int, dict[bytes, set]] = {}
         import numpy as np
 
-        for item_id, text in items:
+        self.ids: dict[bytes, int] = {}
+        self.names = [i for i, _ in items]
+        by: dict[int, list] = {}
+        for place, (_, text) in enumerate(items):
             words = text.translate(TO_WORDS).split()
-            if not words:
-                continue
-            n = min(window, len(words))
-            numbers = np.array([self.ids.setdefault(w, len(self.ids)) for w in words], dtype=np.int32)
-            known = self.items.setdefault(n, {})
-            for i in range(len(words) - n + 1):
-                known.setdefault(numbers[i : i + n].tobytes(), set()).update(() if item_id is None else (item_id,))
-        self.hashes = {n: np.unique(_rolled(np.concatenate([np.frombuffer(k, dtype=np.int32) for k in known]).reshape(-1, n))) for n, known in self.items.items()}
+            if words:
+                n = min(window, len(words))
+                numbers = np.array([self.ids.setdefault(w, len(self.ids)) for w in words], dtype=np.int32)
+                rows = np.lib.stride_tricks.sliding_window_view(numbers, n)
+                by.setdefault(n, []).append((rows, np.full(len(rows), place, np.int32)))
+        self.levels = {}
+        for n, parts in by.items():
+            rows = np.ascontiguousarray(np.concatenate([r for r, _ in parts]))
+            owners = np.concatenate([o for _, o in parts])
+            _, first, which = np.unique(rows.view(f"V{4 * n}").ravel(), return_index=True, return_inverse=True)
+            hashes = _rolled(rows[first])
+            order = np.argsort(hashes, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            both = np.unique(place[which] * len(items) + owners)
+            starts = np.searchsorted(both // len(items), np.arange(len(order) + 1))
+            self.levels[n] = (hashes[order], rows[first][order], starts, (both % len(items)).astype(np.int32))
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged spans [start, end) of hit words, and the ids of items with an occurring window."""
@@ -67,18 +80,20 @@ class GramSet:
             return spans, found
         breaks = np.flatnonzero(np.diff(known) > 1)
         runs = list(zip(known[np.r_[0, breaks + 1]], known[np.r_[breaks, len(known) - 1]] + 1, strict=True))
-        for n, grams in self.items.items():
+        for n, (hashes, grams, starts, owners) in self.levels.items():
             for start, end in runs:
                 if end - start < n:
                     continue
                 rows = np.lib.stride_tricks.sliding_window_view(numbers[start:end], n)
-                hashes = _rolled(rows)
-                at = np.searchsorted(self.hashes[n], hashes)
-                at[at == len(self.hashes[n])] = 0
-                for i in np.flatnonzero(self.hashes[n][at] == hashes):
-                    if (ids := grams.get(rows[i].tobytes())) is not None:
-                        found |= ids
-                        spans.append((int(start + i), int(start + i + n)))
+                own = _rolled(rows)
+                at = np.searchsorted(hashes, own)
+                for i in np.flatnonzero(hashes[np.minimum(at, len(hashes) - 1)] == own):
+                    k = at[i]
+                    while k < len(hashes) and hashes[k] == own[i]:
+                        if (grams[k] == rows[i]).all():
+                            found.update(self.names[o] for o in owners[starts[k] : starts[k + 1]] if self.names[o] is not None)
+                            spans.append((int(start + i), int(start + i + n)))
+                        k += 1
         return merged(spans), found
 
 
@@ -109,41 +124,41 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int)
     return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) for k in range(n)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with _n_words, _spans (hit word spans) and _items (ids of occurring items); no shuffle."""
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """docs with number of words, hit word spans and ids of occurring items in columns of the given names; no shuffle."""
     spark = docs.sparkSession
     batches(spark)
-    own = T.StructType([T.StructField("_n_words", T.LongType()), T.StructField("_spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("_items", T.ArrayType(T.StringType()))])
+    own = T.StructType([T.StructField(names[0], T.LongType()), T.StructField(names[1], T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField(names[2], T.ArrayType(T.StringType()))])
     kept = [f for f in docs.schema.fields if f.name not in own.names]
     df = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
     for k, block in enumerate(blocks):
         items = [(r["id"], r["text"].encode()) for r in block.collect()]  # at most about block_bytes
-        df = df.mapInArrow(_scanner(share(spark, GramSet(items, window)), text, bool(k)), T.StructType([*kept, *own.fields]))
+        df = df.mapInArrow(_scanner(share(spark, GramSet(items, window)), text, bool(k), names), T.StructType([*kept, *own.fields]))
         if k + 1 < len(blocks):
             df = materialize(df, "decontaminate")
     return df
 
 
-def _scanner(broadcast, text: str, again: bool):
+def _scanner(broadcast, text: str, again: bool, names: tuple[str, str, str]):
     def run(parts):
         import pyarrow as pa
 
         grams = shared(broadcast)
         for part in parts:
             n_words, spans, items = [], [], []
-            before = part.select(["_spans", "_items"]).to_pylist() if again else None
+            before = part.select(list(names[1:])).to_pylist() if again else None
             for i, raw in enumerate(text_bytes(part.column(text))):
                 words = (raw or b"").translate(TO_WORDS).split()
                 own, ids = grams.scan(words)
                 if before:
-                    own = merged([*own, *map(tuple, before[i]["_spans"])])
-                    ids = ids | set(before[i]["_items"])
+                    own = merged([*own, *map(tuple, before[i][names[1]])])
+                    ids = ids | set(before[i][names[2]])
                 n_words.append(len(words))
                 spans.append([list(x) for x in own])
                 items.append(sorted(ids))
-            columns = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n not in ("_n_words", "_spans", "_items")]
-            columns += [("_n_words", pa.array(n_words, pa.int64())), ("_spans", pa.array(spans, pa.list_(pa.list_(pa.int32())))), ("_items", pa.array(items, pa.list_(pa.string())))]
+            columns = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if n not in names]
+            columns += list(zip(names, (pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))), strict=True))
             yield pa.RecordBatch.from_arrays([c for _, c in columns], names=[n for n, _ in columns])
 
     return run
@@ -151,7 +166,7 @@ def _scanner(broadcast, text: str, again: bool):
 
 def flag_table(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Per document row: words, hit words, items found, their digest, contaminated or not."""
-    found = scan(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), benchmark, **options)
+    found = scan(docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")), benchmark, **options)
     hit = F.aggregate("_spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.select(
         F.col("key").alias(key), F.col("_n_words").alias("n_words"), hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
@@ -167,13 +182,14 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", what: str
     """
     if what not in ("documents", "spans"):
         raise ValueError(f"what: {what}")
-    found = scan(docs, benchmark, text=text, **options)
+    names = tuple(fresh(docs, *NAMES))
+    found = scan(docs, benchmark, text=text, names=names, **options)
     if what == "documents":
-        return found.where(F.size("_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return found.mapInArrow(_cutter(text), found.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return found.where(F.size(names[1]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.mapInArrow(_cutter(text, names[1]), found.schema).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _cutter(text: str):
+def _cutter(text: str, own: str):
     def run(parts):
         import re
 
@@ -181,7 +197,7 @@ def _cutter(text: str):
 
         for part in parts:
             out = []
-            for raw, spans in zip(text_bytes(part.column(text)), part.column("_spans").to_pylist(), strict=True):
+            for raw, spans in zip(text_bytes(part.column(text)), part.column(own).to_pylist(), strict=True):
                 if raw and spans:
                     at = [m.span() for m in re.finditer(rb"\S+", raw.translate(TO_WORDS))]
                     for a, b in reversed(spans):
