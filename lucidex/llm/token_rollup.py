@@ -8,9 +8,9 @@ version and committed under its id; totals are the sum over all batches, so
 they are additive and never recount old documents.
 
 Commits are idempotent: a batch has one folder, named by a digest of its id,
-which counts only once its _SUCCESS marker is there.  Committing an id again
-does nothing; a commit that was cut short leaves no marker and is overwritten
-by the retry.  compact() folds batches into one table with the list of batches
+which one atomic rename of a finished draft puts in place.  Committing an id
+again does nothing, of two writers the first wins, and a commit that was cut
+short leaves a draft that doesn't count.  compact() folds batches into one table with the list of batches
 that it covers, which still aren't accepted again.
 
 Tokens are counted with a public byte-level BPE vocabulary, whose file is a
@@ -29,8 +29,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import importlib
+import uuid
 from collections.abc import Iterable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,16 +99,25 @@ def with_tokens(df: DataFrame, columns: dict[str, str], name: str = TOKENIZER, p
 
 
 def signed_deltas(changes: DataFrame) -> DataFrame:
-    """One row of signed sums for each change.
+    """Rows of signed sums for each change: the old counts taken from the old group, the new ones added to the new group.
 
     changes: source, lang, tokenizer, op (insert, delete, revise), and the
     counts old_tokens, old_bytes, new_tokens, new_bytes, of which an insert
-    has no old and a delete no new ones.
+    has no old and a delete no new ones.  Columns old_source, old_lang and
+    old_tokenizer, where given, name the group that a revised document leaves.
+    Another op is an error.
     """
-    old, new = F.col("op") != "insert", F.col("op") != "delete"
-    signed = lambda c: F.when(new, F.coalesce(f"new_{c}", F.lit(0))).otherwise(0) - F.when(old, F.coalesce(f"old_{c}", F.lit(0))).otherwise(0)
-    docs = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0)
-    return changes.where(F.col("op").isin("insert", "delete", "revise")).select(*GROUP, docs.cast("long").alias("n_docs"), signed("tokens").cast("long").alias("n_tokens"), signed("bytes").cast("long").alias("n_bytes"))
+    none = F.raise_error(F.concat(F.lit("no such change: "), F.coalesce("op", F.lit("null"))))
+    op = F.when(F.col("op").isin("insert", "delete", "revise"), F.col("op")).otherwise(none)
+    known = changes.select("*", op.alias("checked_op"))
+
+    def side(sign: int, prefix: str) -> Column:
+        group = [F.col(f"old_{c}" if sign < 0 and f"old_{c}" in changes.columns else c).cast("string").alias(c) for c in GROUP]
+        return F.struct(*group, F.lit(sign).cast("long").alias("n_docs"), *[(sign * F.coalesce(f"{prefix}_{c}", F.lit(0))).cast("long").alias(f"n_{c}") for c in ("tokens", "bytes")])
+
+    own = {f"old_{c}": F.when(F.col("checked_op") == "revise", F.col(f"old_{c}")).otherwise(F.col(c)) for c in GROUP if f"old_{c}" in changes.columns}
+    rows = F.when(F.col("checked_op") == "insert", F.array(side(1, "new"))).when(F.col("checked_op") == "delete", F.array(side(-1, "old"))).otherwise(F.array(side(-1, "old"), side(1, "new")))
+    return known.withColumns(own).select(F.explode(rows).alias("x")).select("x.*") if own else known.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def summed(deltas: DataFrame) -> DataFrame:
@@ -137,26 +148,52 @@ class Rollup:
         fs, p = self._fs(self.path)
         return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
-    def covered(self) -> set[str]:
-        """Names of the folders that a base table already holds."""
+    def _move(self, draft: str, place: str) -> bool:
+        """One atomic rename; False where something is in the place already."""
+        sc = self.spark.sparkContext
+        options = sc._gateway.new_array(sc._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        fs, old = self._fs(draft)
+        new = sc._jvm.org.apache.hadoop.fs.Path(place)
+        try:
+            sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf()).rename(old, new, options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception) and not self._there(place):
+                raise
+            fs.delete(old, True)
+            return False
+        return True
+
+    def _covers(self) -> DataFrame:
+        """(folder): names of the folders that a base table already holds."""
         bases = [f"{self.path}/{n}/covers" for n in self._names() if n.startswith("base-")]
-        return {r["folder"] for r in self.spark.read.schema("folder string").parquet(*bases).collect()} if bases else set()
+        return self.spark.read.schema("folder string").parquet(*bases) if bases else self.spark.createDataFrame([], "folder string")
+
+    def covered(self, names: list[str]) -> set[str]:
+        """Those of the names that a base table already holds."""
+        known = self.spark.createDataFrame([(n,) for n in names], "folder string")
+        return {r["folder"] for r in known.join(self._covers(), "folder", "left_semi").collect()}
 
     def committed(self, batch_id: str) -> bool:
         folder = self._folder(batch_id)
-        return self._there(f"{folder}/_SUCCESS") or folder.rpartition("/")[2] in self.covered()
+        return self._there(f"{folder}/_SUCCESS") or bool(self._covers().where(F.col("folder") == folder.rpartition("/")[2]).take(1))
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add a batch once; False if its id was committed before."""
         if self.committed(batch_id):
             return False
-        summed(deltas).write.mode("overwrite").parquet(self._folder(batch_id))
-        return True
+        draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
+        summed(deltas).write.parquet(draft)
+        if self._there(self._folder(batch_id)) and not self.committed(batch_id):
+            fs, rest = self._fs(self._folder(batch_id))
+            fs.delete(rest, True)  # a folder without a marker is no batch
+        # Of two writers of one id the first to rename wins.
+        return self._move(draft, self._folder(batch_id))
 
     def batches(self) -> list[str]:
         """Names of the folders that count."""
-        gone = self.covered()
-        return [n for n in self._names() if n not in gone and (n.startswith("base-") or n.startswith("batch-") and self._there(f"{self.path}/{n}/_SUCCESS"))]
+        names = [n for n in self._names() if n.startswith("base-") or n.startswith("batch-") and self._there(f"{self.path}/{n}/_SUCCESS")]
+        gone = self.covered(names) if any(n.startswith("base-") for n in names) else set()
+        return [n for n in names if n not in gone]
 
     def _rows(self, names: list[str]) -> DataFrame:
         paths = [f"{self.path}/{n}" + "/data" * n.startswith("base-") for n in names]
@@ -172,11 +209,10 @@ class Rollup:
         if len(found) < 2:
             return
         name = hashlib.sha256("".join(found).encode()).hexdigest()[:32]
-        draft = f"{self.path}/.base-{name}"
-        summed(self._rows(found)).write.mode("overwrite").parquet(f"{draft}/data")
-        self.spark.createDataFrame([(n,) for n in sorted({*found, *self.covered()})], "folder string").coalesce(1).write.mode("overwrite").parquet(f"{draft}/covers")
-        fs, p = self._fs(draft)
-        fs.rename(p, self._fs(f"{self.path}/base-{name}")[1])
+        draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
+        summed(self._rows(found)).write.parquet(f"{draft}/data")
+        self.spark.createDataFrame([(n,) for n in found], "folder string").union(self._covers()).distinct().write.parquet(f"{draft}/covers")
+        self._move(draft, f"{self.path}/base-{name}")
 
 
 def clean(text: Column) -> Column:

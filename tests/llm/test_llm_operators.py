@@ -167,6 +167,8 @@ def test_decontamination(spark, docs, rows, clashing, empty, monkeypatch):
     assert got(decontaminate.flag_table(own, bench, block_bytes=40)) == want
     assert got(decontaminate.flag_table(empty, bench)) == []
     assert not any(r[5] for r in got(decontaminate.flag_table(own, bench.where("false"))))
+    named = own.withColumns({c: F.lit("x") for c in decontaminate.NAMES})
+    assert decontaminate.remove(named, bench).where("_spans = 'x' and _items = 'x'").count() == decontaminate.remove(own, bench).count()
     clean = decontaminate.remove(clashing, bench)
     assert clean.columns == clashing.columns
     hit = {r[0] for r in want if r[5]}
@@ -476,6 +478,21 @@ def test_rollup_commits(spark, tmp_path):
     assert got(rollup.totals()) == want and not rollup.commit("two", second)
 
 
+def test_revisions_move_groups(spark, tmp_path):
+    """A revision takes the old counts out of the group that the document leaves; another change is an error; of two writers one wins."""
+    rollup = token_rollup.Rollup(spark, str(tmp_path / "m"))
+    moved = spark.createDataFrame([("s", "fr", "t", "revise", 10, 50, 7, 40, "en"), ("s", "de", "t", "delete", 2, 3, None, None, None)], f"{CHANGES}, old_lang string")
+    first = spark.createDataFrame([("s", "en", "t", "insert", 0, 0, 10, 50), ("s", "de", "t", "insert", 0, 0, 2, 3)], CHANGES)
+    assert rollup.commit("one", token_rollup.signed_deltas(first)) and rollup.commit("two", token_rollup.signed_deltas(moved))
+    assert got(rollup.totals()) == [("s", "fr", "t", 1, 7, 40)]
+    for op in ("rename", None):
+        with pytest.raises(Exception, match="no such change"):
+            token_rollup.signed_deltas(spark.createDataFrame([("s", "en", "t", op, 0, 0, 1, 1)], CHANGES)).collect()
+    draft = str(tmp_path / "m" / ".draft-x")
+    token_rollup.signed_deltas(first).write.parquet(draft)
+    assert not rollup._move(draft, rollup._folder("one")) and got(rollup.totals()) == [("s", "fr", "t", 1, 7, 40)]
+
+
 def test_mixing(spark, empty):
     rng = random.Random(7)
     rows, labels = [], []
