@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions.text import let
 
 # Weights of metadata fields, weights and worst cases of structure.
@@ -13,6 +14,7 @@ FRAGMENTATION_WEIGHT, ORDER_WEIGHT, DUPLICATE_WEIGHT = 0.50, 0.30, 0.20
 WORST_FRAGMENTATION, WORST_DUPLICATE = 0.40, 0.20
 METADATA_CHARS = 5000
 MATCH = 0.80
+FUZZY, CONTENT_FUZZY = 0.70, 0.70
 MIN_MATCHED = 3
 
 
@@ -37,10 +39,11 @@ def structural_quality(fragmentation: Column, order: Column, duplicates: Column)
 
 def concordance(positions: Column) -> Column:
     """Share of pairs of a list of places that are in rising order; null under two."""
-    return let(positions, _concordance)
+    return folds.udf(folds.rising_share, "double")(positions)
 
 
-def _concordance(positions: Column) -> Column:
+def few_concordance(positions: Column) -> Column:
+    """concordance() of a short list, by comparing all its pairs in the row."""
     n = F.size(positions)
     pairs = F.aggregate(F.transform(positions, lambda p, i: F.size(F.filter(F.slice(positions, i + 2, F.greatest(n, F.lit(1))), lambda q: q > p))), F.lit(0), lambda a, b: a + b)
     return F.when(n >= 2, pairs / (n * (n - 1) / 2))
@@ -53,7 +56,7 @@ def section_order(text: Column, expected: Column) -> Column:
     def score(headings: Column) -> Column:
         place = lambda e: F.array_position(F.transform(headings, lambda h: F.when(h.contains(e) | e.contains(h), 1).otherwise(0)), F.lit(1))
         places = F.filter(F.transform(expected, lambda e: place(F.lower(e))), lambda p: p > 0)
-        return F.when((F.size(expected) >= 2) & (F.size(headings) > 0), F.round(concordance(places), 4))
+        return F.when((F.size(expected) >= 2) & (F.size(headings) > 0), F.round(let(places, few_concordance), 4))
 
     return let(found, score)
 
@@ -79,6 +82,64 @@ def order_score(matches: DataFrame, key: str) -> DataFrame:
     return own.select(key, F.when(F.size("p") >= MIN_MATCHED, F.round(concordance(F.col("p")) * F.size("p") / F.col("n"), 4)).alias("order_score"))
 
 
+def sentence_matches(needles: Column, sentences: Column) -> Column:
+    """array<struct<ratio, place>>: the best match of each needle among the sentences of the same document."""
+    return folds.udf(folds.best_matches, "array<struct<ratio:double,place:int>>")(needles, sentences)
+
+
+def weighted_share(matches: Column, empty: float) -> Column:
+    """Sum of the ratios of at least MATCH over all matches; a given value where there is nothing to match."""
+    total = F.aggregate(F.filter(matches, lambda m: m["ratio"] >= MATCH), F.lit(0.0), lambda n, m: n + m["ratio"])
+    return F.when(F.size(matches) > 0, F.round(total / F.size(matches), 4)).otherwise(F.lit(empty))
+
+
+def fuzzy_order(matches: Column) -> Column:
+    """Concordance of the matched places times coverage; null under MIN_MATCHED matches."""
+    places = F.transform(F.filter(matches, lambda m: m["ratio"] >= MATCH), lambda m: m["place"])
+    return F.when(F.size(places) >= MIN_MATCHED, F.round(concordance(places) * F.size(places) / F.size(matches), 4))
+
+
+def fuzzy_scores(df: DataFrame, extracted: str, reference: str) -> DataFrame:
+    """df with recall, precision and order of the arrays of sentences in two columns."""
+    recalled, precise = fresh_pair(df)
+    own = df.withColumn(recalled, sentence_matches(F.col(reference), F.col(extracted))).withColumn(precise, sentence_matches(F.col(extracted), F.col(reference)))
+    scores = {"recall": weighted_share(F.col(recalled), 1.0), "precision": weighted_share(F.col(precise), 0.0), "order": fuzzy_order(F.col(recalled))}
+    return own.withColumns(scores).drop(recalled, precise)
+
+
+def fresh_pair(df: DataFrame) -> tuple[str, str]:
+    name = "matches"
+    while any(c.startswith(name) for c in df.columns):
+        name += "_"
+    return f"{name}1", f"{name}2"
+
+
+def ratios(text: Column, wanted: Column) -> Column:
+    """The best ratio of each wanted passage in the text; without Python where all are there as they are."""
+    wanted = F.coalesce(wanted, F.array().cast("array<string>"))
+    there = F.forall(wanted, lambda w: F.contains(F.lower(text), F.lower(w)))
+    return F.when(there, F.transform(wanted, lambda w: F.lit(1.0))).otherwise(folds.udf(folds.fuzzy_ratios, "array<double>")(text, wanted))
+
+
+def _mean(values: Column, digits: int) -> Column:
+    return F.round(F.aggregate(values, F.lit(0.0), lambda a, b: a + b) / F.size(values), digits)
+
+
+def author_accuracy(text: Column, expected: Column) -> Column:
+    """struct(recall, avg_ratio) of expected names in the first METADATA_CHARS characters; zeros where none is expected."""
+    return let(ratios(F.substring(text, 1, METADATA_CHARS), expected), lambda r: F.when(F.size(r) > 0, F.struct(F.round(F.size(F.filter(r, lambda x: x >= FUZZY)) / F.size(r), 4).alias("recall"), _mean(r, 4).alias("avg_ratio"))).otherwise(F.struct(F.lit(0.0).alias("recall"), F.lit(0.0).alias("avg_ratio"))))
+
+
+def keyword_accuracy(text: Column, expected: Column) -> Column:
+    """struct(recall, avg_ratio) of expected keywords in the text; null where none is expected."""
+    return let(ratios(text, F.array_distinct(F.transform(expected, lambda k: F.lower(F.trim(k))))), lambda r: F.when(F.size(r) > 0, F.struct(F.round(F.size(F.filter(r, lambda x: x >= FUZZY)) / F.size(r), 4).alias("recall"), _mean(r, 4).alias("avg_ratio"))))
+
+
+def continuity(text: Column, passages: Column) -> Column:
+    """struct(found, total, avg_ratio) of passages that should stand in one piece; zeros where there are none."""
+    return let(ratios(text, passages), lambda r: F.struct(F.size(F.filter(r, lambda x: x >= CONTENT_FUZZY)).alias("found"), F.size(r).alias("total"), F.when(F.size(r) > 0, _mean(r, 3)).otherwise(F.lit(0.0)).alias("avg_ratio")))
+
+
 def presence(text: Column, passage: Column) -> Column:
     """found or not_found by a substring in any case; n/a without a passage."""
     return F.when(passage.isNull(), "n/a").when(F.contains(F.lower(text), F.lower(passage)), "found").otherwise("not_found")

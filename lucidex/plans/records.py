@@ -236,6 +236,29 @@ def order_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.order_score(Q.exact_matches(back, own, "doc_id"), "doc_id")
 
 
+@query()
+def fuzzy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document, with a word respelt and one left out, against itself."""
+    edited = F.regexp_replace(F.regexp_replace("text", r"\bof\b", "off"), r"\bwas ", "")
+    rows = docs(spark, sf_dir, "text").select("doc_id", T.sentences(edited).alias("extracted"), T.sentences(F.col("text")).alias("reference"))
+    return Q.fuzzy_scores(rows, "extracted", "reference").select("doc_id", "recall", "precision", "order")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS recall FROM documents WHERE text IS NOT NULL")
+def author_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text's own start, and for every other document a name that no text has."""
+    own = F.substring("text", 1, 20)
+    expected = F.when(F.col("doc_id") % 2 == 0, F.array(own, F.lit("Zzyzx Qwvkj"))).otherwise(F.array(own))
+    return docs(spark, sf_dir, "text").where("text is not null").select("doc_id", Q.author_accuracy(F.col("text"), expected)["recall"].alias("recall"))
+
+
+@query("SELECT doc_id, 1 AS found, 2 AS total FROM documents WHERE text IS NOT NULL")
+def continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A passage of the text itself and one that no text has."""
+    found = Q.continuity(F.col("text"), F.array(F.substring("text", 11, 40), F.lit("Zzyzx Qwvkj 99999")))
+    return docs(spark, sf_dir, "text").where("text is not null").select("doc_id", found.alias("x")).select("doc_id", "x.found", "x.total")
+
+
 @query("SELECT doc_id, CASE WHEN w = 0 THEN 0.0 ELSE round(s / w * 100, 1) END AS score FROM (SELECT doc_id, 20 + 20 + CASE WHEN d IS NULL THEN 0 ELSE 15 END + 10 AS w, 20 * t + 20 * a + coalesce(15 * d, 0) + 10 * y AS s FROM (SELECT doc_id, (quality)::DOUBLE AS t, (doc_id % 5) / 4.0::DOUBLE AS a, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE toxic::DOUBLE END AS d, (doc_id % 2)::DOUBLE AS y FROM labels))")
 def metadata_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -247,3 +248,45 @@ def test_plans(spark, sf):
     assert "ReadSchema: struct<doc_id:bigint,lang:string,source:string>" in plan("doc_type_filter") and "PushedFilters: [IsNotNull(lang), EqualTo(lang,de)]" in plan("doc_type_filter")
     assert "Exchange" not in plan("remove_repeated_lines") and "Python" not in plan("remove_repeated_lines")
     assert "Exchange" not in plan("isolated_lines")
+
+
+def test_fuzzy_scores_against_plain_python(spark):
+    """Matches, weighted shares and order by the standard library's ratio over all pairs."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(8)) for _ in range(12)]
+    edit = lambda s: s.replace("a", "e", rng.randrange(4))
+    rows = [(0, [edit(s) for s in base[:9]], base), (1, base[::-1], base), (2, [], base), (3, base, []), (4, [edit(base[3]), base[1], base[2], base[0]], base[:5])]
+    got = {r["i"]: r for r in Q.fuzzy_scores(spark.createDataFrame(rows, "i int, e array<string>, r array<string>"), "e", "r").collect()}
+
+    def best(needle, sentences):
+        if needle in sentences:
+            return 1.0, sentences.index(needle)
+        found = (0.0, -1)
+        for k, s in enumerate(sentences):
+            if abs(len(needle) - len(s)) <= 0.5 * len(needle) and (x := SequenceMatcher(None, needle, s).ratio()) > found[0]:
+                found = (x, k)
+                if x >= 0.95:
+                    break
+        return found
+
+    for i, e, r in rows:
+        mine, back = [best(x, e) for x in r], [best(x, r) for x in e]
+        share = lambda m, empty: round(sum(x for x, _ in m if x >= 0.8) / len(m), 4) if m else empty
+        assert (got[i]["recall"], got[i]["precision"]) == (share(mine, 1.0), share(back, 0.0))
+        at = [p for x, p in mine if x >= 0.8]
+        rising = sum(a < b for k, a in enumerate(at) for b in at[k + 1 :])
+        want = round(rising / (len(at) * (len(at) - 1) / 2) * len(at) / len(r), 4) if len(at) >= 3 else None
+        assert got[i]["order"] == want
+
+
+def test_expected_names_and_passages(spark):
+    df = spark.createDataFrame([("Ann Lee and Bo Chu wrote this text on tea",)], "t string")
+    row = lambda c: df.select(c.alias("x")).first()["x"]
+    array = lambda *xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
+    assert tuple(row(Q.author_accuracy(F.col("t"), array("ann lee", "Bo Chu")))) == (1.0, 1.0)
+    assert row(Q.author_accuracy(F.col("t"), array("ann lee", "Qwvkj Zzz")))["recall"] == 0.5
+    assert tuple(row(Q.author_accuracy(F.col("t"), array()))) == (0.0, 0.0) and row(Q.keyword_accuracy(F.col("t"), array())) is None
+    assert tuple(row(Q.continuity(F.col("t"), array("wrote this", "wrote thus text")))) [:2] == (2, 2)
+    assert tuple(row(Q.continuity(F.col("t"), F.lit(None).cast("array<string>")))) == (0, 0, 0.0)
