@@ -62,6 +62,9 @@ MAIN_SHARE = 0.9
 CHUNK_TOKENS = 300_000
 MAP_BITS = 24
 
+#: Stands for the tag itself among the words of a path.
+TAG = "<\n"
+
 # HTML and MathML element names and customary class and id words.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math mfrac mi mn mo mover mroot mrow ms msqrt msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
@@ -168,20 +171,35 @@ def walk(source: str) -> Iterator[tuple[str, Node | None, str]]:
         yield "open", node, ""
 
 
-def tokens(source: str) -> dict[str, list[int]]:
-    """[occurrences, characters of text below outside links and boilerplate] of each token: "<path" of a tag, "word path" of a word."""
-    out: dict[str, list[int]] = {}
+def structure(source: str) -> dict[str, list]:
+    """{path: [occurrences of its tag, characters of text below outside links and boilerplate, {word: occurrences}]}."""
+    out: dict[str, list] = {"": [0, 0, {}]}
     for kind, node, text in walk(source):
+        own = out.get(node.path)
+        if own is None:
+            own = out[node.path] = [0, 0, {}]
         if kind == "open":
-            out.setdefault(f"<{node.path}", [0, 0])[0] += 1
+            own[0] += 1
         elif kind == "text" and (words := text.split()):
             for word in words:
-                out.setdefault(f"{word} {node.path}", [0, 0])[0] += 1
-            path = "" if node.boiler else node.path
-            while path:
-                if own := out.get(f"<{path}"):
-                    own[1] += sum(map(len, words))
-                path = path.rpartition("/")[0]
+                own[2][word] = own[2].get(word, 0) + 1
+            if not node.boiler:
+                own[1] += sum(map(len, words))
+    # Characters of a path go to the paths above it too, the longest first.
+    for path in sorted(out, key=len, reverse=True):
+        above = path.rpartition("/")[0]
+        if path and above in out:
+            out[above][1] += out[path][1]
+    return out
+
+
+def tokens(source: str) -> dict[str, list[int]]:
+    """[occurrences, characters below] of each token: the path of a tag, "word path" of a word."""
+    out = {}
+    for path, (n, chars, words) in structure(source).items():
+        if n:
+            out[path] = [n, chars]
+        out |= {f"{word} {path}": [k, 0] for word, k in words.items()}
     return out
 
 
@@ -213,7 +231,7 @@ def main_text(source: str, slots: set[str] | frozenset[str] = frozenset(), templ
         if roots := {m[1] for path, *_ in found if (m := at.match(path))}:
             break
     inside = [x for x in found if not roots or any(_below(x[0], r) for r in roots)]
-    if template and (own := [x for x in inside if not all(number(of, f"{w} {x[0]}") in template for w in x[3].split())]):
+    if template and (own := [x for x in inside if not all(number(w, seed(of, x[0])) in template for w in x[3].split())]):
         inside = own
     every, sizes = sum(len(x[2]) for x in inside), {}
     for _, named, text, _ in inside:
@@ -229,25 +247,35 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
 
 
-def number(of: str, token: str) -> int:
-    """64 bits for a token of a host, signed."""
+def seed(of: str, path: str) -> int:
     from xxhash import xxh64_intdigest as h
 
-    x = h(f"{of} {token}", 7)
+    return h(f"{of} {path}", 7)
+
+
+def number(word: str, own: int) -> int:
+    """64 bits for a word, or TAG for the tag, on the path of a seed; signed."""
+    from xxhash import xxh64_intdigest as h
+
+    x = h(word, own)
     return x - (1 << 64) if x >> 63 else x
 
 
 def _chunks(parts):
-    """{host: (weight of its pages, {token: [weight, ...]})} of runs of pages with at most about CHUNK_TOKENS different tokens; yields (chunk, add)."""
+    """Runs of pages with at most about CHUNK_TOKENS different tokens.
+
+    Yields (tokens by path, host, hash, weight, html) of each page, which the
+    caller counts into the tokens, and at its end the chunk: {host: {"pages": weight, "tokens": {path: {word: ...}}}}.
+    """
     chunk: dict[str, dict] = {}
     size = 0
     for part in parts:
         for own, page, copies, source in zip(*(part.column(c).to_pylist() for c in ("host", "page", "copies", "html")), strict=True):
-            at = chunk.setdefault(own, {"pages": 0.0, "tokens": {}})
+            at = chunk.setdefault(own, {"pages": 0.0, "tokens": {}, "size": 0})
             at["pages"] += 1 / copies
-            before = len(at["tokens"])
-            yield at["tokens"], own, page, 1 / copies, source
-            size += len(at["tokens"]) - before
+            before = at["size"]
+            yield at, own, page, 1 / copies, source
+            size += at["size"] - before
         if size > CHUNK_TOKENS:
             yield chunk
             chunk, size = {}, 0
@@ -260,12 +288,24 @@ def _frequent(parts):
 
     for at in _chunks(parts):
         if isinstance(at, dict):
-            found = [number(own, t) for own, x in at.items() for t, w in x["tokens"].items() if w >= MIN_SHARE * x["pages"] - 1e-6]
+            found = []
+            for own, x in at.items():
+                least = MIN_SHARE * x["pages"] - 1e-6
+                for path, seen in x["tokens"].items():
+                    if often := [w for w, n in seen.items() if n >= least]:
+                        key = seed(own, path)
+                        found += [number(w, key) for w in often]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["token"])
             continue
-        seen, _, _, weight, source = at
-        for token in tokens(source):
-            seen[token] = seen.get(token, 0.0) + weight
+        own, _, _, weight, source = at
+        for path, (n, _, words) in structure(source).items():
+            seen = own["tokens"].setdefault(path, {})
+            before = len(seen)
+            for word in words:
+                seen[word] = seen.get(word, 0.0) + weight
+            if n:
+                seen[TAG] = seen.get(TAG, 0.0) + weight
+            own["size"] += len(seen) - before
 
 
 _COUNTED = T.StructType([T.StructField("host", T.StringType()), T.StructField("token", T.StringType()), T.StructField("number", T.LongType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType()), T.StructField("weight", T.DoubleType()), T.StructField("most", T.LongType()), T.StructField("chars", T.DoubleType())])
@@ -281,23 +321,32 @@ def _counted(bits):
         on = shared(bits)
         for at in _chunks(parts):
             if isinstance(at, dict):
-                rows = [(own, t, *x) for own, seen in at.items() for t, x in seen["tokens"].items()]
+                rows = [(own, path if w == TAG else f"{w} {path}", *x) for own, seen in at.items() for (path, w), x in seen["tokens"].items()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64()), strict=True)], names=_COUNTED.names)
                 continue
-            seen, own, page, weight, source = at
-            for token, (n, chars) in tokens(source).items():
-                x = number(own, token)
-                place = x % (1 << MAP_BITS)
-                if not on[place >> 3] >> (place & 7) & 1:
-                    continue
-                # Copies of a page add its numbers as often for every token, so equal vectors keep equal sums.
-                v = h(f"{page} {n}", 9)
-                to = seen.setdefault(token, [x, 0, 0, 0.0, 0, 0.0])
-                to[1] += v & 0x7FFFFFFF
-                to[2] += v >> 33
-                to[3] += weight
-                to[4] = max(to[4], n)
-                to[5] += chars * weight
+            own, name, page, weight, source = at
+            seen = own["tokens"]
+            for path, (opened, chars, words) in structure(source).items():
+                key = seed(name, path)
+                if opened:
+                    words[TAG] = opened
+                for word, n in words.items():
+                    x = h(word, key)
+                    place = x & ((1 << MAP_BITS) - 1)
+                    if not on[place >> 3] >> (place & 7) & 1:
+                        continue
+                    # Copies of a page add its numbers as often for every token, so equal vectors keep equal sums.
+                    v = h(f"{page} {n}", 9)
+                    to = seen.get((path, word))
+                    if to is None:
+                        to = seen[path, word] = [x - (1 << 64) if x >> 63 else x, 0, 0, 0.0, 0, 0.0]
+                        own["size"] += 1
+                    to[1] += v & 0x7FFFFFFF
+                    to[2] += v >> 33
+                    to[3] += weight
+                    to[4] = max(to[4], n)
+                    if word == TAG:
+                        to[5] += chars * weight
 
     return run
 
@@ -321,21 +370,22 @@ def equivalence_classes(pages: DataFrame) -> DataFrame:
     sums = ["low", "high", "weight", "chars"]
     counted = rows.mapInArrow(_counted(share(spark, bytes(bits))), _COUNTED).groupBy("host", "token", "number").agg(*[F.sum(c).alias(c) for c in sums], F.max("most").alias("most"))
     frequent = materialize(counted.join(counts, "host").where((F.col("host_pages") >= MIN_PAGES) & (F.col("weight") >= MIN_SHARE * F.col("host_pages") - 1e-6)), "template-tokens")
-    path = F.regexp_replace("token", r"^(?:<|\S+ )", "")
-    frequent = frequent.withColumn("path", path).withColumn("around", F.when(F.col("token").startswith("<"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")))
+    is_tag = ~F.col("token").contains(" ")
+    path = F.regexp_replace("token", r"^\S+ ", "")
+    frequent = frequent.withColumn("path", path).withColumn("around", F.when(is_tag, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path")))
     # The class's place is the shortest path around one of its tokens; those elsewhere don't nest with it.
     places = frequent.groupBy("host", "low", "high").agg(F.min(F.struct(F.length("around"), "around"))["around"].alias("place"))
     nested = frequent.join(places, ["host", "low", "high"]).where(F.col("around").startswith(F.col("place")))
     large = nested.groupBy("host", "low", "high").agg(F.count("*").alias("size")).where(F.col("size") >= MIN_CLASS).drop("size")
     valid = nested.join(large, ["host", "low", "high"])
-    owners = valid.where(F.col("token").startswith("<")).select("host", F.col("path").alias("place"), F.col("low").alias("parent_low"), F.col("high").alias("parent_high"))
+    owners = valid.where(is_tag).select("host", F.col("path").alias("place"), F.col("low").alias("parent_low"), F.col("high").alias("parent_high"))
     return valid.join(owners, ["host", "place"], "left").select("host", "low", "high", "token", "number", "path", "most", "weight", "chars", "host_pages", "parent_low", "parent_high")
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, slot, words) for each host that has a template: the path of the main slot, and the numbers of the template's words if that slot is the body."""
     classes = materialize(equivalence_classes(pages), "template")
-    tags = classes.where(F.col("token").startswith("<") & (F.col("most") == 1))
+    tags = classes.where(~F.col("token").contains(" ") & (F.col("most") == 1))
     every = tags.groupBy("host").agg(F.max("chars").alias("every"))
     deep = tags.join(every, "host").where((F.col("chars") >= MAIN_SHARE * F.col("every")) & (F.col("every") > 0))
     found = deep.groupBy("host").agg(F.max(F.struct(F.size(F.split("path", "/")), "path"))["path"].alias("deepest"))
@@ -348,10 +398,15 @@ def templates(pages: DataFrame) -> DataFrame:
     slot = F.when(semantic != "", semantic).when((outermost != "") & covers, outermost).otherwise(body)
     slots = found.join(heading, "host", "left").select("host", slot.alias("slot"))
     shared_slots = slots.where(F.col("slot").rlike(r"/body(?:\.[^/]*)?$|^$")).select("host")
-    words = classes.where(~F.col("token").startswith("<")).join(shared_slots, "host", "left_semi").groupBy("host").agg(F.collect_list("number").alias("words"))
+    words = classes.where(F.col("token").contains(" ")).join(shared_slots, "host", "left_semi").groupBy("host").agg(F.collect_list("number").alias("words"))
     return slots.join(words, "host", "left").select("host", "slot", F.coalesce("words", F.array().cast("array<bigint>")).alias("words"))
 
 
+def main_slots(pages: DataFrame) -> DataFrame:
+    """(host, slot) of each host that has a template."""
+    return templates(pages).select("host", "slot")
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", template: bool = True) -> DataFrame:
     """(key, url, text, n_chars) for every page row; template=False reads each page by itself."""
     batches(pages.sparkSession)

@@ -41,7 +41,7 @@ def test_classes_are_those_of_whole_vectors(spark):
     counts = [html_text.tokens(h) for h in pages]
     for token in {t for c in counts for t in c}:
         vectors[tuple(c.get(token, [0])[0] for c in counts)].add(token)
-    place = lambda t: t[1:].rpartition("/")[0] if t[0] == "<" else t.split(" ", 1)[1]
+    place = lambda t: t.split(" ", 1)[1] if " " in t else t.rpartition("/")[0]
     want = []
     for vector, own in vectors.items():
         if sum(n > 0 for n in vector) >= 0.75 * len(pages):
