@@ -188,14 +188,17 @@ def possible(low: Column) -> Column:
     """Whether a lower-case text has words enough for a template to be found in it.
 
     Of a template of n pairs, n - ceil(MIN_SIMILARITY * n) may be missing, and
-    twice as many words: if none may, all are looked for, the longest first;
-    else one of so many and one more.  A text without them has no confirmed
-    prediction.
+    no more words, as each missing word breaks a pair of its own (one more for
+    each pair that the template repeats): if none may, all are looked for, the
+    longest first; else one of so many and one more.  A text without them has
+    no confirmed prediction.
     """
     out = F.lit(False)
-    for template in {tuple(t) for ts in templates().values() for t in ts}:
-        missing = 2 * (len(template) + math.floor(-MIN_SIMILARITY * len(template)))
-        by_length = sorted({w for pair in template for w in pair.split()}, key=lambda w: (-len(w), w))
+    for own in {x for f in FAMILIES for x in [*FAMILIES[f], *NOTICES.get(f, [])]}:
+        every = pairs(words(own))[len(words(own)) :] or words(own)
+        n = len(set(every))
+        missing = n + math.floor(-MIN_SIMILARITY * n) + len(every) - n
+        by_length = sorted(set(words(own)), key=lambda w: (-len(w), w))
         if missing:
             own = functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in by_length[: missing + 1]])
         else:
@@ -253,10 +256,13 @@ def hits(text: Column) -> Column:
     """array of struct(i, paragraph, s): confirmed licences of a text, by their first line."""
     blank = lambda x: F.trim(x) == ""
 
+    # A join that starts on a line without a word of a notice is found from a later line too.
+    starts = "|".join(sorted({re.escape(w) for own in NOTICES.values() for x in own for w in words(x) if len(w) > 3}))
+
     def confirmed(lines: Column) -> Column:
         one = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.lit(1).alias("k"), x.alias("t")))
-        some = F.filter(F.transform(one, lambda x: F.when(~F.rlike(x["t"], F.lit(r"^[ \t\r]*$")), _let(joined(lines, x["i"]), lambda t: F.struct(x["i"].alias("i"), F.size(F.split(t, "\n")).alias("k"), t.alias("t"))))), lambda x: x["k"] > 1)
-        tried = F.filter(F.concat(one, some), lambda x: ~blank(x["t"]) & possible(F.lower(x["t"])))
+        some = F.filter(F.transform(one, lambda x: F.when(F.rlike(F.lower(x["t"]), F.lit(starts)), _let(joined(lines, x["i"]), lambda t: F.struct(x["i"].alias("i"), F.size(F.split(t, "\n")).alias("k"), t.alias("t"))))), lambda x: x["k"] > 1)
+        tried = F.filter(F.concat(one, some), lambda x: ~blank(x["t"]) & _let(F.lower(x["t"]), possible))
         return F.filter(F.transform(tried, lambda x: F.struct(x["i"].alias("i"), x["k"].alias("k"), score(x["t"]).alias("s"))), lambda x: x["s"]["confirmed"])
 
     def counted(found: Column) -> Column:
@@ -270,12 +276,12 @@ def hits(text: Column) -> Column:
     none = F.array().cast("array<struct<i:int,paragraph:int,s:struct<family:string,posterior:double,similarity:double,confirmed:boolean>>>")
     number = lambda lines, i: F.size(F.filter(F.slice(lines, F.lit(1), i), lambda p: ~blank(p)))
     found = _let(F.split(text, "\n"), lambda lines: F.transform(_let(confirmed(lines), counted), lambda x: F.struct(x["i"].alias("i"), number(lines, x["i"]).alias("paragraph"), x["s"].alias("s"))))
-    return F.when(possible(F.lower(text)), F.array_sort(found)).otherwise(none)
+    return F.when(_let(F.lower(text), possible), F.array_sort(found)).otherwise(none)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, paragraph, family, posterior, similarity) of each paragraph, or join of some by its first, with a confirmed licence; narrow."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(possible(F.lower("text")))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(_let(F.lower("text"), possible))
     return rows.select("key", F.explode(hits(F.col("text"))).alias("x")).select(F.col("key").alias(key), "x.paragraph", "x.s.family", "x.s.posterior", "x.s.similarity")
 
 
