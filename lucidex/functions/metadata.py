@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-# Words that rule a line out as a title; trusted article hosts; words of journal lines; patterns of journal names.
+# Words that rule a line out as a title; trusted article hosts; words of journal lines; patterns of journal names, months and links. The patterns in the functions below (DOI, abstract, year, flags) are fixed values too.
 NOT_TITLE = ("journal", "doi:", "http", "vol.", "issn", "received:", "accepted:", "copyright")
 TRUSTED = ("sciencedirect", "springer", "wiley", "nature.com", "thelancet", "bmj", "frontiersin", "plos", "pubmed.ncbi.nlm.nih.gov", "who.int", "cdc.gov", "acpjournals", "nejm.org", "jama.jamanetwork.com")
 JOURNAL_WORDS = ("Journal", "Review", "Nature", "Science", "Lancet", "Medicine")

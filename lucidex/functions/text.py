@@ -1,6 +1,8 @@
 """Text functions as column expressions; all stay in the JVM.
 
 Patterns use Unicode classes ((?U)) and line feeds as the only line end ((?d)).
+Those that tell headings, references, contents rows and layout rests apart are
+fixed values, as are the lists below.
 """
 
 from __future__ import annotations
