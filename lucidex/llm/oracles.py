@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, hash_tree, quality, repeats
+from . import decontaminate, fill_in_middle, filter_audit, hash_tree, merkle, quality, repeats
 
 _SPACE = r"[\x20\x09-\x0D]+"
 
@@ -91,3 +91,62 @@ k AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(
 SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
   sha256(CASE WHEN a IS NULL THEN from_hex(h) ELSE from_hex(array_to_string(list_transform(range(0, len(a) + 1), lambda i: substr(h, 2 * (CASE WHEN i = 0 THEN 0 ELSE b[i] END) + 1, 2 * ((CASE WHEN i = len(a) THEN length(h) // 2 ELSE a[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE b[i] END)))), '')) END) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)"""
+
+
+def op11() -> str:
+    """Trees by nested list functions; likeness by numbering equal nodes and joining them."""
+    digits = merkle.DIGITS
+    hashed = lambda level, content: f"substr(sha256('{level}' || {content}), 1, {digits})"
+    leaf = f"list_transform(regexp_extract_all(p, '{merkle.LEAF}'), lambda l: {{'hash': {hashed('l', 'l')}, 'size': length(l)}})"
+    joined = "array_to_string(list_transform({0}, lambda x: x.hash), '')"
+    paragraph = f"list_transform(string_split(s, chr(10)), lambda p: {{'hash': {hashed('p', joined.format(leaf))}, 'leaves': {leaf}}})"
+    section = f"list_transform(string_split(text, chr(10) || chr(10)), lambda s: {{'hash': {hashed('s', joined.format(paragraph))}, 'paragraphs': {paragraph}}})"
+    change = lambda a, b: f"coalesce(list_filter(range(len({a})), lambda i: {a}[i + 1].hash IS DISTINCT FROM {b}[i + 1].hash)[1], len({a}))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC NULLS LAST), first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC NULLS LAST)) AS next_text FROM documents),
+e AS (SELECT *, left(text, (length(text) - length(text) // 2)::BIGINT) || left(next_text, (length(text) // 2)::BIGINT) AS edited FROM d),
+x AS (SELECT doc_id, 'a' AS side, text FROM e UNION ALL SELECT doc_id, 'b', edited FROM e UNION ALL SELECT doc_id, 'c', next_text FROM e),
+t AS MATERIALIZED (SELECT doc_id, side, sections, sha256('d' || {joined.format('sections')}) AS root FROM (SELECT doc_id, side, {section} AS sections FROM x)),
+n AS (SELECT doc_id, side, root AS hash, 1 AS size FROM t UNION ALL SELECT doc_id, side, s.hash, 1 FROM (SELECT doc_id, side, unnest(sections) AS s FROM t)
+    UNION ALL SELECT doc_id, side, p.hash, 1 FROM (SELECT doc_id, side, unnest(s.paragraphs) AS p FROM (SELECT doc_id, side, unnest(sections) AS s FROM t))
+    UNION ALL SELECT doc_id, side, l.hash, l.size FROM (SELECT doc_id, side, unnest(p.leaves) AS l FROM (SELECT doc_id, side, unnest(s.paragraphs) AS p FROM (SELECT doc_id, side, unnest(sections) AS s FROM t)))),
+m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, side, hash) AS k FROM n),
+w AS (SELECT doc_id, side, sum(size) AS w FROM n GROUP BY ALL),
+c AS (SELECT o.doc_id, o.side, sum(CASE WHEN s.hash IS NULL THEN 0 ELSE o.size END) AS common FROM m o LEFT JOIN (SELECT * FROM m WHERE side = 'a') s ON s.doc_id = o.doc_id AND s.hash = o.hash AND s.k = o.k WHERE o.side <> 'a' GROUP BY ALL),
+r AS (SELECT c.doc_id, c.side, 2.0::DOUBLE * common / (o.w + s.w) AS near FROM c JOIN w o ON o.doc_id = c.doc_id AND o.side = c.side JOIN w s ON s.doc_id = c.doc_id AND s.side = 'a'),
+g AS (SELECT a.doc_id, a.root AS fingerprint, b.root AS edited_fingerprint, a.sections AS x, b.sections AS y, CASE WHEN a.root <> b.root THEN {change('a.sections', 'b.sections')} END AS changed_section FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.side = 'a' AND b.side = 'b'),
+h AS (SELECT doc_id, fingerprint, edited_fingerprint, changed_section, coalesce(x[changed_section + 1].paragraphs, []) AS x, coalesce(y[changed_section + 1].paragraphs, []) AS y FROM g)
+SELECT e.doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint, b.near AS near_edited, c.near AS near_next, changed_section, CASE WHEN changed_section IS NOT NULL THEN {change('x', 'y')} END AS changed_paragraph
+FROM e JOIN h ON h.doc_id = e.doc_id JOIN r b ON b.doc_id = e.doc_id AND b.side = 'b' JOIN r c ON c.doc_id = e.doc_id AND c.side = 'c'"""
+
+
+def op12() -> str:
+    """Every document through every order and step."""
+    a = filter_audit
+    at = lambda k: f"v[ascii(substr(filter_order, {k}, 1)) - 64]"
+    letters = [f"(SELECT unnest(['A','B','C','D','E']) AS {x})" for x in "pqrst"]
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < {a.MIN_WORDS}, 100 * len(list_distinct(w)) < {a.MIN_DISTINCT_PERCENT} * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {a.MAX_CAPITAL_PERCENT} * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)] AS v FROM d LEFT JOIN l USING (doc_id)),
+o AS (SELECT p || q || r || s || t AS filter_order FROM {', '.join(letters)} WHERE len(list_distinct([p, q, r, s, t])) = 5),
+k AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+x AS (SELECT part, good, toxic, filter_order, step, {at('step')} AS fails, len(list_filter(range(1, step), lambda i: {at('i')})) > 0 AS gone, len(list_filter(v, lambda y: y)) = 1 AS once FROM m, k),
+g AS (SELECT part, filter_order, step, count(*) FILTER (WHERE NOT gone AND NOT fails) AS kept, count(*) FILTER (WHERE NOT gone AND fails) AS removed, count(*) FILTER (WHERE gone AND fails) AS redundant, count(*) FILTER (WHERE fails AND once) AS unique_fails,
+    count(*) FILTER (WHERE NOT gone AND fails AND good = 1) AS good_lost, count(*) FILTER (WHERE NOT gone AND fails AND toxic = 1) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, substr(filter_order, step, 1)))::BIGINT AS shapley FROM g"""
+
+
+def op13() -> str:
+    """Lines cut at the drawn ranks and joined again."""
+    m = fill_in_middle
+    draw = lambda i: f"('0x' || substr(s, {1 + 8 * i}, 8))::BIGINT"
+    part = lambda a, b: f"array_to_string(u[{a}:{b}], '')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('{m.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+h AS (SELECT *, {draw(0)} AS a, {draw(1)} AS b, {draw(2)} AS c, {draw(3)} AS e, len(u) AS n FROM d),
+r AS (SELECT doc_id, text, u, n, least(a % (n + 1), b % (n + 1)) AS i, greatest(a % (n + 1), b % (n + 1)) AS j, CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR c % 100 >= {m.FIM_RATE} THEN 'plain' WHEN e % 100 < {m.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, text, n, form, {part(1, 'i')} AS p, {part('i + 1', 'j')} AS m, {part('j + 1', 'n')} AS s FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hash_tree, html_text, language_id, licenses, mixing, oracles, quality, repeats, simhash, token_rollup
+from . import decontaminate, fill_in_middle, filter_audit, hash_tree, html_text, language_id, licenses, merkle, mixing, oracles, quality, repeats, simhash, token_rollup
 from .common import scratch_path
 
 
@@ -56,6 +56,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_token_rollup, op3_soft_mixing, op4_hash_tree, op5_decontaminate, op6_simhash, op7_html_text, op8_license_scan, op9_longest_previous_factor, op10_language_id)}
+def op11_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_table(table(spark, sf_dir, "documents"))
 
-SQL: dict[str, str] = {"op1_quality_rules": oracles.op1(), "op4_hash_tree": oracles.op4(), "op5_decontaminate": oracles.op5(), "op9_longest_previous_factor": oracles.op9()}
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digest_table(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_token_rollup, op3_soft_mixing, op4_hash_tree, op5_decontaminate, op6_simhash, op7_html_text, op8_license_scan, op9_longest_previous_factor, op10_language_id,
+        op11_merkle_fingerprint, op12_filter_audit, op13_fill_in_middle,
+    )
+}
+
+SQL: dict[str, str] = {
+    "op1_quality_rules": oracles.op1(), "op4_hash_tree": oracles.op4(), "op5_decontaminate": oracles.op5(), "op9_longest_previous_factor": oracles.op9(),
+    "op11_merkle_fingerprint": oracles.op11(), "op12_filter_audit": oracles.op12(), "op13_fill_in_middle": oracles.op13(),
+}
