@@ -78,13 +78,16 @@ class Rope:
 
 def rope(text: str) -> Rope | None:
     """A balanced rope; a unit ends at its line feed or at the end of the text."""
-    level = []
+    parts = []
     for at in range(0, len(text), LEAF):
         piece = text[at : at + LEAF]
-        level.append(Rope(piece, piece.count("\n") + (at + LEAF >= len(text) and piece[-1] != "\n")))
-    while len(level) > 1:
-        level = [Rope(left=level[i], right=level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0] if level else None
+        parts.append(Rope(piece, piece.count("\n") + (at + LEAF >= len(text) and piece[-1] != "\n")))
+
+    def over(start: int, end: int) -> Rope:
+        mid = (start + end) // 2
+        return parts[start] if end - start == 1 else Rope(left=over(start, mid), right=over(mid, end))
+
+    return over(0, len(parts)) if parts else None
 
 
 def node(left: Rope, right: Rope) -> Rope:
