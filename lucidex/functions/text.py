@@ -226,20 +226,28 @@ def broken_line(s: Column, following: Column) -> Column:
     return (s != "") & (broken | orphan)
 
 
-def strip_explicit_section(c: Column, names: str, share: float) -> Column:
-    """Text before a heading line of the given names in the part after share of it."""
+# Names of sections that end a body.
+REFERENCES, FOOTNOTES = "references|bibliography|literature cited", "footnotes|endnotes|notes"
+
+
+def section_place(c: Column, names: str, share: float) -> Column:
+    """1-based place of a heading line of the given names in the part after share of the text; 0 without one."""
     cut = F.floor(F.length(c) * share).cast("int")
-    tail = F.substring(c, cut + 1, F.length(c))
-    at = F.regexp_instr(tail, F.lit(rf"(?imUd)^\s*(?:#{{1,6}}\s*)?(?:{names})\s*$"))
-    return F.when(at > 0, trim(F.substring(c, F.lit(1), cut + at - 1))).otherwise(c)
+    at = F.regexp_instr(F.substring(c, cut + 1, F.length(c)), F.lit(rf"(?imUd)^\s*(?:#{{1,6}}\s*)?(?:{names})\s*$"))
+    return F.when(at > 0, cut + at).otherwise(0)
+
+
+def strip_explicit_section(c: Column, names: str, share: float) -> Column:
+    """Text before such a heading line."""
+    return let(section_place(c, names, share), lambda at: F.when(at > 0, trim(F.substring(c, F.lit(1), at - 1))).otherwise(c))
 
 
 def strip_references_heading(c: Column) -> Column:
-    return strip_explicit_section(c, "references|bibliography|literature cited", 0.40)
+    return strip_explicit_section(c, REFERENCES, 0.40)
 
 
 def strip_footnotes_heading(c: Column) -> Column:
-    return strip_explicit_section(c, "footnotes|endnotes|notes", 0.50)
+    return strip_explicit_section(c, FOOTNOTES, 0.50)
 
 
 def without_snippets(c: Column, snippets: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import folds, policy
+from ..functions import body, folds, policy
 from ..functions import text as T
 from .registry import query, table
 
@@ -61,7 +61,6 @@ add("indexing_cleanup", T.indexing_cleanup, None)
 add("duplicate_ratio", lambda c: T.duplicate_ratio(spread(c)), f"(SELECT CASE WHEN len(l) < 2 THEN 0.0 ELSE round((len(l) - len(list_distinct(l)))::DOUBLE / len(l), 4) END FROM (SELECT list_transform(list_filter(list_transform({_PARTS}, lambda p: {_TRIM.format('p')}), lambda p: length(p) >= 50), lambda p: {_NORM.format('p')}) AS l))")
 add("chunk_documents", lambda c: F.array_join(T.chunks(spread(c)), "|"), None)
 add("stitch_paragraphs", folds.udf(folds.stitch_paragraphs, "string"), None)
-add("strip_toc", folds.udf(folds.strip_toc, "string"), None)
 add("clean_policy", policy.clean_policy, None)
 add("strip_footnotes_heading", lambda c: T.strip_footnotes_heading(F.concat(c, F.lit("\n# Footnotes\n1 note"))), None)
 add("strip_references_heading", lambda c: T.strip_references_heading(F.concat(c, F.lit("\nReferences\n1. A."))), "CASE WHEN length(text) + 1 > floor((length(text) + 17) * 0.4) THEN " + _TRIM.format("text") + " ELSE text || chr(10) || 'References' || chr(10) || '1. A.' END")
@@ -114,20 +113,7 @@ _CITES = "regexp_matches(trim(line), '[0-9]|\\.$')"
 def citation_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First line in the last two fifths from which four of six lines look like citations; here those with a number or a full stop."""
     hit = lambda x: F.trim(x).rlike(r"[0-9]|\.$")
-    return docs(spark, sf_dir).select("doc_id", first_dense(F.split("text", "\n"), hit, 6, 4, 0.6).alias("first")).where("first is not null").select("doc_id", F.col("first").cast("long").alias("first"))
-
-
-def first_dense(ls: Column, hit, width: int, least: int, share: float) -> Column:
-    """1-based place, after share of the lines, of the first full frame of width lines with so many hits."""
-
-    def first(flags: Column) -> Column:
-        n = F.size(flags)
-        start = F.floor(n * share)
-        places = F.when(n >= start + width, F.sequence((start + 1).cast("int"), (n - width + 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-        dense = F.filter(places, lambda i: F.aggregate(F.slice(flags, i, width), F.lit(0), lambda a, b: a + b) >= least)
-        return F.try_element_at(dense, F.lit(1))
-
-    return T.let(F.transform(ls, lambda x: F.when(hit(x), 1).otherwise(0)), first)
+    return docs(spark, sf_dir).select("doc_id", body.first_dense(F.split("text", "\n"), hit, 6, 4, 0.6).alias("first")).where("first is not null").select("doc_id", F.col("first").cast("long").alias("first"))
 
 
 _TOC = r"(s <> '' AND (regexp_matches(s, '\.{2,}') OR (s LIKE '|%' AND length(s) - length(replace(s, '|', '')) >= 2) OR regexp_matches(s, '^\|?\s*\d{1,3}\s*\|') OR regexp_matches(s, '^\s*(?:[-*]\s*)?(?:\d+(?:\.\d+)*\s+)?[^\n]{2,140}?\s+\d{1,4}\s*$')))"

@@ -108,13 +108,6 @@ def test_stitch():
     assert folds.stitch_paragraphs("") == ""
 
 
-def test_toc():
-    body = ["Text that goes on and on without a number at its end, as body text does"] * 30
-    toc = ["Contents", "1 Intro .... 3", "2 More 7", "Abstract"]
-    assert folds.strip_toc("\n".join([*toc, *body])) == "\n".join(["Abstract", *body])
-    assert folds.strip_toc("") == ""
-
-
 def one(spark, c, text):
     return spark.createDataFrame([(text,)], "text string").select(c(F.col("text")).alias("x")).first()["x"]
 
