@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector
+from .dense import top_k_many
 
 RRF_ALPHA = 60
 #: Weight of one hit in cover-density rank for a query of alternatives.
 HIT_WEIGHT = 0.1
 MODEL_BATCH = 32
-MAX_PROMPTS = 200
 
 
 def vector_literal(values: list[float]) -> Column:
@@ -35,20 +35,6 @@ def top_k(chunks: DataFrame, query: Column, k: int = 10, metric: str = "cosine",
     return rows.orderBy(F.col("distance").asc_nulls_last(), F.col(key)).limit(k)
 
 
-def top_k_each(chunks: DataFrame, prompts: dict, k: int = 10, metric: str = "cosine", key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The k nearest rows of each prompt {topic: vector} in one pass, with topic, distance and rank.
-
-    Prompts travel as literals, so there may be MAX_PROMPTS at most; each task
-    keeps k rows a topic before anything moves (WindowGroupLimit).
-    """
-    if len(prompts) > MAX_PROMPTS:
-        raise ValueError(f"more than {MAX_PROMPTS} prompts")
-    own = F.array(*[F.struct(F.lit(t).alias("topic"), vector_literal(q).alias("q")) for t, q in prompts.items()])
-    each = chunks.where(F.col(embedding).isNotNull()).withColumn("_p", F.explode(own)).select("*", F.col("_p.topic").alias("topic"), vector.distance(metric, F.col(embedding), F.col("_p.q")).alias("distance")).drop("_p")
-    order = Window.partitionBy("topic").orderBy(F.col("distance").asc_nulls_last(), F.col(key))
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def ranked(rows: DataFrame, score: str, ascending: bool = True, name: str = "rank") -> DataFrame:
     """rank() over a result that has already been cut to its top; a single small partition."""
     return rows.withColumn(name, F.rank().over(Window.orderBy(F.col(score).asc_nulls_last() if ascending else F.col(score).desc_nulls_last())))
@@ -114,21 +100,36 @@ def embed_query(text: str, model) -> list[float]:
     return model.embed([f"query: {text.strip()}"])[0]
 
 
-def embed_passages(rows: DataFrame, model: Callable, text: str = "content", out: str = "embedding") -> DataFrame:
-    """rows with the vectors of non-blank texts; model() is made once per worker."""
+def embed_passages(rows: DataFrame, model: Callable, text: str = "content", out: str = "embedding", kind: str = "passage") -> DataFrame:
+    """rows with the vectors of non-blank texts, trimmed queries or passages; model() is made once per worker."""
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         made = model()
         for part in parts:
-            own = [x if x and x.strip() else None for x in part]
-            todo = [f"passage: {x}" for x in own if x]
+            own = [x.strip() if x and kind == "query" else x for x in part]
+            own = [x if x and x.strip() else None for x in own]
+            todo = [f"{kind}: {x}" for x in own if x]
             vectors = iter([v for i in range(0, len(todo), MODEL_BATCH) for v in made.embed(todo[i : i + MODEL_BATCH])])
             yield pd.Series([next(vectors) if x else None for x in own])
 
     return rows.withColumn(out, run(F.col(text)))
 
 
+def narrative_prompts(prompts: DataFrame, wanted: list[str], keyword: str = "keyword") -> DataFrame:
+    """The prompts of the wanted narratives; unknown ones are an error that names what there is."""
+    known = sorted(r[0] for r in prompts.select(keyword).distinct().collect())  # narratives are few, kept by hand
+    if missing := [w for w in wanted if w not in known]:
+        raise ValueError(f"unknown narrative: {', '.join(missing)}; there are {', '.join(known)}")
+    return prompts.where(F.col(keyword).isin(wanted))
+
+
+def search_prompts(chunks: DataFrame, prompts: DataFrame, model: Callable, k: int = 10, keyword: str = "keyword", prompt: str = "prompt") -> DataFrame:
+    """(keyword, vec_id, distance, rank): the nearest chunks of each prompt's text, for any number of prompts."""
+    asked = embed_passages(prompts, model, prompt, "query", "query")
+    return top_k_many(chunks, asked, k, query=keyword)
+
+
 def embeddable(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Stored rows with a text that isn't blank."""
     return rows.where(F.col(key).isNotNull() & (F.regexp_replace(text, r"(?U)\s+", "") != ""))

@@ -6,11 +6,17 @@ d % 97 + 1 and d % 89 + 1.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector
 from ..operators import retrieval as R
+from ..operators.dense import top_k_many
+from ..operators.fulltext import Index
+from ..sources.readers import file_signature
+from ..sources.tables import shared_folder
 from .registry import query, table
 
 KEYWORDS = "the|und|que"
@@ -64,15 +70,54 @@ def dense_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ranked(nearest(spark, sf_dir), "distance").select("vec_id", F.round("distance", 9).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the documents, built where there is none of these very files."""
+    source = f"{sf_dir}/documents.parquet"
+    name = hashlib.sha256(source.encode()).hexdigest()[:16]
+    return Index(spark, f"{shared_folder(spark)}/fulltext-{name}").fresh(table(spark, sf_dir, "documents").where("doc_id is not null"), file_signature(spark, source))
+
+
+def sparse(spark: SparkSession, sf_dir: str, terms: str, n: int | None = None) -> DataFrame:
+    index = text_index(spark, sf_dir)
+    return (index.search(terms) if n is None else index.top(terms, n)).withColumnRenamed("doc", "doc_id")
+
+
 @query(f"SELECT doc_id, similarity FROM ({_SPARSE}) WHERE similarity > 0")
 def sparse_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sparse_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), KEYWORDS).select("doc_id", "similarity")
+    return sparse(spark, sf_dir, KEYWORDS)
 
 
 @query(f"SELECT doc_id, similarity, rank() OVER (ORDER BY similarity DESC) AS rank FROM (SELECT * FROM ({_SPARSE}) WHERE similarity > 0 ORDER BY similarity DESC, doc_id LIMIT 20)")
 def sparse_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = R.sparse_top(table(spark, sf_dir, "documents").select("doc_id", "text"), KEYWORDS, 20)
-    return R.ranked(top, "similarity", False).select("doc_id", "similarity", F.col("rank").cast("long").alias("rank"))
+    return R.ranked(sparse(spark, sf_dir, KEYWORDS, 20), "similarity", False).select("doc_id", "similarity", F.col("rank").cast("long").alias("rank"))
+
+
+ALL_OF, PHRASE = ("the", "and", "of"), ("of", "the")
+_HITS = r"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM (SELECT doc_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1) AS t FROM documents))"
+_LAST = ", ".join(f"max(i) FILTER (WHERE w = '{t}') OVER (PARTITION BY doc_id ORDER BY pos) AS l{k}" for k, t in enumerate(ALL_OF))
+
+
+@query(f"""
+WITH h AS ({_HITS} WHERE w IN {ALL_OF}), l AS (SELECT *, {_LAST} FROM h),
+c AS (SELECT doc_id, pos, i, least(l0, l1, l2) AS first FROM l WHERE l0 IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL),
+k AS (SELECT *, coalesce(lag(first) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS before FROM c)
+SELECT k.doc_id, round(sum(0.1::DOUBLE / (1 + (k.pos - h.pos) - (k.i - first))), 6) AS similarity FROM k JOIN h ON h.doc_id = k.doc_id AND h.i = k.first WHERE first > before GROUP BY k.doc_id""")
+def sparse_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with all terms, ranked by their covers."""
+    return sparse(spark, sf_dir, " & ".join(ALL_OF))
+
+
+@query(f"WITH h AS ({_HITS}) SELECT a.doc_id, round(0.1::DOUBLE * count(*), 6) AS similarity FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 AND a.w = '{PHRASE[0]}' AND b.w = '{PHRASE[1]}' GROUP BY a.doc_id")
+def sparse_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the terms one after the other."""
+    return sparse(spark, sf_dir, " <-> ".join(PHRASE))
+
+
+@query(r"SELECT w AS term, doc_id AS doc, count(*) AS n, min(pos) AS first FROM (SELECT doc_id, unnest(range(1, len(t) + 1)) AS pos, unnest(t) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1) AS t FROM documents)) GROUP BY ALL")
+def sparse_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole index: each term's documents."""
+    rows = text_index(spark, sf_dir).tables.read("postings")
+    return rows.select("term", "doc", F.col("n").cast("long").alias("n"), F.col("positions")[0].cast("long").alias("first"))
 
 
 @query(f"""
@@ -81,8 +126,7 @@ sparse AS (SELECT doc_id, rank() OVER (ORDER BY similarity DESC) AS rank FROM (S
 SELECT doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM dense UNION ALL SELECT * FROM sparse) GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 10""")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     dense = R.ranked(nearest(spark, sf_dir, 20), "distance").withColumnRenamed("vec_id", "doc_id")
-    sparse = R.ranked(R.sparse_top(table(spark, sf_dir, "documents").select("doc_id", "text"), KEYWORDS, 20), "similarity", False)
-    return R.fuse([dense, sparse], "doc_id", 10)
+    return R.fuse([dense, R.ranked(sparse(spark, sf_dir, KEYWORDS, 20), "similarity", False)], "doc_id", 10)
 
 
 @query(f"SELECT vec_id, d.doc_id, d.lang, round(d, 9) AS distance FROM ({_TOP}) t JOIN documents d ON d.doc_id = t.vec_id")
@@ -139,14 +183,39 @@ def embed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.embed_passages(rows, R.HashingEmbedder).select("doc_id", "embedding")
 
 
-@query(f"""
-SELECT topic, vec_id, round(d, 9) AS distance, rank FROM (
-  SELECT p.label AS topic, e.vec_id, greatest(0.0, list_cosine_distance(e.embedding::DOUBLE[], p.q)) AS d,
-    row_number() OVER (PARTITION BY p.label ORDER BY greatest(0.0, list_cosine_distance(e.embedding::DOUBLE[], p.q)), e.vec_id) AS rank
-  FROM embeddings e, (SELECT label, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label) p)
-WHERE rank <= {K}""")
+def _each(prompts: str, metric: str, name: str) -> str:
+    """The K nearest rows of each prompt (id, q)."""
+    d = "greatest(0.0, list_cosine_distance(e.embedding::DOUBLE[], p.q))" if metric == "cosine" else "list_distance(e.embedding::DOUBLE[], p.q)"
+    return f"SELECT {name}, vec_id, d AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY {name} ORDER BY d, vec_id) AS rank FROM (SELECT p.id AS {name}, e.vec_id, round({d}, 9) AS d FROM embeddings e, ({prompts}) p WHERE e.embedding IS NOT NULL)) WHERE rank <= {K}"
+
+
+def _long_rank(df: DataFrame) -> DataFrame:
+    return df.withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_each("SELECT label AS id, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label", "cosine", "topic"))
 def search_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest chunks of every prompt; a topic's prompt has the vector of its first chunk."""
     rows = table(spark, sf_dir, "embeddings")
-    prompts = {p["label"]: p["q"] for p in rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q")).collect()}
-    return R.top_k_each(rows, prompts, K).select("topic", "vec_id", F.round("distance", 9).alias("distance"), F.col("rank").cast("long").alias("rank"))
+    prompts = rows.groupBy(F.col("label").alias("topic")).agg(F.min_by("embedding", "vec_id").alias("query"))
+    return _long_rank(top_k_many(rows, prompts, K, query="topic"))
+
+
+_EVERY_20TH = "SELECT vec_id AS id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL"
+
+
+def search_many(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return _long_rank(top_k_many(rows, asked, K, metric))
+
+
+@query(_each(_EVERY_20TH, "cosine", "query_id"))
+def search_many_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of every row whose id is divisible by 20, among all rows."""
+    return search_many(spark, sf_dir, "cosine")
+
+
+@query(_each(_EVERY_20TH, "euclidean", "query_id"))
+def search_many_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_many(spark, sf_dir, "euclidean")

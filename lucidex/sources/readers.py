@@ -117,6 +117,17 @@ class Extractors:
         return files.select("name", "content").mapInPandas(run, "name string, text string, pages int, error string")
 
 
+def file_states(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modificationTime, length) of the files at or below a path; their content isn't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
+
+
+def file_signature(spark: SparkSession, path: str) -> str:
+    """A number that changes with any of the files, their times or their sizes."""
+    own = F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")
+    return str(tuple(file_states(spark, path).agg(F.count("*"), F.sum(own), F.sum("length")).first()))
+
+
 def resolve_configs(known: dict[str, list[str]], profile: str, explicit: str | None = None) -> list[str]:
     """Configurations of a comma list, each once and in order, else of a profile; unknown ones are an error."""
     every = list(dict.fromkeys(c for names in known.values() for c in names))
