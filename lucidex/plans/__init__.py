@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import body, graph, records, retrieval, text  # noqa: F401
+from . import body, catalogue, graph, records, retrieval, text  # noqa: F401
 from .registry import QUERIES, SQL
 
 
