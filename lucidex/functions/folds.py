@@ -17,7 +17,6 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 EARLY = 0.95
-LENGTH_GAP = 0.5
 
 _BLANK = re.compile(r"\n\s*\n")
 
@@ -101,39 +100,8 @@ def gestalt_ratio(reference: str, extracted: str) -> float:
     return round(SequenceMatcher(None, reference, extracted).ratio(), 4)
 
 
-def best_sentence_ratio(needle: str, sentences: list[str]) -> float:
-    """Best ratio among sentences of about the needle's length, in order, up to an early exit."""
-    return best_matches([needle], sentences, 0.0)[0]["ratio"]
-
-
-def best_matches(needles: list[str], sentences: list[str], least: float = 0.80) -> list[dict]:
-    """For each needle the ratio and place of the first best sentence; 0 and -1 where none reaches least.
-
-    An equal sentence is found by a table.  Of the others only those of about
-    the needle's length count, and only those whose shared letters allow least
-    and more than the best so far are compared.
-    """
-    first: dict[str, int] = {}
-    for i, s in enumerate(sentences):
-        first.setdefault(s, i)
-    out, matcher = [], SequenceMatcher()
-    for needle in needles:
-        best, place = (1.0, first[needle]) if needle in first else (least - 1e-12, -1)
-        if place < 0:
-            matcher.set_seq2(needle)
-            for i, s in enumerate(sentences):
-                if abs(len(needle) - len(s)) <= len(needle) * LENGTH_GAP:
-                    matcher.set_seq1(s)
-                    if matcher.quick_ratio() > best and (ratio := SequenceMatcher(None, needle, s).ratio()) > best:
-                        best, place = ratio, i
-                        if best >= EARLY:
-                            break
-        out.append({"ratio": best if place >= 0 else 0.0, "place": place})
-    return out
-
-
 def fuzzy_ratios(text: str, wanted: list[str]) -> list[float]:
-    return [fuzzy_ratio(text, x) for x in wanted]
+    return [0.0 if x is None else fuzzy_ratio(text, x) for x in wanted]
 
 
 def rising_share(places: list[int]) -> float | None:

@@ -82,38 +82,6 @@ def order_score(matches: DataFrame, key: str) -> DataFrame:
     return own.select(key, F.when(F.size("p") >= MIN_MATCHED, F.round(concordance(F.col("p")) * F.size("p") / F.col("n"), 4)).alias("order_score"))
 
 
-def sentence_matches(needles: Column, sentences: Column) -> Column:
-    """array<struct<ratio, place>>: the best match of each needle among the sentences of the same document."""
-    return folds.udf(folds.best_matches, "array<struct<ratio:double,place:int>>")(needles, sentences)
-
-
-def weighted_share(matches: Column, empty: float) -> Column:
-    """Sum of the ratios of at least MATCH over all matches; a given value where there is nothing to match."""
-    total = F.aggregate(F.filter(matches, lambda m: m["ratio"] >= MATCH), F.lit(0.0), lambda n, m: n + m["ratio"])
-    return F.when(F.size(matches) > 0, F.round(total / F.size(matches), 4)).otherwise(F.lit(empty))
-
-
-def fuzzy_order(matches: Column) -> Column:
-    """Concordance of the matched places times coverage; null under MIN_MATCHED matches."""
-    places = F.transform(F.filter(matches, lambda m: m["ratio"] >= MATCH), lambda m: m["place"])
-    return F.when(F.size(places) >= MIN_MATCHED, F.round(concordance(places) * F.size(places) / F.size(matches), 4))
-
-
-def fuzzy_scores(df: DataFrame, extracted: str, reference: str) -> DataFrame:
-    """df with recall, precision and order of the arrays of sentences in two columns."""
-    recalled, precise = fresh_pair(df)
-    own = df.withColumn(recalled, sentence_matches(F.col(reference), F.col(extracted))).withColumn(precise, sentence_matches(F.col(extracted), F.col(reference)))
-    scores = {"recall": weighted_share(F.col(recalled), 1.0), "precision": weighted_share(F.col(precise), 0.0), "order": fuzzy_order(F.col(recalled))}
-    return own.withColumns(scores).drop(recalled, precise)
-
-
-def fresh_pair(df: DataFrame) -> tuple[str, str]:
-    name = "matches"
-    while any(c.startswith(name) for c in df.columns):
-        name += "_"
-    return f"{name}1", f"{name}2"
-
-
 def ratios(text: Column, wanted: Column) -> Column:
     """The best ratio of each wanted passage in the text; without Python where all are there as they are."""
     wanted = F.coalesce(wanted, F.array().cast("array<string>"))
@@ -141,8 +109,36 @@ def continuity(text: Column, passages: Column) -> Column:
 
 
 def presence(text: Column, passage: Column) -> Column:
-    """found or not_found by a substring in any case; n/a without a passage."""
-    return F.when(passage.isNull(), "n/a").when(F.contains(F.lower(text), F.lower(passage)), "found").otherwise("not_found")
+    """struct(status, ratio): found where a window of the text is like the passage in any case; n/a without a passage.
+
+    Python runs only where the passage isn't in the text as it is.
+    """
+    judged = lambda r: F.struct(F.when(r >= CONTENT_FUZZY, "found").otherwise("not_found").alias("status"), r.alias("ratio"))
+    return F.when(passage.isNull(), F.struct(F.lit("n/a").alias("status"), F.lit(0.0).alias("ratio"))).otherwise(let(ratios(text, F.array(passage)), lambda r: judged(r[0])))
+
+
+def authors_present(text: Column, expected: Column) -> Column:
+    """struct(status, ratio): found where any of the names is like a window of the first METADATA_CHARS characters."""
+    best = lambda r: F.coalesce(F.array_max(r), F.lit(0.0))
+    return let(ratios(F.substring(text, 1, METADATA_CHARS), expected), lambda r: F.struct(F.when(best(r) >= CONTENT_FUZZY, "found").otherwise("not_found").alias("status"), best(r).alias("ratio")))
+
+
+def references_present(text: Column) -> Column:
+    return F.when(text.rlike(r"(?iU)\breferences\b|\bbibliography\b"), "found").otherwise("not_found")
+
+
+def doi_present(text: Column, doi: Column) -> Column:
+    return F.when(doi.isNull(), "n/a").when(F.contains(text, doi), "found").otherwise("not_found")
+
+
+def content_presence(text: Column, title: Column, authors: Column, doi: Column, abstract: Column, passage: Column) -> Column:
+    """struct of the status of the six parts and their count of found ones."""
+    parts = {
+        "title": presence(text, F.coalesce(title, F.lit("")))["status"], "authors": authors_present(text, authors)["status"], "doi": doi_present(text, doi),
+        "abstract": presence(text, abstract)["status"], "references": references_present(text), "key_passage": presence(text, passage)["status"],
+    }
+    whole = F.struct(*[v.alias(k) for k, v in parts.items()])
+    return let(whole, lambda p: p.withField("score", sum(((p[k] == "found").cast("int") for k in parts), F.lit(0))))
 
 
 def year_found(text: Column, date: Column) -> Column:

@@ -10,6 +10,7 @@ from ..functions import metadata as M
 from ..functions import text as T
 from ..operators import layout as L
 from ..operators import lineage as N
+from ..operators import matching
 from ..operators import quality as Q
 from ..operators import reports as P
 from .registry import query, table
@@ -241,22 +242,41 @@ def fuzzy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document, with a word respelt and one left out, against itself."""
     edited = F.regexp_replace(F.regexp_replace("text", r"\bof\b", "off"), r"\bwas ", "")
     rows = docs(spark, sf_dir, "text").select("doc_id", T.sentences(edited).alias("extracted"), T.sentences(F.col("text")).alias("reference"))
-    return Q.fuzzy_scores(rows, "extracted", "reference").select("doc_id", "recall", "precision", "order")
+    return matching.fuzzy_scores(rows, "doc_id", "extracted", "reference").select("doc_id", "recall", "precision", "order")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS recall FROM documents WHERE text IS NOT NULL")
+_MARKED = f"SELECT doc_id, unnest(range(0, len(l))) AS n, unnest(l) AS s FROM (SELECT doc_id, {_SENT.format('text')} AS l FROM documents)"
+
+
+@query(f"""WITH s AS ({_MARKED}), f AS (SELECT s.*, min(n) OVER (PARTITION BY doc_id, length(s), left(s, length(s) - (length(s) + 9) // 10)) AS place, (length(s) - (length(s) + 9) // 10)::DOUBLE / length(s) AS ratio FROM s),
+p AS (SELECT a.doc_id, count(*) AS pairs, count(*) FILTER (WHERE a.place < b.place) AS good FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.n < b.n GROUP BY a.doc_id),
+r AS (SELECT doc_id, count(*) AS k, round(sum(ratio) / count(*), 4) AS share FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(share, 1.0) AS recall, coalesce(share, 0.0) AS precision, CASE WHEN k >= 3 THEN round(good::DOUBLE / pairs, 4) END AS order_score FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN p USING (doc_id)""")
+def fuzzy_scores_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's sentences against those with signs in place of the last tenth: the ratio is the rest's share."""
+    own = docs(spark, sf_dir, "text").select("doc_id", F.coalesce(T.sentences(F.col("text")), F.array().cast("array<string>")).alias("reference"))
+    rows = own.withColumn("extracted", F.transform("reference", lambda s: F.concat(F.left(s, F.length(s) - F.floor((F.length(s) + 9) / 10).cast("int")), F.repeat(F.lit("§"), F.floor((F.length(s) + 9) / 10).cast("int")))))
+    return matching.fuzzy_scores(rows, "doc_id", "extracted", "reference").select("doc_id", "recall", "precision", F.col("order").alias("order_score"))
+
+
+def _spoilt(start: int, length: int, signs: int):
+    """A passage of the text whose last characters are signs that no text has."""
+    return F.concat(F.substring("text", start, length - signs), F.lit("§" * signs))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 1.0 WHEN length(text) < 20 OR doc_id % 3 = 1 THEN 0.0 ELSE 1.0 END::DOUBLE AS recall,
+ CASE WHEN doc_id % 3 = 2 THEN 1.0 WHEN length(text) < 20 THEN 0.0 WHEN doc_id % 3 = 1 THEN 0.6 ELSE 0.85 END::DOUBLE AS avg_ratio FROM documents WHERE text IS NOT NULL""")
 def author_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text's own start, and for every other document a name that no text has."""
-    own = F.substring("text", 1, 20)
-    expected = F.when(F.col("doc_id") % 2 == 0, F.array(own, F.lit("Zzyzx Qwvkj"))).otherwise(F.array(own))
-    return docs(spark, sf_dir, "text").where("text is not null").select("doc_id", Q.author_accuracy(F.col("text"), expected)["recall"].alias("recall"))
+    """The text's own start, as it is, with three of 20 characters spoilt (ratio 0.85) and with eight (0.6)."""
+    expected = F.when(F.col("doc_id") % 3 == 0, _spoilt(1, 20, 3)).when(F.col("doc_id") % 3 == 1, _spoilt(1, 20, 8)).otherwise(F.substring("text", 1, 20))
+    return docs(spark, sf_dir, "text").where("text is not null").select("doc_id", Q.author_accuracy(F.col("text"), F.array(expected)).alias("x")).select("doc_id", "x.*")
 
 
-@query("SELECT doc_id, 1 AS found, 2 AS total FROM documents WHERE text IS NOT NULL")
+@query("""SELECT doc_id, CASE WHEN length(text) >= 40 THEN 2 ELSE 1 END AS found, 3 AS total, round((1.0 + CASE WHEN length(text) >= 40 THEN 0.75 + 0.5 ELSE 0.0 END) / 3, 3)::DOUBLE AS avg_ratio FROM documents WHERE text IS NOT NULL""")
 def continuity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A passage of the text itself and one that no text has."""
-    found = Q.continuity(F.col("text"), F.array(F.substring("text", 11, 40), F.lit("Zzyzx Qwvkj 99999")))
-    return docs(spark, sf_dir, "text").where("text is not null").select("doc_id", found.alias("x")).select("doc_id", "x.found", "x.total")
+    """A passage of the text itself and two with a quarter and half of it spoilt (ratios 0.75 and 0.5)."""
+    found = Q.continuity(F.col("text"), F.array(F.substring("text", 11, 40), _spoilt(1, 40, 10), _spoilt(1, 40, 20)))
+    return docs(spark, sf_dir, "text").where("text is not null").select("doc_id", found.alias("x")).select("doc_id", "x.found", "x.total", "x.avg_ratio")
 
 
 @query("SELECT doc_id, CASE WHEN w = 0 THEN 0.0 ELSE round(s / w * 100, 1) END AS score FROM (SELECT doc_id, 20 + 20 + CASE WHEN d IS NULL THEN 0 ELSE 15 END + 10 AS w, 20 * t + 20 * a + coalesce(15 * d, 0) + 10 * y AS s FROM (SELECT doc_id, (quality)::DOUBLE AS t, (doc_id % 5) / 4.0::DOUBLE AS a, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE toxic::DOUBLE END AS d, (doc_id % 2)::DOUBLE AS y FROM labels))")
@@ -279,9 +299,14 @@ def section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "text").select("doc_id", Q.section_order(text, F.array(F.lit("Intro"), F.lit("Methods"), F.lit("Results"))).alias("score"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(text), lower(substring(text, 5, 30))) THEN 'found' ELSE 'not_found' END AS passage, CASE WHEN doc_id % 2 = 0 THEN NULL ELSE contains(text, 'doi')::INT::DOUBLE END AS doi FROM documents")
+@query("""SELECT doc_id, CASE WHEN length(text) >= 20 OR text = '' THEN 'found' ELSE 'not_found' END AS title, CASE WHEN length(text) >= 20 AND doc_id % 2 = 0 THEN 'found' ELSE 'not_found' END AS authors, CASE WHEN doc_id % 2 = 0 THEN 'n/a' WHEN contains(text, 'doi') THEN 'found' ELSE 'not_found' END AS doi,
+ CASE WHEN doc_id % 3 = 0 THEN 'n/a' ELSE 'found' END AS abstract, CASE WHEN regexp_matches(text, '(?i)\\breferences\\b|\\bbibliography\\b') THEN 'found' ELSE 'not_found' END AS "references", CASE WHEN length(text) >= 40 THEN 'found' ELSE 'not_found' END AS key_passage FROM documents WHERE text IS NOT NULL""".replace(" OR text = ''", ""))
 def presence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir, "text").select("doc_id", Q.presence(F.col("text"), F.substring("text", 5, 30)).alias("passage"), Q.doi_found(F.col("text"), F.when(F.col("doc_id") % 2 != 0, "doi")).alias("doi"))
+    """Title with three of 20 characters spoilt, authors with three or eight, an exact abstract, a passage with a quarter spoilt."""
+    even = F.col("doc_id") % 2 == 0
+    authors = F.array(F.when(even, _spoilt(1, 20, 3)).otherwise(_spoilt(1, 20, 8)))
+    found = Q.content_presence(F.col("text"), _spoilt(1, 20, 3), authors, F.when(~even, "doi"), F.when(F.col("doc_id") % 3 != 0, F.substring("text", 5, 30)), _spoilt(1, 40, 10))
+    return docs(spark, sf_dir, "text").where("text is not null").select("doc_id", found.alias("x")).select("doc_id", "x.title", "x.authors", "x.doi", "x.abstract", "x.references", "x.key_passage")
 
 
 @query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(k, '[,|;]'), lambda x: lower(trim(x))), lambda x: x <> ''))), ' ') AS keywords FROM (SELECT doc_id, lang || ', ' || source || ';' || upper(lang) || '|' AS k FROM documents)")

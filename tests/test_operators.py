@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lucidex.functions import metadata as M
 from lucidex.functions import vector
+from lucidex.operators import matching
 from lucidex.operators import graph as G
 from lucidex.operators import layout as L
 from lucidex.operators import lineage as N
@@ -258,7 +259,7 @@ def test_fuzzy_scores_against_plain_python(spark):
     base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(8)) for _ in range(12)]
     edit = lambda s: s.replace("a", "e", rng.randrange(4))
     rows = [(0, [edit(s) for s in base[:9]], base), (1, base[::-1], base), (2, [], base), (3, base, []), (4, [edit(base[3]), base[1], base[2], base[0]], base[:5])]
-    got = {r["i"]: r for r in Q.fuzzy_scores(spark.createDataFrame(rows, "i int, e array<string>, r array<string>"), "e", "r").collect()}
+    got = {r["i"]: r for r in matching.fuzzy_scores(spark.createDataFrame(rows, "i int, e array<string>, r array<string>"), "i", "e", "r").collect()}
 
     def best(needle, sentences):
         if needle in sentences:
@@ -281,6 +282,35 @@ def test_fuzzy_scores_against_plain_python(spark):
         assert got[i]["order"] == want
 
 
+def test_pairs_that_are_compared(spark):
+    """No match is lost, and most pairs are never compared."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäö ") for _ in range(rng.randrange(1, 12)))
+    base = [" ".join(word() for _ in range(rng.randrange(2, 30))) for _ in range(60)]
+    other = [s if rng.random() < 0.2 else "".join(c for c in s if rng.random() > 0.15) if rng.random() < 0.5 else s + word() * rng.randrange(4) for s in base]
+    df = spark.createDataFrame([(0, base, other), (1, base[:5], None), (2, None, other[:5])], "i int, e array<string>, r array<string>")
+    own, others = (matching.sentences_of(df, "i", c).where("s <> ''") for c in ("r", "e"))
+    compared = {(r["n"], r["place"]) for r in matching.pairs(own, others).where("doc = 0").collect()}
+    like = {(n, p) for n, s in enumerate(other) for p, t in enumerate(base) if s and t and abs(len(s) - len(t)) <= 0.5 * len(s) and SequenceMatcher(None, s, t).ratio() >= 0.8}
+    assert like <= compared and len(compared) < len(base) * len(other) / 10
+    assert matching.fuzzy_scores(df, "i", "e", "r").where("i > 0").orderBy("i").select("recall", "precision", "order").collect() == [(1.0, 0.0, None), (0.0, 0.0, None)]
+
+
+def test_presence(spark):
+    df = spark.createDataFrame([("A Study of Tea\nAnn Lee\n10.1/x\nWe drank a lot of tea.\nReferences",)], "t string")
+    text, array = F.col("t"), lambda *xs: F.array(*[F.lit(x) for x in xs])
+    row = lambda c: df.select(c.alias("x")).first()["x"]
+    assert tuple(row(Q.presence(text, F.lit("a study of TEA")))) == ("found", 1.0)
+    assert tuple(row(Q.presence(text, F.lit("A Study of Ted")))) == ("found", 0.929)
+    assert row(Q.presence(text, F.lit("Coffee for nobody at all")))["status"] == "not_found" and tuple(row(Q.presence(text, F.lit(None).cast("string")))) == ("n/a", 0.0)
+    whole = lambda *xs: tuple(row(Q.content_presence(text, *xs)))
+    assert whole(F.lit("A Study"), array("Zzz Qwv", "Anne Lee"), F.lit("10.1/x"), F.lit("We drank a lot of tee."), F.lit("lot of tea")) == ("found",) * 6 + (6,)
+    null = F.lit(None).cast("string")
+    assert whole(F.lit("Q" * 30), array("Zzz Qwv"), null, null, null) == ("not_found", "not_found", "n/a", "n/a", "found", "n/a", 1)
+
+
 def test_expected_names_and_passages(spark):
     df = spark.createDataFrame([("Ann Lee and Bo Chu wrote this text on tea",)], "t string")
     row = lambda c: df.select(c.alias("x")).first()["x"]
