@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,17 +75,20 @@ def flatten_elements(layout: DataFrame) -> DataFrame:
 
 
 SECTION_PATHS = """
-WITH RECURSIVE up(id, parent, depth, path) AS (
-  SELECT id, parent, 0, title FROM {t}
+WITH RECURSIVE up(id, parent, depth, path, seen) AS (
+  SELECT id, parent, 0, title, array(id) FROM {t}
   UNION ALL
-  SELECT u.id, t.parent, u.depth + 1, concat(t.title, ' / ', u.path) FROM up u JOIN {t} t ON u.parent = t.id
+  SELECT u.id, t.parent, u.depth + 1, concat(t.title, ' / ', u.path), array_append(u.seen, t.id) FROM up u JOIN {t} t ON u.parent = t.id WHERE NOT array_contains(u.seen, t.id)
 )
 SELECT id, max_by(path, depth) AS path, max(depth) AS depth FROM up GROUP BY id
 """
 
 
 def section_paths(tree: DataFrame) -> DataFrame:
-    """(id, path, depth) from a tree (id, parent, title): titles from the root down."""
-    name = "lucidex_section_tree"
+    """(id, path, depth) from a tree (id, parent, title): titles from the root down; a circle ends where it began."""
+    name = f"lucidex_sections_{uuid.uuid4().hex}"
     tree.createOrReplaceTempView(name)
-    return tree.sparkSession.sql(SECTION_PATHS.format(t=name))
+    try:
+        return tree.sparkSession.sql(SECTION_PATHS.format(t=name))
+    finally:
+        tree.sparkSession.catalog.dropTempView(name)

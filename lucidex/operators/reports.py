@@ -79,3 +79,31 @@ def preferred(rows: DataFrame, by: str, ext: str, order: tuple[str, ...] = (".md
 def ranked_in(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """First n rows of each group (WindowGroupLimit cuts before the shuffle)."""
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_nth") <= n).drop("_nth")
+
+
+def timing_summary(rows: DataFrame, parts: list[str], by: list[str] | None = None) -> DataFrame:
+    """Mean of each part of the time, to a tenth, over all rows or per group."""
+    return rows.groupBy(*(by or [])).agg(*[F.round(F.avg(p), 1).alias(f"avg_{p}") for p in parts])
+
+
+def slowest(rows: DataFrame, total: str, n: int = 10, *ties: str) -> DataFrame:
+    return rows.orderBy(F.col(total).desc_nulls_last(), *ties).limit(n)
+
+
+def slow(rows: DataFrame, total: str, least: float = 250.0) -> DataFrame:
+    """Rows that took at least so many milliseconds."""
+    return rows.where(F.col(total) >= least)
+
+
+def metadata_ready(truth: DataFrame) -> DataFrame:
+    """Annotations that metadata can be scored against: with a date or a source."""
+    return truth.where("publication_date is not null or source is not null")
+
+
+#: Default orders of the catalogue's tables.
+DEFAULT_ORDERS = {"documents": ("created_at", False), "runs": ("created_at", False), "chunks": ("order", True)}
+
+
+def in_default_order(rows: DataFrame, table: str, tie: str) -> DataFrame:
+    column, rising = DEFAULT_ORDERS[table]
+    return rows.orderBy(F.col(column).asc() if rising else F.col(column).desc(), tie)

@@ -13,6 +13,7 @@ from ..operators import lineage as N
 from ..operators import matching
 from ..operators import quality as Q
 from ..operators import reports as P
+from ..operators.rendering import render
 from .registry import query, table
 
 _DOI = "'10.' || (1000 + doc_id % 9000) || '/d.' || doc_id"
@@ -450,6 +451,42 @@ def pages_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("conv_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))
 
 
+@query("SELECT l_linestatus, round(avg(l_quantity), 1) AS avg_l_quantity, round(avg(l_extendedprice), 1) AS avg_l_extendedprice FROM lineitem GROUP BY l_linestatus")
+def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.timing_summary(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_linestatus"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10")
+def slowest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.slowest(table(spark, sf_dir, "lineitem"), "l_extendedprice", 10, "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("SELECT event_id, value FROM events WHERE value >= 25")
+def slow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.slow(table(spark, sf_dir, "events"), "value", 25.0).select("event_id", "value")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR lang = 'de'")
+def metadata_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir, "lang").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "2020").alias("publication_date"), F.when(F.col("lang") == "de", F.col("lang")).alias("source"))
+    return P.metadata_ready(rows).select("doc_id")
+
+
+_DROPPED = "doc_id % 2 = 0 AND i % 5 = 2"
+
+
+@query(f"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), b AS (SELECT doc_id, l, list_filter(range(1, len(l) + 1), lambda i: {_DROPPED}) AS gone FROM l),
+s AS (SELECT doc_id, len(l) AS considered, len(gone) AS dropped, l, list_transform(gone, lambda i: regexp_replace(l[i], '^\\s+|\\s+$', '', 'g')) AS g FROM b),
+r AS (SELECT *, CASE WHEN l[len(l)] = '' THEN l[1:len(l) - 1] ELSE l END AS ls FROM s),
+h AS (SELECT *, list_transform(ls, lambda x: CASE WHEN regexp_extract(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '^#{{1,6}}\\s+(.+)$', 1) <> '' THEN '# ' || trim(regexp_extract(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '^#{{1,6}}\\s+(.+)$', 1)) WHEN lower(trim(x)) IN ('review', 'abstract', 'addresses', 'keywords') THEN '# ' || trim(x) ELSE x END) AS hs FROM r)
+SELECT doc_id, considered, dropped, CASE WHEN len(g) = 0 THEN array_to_string(hs, chr(10)) ELSE regexp_replace(regexp_replace(array_to_string(list_filter(hs, lambda x: length(trim(x)) < 2 OR NOT list_contains(g, regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') END AS text FROM h""")
+def render_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line is a block; in every other document each fifth one is a ghost."""
+    own = docs(spark, sf_dir, "text")
+    blocks = own.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).select("doc_id", "text", ((F.col("doc_id") % 2 != 0) | (F.pmod(F.col("i") + 1, F.lit(5)) != 2)).alias("keep"))
+    return render(own, blocks)
+
+
 # Layout
 
 

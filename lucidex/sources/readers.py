@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import traceback
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,11 +58,11 @@ def prompts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def binaries(spark: SparkSession, path: str, suffix: str = ".pdf", allowed: list[str] | None = None) -> DataFrame:
-    """(name, content, length) of files with a suffix in any case, in order of name."""
+    """(name, content, length) of files with a suffix in any case; order them by name where few are shown."""
     glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     df = df.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "content", "length")
-    return (df.where(F.col("name").isin(allowed)) if allowed else df).orderBy("name")
+    return df.where(F.col("name").isin(allowed)) if allowed else df
 
 
 def score_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -110,8 +111,8 @@ class Extractors:
                 for name, content in zip(part["name"], part["content"], strict=True):
                     try:
                         out.append((name, *extract(bytes(content)), None))
-                    except Exception as e:  # a row reports its own failure
-                        out.append((name, None, 1, str(e)))
+                    except Exception:  # a row reports its own failure
+                        out.append((name, None, 1, traceback.format_exc(limit=-3)))
                 yield pd.DataFrame(out, columns=["name", "text", "pages", "error"])
 
         return files.select("name", "content").mapInPandas(run, "name string, text string, pages int, error string")

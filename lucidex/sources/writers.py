@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Chunks of one answer at most.
+ANSWER_ROWS = 10_000
+
+
 def append_new(df: DataFrame, path: str, key: str) -> None:
     """Append the rows whose key the table doesn't hold."""
     spark = df.sparkSession
@@ -36,7 +40,12 @@ def snapshots(df: DataFrame, path: str, raw: str, processed: str, config: str) -
 
 
 def answer(narrative: str, chunks: DataFrame, documents: DataFrame, authors: DataFrame) -> DataFrame:
-    """One JSON string {status, narrative, chunks, documents, authors}; chunks in rank order."""
+    """One JSON string {status, narrative, chunks, documents, authors}; chunks in rank order.
+
+    An answer is for a page: more than ANSWER_ROWS chunks are an error.
+    """
+    if chunks.limit(ANSWER_ROWS + 1).count() > ANSWER_ROWS:
+        raise ValueError(f"more than {ANSWER_ROWS} chunks in an answer")
     ranked = chunks.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "type", "content", "score", F.struct("document_id", "page").alias("metadata")))), lambda c: c.dropFields("position")).alias("chunks"))
     docs = documents.agg(F.map_from_entries(F.collect_list(F.struct(F.col("document_id").cast("string"), F.struct(*[c for c in documents.columns])))).alias("documents"))
     people = authors.agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), F.struct("name", "orcid")))).alias("authors"))
@@ -61,3 +70,9 @@ def sparse_vector(text: Column) -> Column:
     own = tokens(text)
     terms = F.array_distinct(own)
     return F.map_from_arrays(terms, F.transform(terms, lambda t: F.filter(F.transform(own, lambda w, i: F.when(w == t, i + 1)), lambda p: p.isNotNull())))
+
+
+def per_format(df: DataFrame, path: str, key: str, formats: dict[str, str]) -> None:
+    """Each document in several formats: a folder a format, a text row a document; formats maps names to columns."""
+    for name, column in formats.items():
+        df.select(F.col(key), F.col(column).alias("value")).write.mode("overwrite").parquet(f"{path}/{name}")
