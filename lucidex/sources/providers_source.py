@@ -6,8 +6,9 @@ executor can read; providers, a comma list (all by default); batch, DOIs a
 partition; retries and pause (seconds, doubled with each try).
 
 Each partition asks one provider for one batch of DOIs, so a lost executor
-repeats its batches only.  A filter on provider reaches the source: other providers
-aren't asked; register() turns that on for the session.  An answer that says there is no such work is a row without a
+repeats its batches only.  Providers are chosen by the option: a filter that
+Spark pushed into a Python source would stay with it and narrow other uses of
+the same DataFrame, so none is pushed.  An answer that says there is no such work is a row without a
 body; one that fails after all tries is a row with its error.
 """
 
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 PROVIDERS = ("crossref", "openalex", "pubmed", "hal", "arxiv")
 SCHEMA = "doi string, provider string, body string, error string"
@@ -42,15 +43,6 @@ class Reader(DataSourceReader):
         if unknown := sorted(set(self.providers) - set(PROVIDERS)):
             raise ValueError(f"unknown providers: {', '.join(unknown)}")
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("provider",):
-                self.providers = [p for p in self.providers if p == f.value]
-            elif isinstance(f, In) and f.attribute == ("provider",):
-                self.providers = [p for p in self.providers if p in f.value]
-            else:
-                yield f
-
     def _dois(self) -> list[str]:
         if "dois" in self.options:
             found = json.loads(self.options["dois"])
@@ -107,8 +99,7 @@ class Providers(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to the session; a source with pushed filters needs the setting."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the format known to the session."""
     spark.dataSource.register(Providers)
 
 
