@@ -48,8 +48,17 @@ FROM f LEFT JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS NOT
 
 
 def _descend(key: str, leaves: list[hash_tree.Leaf]) -> str:
-    draws = ", ".join(f"{{'d': -ln((('0x' || substr(md5({key} || '{hash_tree.path_of(x)}'), 1, 13))::BIGINT + 1.0::DOUBLE) / {float(2**52)}::DOUBLE) / {x.weight}::DOUBLE, 'n': {x.shard}}}" for x in leaves)
-    return f"list_min([{draws}]).n"
+    """The way down as nested choices: only the chosen child's own children draw."""
+    tree = hash_tree.nodes(leaves)
+
+    def below(node: int) -> str:
+        children = tree[node]["children"]
+        if not children:
+            return str(tree[node]["shard"])
+        draws = ", ".join(f"{{'d': -ln((('0x' || substr(md5({key} || '{c['path']}'), 1, 13))::BIGINT + 1.0::DOUBLE) / {float(2**52)}::DOUBLE) / {c['weight']}::DOUBLE, 'n': {c['node']}}}" for c in children)
+        return f"CASE list_min([{draws}]).n {' '.join(f'WHEN {c["node"]} THEN {below(c["node"])}' for c in children)} END"
+
+    return below(0)
 
 
 def op4(shards: int = 8) -> str:
@@ -60,7 +69,7 @@ def op4(shards: int = 8) -> str:
 WITH t AS MATERIALIZED (SELECT {table} AS crc), d AS (SELECT doc_id, coalesce('k' || doc_id, 'null') AS key, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
 b AS (SELECT doc_id, key, size, hex(encode(text)) AS h FROM d),
 c AS (SELECT doc_id, key, size, xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
-s AS (SELECT *, {_descend(key, hash_tree.balanced(shards))} AS shard, {_descend(key, hash_tree.balanced(shards + 1))} AS grown_shard, md5(concat_ws('/', key, size, text_crc32)) AS hash FROM c)
+s AS (SELECT *, {_descend(key, hash_tree.sized(shards))} AS shard, {_descend(key, hash_tree.sized(shards + 1))} AS grown_shard, md5(concat_ws('/', key, size, text_crc32)) AS hash FROM c)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY hash, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM s"""
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 import zlib
 
@@ -125,13 +127,14 @@ def test_shards_null_and_repeated(spark):
 
 
 def test_growth_by_one(spark):
-    """From every shard count to the next, keys go into the new shard only, as the table of the lesser count foretells."""
+    """From every shard count that a layout has grown to, keys go into the new shard only, as the table of the lesser count foretells."""
     key = hash_tree.key_text(F.col("k"))
-    counts = range(1, 21)
-    rows = spark.range(3000).select(F.col("id").alias("k")).select(*[hash_tree.descend(key, hash_tree.balanced(n)).alias(f"s{n}") for n in counts]).collect()
-    for n in counts[:-1]:
-        moved = [(r[n - 1], r[n]) for r in rows if r[n - 1] != r[n]]
-        assert moved and {b for _, b in moved} == {n}
+    for base in (1, 3, 8, 11):
+        counts = range(base, base + 7)
+        rows = spark.range(3000).select(F.col("id").alias("k")).select(*[hash_tree.descend(key, hash_tree.sized(n, base)).alias(f"s{n}") for n in counts]).collect()
+        for i, n in enumerate(counts[:-1]):
+            moved = [(r[i], r[i + 1]) for r in rows if r[i] != r[i + 1]]
+            assert moved and {b for _, b in moved} == {n}
     df = spark.createDataFrame([(i, "x") for i in range(200)] + [(None, "x")] * 50, "doc_id long, text string")
     now, then = (hash_tree.shard_table(df, shards=n).collect() for n in (8, 9))
     assert {(r["doc_id"], r["grown_shard"]) for r in now} == {(r["doc_id"], r["shard"]) for r in then}
@@ -151,6 +154,38 @@ def test_movement_is_confined(spark):
     assert abs(share - 0.3) < 0.02
 
 
+def plain_descent(key, leaves):
+    """The way down and the number of draws it took."""
+    tree, node, drawn = hash_tree.nodes(leaves), 0, 0
+    while tree[node]["children"]:
+        u = lambda c: (int(hashlib.md5(f"{key}{c['path']}".encode()).hexdigest()[:13], 16) + 1) / 2**52
+        drawn += len(tree[node]["children"])
+        node = min(tree[node]["children"], key=lambda c: (-math.log(u(c)) / c["weight"], c["node"]))["node"]
+    return tree[node]["shard"], drawn
+
+
+def test_descent_draws_for_children_only(spark):
+    leaves = hash_tree.balanced(64, racks=4, per_rack=4)
+    rows = spark.range(500).select(F.col("id"), hash_tree.descend(hash_tree.key_text(F.col("id")), leaves).alias("s")).collect()
+    for r in rows:
+        shard, drawn = plain_descent(f"k{r['id']}", leaves)
+        assert r["s"] == shard and drawn == 12  # 4 regions, 4 racks, 4 shards, not 64
+    assert len({r["s"] for r in rows}) == 64
+    for bad in ([hash_tree.Leaf("r", "a", 0, 0.0)], [hash_tree.Leaf("r", "a", 0), hash_tree.Leaf("r", "a", 0)]):
+        with pytest.raises(ValueError):
+            hash_tree.nodes(bad)
+
+
+def test_many_equal_rows_are_numbered_in_ranges(spark, monkeypatch):
+    monkeypatch.setattr(hash_tree, "RANGE", 7)
+    df = spark.createDataFrame([(5, "same")] * 50 + [(i, "x") for i in range(20)], "doc_id long, text string")
+    found = hash_tree.shard_table(df).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r["shard"], []).append(r["slot"])
+    assert len(found) == 70 and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
 ITEMS = [(0, "alpha beta gamma"), (1, None), (2, ""), (3, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (3, "other text of the same item id and some more words here"), (None, "omega"), (12, "w7 w8 w9 w10 w11 w12 w13 w14 w15 w16")]
 
 
