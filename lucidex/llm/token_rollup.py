@@ -10,8 +10,15 @@ they are additive and never recount old documents.
 Commits are idempotent: a batch has one folder, named by a digest of its id,
 which one atomic rename of a finished draft puts in place.  Committing an id
 again does nothing, of two writers the first wins, and a commit that was cut
-short leaves a draft that doesn't count.  compact() folds batches into one table with the list of batches
-that it covers, which still aren't accepted again.
+short leaves a draft that doesn't count.
+
+compact() folds what counts into one base table with the list of batches that
+it covers, which still aren't accepted again.  Bases are numbered, each takes
+the place of the one before, and readers take the highest: of two compactors
+that started from one base only the first can put the next number in place,
+so nothing is ever counted twice.  vacuum() removes what a base covers.  On a
+store whose rename of a folder isn't atomic, writers of one rollup must take
+turns.
 
 Tokens are counted with a public byte-level BPE vocabulary, whose file is a
 parameter and goes to the executors as a broadcast of MAX_VOCABULARY bytes at
@@ -28,9 +35,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import importlib
 import uuid
-from collections.abc import Iterable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,16 +48,14 @@ from .common import batches, by_value, materialize, text_bytes
 TOKENIZER = "byte_bpe_50k"
 MAX_VOCABULARY = 32 << 20
 
-#: Code points encoded at a time; texts are cut only where a new line follows a letter or digit, where no piece of the pattern spans.
-PIECE = 1 << 16
-
 GROUP = ("source", "lang", "tokenizer")
 SUMS = ("n_docs", "n_tokens", "n_bytes")
 
 
 def vocabulary(name: str = TOKENIZER, path: str | None = None) -> tuple[bytes, str]:
     """Contents and splitting pattern of a tiktoken vocabulary file, default from the public tokenizers."""
-    public = importlib.import_module("public_tokenizers")
+    import public_tokenizers as public
+
     with open(path or public.path(f"{name}.tiktoken"), "rb") as f:
         data = f.read(MAX_VOCABULARY + 1)
     if len(data) > MAX_VOCABULARY:
@@ -163,19 +166,32 @@ class Rollup:
             return False
         return True
 
-    def _covers(self) -> DataFrame:
-        """(folder): names of the folders that a base table already holds."""
-        bases = [f"{self.path}/{n}/covers" for n in self._names() if n.startswith("base-")]
-        return self.spark.read.schema("folder string").parquet(*bases) if bases else self.spark.createDataFrame([], "folder string")
-
-    def covered(self, names: list[str]) -> set[str]:
-        """Those of the names that a base table already holds."""
-        known = self.spark.createDataFrame([(n,) for n in names], "folder string")
-        return {r["folder"] for r in known.join(self._covers(), "folder", "left_semi").collect()}
+    @staticmethod
+    def _base(generation: int) -> str:
+        return f"base-{generation:010d}"
+
+    def _covers(self, generation: int) -> DataFrame:
+        """(folder): names of the batches that a base holds."""
+        reader = self.spark.read.schema("folder string")
+        return reader.parquet(f"{self.path}/{self._base(generation)}/covers") if generation else self.spark.createDataFrame([], "folder string")
+
+    def listed(self) -> tuple[int, list[str]]:
+        """(number of the highest base or 0, names of the folders that count)."""
+        names = self._names()
+        generation = max((int(n[5:]) for n in names if n.startswith("base-")), default=0)
+        own = [n for n in names if n.startswith("batch-") and self._there(f"{self.path}/{n}/_SUCCESS")]
+        if generation and own:
+            known = self.spark.createDataFrame([(n,) for n in own], "folder string")
+            gone = {r["folder"] for r in known.join(self._covers(generation), "folder", "left_semi").collect()}
+            own = [n for n in own if n not in gone]
+        return generation, [self._base(generation)] * bool(generation) + own
 
     def committed(self, batch_id: str) -> bool:
         folder = self._folder(batch_id)
-        return self._there(f"{folder}/_SUCCESS") or bool(self._covers().where(F.col("folder") == folder.rpartition("/")[2]).take(1))
+        if self._there(f"{folder}/_SUCCESS"):
+            return True
+        generation, _ = self.listed()
+        return bool(self._covers(generation).where(F.col("folder") == folder.rpartition("/")[2]).take(1))
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add a batch once; False if its id was committed before."""
@@ -189,30 +205,32 @@ class Rollup:
         # Of two writers of one id the first to rename wins.
         return self._move(draft, self._folder(batch_id))
 
-    def batches(self) -> list[str]:
-        """Names of the folders that count."""
-        names = [n for n in self._names() if n.startswith("base-") or n.startswith("batch-") and self._there(f"{self.path}/{n}/_SUCCESS")]
-        gone = self.covered(names) if any(n.startswith("base-") for n in names) else set()
-        return [n for n in names if n not in gone]
-
     def _rows(self, names: list[str]) -> DataFrame:
         paths = [f"{self.path}/{n}" + "/data" * n.startswith("base-") for n in names]
         return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
 
     def totals(self) -> DataFrame:
         """Sums over all batches, without groups that have come to nothing."""
-        return summed(self._rows(self.batches())).where("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
-
-    def compact(self) -> None:
-        """Fold what counts into one base table; a single rename makes it and its list of covered folders visible."""
-        found = self.batches()
-        if len(found) < 2:
-            return
-        name = hashlib.sha256("".join(found).encode()).hexdigest()[:32]
+        return summed(self._rows(self.listed()[1])).where("n_docs <> 0 or n_tokens <> 0 or n_bytes <> 0")
+
+    def compact(self, listed: tuple[int, list[str]] | None = None) -> bool:
+        """Fold what counts (as it was listed) into the next base; False where there is nothing to fold or another made that base first."""
+        generation, names = listed or self.listed()
+        if len(names) < 2:
+            return False
         draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
-        summed(self._rows(found)).write.parquet(f"{draft}/data")
-        self.spark.createDataFrame([(n,) for n in found], "folder string").union(self._covers()).distinct().write.parquet(f"{draft}/covers")
-        self._move(draft, f"{self.path}/base-{name}")
+        summed(self._rows(names)).write.parquet(f"{draft}/data")
+        new = self.spark.createDataFrame([(n,) for n in names if n.startswith("batch-")], "folder string")
+        new.union(self._covers(generation)).write.parquet(f"{draft}/covers")
+        return self._move(draft, f"{self.path}/{self._base(generation + 1)}")
+
+    def vacuum(self) -> None:
+        """Remove bases that another took the place of, and batches that the highest base covers."""
+        generation, names = self.listed()
+        for name in self._names():
+            if name not in names and (name.startswith("base-") or name.startswith("batch-") and self._there(f"{self.path}/{name}/_SUCCESS")):
+                fs, p = self._fs(f"{self.path}/{name}")
+                fs.delete(p, True)
 
 
 def clean(text: Column) -> Column:
@@ -243,17 +261,4 @@ def replay(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     return rollup.totals()
 
 
-def counts_by(rows: Iterable[tuple], count) -> dict:
-    """Brute force for tests: {(source, lang): [docs, tokens, bytes]} of (source, lang, text) rows."""
-    out: dict = {}
-    for source, lang, text in rows:
-        t = b" ".join((text or "").encode().split())
-        if t:
-            own = out.setdefault((source, lang), [0, 0, 0])
-            own[0] += 1
-            own[1] += count(t)
-            own[2] += len(t)
-    return out
-
-
 by_value(__name__)

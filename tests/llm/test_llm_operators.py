@@ -484,7 +484,48 @@ def test_rollup(spark, docs, rows, empty, tmp_path):
 
 
 def brute_counts(rows, count):
-    return token_rollup.counts_by(((r[3], r[2], r[1]) for r in rows), count)
+    """{(source, lang): [docs, tokens, bytes]} of the texts that white-space normalisation leaves."""
+    out = {}
+    for _, text, lang, source, *_ in rows:
+        t = b" ".join((text or "").encode().split())
+        if t:
+            own = out.setdefault((source, lang), [0, 0, 0])
+            own[0] += 1
+            own[1] += count(t)
+            own[2] += len(t)
+    return out
+
+
+def test_rollup_odd_cases(spark, clashing, rows, tmp_path):
+    count = token_rollup.counter(*token_rollup.vocabulary())
+    extra = clashing.withColumns({n: F.lit("clash") for n in ("old", "new", "op", "tokenizer", "old_tokens", "n_docs", "changed")})
+    long = spark.createDataFrame([(9000, "z" * 200_000, "en", "a", 0), (9001, "two words " * 30_000, "en", "a", 0)], DOCS)
+    more = [*rows, (9000, "z" * 200_000, "en", "a", 0), (9001, "two words " * 30_000, "en", "a", 0)]
+    df = extra.select(*[c for c in long.columns]).unionByName(long)
+    for n in ("old", "op", "n_docs"):
+        df = df.withColumn(n, F.lit("clash"))
+    found = {(r["source"], r["lang"]): [r["n_docs"], r["n_tokens"], r["n_bytes"]] for r in token_rollup.replay(df, str(tmp_path / "o")).collect()}
+    assert found == brute_counts(more, count)
+
+
+def test_interleaved_compaction(spark, tmp_path):
+    """Two compactors that listed different batches: the second to finish changes nothing, and nothing counts twice."""
+    rollup = token_rollup.Rollup(spark, str(tmp_path / "i"))
+    batch = lambda n: token_rollup.signed_deltas(spark.createDataFrame([("s", "en", "t", "insert", 0, 0, n, n)], CHANGES))
+    rollup.commit("b1", batch(10))
+    rollup.commit("b2", batch(20))
+    early = rollup.listed()
+    rollup.commit("b3", batch(30))
+    late = rollup.listed()
+    want = [("s", "en", "t", 3, 60, 60)]
+    assert rollup.compact(early) and got(rollup.totals()) == want
+    assert not rollup.compact(late) and got(rollup.totals()) == want
+    assert rollup.compact() and got(rollup.totals()) == want
+    assert not rollup.compact() and not rollup.compact(early)
+    rollup.vacuum()
+    assert got(rollup.totals()) == want and [n for n in rollup._names() if n[0] == "b"] == ["base-0000000002"]
+    assert not any(rollup.commit(b, batch(1)) for b in ("b1", "b2", "b3"))
+    assert rollup.commit("b4", batch(1)) and got(rollup.totals()) == [("s", "en", "t", 4, 61, 61)]
 
 
 CHANGES = "source string, lang string, tokenizer string, op string, old_tokens long, old_bytes long, new_tokens long, new_bytes long"
