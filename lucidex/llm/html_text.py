@@ -30,7 +30,13 @@ Menus, headers, footers, sidebars, forms and the like go by their elements.
 Where no tag holds the article alone and the slot is the body, blocks made of
 template words only go too; a slot of the article's own is kept whole, since
 articles of a host may share a passage.  Only for containers with less than
-half of the page's text a list of customary class names decides.
+half of the page's text a list of customary class names decides, and never for
+one with the page's title heading: its one h1 (of several, the first in an
+article or main element) or, without any, its only heading.  Names that mean
+other things as well (share, widgets, related, header) count only if nothing
+else is in the name, and not for containers with sentences of their own.  Of
+several article elements at different places that with the most text is the
+article.
 
 Defined cases: null or empty html has the text ''; a null url is a host of its
 own; repeated pages each get a row; unclosed tags end with their parent, and
@@ -62,6 +68,9 @@ MAIN_SHARE = 0.9
 CHUNK_TOKENS = 300_000
 MAP_BITS = 24
 
+#: Words outside links that make the text of a container one of its own.
+PROSE = 10
+
 #: Stands for the tag itself among the words of a path.
 TAG = "<\n"
 
@@ -71,7 +80,9 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _RAW = frozenset("script style noscript template iframe svg object textarea select option button title head canvas audio video annotation".split())
 _RUNS_ON = frozenset("script style template iframe textarea title noscript".split())
 _BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
-_BOILER_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted recommended related replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+_BOILER_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted sidebar signup sponsor sponsored subscribe".split())
+_WEAK_WORDS = frozenset("banner header masthead recommended related replies share sharing social toolbar widget widgets".split())
+_PLACE_WORDS = frozenset("article blog bottom entry global left main mobile page post posts primary right secondary side site sticky top".split())
 _BOX_WORDS = frozenset("area bar block box container inner item items list outer panel row section slot wrap wrapper".split())
 _STATE_WORDS = frozenset("has is no not with without".split())
 _CLOSED_BY = {"p": frozenset("p".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -81,19 +92,51 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
+_STOP = re.compile(r"[.!?…。](?:\s|\Z)")
 
 
 class Node:
-    """An open element: its token (path); whether it or a parent is boilerplate; the path of the outermost parent with a customary boilerplate name."""
-
-    __slots__ = ("boiler", "named", "path", "tag")
-
-    def __init__(self, tag: str, path: str, boiler: bool, named: str):
-        self.tag, self.path, self.boiler, self.named = tag, path, boiler, named
+    """An open element: its token (path), and what decides about the text below it.
 
+    boiler: it or a parent is boilerplate by its element; soft: it is a header
+    outside articles; customary: 2 for a boilerplate name, 1 for a name that
+    may be one; title: the page's title heading is below; words, links:
+    words below and those of them in links; sentence: whether one ends below.
+    """
 
-def _customary(value: str) -> bool:
-    """Whether a class or id says boilerplate: its last part, but for words for boxes, is on the list."""
+    __slots__ = ("boiler", "customary", "links", "parent", "path", "sentence", "soft", "tag", "title", "weak", "words")
+
+    def __init__(self, tag: str, path: str, parent: Node | None = None, boiler: bool = False, soft: bool = False, customary: int = 0):
+        self.tag, self.path, self.parent, self.boiler, self.soft, self.customary = tag, path, parent, boiler, soft, customary
+        self.title, self.words, self.links, self.sentence = False, 0, 0, False
+        #: The nearest element with such a name, itself included.
+        self.weak: Node | None = self if customary == 1 else parent.weak if parent else None
+
+    def above(self) -> Iterator[Node]:
+        node: Node | None = self
+        while node:
+            yield node
+            node = node.parent
+
+    @property
+    def out(self) -> bool:
+        """Whether the text below is boilerplate by elements."""
+        return self.boiler or any(n.soft and not n.title for n in self.above())
+
+    @property
+    def named(self) -> str:
+        """The path of the outermost parent that is boilerplate by its name, or ''."""
+        found = ""
+        for n in self.above():
+            prose = n.sentence and n.words - n.links >= PROSE and 2 * n.links < n.words
+            if n.customary and not n.title and not (n.customary == 1 and prose):
+                found = n.path
+        return found
+
+
+def _customary(value: str) -> int:
+    """2 if the last part of a class or id, but for words for boxes, says boilerplate; 1 if it may and the other parts say nothing else; else 0."""
+    best = 0
     for own in value.split():
         parts = _NAME.findall(own)
         if parts and parts[0] in _STATE_WORDS:
@@ -101,39 +144,43 @@ def _customary(value: str) -> bool:
         while len(parts) > 1 and parts[-1] in _BOX_WORDS:
             parts.pop()
         if parts and parts[-1] in _BOILER_WORDS:
-            return True
-    return False
+            return 2
+        if parts and parts[-1] in _WEAK_WORDS and all(p in _WEAK_WORDS or p in _PLACE_WORDS or p in _BOX_WORDS for p in parts[:-1]):
+            best = 1
+    return best
 
 
-def _names(attributes: str) -> tuple[str, bool, bool]:
-    """An opaque name for the path, customary boilerplate name or not, and hidden or not."""
-    name, customary, hidden = "", False, False
+def _names(attributes: str) -> tuple[str, int, bool]:
+    """An opaque name for the path, how far it is a customary boilerplate name, and hidden or not."""
+    name, customary, hidden = "", 0, False
     if "=" in attributes or "hidden" in attributes:
         for key, value in _ATTRIBUTE.findall(attributes):
             value = value.strip("\"'").lower()
             if key.lower() in ("hidden", "aria-hidden"):
                 hidden |= key.lower() == "hidden" or value == "true"
                 continue
-            customary |= _customary(value)
+            customary = max(customary, _customary(value))
             name = name or "-".join(_NAME.findall(value)[:3])
     return name, customary, hidden
 
 
 def walk(source: str) -> Iterator[tuple[str, Node | None, str]]:
-    """("open", node, "") for each structural element, ("text", node, text) and ("break", node, "") in page order."""
-    stack: list[Node] = [Node("", "", False, "")]
-    at, end = 0, len(source)
+    """("open", node, "") for each structural element, ("text" or, in a link, "link", node, text) and ("break", node, "") in page order."""
+    stack: list[Node] = [Node("", "")]
+    at, end, kind = 0, len(source), "text"
     while at < end:
         m = _TOKEN.search(source, at)
         if m is None:
-            yield "text", stack[-1], source[at:]
+            yield kind, stack[-1], source[at:]
             return
         if m.start() > at:
-            yield "text", stack[-1], source[at : m.start()]
+            yield kind, stack[-1], source[at : m.start()]
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        if tag == "a":
+            kind = "text" if m[1] else "link"
         if m[1]:
             if tag in _INLINE:
                 continue
@@ -161,18 +208,16 @@ def walk(source: str) -> Iterator[tuple[str, Node | None, str]]:
             closed = closed | {"p"}
         if stack[-1].tag in closed:
             stack.pop()
-        name, customary, hidden = _names(m[3]) if m[3] else ("", False, False)
-        inside = {n.tag for n in stack}
-        boiler = stack[-1].boiler or hidden or tag in _BOILER_TAGS or (tag == "header" and not inside & {"article", "main"})
+        name, customary, hidden = _names(m[3]) if m[3] else ("", 0, False)
+        soft = tag == "header" and not any(n.tag in ("article", "main") for n in stack)
         path = f"{stack[-1].path}/{tag}" + f".{name}" * bool(name)
-        named = stack[-1].named or (path if customary and tag not in ("html", "body", "article", "main") else "")
-        node = Node(tag, path, boiler, named)
+        node = Node(tag, path, stack[-1], stack[-1].boiler or hidden or tag in _BOILER_TAGS, soft, 0 if tag in ("html", "body", "article", "main") else customary)
         stack.append(node)
         yield "open", node, ""
 
 
 def structure(source: str) -> dict[str, list]:
-    """{path: [occurrences of its tag, characters of text below outside links and boilerplate, {word: occurrences}]}."""
+    """{path: [occurrences of its tag, characters of text below outside boilerplate elements, {word: occurrences}]}."""
     out: dict[str, list] = {"": [0, 0, {}]}
     for kind, node, text in walk(source):
         own = out.get(node.path)
@@ -180,10 +225,10 @@ def structure(source: str) -> dict[str, list]:
             own = out[node.path] = [0, 0, {}]
         if kind == "open":
             own[0] += 1
-        elif kind == "text" and (words := text.split()):
+        elif kind != "break" and (words := text.split()):
             for word in words:
                 own[2][word] = own[2].get(word, 0) + 1
-            if not node.boiler:
+            if not node.boiler and not any(n.soft for n in node.above()):
                 own[1] += sum(map(len, words))
     # Characters of a path go to the paths above it too, the longest first.
     for path in sorted(out, key=len, reverse=True):
@@ -203,23 +248,44 @@ def tokens(source: str) -> dict[str, list[int]]:
     return out
 
 
+def _mark_title(headings: list[Node]) -> None:
+    """Note the page's title heading in the elements around it."""
+    own = [h for h in headings if not h.boiler]
+    first = [h for h in own if h.tag == "h1"] or own
+    inner = [h for h in first if any(n.tag in ("article", "main") for n in h.above())]
+    if first and (first[0].tag == "h1" or len(first) == 1):
+        for n in (inner or first)[0].above():
+            n.title = True
+
+
 def blocks(source: str) -> list[tuple[str, str, str, str]]:
     """(path, path of a customary boilerplate container or '', text, text as it stands) of each block of text outside boilerplate elements, in page order."""
-    out: list[tuple[str, str, str]] = []
+    whole: list[tuple[Node, str]] = []
+    headings: list[Node] = []
     part: list[str] = []
-    where: tuple[str, str] = ("", "")
+    where: Node | None = None
     for kind, node, text in walk(source):
-        own = (node.path, node.named)
-        if kind == "text" and not node.boiler and own == where:
-            part.append(text)
-            continue
+        if kind == "open" and len(node.tag) == 2 and node.tag[0] == "h" and node.tag[1] in "123456":
+            headings.append(node)
+        if kind in ("text", "link") and not node.boiler:
+            n = len(text.split()) if node.weak else 0
+            weak = node.weak
+            while weak:
+                weak.words += n
+                weak.links += n if kind == "link" else 0
+                weak.sentence |= _STOP.search(text) is not None
+                weak = weak.parent.weak if weak.parent else None
+            if node is where:
+                part.append(text)
+                continue
         if part:
-            out.append((*where, "".join(part)))
-        part, where = ([text], own) if kind == "text" and not node.boiler else ([], own)
+            whole.append((where, "".join(part)))
+        part, where = ([text], node) if kind in ("text", "link") and not node.boiler else ([], node)
     if part:
-        out.append((*where, "".join(part)))
-    cleaned = ((path, named, _SPACE.sub(" ", html.unescape(text)).strip(), text) for path, named, text in out)
-    return [(path, named, text, raw) for path, named, text, raw in cleaned if text]
+        whole.append((where, "".join(part)))
+    _mark_title(headings)
+    kept = ((node, _SPACE.sub(" ", html.unescape(text)).strip(), text) for node, text in whole if not node.out)
+    return [(node.path, node.named, text, raw) for node, text, raw in kept if text]
 
 
 def main_text(source: str, slots: set[str] | frozenset[str] = frozenset(), template: frozenset[int] = frozenset(), of: str = "") -> str:
@@ -228,7 +294,12 @@ def main_text(source: str, slots: set[str] | frozenset[str] = frozenset(), templ
     roots = {s for s in slots if any(_below(path, s) for path, *_ in found)}
     for tag in () if roots else ("article", "main", "body"):
         at = re.compile(rf"(.*?/{tag}(?:\.[^/]*)?)(?:/|$)")
-        if roots := {m[1] for path, *_ in found if (m := at.match(path))}:
+        texts: dict[str, int] = {}
+        for path, _, text, _ in found:
+            if m := at.match(path):
+                texts[m[1]] = texts.get(m[1], 0) + len(text)
+        if texts:
+            roots = {max(texts, key=lambda r: (texts[r], r))}
             break
     inside = [x for x in found if not roots or any(_below(x[0], r) for r in roots)]
     if template and (own := [x for x in inside if not all(number(w, seed(of, x[0])) in template for w in x[3].split())]):
