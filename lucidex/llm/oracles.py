@@ -16,6 +16,7 @@ def op1() -> str:
         return f"(({b} - {at} * {base})::BIGINT << {at})"
 
     q = lambda p: f"min(bucket) FILTER (WHERE upto * 1000 >= docs * {p})"
+    some = lambda p: f"min(bucket) FILTER (WHERE bucket > 0 AND (upto - zero) * 1000 >= (docs - zero) * {p})"
     least = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.FLOOR.items()) + " END"
     fenced = ", ".join(f"'{k}'" for k in quality.FENCED)
     prior = quality.PRIOR * quality.WEIGHT
@@ -38,10 +39,10 @@ e AS (SELECT measure, bucket, {prior} * sum(n) // sum(sum(n)) OVER (PARTITION BY
 mix AS (SELECT lang, source, measure, bucket, sum(w) AS w FROM (SELECT lang, source, measure, bucket, n * {quality.WEIGHT} AS w FROM sketch
     UNION ALL SELECT g.lang, g.source, g.measure, l.bucket, l.w FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.measure = l.measure
     UNION ALL SELECT g.lang, g.source, g.measure, e.bucket, e.w FROM g JOIN e ON g.measure = e.measure) GROUP BY ALL),
-b AS (SELECT lang, source, measure, {q(250)} AS b25, {q(500)} AS b50, {q(750)} AS b75, {q(quality.TAIL)} AS bt
-    FROM (SELECT lang, source, measure, bucket, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY lang, source, measure) AS docs FROM mix) GROUP BY ALL),
-t AS (SELECT lang, source, measure, {floor('b25')} AS q25, {floor('(b50 + 1)')} - 1 AS q50, {floor('(b75 + 1)')} - 1 AS q75, {floor('(bt + 1)')} - 1 AS tail FROM b),
-h AS (SELECT lang, source, measure, greatest(CASE WHEN measure IN ({fenced}) THEN q75 + {quality.FENCE} * (q75 - q25) ELSE tail + (tail - q50) // 2 END, {least}) AS hi, q25 - {quality.FENCE} * (q75 - q25) AS lo FROM t),
+b AS (SELECT lang, source, measure, {q(250)} AS b25, {q(500)} AS b50, {q(750)} AS b75, {q(quality.TAIL)} AS bt, {some(100)} AS bf, {some(900)} AS bm, max(zero) * 1000 // max(docs) AS zeros
+    FROM (SELECT lang, source, measure, bucket, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(w) OVER (PARTITION BY lang, source, measure) AS docs, coalesce(sum(w) FILTER (WHERE bucket = 0) OVER (PARTITION BY lang, source, measure), 0) AS zero FROM mix) GROUP BY ALL),
+t AS (SELECT lang, source, measure, {floor('b25')} AS q25, {floor('(b50 + 1)')} - 1 AS q50, {floor('(b75 + 1)')} - 1 AS q75, {floor('(bt + 1)')} - 1 AS tail, {floor('bf')} AS few, {floor('(bm + 1)')} - 1 AS many, zeros FROM b),
+h AS (SELECT lang, source, measure, greatest(CASE WHEN measure = 'symbols' AND zeros >= {quality.ZEROS} THEN coalesce(CASE WHEN many <= {quality.APART} * few THEN few // 2 ELSE floor(sqrt((few * many)::DOUBLE))::BIGINT END, 0) WHEN measure IN ({fenced}) THEN q75 + {quality.FENCE} * (q75 - q25) ELSE tail + (tail - q50) // 2 END, {least}) AS hi, q25 - {quality.FENCE} * (q75 - q25) AS lo FROM t),
 lim AS (SELECT lang, source, max(hi) FILTER (WHERE measure = 'symbols') AS a, max(hi) FILTER (WHERE measure = 'dup_lines') AS b, max(hi) FILTER (WHERE measure = 'repeats') AS c, max(hi) FILTER (WHERE measure = 'word_length') AS d, max(lo) FILTER (WHERE measure = 'word_length') AS e FROM h GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(symbols > a OR dup_lines > b OR repeats > c OR word_length > d OR word_length < e, false) AS kept
 FROM f LEFT JOIN lim ON f.lang IS NOT DISTINCT FROM lim.lang AND f.source IS NOT DISTINCT FROM lim.source"""

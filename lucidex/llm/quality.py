@@ -12,11 +12,15 @@ itself, without a switch between them.
 
 Thresholds are read from the merged sketch.  What nearly all documents have
 much alike (symbols, word length) may lie FENCE quartile distances beyond the
-quartiles, on both sides for the word length.  What few documents have at all
-(repeated lines and passages) may lie half as far again from the median as the
-TAIL quantile.  FLOOR is the least limit of a share, for groups in which the
-sketch says zero.  Documents are joined with their group's thresholds; one
-beyond a threshold is rejected.
+quartiles, on both sides for the word length.  Where at least ZEROS of a
+group's documents have no symbols, quartiles are zero and say nothing; then
+the sketch of the others sets the limit by its 10 % and 90 % quantiles: half
+the lower one where they lie within a factor of APART (all that have symbols
+have many), else their geometric mean, which parts those with a few from those
+with many.  What few documents have at all (repeated lines and passages) may
+lie half as far again from the median as the TAIL quantile.  FLOOR is the
+least limit of a share.  Documents are joined with their group's thresholds;
+one beyond a threshold is rejected.
 
 One pass over the texts makes the measures, which are written once; sketches
 and filtering read that narrow table.
@@ -52,8 +56,12 @@ FENCE = 6
 #: Of the others, the quantile in parts per thousand whose distance from the median counts one and a half times.
 TAIL = 995
 
-#: Measure -> least limit, in the measure's unit: 1 % symbols; one line or word in ten repeated.
-FLOOR = {"symbols": 100, "dup_lines": 1000, "repeats": 1000, "word_length": 0}
+#: Share of zeros in parts per thousand from which the others decide, and the factor between their outer quantiles.
+ZEROS = 800
+APART = 16
+
+#: Measure -> least limit, in the measure's unit: one symbol in 400 characters; one line or word in ten repeated.
+FLOOR = {"symbols": 25, "dup_lines": 1000, "repeats": 1000, "word_length": 0}
 
 #: Sub-buckets to a power of two, and the weight of one document in a merged sketch.
 SUB_BITS = 6
@@ -132,13 +140,19 @@ def merged(sketch: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame) -> DataFrame:
-    """(lang, source, measure, q25, q50, q75, tail): upper ends of the buckets that hold these quantiles, the lower end for q25."""
+    """(lang, source, measure, q25, q50, q75, tail, few, many, zeros): upper ends of the buckets that hold these quantiles, the lower end for q25.
+
+    few and many are the lower end of the 10 % quantile and the upper end of
+    the 90 % quantile of values above zero; zeros, the parts per thousand of zero.
+    """
     group = ["lang", "source", "measure"]
     ranked = sketch.withColumn("upto", F.sum("w").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("w").over(Window.partitionBy(*group)))
     q = lambda p: F.min(F.when(F.col("upto") * 1000 >= F.col("all") * p, F.col("bucket")))
-    found = ranked.groupBy(*group).agg(q(250).alias("b25"), q(500).alias("b50"), q(750).alias("b75"), q(TAIL).alias("btail"))
+    ranked = ranked.withColumn("none", F.sum(F.when(F.col("bucket") == 0, F.col("w")).otherwise(0)).over(Window.partitionBy(*group)))
+    some = lambda p: F.min(F.when((F.col("bucket") > 0) & ((F.col("upto") - F.col("none")) * 1000 >= (F.col("all") - F.col("none")) * p), F.col("bucket")))
+    found = ranked.groupBy(*group).agg(q(250).alias("b25"), q(500).alias("b50"), q(750).alias("b75"), q(TAIL).alias("btail"), some(100).alias("bfew"), some(900).alias("bmany"), F.expr("max(none) * 1000 div max(all)").alias("zeros"))
     top = lambda c: bucket_floor(F.col(c) + 1) - 1
-    return found.select(*group, bucket_floor(F.col("b25")).alias("q25"), top("b50").alias("q50"), top("b75").alias("q75"), top("btail").alias("tail"))
+    return found.select(*group, bucket_floor(F.col("b25")).alias("q25"), top("b50").alias("q50"), top("b75").alias("q75"), top("btail").alias("tail"), bucket_floor(F.col("bfew")).alias("few"), top("bmany").alias("many"), "zeros")
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
@@ -146,7 +160,9 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     spread = FENCE * (F.col("q75") - F.col("q25"))
     fenced = F.col("measure").isin(*FENCED)
     least = F.create_map(*[x for k, v in FLOOR.items() for x in (F.lit(k), F.lit(v))])
-    hi = F.when(fenced, F.col("q75") + spread).otherwise(F.expr("tail + (tail - q50) div 2"))
+    apart = F.when(F.col("many") <= APART * F.col("few"), F.expr("few div 2")).otherwise(F.floor(F.sqrt((F.col("few") * F.col("many")).cast("double"))))
+    rare = (F.col("measure") == "symbols") & (F.col("zeros") >= ZEROS)
+    hi = F.when(rare, F.coalesce(apart, F.lit(0))).when(fenced, F.col("q75") + spread).otherwise(F.expr("tail + (tail - q50) div 2"))
     limits = quantiles(merged(sketch)).select("lang", "source", "measure", F.greatest(hi, F.element_at(least, F.col("measure"))).alias("hi"), (F.col("q25") - spread).alias("lo"))
     at = lambda k, c: F.max(F.when(F.col("measure") == k, F.col(c)))
     return limits.groupBy("lang", "source").agg(*[at(k, "hi").alias(f"hi_{k}") for k in FLOOR], at("word_length", "lo").alias("lo_word_length"))

@@ -108,6 +108,24 @@ def test_thresholds_follow_the_groups(spark):
     assert good.where("kept").count() >= 0.98 * good.count() and poor.where("not kept").count() >= 0.9 * poor.count()
 
 
+def test_symbol_limits_come_from_documents_with_symbols(spark):
+    """Most documents have none: the limit follows the others, group by group, and parts few symbols from many."""
+    rng = random.Random(11)
+
+    def text(per_mille):
+        own = words(rng, 120)
+        return own + " " + "#" * round(len(own) * per_mille / 1000)
+
+    rows = [(i, text(0), "en", "tight", 0) for i in range(900)] + [(1000 + i, text(rng.randrange(80, 160)), "en", "tight", 0) for i in range(60)]
+    rows += [(3000 + i, text(0), "en", "mixed", 0) for i in range(800)] + [(4000 + i, text(rng.randrange(2, 5)), "en", "mixed", 0) for i in range(70)] + [(5000 + i, text(rng.randrange(200, 300)), "en", "mixed", 0) for i in range(70)]
+    rows += [(7000 + i, text(rng.randrange(10, 30)), "en", "usual", 0) for i in range(900)]
+    docs = spark.createDataFrame(rows, DOCS)
+    limits = {r["source"]: r["hi_symbols"] for r in quality.thresholds(quality.sketches(quality.with_measures(docs.select("lang", "source", "text"), F.col("text")))).collect()}
+    assert len(set(limits.values())) == 3 and quality.FLOOR["symbols"] not in limits.values()
+    gone = {r["doc_id"] // 1000 for r in quality.verdicts(docs).where("not kept and not base_failed").collect()}
+    assert gone == {1, 5}  # many where few have any, many where some have few; never few, never the usual
+
+
 def test_shards(docs, rows, clashing, empty):
     found = hash_tree.shard_table(docs).collect()
     assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in found} == {(d, len((t or "").encode()) + 1, brute.crc(t)) for d, t in texts(rows)}
