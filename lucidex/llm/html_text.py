@@ -104,11 +104,13 @@ class Node:
     words below and those of them in links; sentence: whether one ends below.
     """
 
-    __slots__ = ("boiler", "customary", "links", "parent", "path", "sentence", "soft", "tag", "title", "weak", "words")
+    __slots__ = ("boiler", "customary", "links", "parent", "path", "sentence", "soft", "tag", "title", "under_name", "under_soft", "weak", "words")
 
     def __init__(self, tag: str, path: str, parent: Node | None = None, boiler: bool = False, soft: bool = False, customary: int = 0):
         self.tag, self.path, self.parent, self.boiler, self.soft, self.customary = tag, path, parent, boiler, soft, customary
         self.title, self.words, self.links, self.sentence = False, 0, 0, False
+        self.under_soft = soft or bool(parent and parent.under_soft)
+        self.under_name = customary > 0 or bool(parent and parent.under_name)
         #: The nearest element with such a name, itself included.
         self.weak: Node | None = self if customary == 1 else parent.weak if parent else None
 
@@ -121,13 +123,13 @@ class Node:
     @property
     def out(self) -> bool:
         """Whether the text below is boilerplate by elements."""
-        return self.boiler or any(n.soft and not n.title for n in self.above())
+        return self.boiler or self.under_soft and any(n.soft and not n.title for n in self.above())
 
     @property
     def named(self) -> str:
         """The path of the outermost parent that is boilerplate by its name, or ''."""
         found = ""
-        for n in self.above():
+        for n in self.above() if self.under_name else ():
             prose = n.sentence and n.words - n.links >= PROSE and 2 * n.links < n.words
             if n.customary and not n.title and not (n.customary == 1 and prose):
                 found = n.path
@@ -228,7 +230,7 @@ def structure(source: str) -> dict[str, list]:
         elif kind != "break" and (words := text.split()):
             for word in words:
                 own[2][word] = own[2].get(word, 0) + 1
-            if not node.boiler and not any(n.soft for n in node.above()):
+            if not node.boiler and not node.under_soft:
                 own[1] += sum(map(len, words))
     # Characters of a path go to the paths above it too, the longest first.
     for path in sorted(out, key=len, reverse=True):
