@@ -99,8 +99,10 @@ def link(c: Column, known_doi: Column) -> Column:
 
 def summary(c: Column) -> Column:
     """All of it in one struct; nothing raises."""
+    from .policy import authors
+
     own = doi(c)
-    return F.struct(own.alias("doi"), title(c).alias("title"), abstract(c).alias("abstract"), journal(c).alias("journal"), year(c).alias("year"), link(c, own).alias("link"))
+    return F.struct(authors(c).alias("authors"), own.alias("doi"), title(c).alias("title"), abstract(c).alias("abstract"), journal(c).alias("journal"), year(c).alias("year"), link(c, own).alias("link"))
 
 
 def _flag(condition: Column) -> Column:

@@ -144,3 +144,8 @@ def prepare_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prepare_body_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without contents, boilerplate and tail."""
     return B.prepare(framed(spark, sf_dir), fast=True).select("doc_id", F.col("text").alias("result"))
+
+
+@query(_result(_notes("SELECT doc_id, text || chr(10) || '# Footnotes' || chr(10) || '1 note' AS text FROM documents")))
+def strip_footnotes_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stepped(T.strip_footnotes_heading(F.concat("text", F.lit("\n# Footnotes\n1 note"))), docs(spark, sf_dir))

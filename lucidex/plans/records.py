@@ -66,7 +66,10 @@ def extract_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "text").select("doc_id", M.title(F.col("text")).alias("title"))
 
 
-@query()
+_ABSTRACT = r"""left(trim(regexp_replace(regexp_extract(regexp_extract('Abstract: ' || text || ' Introduction more', '(?is)(?:abstract|summary)\s*:*\s*(.+)$', 1), '(?is)^(.+?)(?:introduction|keywords|1\.\s|methods|methodology|related work|background|$)', 1), '\s+', ' ', 'g')), 500)"""
+
+
+@query(f"SELECT doc_id, CASE WHEN length(a) > 20 THEN a END AS abstract FROM (SELECT doc_id, {_ABSTRACT} AS a FROM documents)")
 def extract_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "text").select("doc_id", M.abstract(F.concat(F.lit("Abstract: "), F.col("text"), F.lit(" Introduction more"))).alias("abstract"))
 
@@ -294,7 +297,9 @@ def structural_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", Q.structural_quality((k % 64) / 64.0, F.when(k % 4 != 0, (k % 8) / 8.0), (k % 16) / 64.0).alias("score"))
 
 
-@query()
+@query(r"""WITH h AS (SELECT doc_id, list_transform(regexp_extract_all('# Methods' || chr(10) || text || chr(10) || '# Intro' || chr(10) || chr(10) || '## Results' || chr(10), '(?m)^#{1,3}\s+(.+)$', 1), lambda x: lower(trim(x))) AS h FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(['intro', 'methods', 'results'], lambda e: coalesce(list_filter(range(1, len(h) + 1), lambda i: contains(h[i], e) OR contains(e, h[i]))[1], 0)), lambda p: p > 0) AS p FROM h)
+SELECT doc_id, CASE WHEN len(p) >= 2 THEN round(list_sum(list_transform(range(1, len(p) + 1), lambda i: len(list_filter(p[i + 1:len(p)], lambda q: q > p[i]))))::DOUBLE / (len(p) * (len(p) - 1) / 2), 4) END AS score FROM p""")
 def section_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("# Methods\n"), F.col("text"), F.lit("\n# Intro\n\n## Results\n"))
     return docs(spark, sf_dir, "text").select("doc_id", Q.section_order(text, F.array(F.lit("Intro"), F.lit("Methods"), F.lit("Results"))).alias("score"))
@@ -323,6 +328,13 @@ def fuzzy_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "text").select("doc_id", folds.udf(folds.fuzzy_ratio, "double")(F.col("text"), passage).alias("ratio"))
 
 
+@query("SELECT doc_id, CASE WHEN length(text) >= 60 THEN 0.9 ELSE 0.0 END::DOUBLE AS ratio FROM documents WHERE text IS NOT NULL")
+def fuzzy_contains_spoilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratio of each document's first 60 characters, the last six of them spoilt, in it."""
+    rows = docs(spark, sf_dir, "text").where("text is not null")
+    return rows.select("doc_id", folds.udf(folds.fuzzy_ratio, "double")(F.col("text"), _spoilt(1, 60, 6)).alias("ratio"))
+
+
 @query()
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gestalt ratio of each benchmark item and its squeezed, lower-case form."""

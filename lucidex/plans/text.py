@@ -55,14 +55,26 @@ add("paragraphs", lambda c: F.array_join(T.paragraphs(spread(c)), "|"), f"array_
 add("fixed_windows", lambda c: F.array_join(T.fixed_windows(c), "|"), f"array_to_string(list_filter(list_transform(range(0, length(text), 1000), lambda i: {_TRIM.format('substring(text, i + 1, 1200)')}), lambda x: x <> ''), '|')")
 add("rejoin_hyphens", lambda c: T.rejoin_hyphens(F.replace(c, F.lit("\n"), F.lit("-\n"))), None)
 add("strip_comments", lambda c: T.strip_comments(F.concat(F.lit("<!-- image -->\n"), c)), r"regexp_replace('<!-- image -->' || chr(10) || text, '(?im)^\s*<!--.*?-->\s*$', '', 'g')")
-add("headings_to_level_one", lambda c: T.headings_to_level_one(F.concat(F.lit("## Part one\nAbstract\n"), c)), None)
+_CUT_LINES = "CASE WHEN {0} LIKE '%' || chr(10) THEN list_slice(string_split({0}, chr(10)), 1, len(string_split({0}, chr(10))) - 1) ELSE string_split({0}, chr(10)) END"
+_TRIM_X = _TRIM.format("x")
+_HEAD = f"CASE WHEN regexp_extract({_TRIM_X}, '^#{{1,6}}\\s+(.+)$', 1) <> '' THEN '# ' || {_TRIM.format("regexp_extract(" + _TRIM_X + ", '^#{1,6}\\s+(.+)$', 1)")} WHEN lower({_TRIM_X}) IN {T.FRONT_MATTER} THEN '# ' || {_TRIM_X} ELSE x END"
+add("headings_to_level_one", lambda c: T.headings_to_level_one(F.concat(F.lit("## Part one\nAbstract\n"), c)), f"array_to_string(list_transform({_CUT_LINES.format("('## Part one' || chr(10) || 'Abstract' || chr(10) || text)")}, lambda x: {_HEAD}), chr(10))")
 add("strip_legal", lambda c: T.strip_legal(F.concat(F.lit("* Correspondence: someone\n"), c)), r"regexp_replace(regexp_replace(regexp_replace('* Correspondence: someone' || chr(10) || text, '(?im)^\s*\*?\s*correspondence:\s*.*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')")
-add("indexing_cleanup", T.indexing_cleanup, None)
+_SHORT = r"(length({0}) <= 3 AND regexp_matches({0}, '^[A-Za-z0-9]+$') AND NOT regexp_matches({0}, '^\d+$'))"
+_SCRIPTS = r"(length({0}) <= 48 AND regexp_matches({0}, '[A-Za-z]') AND regexp_matches({0}, '[Ѐ-ӿ]'))"
+_TAG = r"((regexp_matches({0}, '(^|[\s>])@\w+') OR contains({0}, '_') OR contains({0}, '•') OR contains({0}, '>')) AND NOT regexp_matches({0}, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}\b') AND NOT regexp_matches({0}, '[.!?;:]') AND length({0}) <= 120 AND len(regexp_split_to_array({0}, '\s+')) <= 20)"
+_LOW = f"({{0}} IN ('•', 'Q') OR {_SHORT} OR (NOT ({{0}} LIKE '#%' OR {{0}} LIKE '-%') AND ({_SCRIPTS} OR {_TAG})))".format(_TRIM_X)
+add("indexing_cleanup", T.indexing_cleanup, _TRIM.format(f"regexp_replace(array_to_string(list_filter({_CUT_LINES.format('text')}, lambda x: {_TRIM_X} = '' OR NOT {_LOW}), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"))
 add("duplicate_ratio", lambda c: T.duplicate_ratio(spread(c)), f"(SELECT CASE WHEN len(l) < 2 THEN 0.0 ELSE round((len(l) - len(list_distinct(l)))::DOUBLE / len(l), 4) END FROM (SELECT list_transform(list_filter(list_transform({_PARTS}, lambda p: {_TRIM.format('p')}), lambda p: length(p) >= 50), lambda p: {_NORM.format('p')}) AS l))")
-add("chunk_documents", lambda c: F.array_join(T.chunks(spread(c)), "|"), None)
+_WINDOWS = f"list_filter(list_transform(range(0, length(x[1]), {T.MAX_CHUNK - T.OVERLAP}), lambda i: {_TRIM.format(f'substring(x[1], i + 1, {T.MAX_CHUNK})')}), lambda w: w <> '')"
+_OPEN, _DONE, _GAP = "a[len(a)]", "a[1:len(a) - 1]", "chr(10) || chr(10)"
+_PACKED = f"CASE WHEN {_OPEN} = '' THEN x[1] ELSE {_OPEN} || {_GAP} || x[1] END"
+#: A fold over paragraphs as one-element lists; the last element of the list so far is the open chunk.
+_PACK = f"CASE WHEN length(x[1]) > {T.MAX_CHUNK} THEN list_concat(CASE WHEN {_OPEN} = '' THEN {_DONE} ELSE a END, {_WINDOWS}, ['']) WHEN length({_PACKED}) <= {T.MAX_CHUNK} THEN list_concat({_DONE}, [{_PACKED}]) ELSE list_concat(a, [x[1]]) END"
+_PARAGRAPHS = f"list_filter(list_transform({_PARTS}, lambda p: {_SQUEEZE.format('p')}), lambda p: regexp_matches(p, '[A-Za-z0-9]'))"
+add("chunk_documents", lambda c: F.array_join(T.chunks(spread(c)), "|"), f"array_to_string(list_filter(list_reduce(list_concat([['']], list_transform({_PARAGRAPHS}, lambda p: [p])), lambda a, x: {_PACK}), lambda c: c <> ''), '|')")
 add("stitch_paragraphs", folds.udf(folds.stitch_paragraphs, "string"), None)
 add("clean_policy", policy.clean_policy, None)
-add("strip_footnotes_heading", lambda c: T.strip_footnotes_heading(F.concat(c, F.lit("\n# Footnotes\n1 note"))), None)
 add("strip_references_heading", lambda c: T.strip_references_heading(F.concat(c, F.lit("\nReferences\n1. A."))), "CASE WHEN length(text) + 1 > floor((length(text) + 17) * 0.4) THEN " + _TRIM.format("text") + " ELSE text || chr(10) || 'References' || chr(10) || '1. A.' END")
 
 
