@@ -9,6 +9,7 @@ from ..functions import folds, policy
 from ..functions import metadata as M
 from ..functions import text as T
 from ..operators import layout as L
+from ..operators.contributions import leaves, listed, validated
 from ..operators import lineage as N
 from ..operators import matching
 from ..operators import quality as Q
@@ -192,9 +193,19 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.cascade(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), kept, "o_custkey", "c_custkey").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_name ILIKE '%er#%1%'")
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_name ILIKE '%er#%' AND c_name ILIKE '%1%'")
 def admin_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where((F.col("c_mktsegment") == "BUILDING") & F.col("c_name").ilike("%er#%1%")).select("c_custkey")
+    return listed(table(spark, sf_dir, "customer"), "ER# 1", ("c_name",), c_mktsegment="BUILDING").select("c_custkey")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'scientific_article' WHEN c_custkey % 3 = 1 THEN 'report' ELSE 'poster' END AS category, c_custkey % 3 <> 2 AND c_custkey % 5 <> 4 AS accepted FROM customer")
+def contribution_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories with blank and unknown ones, study types with unknown ones."""
+    k = F.col("c_custkey")
+    category = F.when(k % 3 == 0, " ").when(k % 3 == 1, "report").otherwise("poster")
+    rows = table(spark, sf_dir, "customer").select(k, category.alias("category"), F.when(k % 5 == 4, "hearsay").when(k % 5 == 1, "rct").alias("study_type"))
+    good, bad = validated(rows)
+    return good.select("c_custkey", "category", F.lit(True).alias("accepted")).unionByName(bad.select("c_custkey", "category", F.lit(False).alias("accepted")))
 
 
 # Quality
@@ -568,9 +579,8 @@ def section_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn, text FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1)")
 def leaf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements that no other names as its parent; an element's parent is the turn before."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    parents = rows.select("conv_id", (F.col("turn") - 1).alias("turn"))
-    return rows.join(parents, ["conv_id", "turn"], "left_anti")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", (F.col("turn") - 1).alias("parent"))
+    return leaves(rows, ["conv_id", "turn"], ["conv_id", "parent"]).select("conv_id", "turn", "text")
 
 
 @query("SELECT doc_id, len(list_intersect(a, b)) >= 1 AND len(list_intersect(a, b)) >= 0.2 * len(a) AS agrees FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS a, ['the', 'and', 'of', 'to', 'in', 'die', 'der', 'que', 'de', 'la'] AS b FROM documents)")

@@ -81,6 +81,11 @@ def search_result(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SEARCH_RESULT).option("multiLine", True).json(path)
 
 
+def search_answers(spark: SparkSession, live: Callable[[], DataFrame], stored: str | None = None) -> DataFrame:
+    """A stored answer where the configuration names one, else what live() finds."""
+    return search_result(spark, stored) if stored else live()
+
+
 def object_path(bucket: str | None, key: str | None, prefix: str = "ingestion/sources") -> str:
     """Address of a stored source; a missing bucket or key is an error."""
     if not bucket or not key:

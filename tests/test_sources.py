@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import asyncio
 import json
+import logging
 import os
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -12,7 +14,8 @@ import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from lucidex.operators import layout, records, rendering, reports
+from lucidex.functions import tracking
+from lucidex.operators import contributions, layout, records, rendering, reports
 from lucidex.sources import managed, providers, providers_source, readers, writers
 
 
@@ -178,3 +181,43 @@ def test_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, "m", "h")], "id long, md string, html string")
     writers.per_format(df, str(tmp_path / "out"), "id", {"md": "md", "html": "html"})
     assert spark.read.parquet(str(tmp_path / "out" / "html")).first()["value"] == "h"
+
+
+def test_contributions(spark):
+    rows = spark.createDataFrame([(1, None, None), (2, "report", " rct "), (3, "poster", "rct"), (4, "thesis", "hearsay"), (5, "poster", "hearsay")], "id int, category string, study_type string")
+    good, bad = contributions.validated(rows)
+    assert sorted(map(tuple, good.collect())) == [(1, "scientific_article", None), (2, "report", "rct")]
+    assert {r["id"]: r["faults"] for r in bad.collect()} == {3: ["category: poster"], 4: ["study_type: hearsay"], 5: ["category: poster", "study_type: hearsay"]}
+    assert contributions.vocabularies(spark).where("field = 'study_type'").count() == 8
+    names = spark.createDataFrame([("A_b", "x"), ("Aab", "y"), (None, "x")], "name string, kind string")
+    assert [r["name"] for r in contributions.listed(names, "a_B", ("name",), kind="x").collect()] == ["A_b"] and contributions.listed(names).count() == 3
+    assert spark.range(1).select(contributions.names_in_order(F.lit("b"), F.lit(None).cast("string"), F.lit("a"), F.lit("b"), F.lit(""))).first()[0] == ["b", "a"]
+
+
+def test_stored_answer_or_live(spark, tmp_path):
+    live = lambda: spark.createDataFrame([("live",)], "status string")
+    (tmp_path / "one.json").write_text('{"status": "stored", "narrative": "n"}')
+    assert readers.search_answers(spark, live).first()["status"] == "live"
+    assert readers.search_answers(spark, live, str(tmp_path / "one.json")).first()["status"] == "stored"
+
+
+def test_tracked_calls(spark, caplog):
+    log = logging.getLogger("tracked")
+    plain = tracking.tracked(lambda x: x + 1, log=log)
+
+    @tracking.tracked(log=log, inputs=True, outputs=True, announced=True)
+    def add(a, b=0):
+        return a + b
+
+    @tracking.tracked(log=log, outputs=True)
+    async def later():
+        return 7
+
+    with caplog.at_level(logging.INFO, "tracked"):
+        assert plain(1) == 2 and add(1, b=2) == 3 and asyncio.run(later()) == 7
+    said = [r.getMessage() for r in caplog.records]
+    assert [m.split(" ")[0] for m in said] == ["tracker", "start", "tracker", "tracker"]
+    assert "'args_b': 2" in said[2] and "'args_0': 1" in said[2] and "'return_': 3" in said[2] and "'duration_'" in said[2] and "'return_': 7" in said[3] and add.__name__ == "add"
+    df, seen = tracking.counted(spark.range(10), "pass", even=F.col("id") % 2 == 0)
+    df.collect()
+    assert seen.get == {"rows": 10, "even": 5}
