@@ -639,9 +639,14 @@ def test_projected_gradient_against_plain_numpy(spark):
     df = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p, strict=True)], T.StructType([T.StructField("_tokens", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))]))
     targets = {"clean": 1.0, "low": 1.0, "toxic": 0.0}
     gradients, info = mixing.fit_rates(df, targets)
-    r, scale = np.ones(200), np.linalg.pinv((p * t[:, None]).T @ p)
+    r = np.ones(200)
     wanted = (p * t[:, None]).sum(0) * np.array([1, 1, 0])
     for _ in range(len(gradients)):
+        scale = np.linalg.pinv((p * (t * (r > 0))[:, None]).T @ p)  # of the rates that can still move
         r = np.maximum(0, r - p @ (scale @ ((p * (t * r)[:, None]).sum(0) - wanted)))
-    assert len(gradients) > 2
+    assert len(gradients) > 2 and info["off"] <= mixing.CLOSE
+    # Targets that nonnegative rates can't reach are reported.
+    alone = df.limit(1).withColumn("_p", F.array(F.lit(0.5), F.lit(0.0), F.lit(0.5)))
+    _, missed = mixing.fit_rates(alone, {"clean": 0.0, "low": 0.0, "toxic": 1.0})
+    assert 0.01 < missed["off"] < 1
     assert np.allclose(list(info["after"].values()), (p * (t * r)[:, None]).sum(0), rtol=1e-6)
