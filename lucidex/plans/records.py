@@ -260,17 +260,21 @@ def fuzzy_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.fuzzy_scores(rows, "doc_id", "extracted", "reference").select("doc_id", "recall", "precision", "order")
 
 
-_MARKED = f"SELECT doc_id, unnest(range(0, len(l))) AS n, unnest(l) AS s FROM (SELECT doc_id, {_SENT.format('text')} AS l FROM documents)"
+_MARKED = f"SELECT doc_id, n, s, 6 + length(s) % 24 AS k FROM (SELECT doc_id, unnest(range(0, len(l))) AS n, unnest(l) AS s FROM (SELECT doc_id, {_SENT.format('text')} AS l FROM documents))"
 
 
-@query(f"""WITH s AS ({_MARKED}), f AS (SELECT s.*, min(n) OVER (PARTITION BY doc_id, length(s), left(s, length(s) - (length(s) + 9) // 10)) AS place, (length(s) - (length(s) + 9) // 10)::DOUBLE / length(s) AS ratio FROM s),
-p AS (SELECT a.doc_id, count(*) AS pairs, count(*) FILTER (WHERE a.place < b.place) AS good FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.n < b.n GROUP BY a.doc_id),
-r AS (SELECT doc_id, count(*) AS k, round(sum(ratio) / count(*), 4) AS share FROM f GROUP BY doc_id)
-SELECT doc_id, coalesce(share, 1.0) AS recall, coalesce(share, 0.0) AS precision, CASE WHEN k >= 3 THEN round(good::DOUBLE / pairs, 4) END AS order_score FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN p USING (doc_id)""")
+@query(f"""WITH s AS ({_MARKED}), f AS (SELECT *, CASE WHEN k <= 26 THEN min(n) OVER (PARTITION BY doc_id, s) END AS place, CASE WHEN k <= 26 THEN (132 - k) / 132.0::DOUBLE END AS ratio FROM s),
+p AS (SELECT a.doc_id, count(*) AS pairs, count(*) FILTER (WHERE a.place < b.place) AS good FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.n < b.n AND a.place IS NOT NULL AND b.place IS NOT NULL GROUP BY a.doc_id),
+r AS (SELECT doc_id, count(*) AS every, count(place) AS matched, round(coalesce(sum(ratio), 0) / count(*), 4) AS share FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(share, 1.0) AS recall, coalesce(share, 0.0) AS precision, CASE WHEN matched >= 3 THEN round(good::DOUBLE / pairs * matched / every, 4) END AS order_score FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN p USING (doc_id)""")
 def fuzzy_scores_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's sentences against those with signs in place of the last tenth: the ratio is the rest's share."""
-    own = docs(spark, sf_dir, "text").select("doc_id", F.coalesce(T.sentences(F.col("text")), F.array().cast("array<string>")).alias("reference"))
-    rows = own.withColumn("extracted", F.transform("reference", lambda s: F.concat(F.left(s, F.length(s) - F.floor((F.length(s) + 9) / 10).cast("int")), F.repeat(F.lit("§"), F.floor((F.length(s) + 9) / 10).cast("int")))))
+    """Digests of each document's sentences against those with 6 to 29 signs at the end of 132: the ratio is the rest's share, and some are under the limit."""
+    part = lambda x, s: F.base64(F.unhex(F.sha2(F.concat(F.lit(x), s), 256)))
+    digest = lambda s: F.concat(part("a", s), part("b", s), part("c", s))
+    signs = lambda s: (6 + F.length(s) % 24).cast("int")
+    own = docs(spark, sf_dir, "text").select("doc_id", F.coalesce(T.sentences(F.col("text")), F.array().cast("array<string>")).alias("s"))
+    marked = F.transform("s", lambda s: F.concat(F.left(digest(s), 132 - signs(s)), F.repeat(F.lit("§"), signs(s))))
+    rows = own.select("doc_id", F.transform("s", digest).alias("reference"), marked.alias("extracted"))
     return matching.fuzzy_scores(rows, "doc_id", "extracted", "reference").select("doc_id", "recall", "precision", F.col("order").alias("order_score"))
 
 
