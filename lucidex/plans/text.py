@@ -6,6 +6,8 @@ line is put behind each where an operator works on paragraphs.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +55,27 @@ _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.
 add("sentences", lambda c: F.array_join(T.sentences(c), "|"), f"array_to_string({_SENTENCES}, '|')")
 add("paragraphs", lambda c: F.array_join(T.paragraphs(spread(c)), "|"), f"array_to_string(list_filter(list_transform({_PARTS}, lambda p: {_SQUEEZE.format('p')}), lambda p: regexp_matches(p, '[A-Za-z0-9]')), '|')")
 add("fixed_windows", lambda c: F.array_join(T.fixed_windows(c), "|"), f"array_to_string(list_filter(list_transform(range(0, length(text), 1000), lambda i: {_TRIM.format('substring(text, i + 1, 1200)')}), lambda x: x <> ''), '|')")
-add("rejoin_hyphens", lambda c: T.rejoin_hyphens(F.replace(c, F.lit("\n"), F.lit("-\n"))), None)
+_LETTER = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+#: Spaces that become hyphens of the three kinds, and a word that becomes a prefix which keeps its hyphen.
+_SPLITS = ((" the ", " self "), (" and ", " Co "), (" a", "-\na"), (" b", " - b"), (" c", " - \n c"), (" m", "-\n\nm"))
+
+
+def split_words(c: Column) -> Column:
+    for old, new in _SPLITS:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def _rejoined(sql: str) -> str:
+    """Every join becomes a mark, a mark behind a prefix that stands alone a hyphen, and other marks nothing."""
+    for gap in (r"-\s*\n\s*", " - ", r" -\s*\n\s*"):
+        marked = f"regexp_replace({sql}, '({_LETTER}+){gap}([a-z]{_LETTER}*)', '\\1' || chr(1) || '\\2', 'g')"
+        sql = f"replace(regexp_replace({marked}, '(^|[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}])((?i:{_KEEP}))\\x01', '\\1\\2-', 'g'), chr(1), '')"
+    return sql
+
+
+add("rejoin_hyphens", lambda c: T.rejoin_hyphens(F.replace(c, F.lit("\n"), F.lit("-\n"))), _rejoined("replace(text, chr(10), '-' || chr(10))"))
+add("rejoin_hyphens_spoilt", lambda c: T.rejoin_hyphens(split_words(c)), _rejoined(functools.reduce(lambda t, x: f"replace({t}, '{x[0]}', '{x[1]}')", _SPLITS, "text")))
 add("strip_comments", lambda c: T.strip_comments(F.concat(F.lit("<!-- image -->\n"), c)), r"regexp_replace('<!-- image -->' || chr(10) || text, '(?im)^\s*<!--.*?-->\s*$', '', 'g')")
 _CUT_LINES = "CASE WHEN {0} LIKE '%' || chr(10) THEN list_slice(string_split({0}, chr(10)), 1, len(string_split({0}, chr(10))) - 1) ELSE string_split({0}, chr(10)) END"
 _TRIM_X = _TRIM.format("x")
