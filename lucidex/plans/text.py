@@ -96,7 +96,60 @@ _PACK = f"CASE WHEN length(x[1]) > {T.MAX_CHUNK} THEN list_concat(CASE WHEN {_OP
 _PARAGRAPHS = f"list_filter(list_transform({_PARTS}, lambda p: {_SQUEEZE.format('p')}), lambda p: regexp_matches(p, '[A-Za-z0-9]'))"
 add("chunk_documents", lambda c: F.array_join(T.chunks(spread(c)), "|"), f"array_to_string(list_filter(list_reduce(list_concat([['']], list_transform({_PARAGRAPHS}, lambda p: [p])), lambda a, x: {_PACK}), lambda c: c <> ''), '|')")
 add("stitch_paragraphs", folds.udf(folds.stitch_paragraphs, "string"), None)
-add("clean_policy", policy.clean_policy, None)
+_YEAR = r"regexp_matches({0}, '\b(?:19|20)\d{{2}}\b')"
+_WORDS = "regexp_extract_all(s, '[A-Za-z]+')"
+_SHOUTED = r"(regexp_full_match(s, '[A-Z][A-Z0-9\-\s]{7,27}|[A-Z0-9\-]{3,}\s+[A-Z0-9\-]{2,}') AND length(s) <= 28 AND len(regexp_extract_all(s, '\S+')) <= 3 AND NOT regexp_matches(s, '[.,;:!?]'))"
+_FRAGMENT = f"(length(s) <= 32 AND len(list_filter({_WORDS}, lambda w: length(w) >= 2)) BETWEEN 1 AND 6 AND 2 * len(list_filter({_WORDS}, lambda w: length(w) BETWEEN 2 AND 3)) >= len(list_filter({_WORDS}, lambda w: length(w) >= 2)) AND NOT regexp_matches(s, '^\\(|\\p{{Nd}}'))"
+
+
+def _cued(s: str, cues: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower({s}), '{c}')" for c in cues) + ")"
+
+
+def _policy(text: str) -> str:
+    """clean_policy as SQL: lines with what surrounds them, then the notes taken from lines, then those taken from blocks."""
+    blank = lambda f: f"coalesce({f}(s) OVER (PARTITION BY doc_id ORDER BY n), '') = ''"
+    parts = lambda t: f"list_filter(list_transform(string_split(regexp_replace({t}, '\\n\\s*\\n', chr(1), 'g'), chr(1)), lambda b: {_TRIM.format('b')}), lambda b: b <> '')"
+    note = f"regexp_matches(r.s, '^\\d{{1,3}}\\s') AND {_cued('r.s', policy.LINE_CUES)} AND {_YEAR.format('r.s')}"
+    late = f"(i - 1 >= floor(len(own) * {policy.SPARED}) AND regexp_matches(b, '^\\d{{1,3}}[^\\S\\n]') AND {_cued('b', policy.BLOCK_CUES)} AND {_YEAR.format('b')})"
+    return f"""
+WITH flagged AS (
+  SELECT doc_id, n, row, s, {blank("lag")} AND {blank("lead")} AS alone
+  FROM (SELECT doc_id, n, l[n] AS row, {_TRIM.format("l[n]")} AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, {_CUT_LINES.format("t")} AS l FROM (SELECT doc_id, {text} AS t FROM documents))))
+), clean AS (
+  SELECT doc_id, regexp_replace(string_agg(row, chr(10) ORDER BY n), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM flagged
+  WHERE s = '' OR regexp_matches(s, '^[#\\-]') OR NOT ({_SHOUTED} OR ({_FRAGMENT} AND alone)) GROUP BY doc_id
+), halves AS (
+  SELECT doc_id, string_split(regexp_replace(t, '(?im)^\\s*#\\s*footnotes\\s*$', chr(1)), chr(1)) AS h FROM (SELECT doc_id, coalesce(t, '') AS t FROM documents LEFT JOIN clean USING (doc_id))
+), cut AS (
+  SELECT doc_id, h, list_transform({_CUT_LINES.format(_TRIM.format("h[1]"))}, lambda row: struct_pack(row := row, s := {_TRIM.format("row")})) AS rows FROM halves
+), marked AS (
+  SELECT doc_id, h, list_transform(rows, lambda r: CASE WHEN {note}
+    THEN string_split(regexp_replace(r.s, '(\\)\\.)\\s+(\\d{{1,3}}\\s+[A-Z])', '\\1' || chr(1) || '\\2'), chr(1)) ELSE [NULL, r.row] END) AS x FROM cut
+), parted AS (
+  SELECT doc_id, {parts("array_to_string(list_filter(list_transform(x, lambda y: y[2]), lambda y: y IS NOT NULL), chr(10))")} AS own,
+    list_concat(CASE WHEN len(h) > 1 THEN {parts("h[2]")} ELSE [] END, list_filter(list_transform(x, lambda y: y[1]), lambda y: y IS NOT NULL)) AS notes FROM marked
+), late AS (
+  SELECT doc_id, list_filter(own, lambda b, i: NOT {late}) AS own, list_concat(notes, list_filter(own, lambda b, i: {late})) AS notes FROM parted
+)
+SELECT doc_id, {_TRIM.format("array_to_string(list_concat(own, CASE WHEN len(notes) > 0 THEN list_concat(['# Footnotes'], list_filter(notes, lambda x, i: list_position(notes, x) = i)) ELSE [] END), chr(10) || chr(10))")} AS result FROM late"""
+
+
+#: Notes in lines and in blocks, logo rests and a section of footnotes, put into every text.
+_NOTED = ((". The ", ".\n\n5 See: the Publication of 1987\nThe "), ("\n", "\n12 The Ministry, Directive of 2010 (in force). 13 The "), (" to ", "\n\nan EU to\n\n"))
+_LOGO, _NOTES = "TRAFFIC PLAN 2030\n\n", "\n\n# Footnotes\n\n1 Law of 1999.\n\n2 Text.\n\n1 Law of 1999."
+
+
+def noted(c: Column) -> Column:
+    for old, new in _NOTED:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return F.concat(F.lit(_LOGO), c, F.lit(_NOTES))
+
+
+for _name, _f, _sql in (("clean_policy", lambda c: c, "text"), ("clean_policy_noted", noted, f"'{_LOGO}' || " + functools.reduce(lambda t, x: f"replace({t}, '{x[0]}', '{x[1]}')", _NOTED, "text") + f" || '{_NOTES}'")):
+    run = mapped(lambda c, f=_f: policy.clean_policy(f(c)))
+    run.__name__ = _name
+    query(_policy(_sql))(run)
 add("strip_references_heading", lambda c: T.strip_references_heading(F.concat(c, F.lit("\nReferences\n1. A."))), "CASE WHEN length(text) + 1 > floor((length(text) + 17) * 0.4) THEN " + _TRIM.format("text") + " ELSE text || chr(10) || 'References' || chr(10) || '1. A.' END")
 
 
