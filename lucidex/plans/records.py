@@ -75,11 +75,41 @@ def extract_abstract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "text").select("doc_id", M.abstract(F.concat(F.lit("Abstract: "), F.col("text"), F.lit(" Introduction more"))).alias("abstract"))
 
 
-@query()
+_TIDY = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+
+
+def _authors_sql(text: str) -> str:
+    """Authors from the lines that look like theirs, and the address of the corresponding one, as JSON."""
+    bare = _TIDY.format(f"regexp_replace(s, '{policy.MARKS}', '', 'g')")
+    tokens = f"regexp_extract_all({bare}, '[^\\s,]+')"
+    stop = " OR ".join(f"contains(lower(s), '{w}')" for w in policy.AUTHOR_STOP)
+    line = f"length(s) BETWEEN 5 AND 150 AND regexp_matches(s, '^[A-Z]') AND regexp_matches(s, '\\band\\b|,') AND NOT ({stop}) AND len({tokens}) > 0 AND 5 * len(list_filter({tokens}, lambda w: regexp_matches(w, '^[A-Z]|^(?i:and)$'))) >= 4 * len({tokens})"
+    clean = _TIDY.format(f"regexp_replace(regexp_replace(x, '{policy.MARKS}', '', 'g'), '\\s+', ' ', 'g')")
+    address = f"regexp_extract(t, '{policy.CORRESPONDENCE}', 2)"
+    named = _TIDY.format(f"regexp_replace(regexp_extract(t, '{policy.CORRESPONDENCE}', 1), '{policy.MARKS}', '', 'g')")
+    full = "concat_ws(' ', regexp_extract(c, '^(.+) \\S+$', 1), regexp_extract(c, '^.+ (\\S+)$', 1))"
+    return f"""
+SELECT doc_id, to_json(list_transform(list_filter(people, lambda c: regexp_matches(c, '^.+ \\S+$'))[1:{policy.MAX_AUTHORS}], lambda c: struct_pack(
+    name := regexp_extract(c, '^(.+) \\S+$', 1), surname := regexp_extract(c, '^.+ (\\S+)$', 1), email := CASE WHEN address <> '' AND (contains({full}, named) OR contains(named, {full})) THEN address ELSE '' END)))::VARCHAR AS authors
+FROM (SELECT doc_id, {address} AS address, {named} AS named, list_transform(flatten(list_transform(list_filter(list_transform(string_split(t, chr(10))[1:{policy.AUTHOR_LINES}], lambda y: {_TIDY.format("y")}), lambda s: {line}), lambda s: string_split_regex(s, ',\\s*|\\s+and\\s+'))), lambda x: {clean}) AS people
+  FROM (SELECT doc_id, {text} AS t FROM documents))"""
+
+
+@query(_authors_sql("'Ann Lee, Bo Chu and Carl May' || chr(10) || text"))
 def extract_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "text").select("doc_id", F.to_json(policy.authors(F.concat(F.lit("Ann Lee, Bo Chu and Carl May\n"), "text"))).alias("authors"))
 
 
+_HEAD = "A Report on Things\nAnn-Marie Lee1, Bo Chu2* and Carl van May†\nUniversity of X, Y\n", "\n*Correspondence: Bo Chu bo.chu@x.org\n"
+
+
+@query(_authors_sql(f"'{_HEAD[0]}' || regexp_replace(text, ' (the|a) ', ', Dan Roe and ', 'g') || '{_HEAD[1]}'"))
+def extract_authors_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors with marks, an address at the end, and lines that look like names only in part."""
+    text = F.concat(F.lit(_HEAD[0]), F.regexp_replace("text", " (the|a) ", ", Dan Roe and "), F.lit(_HEAD[1]))
+    return docs(spark, sf_dir, "text").select("doc_id", F.to_json(policy.authors(text)).alias("authors"))
+
+
 @query(r"SELECT doc_id, nullif(regexp_extract(text, '([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\s+Journal)', 1), '') AS journal FROM (SELECT doc_id, 'A Small Town Journal' || chr(10) || text AS text FROM documents)")
 def extract_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "text").select("doc_id", M.journal(F.concat(F.lit("A Small Town Journal\n"), F.col("text"))).alias("journal"))
