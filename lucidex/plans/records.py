@@ -121,11 +121,43 @@ def extract_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", M.link(text, F.lit(None).cast("string")).alias("link"))
 
 
-@query()
+def _summary_sql(text: str) -> str:
+    """All metadata of a text as one JSON object without nulls."""
+    found = lambda pattern: f"nullif(regexp_extract(t, '{pattern}', 1), '')"
+    words = r"len(regexp_split_to_array(x, '\s+'))"
+    rows = f"list_transform(string_split(t, chr(10)), lambda x: {_TIDY.format('x')})"
+    journal_word = " OR ".join(f"contains(x, '{w}')" for w in M.JOURNAL_WORDS)
+    cut = r"(?is)^(.+?)(?:introduction|keywords|1\.\s|methods|methodology|related work|background|$)"
+    squeezed = rf"left(trim(regexp_replace(regexp_extract(regexp_extract(t, '(?is)(?:abstract|summary)\s*:*\s*(.+)$', 1), '{cut}', 1), '\s+', ' ', 'g')), 500)"
+    own = {
+        "doi": rf"regexp_replace(coalesce({found(r'(?i)(?:doi[:\s]+)?(?:https?://)?(?:dx\.)?doi\.org/(10\.\S+)')}, {found(r'(10\.\d{4,}/\S+)')}), '[.,;)]+$', '')",
+        "title": f"list_filter(list_filter({rows}, lambda x: x <> '')[1:10], lambda x: NOT ({_BAD}) AND {words} BETWEEN 3 AND 40 AND length(x) < 450)[1]",
+        "abstract": f"CASE WHEN length({squeezed}) > 20 THEN {squeezed} END",
+        "journal": f"coalesce({', '.join(f'trim({found(x)})' for x in M.JOURNAL_PATTERNS)}, list_filter({rows}[1:15], lambda x: ({journal_word}) AND {words} < 10)[1])",
+        "year": f"coalesce({found(r'\b((?:19|20)\d{2})[-/.](?:0[1-9]|1[012])[-/.](?:0[1-9]|[12][0-9]|3[01])\b')}, {found(rf'(?i)\b(?:{M.MONTHS})\s+((?:19|20)\d{{2}})\b')}, {found(r'\b(19\d{2}|20\d{2})\b')})",
+    }
+    fields = ", ".join(f"""'"{k}":' || to_json({k})::VARCHAR""" for k in own)
+    each = ", ".join(f"{v} AS {k}" for k, v in own.items())
+    return f"""
+SELECT doc_id, '{{' || array_to_string(list_filter(['"authors":' || authors, {fields}, '"link":' || to_json('https://doi.org/' || doi)::VARCHAR], lambda x: x IS NOT NULL), ',') || '}}' AS metadata
+FROM (SELECT doc_id, {each} FROM (SELECT doc_id, {text} AS t FROM documents)) JOIN ({_authors_sql(text)}) USING (doc_id)"""
+
+
+@query(_summary_sql(_FRONT))
 def pdf_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "text").select("doc_id", F.to_json(M.summary(_front())).alias("metadata"))
 
 
+_PAPER = "Annals of Small Towns Journal\nHow People Travel in Small Towns\nAnn-Marie Lee1, Bo Chu2*\nReceived 2019-04-30\nAbstract: "
+
+
+@query(_summary_sql(f"'{_PAPER}' || text || ' Introduction ' || {_FRONT}"))
+def pdf_metadata_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of texts that begin as papers do, with a DOI and another date further on."""
+    text = F.concat(F.lit(_PAPER), F.col("text"), F.lit(" Introduction "), _front())
+    return docs(spark, sf_dir, "text").select("doc_id", F.to_json(M.summary(text)).alias("metadata"))
+
+
 _F = "CASE WHEN {0} THEN 'found' ELSE 'not_found' END"
 _DETECT = {
     "has_doi": _F.format(r"regexp_matches(t, '10\.\d{4,}/\S+')"), "has_abstract": _F.format(r"regexp_matches(t, '(?i)\babstract\b')"), "has_references": _F.format(r"regexp_matches(t, '(?i)\breferences\b')"),
