@@ -132,3 +132,10 @@ def test_authors(spark):
     found = one(spark, policy.authors, "A Title\nAnn Lee1, Bo Chu* and Carl May\n*Correspondence: Bo Chu bo@x.org")
     assert [tuple(r) for r in found] == [("Ann", "Lee", ""), ("Bo", "Chu", "bo@x.org"), ("Carl", "May", "")]
     assert one(spark, policy.authors, "University of X, Y\nshort, a") == [] and one(spark, policy.authors, None) is None
+
+
+def test_references_heading_behind_the_line_break(spark):
+    """The share of the text may end inside the heading's line or right before it: such a line doesn't start in the rest."""
+    heading = "\nReferences\n1. A."
+    texts = ["The shor." + heading, "That*** atly.###" + heading, "A body of some length" + heading]
+    assert run(spark, T.strip_references_heading, texts) == [texts[0], "That*** atly.###", "A body of some length"]
