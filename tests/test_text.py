@@ -139,3 +139,42 @@ def test_references_heading_behind_the_line_break(spark):
     heading = "\nReferences\n1. A."
     texts = ["The shor." + heading, "That*** atly.###" + heading, "A body of some length" + heading]
     assert run(spark, T.strip_references_heading, texts) == [texts[0], "That*** atly.###", "A body of some length"]
+
+
+def test_gestalt_is_the_library_ratio():
+    from difflib import SequenceMatcher
+
+    rng = random.Random(3)
+    for letters, most in (("ab", 12), ("abc ", 40), ("abcdefghijklm nopq", 260), ("aé§😀", 30)):
+        for _ in range(300):
+            a = "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+            b = a if rng.random() < 0.5 else "".join(rng.choice(letters) for _ in range(rng.randint(0, most)))
+            b = "".join(c for c in b if rng.random() > 0.1)
+            assert folds.gestalt(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_fuzzy_ratio_of_long_texts():
+    """The windows' ratios in their order, with few of them made."""
+    from difflib import SequenceMatcher
+    from unittest import mock
+
+    def plain(hay, own):
+        best = 0.0
+        for i in range(0, len(hay) - len(own) + 1, max(1, len(own) // 4)):
+            best = max(best, SequenceMatcher(None, own, hay[i : i + len(own)]).ratio())
+            if best >= folds.EARLY:
+                break
+        return 1.0 if own in hay else round(best, 3)
+
+    rng = random.Random(4)
+    letters = "etaoinshrdlu "
+    for _ in range(60):
+        hay = "".join(rng.choice(letters) for _ in range(rng.randint(1, 600)))
+        at = rng.randrange(len(hay))
+        own = "".join(c if rng.random() > 0.15 else rng.choice("§x") for c in hay[at : at + rng.randint(1, 60)]) + "§" * rng.randint(0, 3)
+        for text in (hay, hay * 2):
+            assert folds.fuzzy_ratio(text, own) == plain(text, own)
+    hay = "".join(rng.choice(letters) for _ in range(50_000))
+    with mock.patch.object(folds, "gestalt", wraps=folds.gestalt) as made:
+        assert folds.fuzzy_ratio(hay, hay[:30] + "§" * 10) == 0.75
+    assert made.call_count <= 20
