@@ -1,28 +1,26 @@
-"""Best matches between the sentences of documents, as a join with exact bounds.
+"""Best matches between the sentences of documents, with exact bounds.
 
 A sentence that the other side has as it is needs no ratio.  The others are
-joined with the sentences of the same document that a ratio of at least MATCH
-allows: sentences lie in bands of length that grow by half, so only
-neighbouring bands can match, and the join is by document and band.  Every
-sentence has two bitmaps, of its letters and of its bigrams, each with the
-number of its occurrence.  A bit that one sentence has and the other lacks
-stands for at least one letter or bigram that isn't shared, which bounds the
-ratio from above, by bit counts only.
-
-The ratio itself is first made for each sentence's pair of the highest bound,
-and then only for the pairs whose bound allows more than that (or, where a
-search ends at the first close match, an earlier one).  No bound is below the
-ratio, so the result is that of comparing all pairs.
-
-A prefix of bigrams is no better key: a ratio of 0.8 allows two fifths of all
-bigrams to go, so nearly all sentences of one language share a prefix of theirs.
+compared with the sentences of the same document, in blocks of bounded size,
+whose length a ratio of at least MATCH allows.  Every sentence has two bitmaps,
+of its letters and of its bigrams, each dealt into bins and a bit for every
+further one in its bin.  A bit that one sentence has and the other lacks stands
+for at least one letter or bigram that isn't shared, which bounds the ratio
+from above, by bit counts only.
+
+Ratios are made from the highest bound down until no bound reaches the best
+(and, where a search ends at the first close match, for earlier ones that may
+be close).  No bound is below the ratio, so the result is that of comparing
+all pairs.  A document's sentences stand in its row, so nothing is shuffled.
+
+A prefix of bigrams is no key: a ratio of 0.8 allows two fifths of all bigrams
+to go, so nearly all sentences of one language share a prefix of theirs.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -34,52 +32,110 @@ from ..functions import folds
 # Least ratio of a match, ratio that ends a search, length gate, matches that an order needs.
 MATCH, EARLY, LENGTH_GAP, MIN_MATCHED = 0.80, 0.95, 0.5, 3
 
-#: Lengths of one band differ by this factor at most; a ratio of MATCH allows 2 / MATCH - 1.
-BAND = 2 / MATCH - 1
 #: What rounding may take off a bound.
 SLACK = 1e-9
-#: Longs in each of the two bitmaps.
-WORDS = 8
-
-
-def bitmaps(text: Column) -> Column:
-    """array of 2 * WORDS longs: hashed letters, then hashed bigrams, each with the number of its occurrence."""
-
-    def bits(tokens):
-        import numpy as np
-
-        tokens = np.sort(tokens)
-        new = np.ones(len(tokens), bool)
-        new[1:] = tokens[1:] != tokens[:-1]
-        at = np.arange(len(tokens))
-        nth = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-        place = (tokens * np.uint64(0x9E3779B97F4A7C15) + nth * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - 9)
-        out = np.zeros(64 * WORDS, np.uint8)
-        out[place] = 1
-        return np.packbits(out).view(np.int64)
+#: Bins of each of the two bitmaps, and the bits of a bin.
+BINS = ((64, 8), (256, 2))
+#: Sentences of one side in a block of pairs, and letters whose bins are counted at once.
+BLOCK, LETTERS = 128, 1 << 20
+
+
+def bitmaps(texts: list[str]):
+    """A row of longs for each text: bits of its letters' bins, then of its bigrams' bins."""
+    import numpy as np
+
+    out, sizes = [np.zeros((0, 16), np.uint64)], np.array([len(t) for t in texts], np.int64)
+    if not texts:
+        return out[0]
+    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(np.cumsum(sizes) // LETTERS)) + 1):
+        points = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(part)), sizes[part])
+        inside = owner[1:] == owner[:-1]
+        bigrams = (points[1:] * np.uint64(1 << 21) + points[:-1])[inside]
+        rows = []
+        for tokens, whose, (bins, bits) in ((points, owner, BINS[0]), (bigrams, owner[1:][inside], BINS[1])):
+            bin_of = ((tokens * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % bins
+            counts = np.bincount(whose * bins + bin_of, minlength=len(part) * bins).reshape(len(part), bins, 1)
+            rows.append(np.packbits((counts > np.arange(bits)).reshape(len(part), -1), axis=1).view(np.uint64))
+        out.append(np.concatenate(rows, axis=1))
+    return np.concatenate(out)
+
+
+def near(needles: list[str], sentences: list[str]):
+    """For every needle with some: its number, the numbers of the sentences whose ratio may be MATCH or more (rising), and what each is at most."""
+    import numpy as np
+
+    sides = []
+    for texts in (needles, sentences):
+        own = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
+        bits = bitmaps([texts[i] for i in own])
+        sides.append((np.array(own, np.int64), np.array([len(texts[i]) for i in own], np.int64), bits, [np.bitwise_count(x).sum(1, dtype=np.int64) for x in (bits[:, :8], bits[:, 8:])]))
+    (left, sizes, bits, ones), (right, t_sizes, t_bits, t_ones) = sides
+    for at in range(0, len(left), BLOCK):
+        rows = slice(at, at + BLOCK)
+        # Lengths x and y allow at most 2 min(x, y) / (x + y).
+        cols = slice(*np.searchsorted(t_sizes, [sizes[rows][0] * MATCH / (2 - MATCH) - 1, sizes[rows][-1] * (2 - MATCH) / MATCH + 1]))
+        n, m = sizes[rows, None], t_sizes[None, cols]
+        both = [np.zeros((len(n), m.shape[1]), np.int64) for _ in BINS]
+        for word in range(16):
+            both[word // 8] += np.bitwise_count(bits[rows, word, None] & t_bits[None, cols, word])
+        shared = [np.minimum(n - k - (ones[k][rows, None] - both[k]), m - k - (t_ones[k][None, cols] - both[k])) for k in (0, 1)]
+        total = n + m
+        # m matched letters stand in at most total - 2 m + 1 blocks, so at least 3 m - total - 1 bigrams are shared.
+        bound = np.minimum(2 * shared[0] / total, 2 / 3 * (shared[1] + total + 1) / total)
+        may = (bound >= MATCH - SLACK) & (2 * np.minimum(n, m) >= MATCH * total - SLACK) & (abs(n - m) <= n * LENGTH_GAP)
+        for i in np.flatnonzero(may.any(1)):
+            found = np.flatnonzero(may[i])
+            order = np.argsort(right[cols][found])
+            yield int(left[at + i]), right[cols][found][order], bound[i, found][order]
+
+
+def search(needle: str, sentences: list[str], places, bounds) -> tuple[float | None, int | None]:
+    """Its best ratio of MATCH or more, and the first place of the best sentence; nulls without a match.
+
+    The search for the ratio ends at the first sentence of EARLY or more; that for the place doesn't.
+    """
+    rated: dict[int, float] = {}
 
-    def run(part: pd.Series) -> pd.Series:
-        import numpy as np
+    def rate(k: int) -> float:
+        if k not in rated:
+            rated[k] = folds.gestalt(needle, sentences[places[k]])
+        return rated[k]
 
-        out = []
-        for s in part:
-            points = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            out.append(np.concatenate([bits(points), bits(points[1:] * np.uint64(1 << 21) + points[:-1])]))
-        return pd.Series(out)
+    best, place = MATCH, None
+    for k in (-bounds).argsort(kind="stable").tolist():
+        if bounds[k] < best - SLACK:
+            break
+        if (r := rate(k)) > best or (r == best and (place is None or places[k] < place)):
+            best, place = r, int(places[k])
+    if place is None:
+        return None, None
+    early = (rate(k) for k in (bounds >= EARLY - SLACK).nonzero()[0].tolist()) if best >= EARLY else ()
+    return next((r for r in early if r >= EARLY), best), place
 
-    return F.pandas_udf(run, "array<bigint>")(text)
 
+def best(needles: list[str], sentences: list[str]) -> list[tuple[float | None, int | None]]:
+    """(ratio, place) of each needle: 1 and the first place for one that is there, else those of search()."""
+    first: dict[str, int] = {}
+    for k, s in enumerate(sentences):
+        first.setdefault(s, k)
+    found = [(1.0, first[s]) if s is not None and s in first else (None, None) for s in needles]
+    rest = [n for n, s in enumerate(needles) if s and s not in first]
+    if rest:
+        for i, places, bounds in near([needles[n] for n in rest], sentences):
+            found[rest[i]] = search(needles[rest[i]], sentences, places, bounds)
+    return found
 
-def lacking(a: Column, b: Column, first: int) -> Column:
-    """Bits of a that b lacks, in the bitmap that starts at a place."""
-    return sum((F.bit_count(a[i].bitwiseAND(F.bitwise_not(b[i]))) for i in range(first, first + WORDS)), F.lit(0))
 
+def matches(needles: Column, sentences: Column) -> Column:
+    """struct(total, places) of two arrays of sentences: the sum of the needles' ratios, and the places of those with a match, in their order."""
 
-def ratio(needle: Column, sentence: Column) -> Column:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        found = [[] if x is None else best(list(x), [] if y is None else list(y)) for x, y in zip(a, b, strict=True)]
+        # The sum is exact, so that its rounding doesn't hang on the order.
+        return pd.DataFrame({"total": [math.fsum(r or 0.0 for r, _ in x) for x in found], "places": [[p for _, p in x if p is not None] for x in found]})
 
-    return F.pandas_udf(run, "double")(needle, sentence)
+    return F.pandas_udf(run, "total double, places array<int>")(needles, sentences)
 
 
 def sentences_of(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -87,42 +143,17 @@ def sentences_of(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").alias("doc"), F.posexplode(F.col(f"`{column}`")).alias("n", "s"))
 
 
-def _described(rows: DataFrame) -> DataFrame:
-    return rows.where("s is not null and s <> ''").select("*", F.length("s").alias("size"), F.floor(F.log(F.length("s").cast("double")) / math.log(BAND)).cast("int").alias("band"), bitmaps(F.col("s")).alias("bits"))
+def pairs(needles: DataFrame, sentences: DataFrame) -> DataFrame:
+    """needles (doc, n, s) with place, t and bound: sentences of their document whose ratio may be MATCH or more, and what it is at most."""
 
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[(i, int(p), float(x)) for i, places, bounds in near(list(s), list(t)) for p, x in zip(places, bounds, strict=True)] for s, t in zip(a, b, strict=True)])
 
-def pairs(needles: DataFrame, sentences: DataFrame) -> DataFrame:
-    """needles (doc, n, s, ...) with place, t and bound: sentences whose ratio may be MATCH or more, and what it is at most."""
-    own = _described(needles).withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    others = _described(sentences).select("doc", F.col("n").alias("place"), F.col("s").alias("t"), F.col("size").alias("t_size"), F.col("band").alias("near"), F.col("bits").alias("t_bits"))
-    total = F.col("size") + F.col("t_size")
-    lengths = (2 * F.least("size", "t_size") >= MATCH * total - SLACK) & (F.abs(F.col("size") - F.col("t_size")) <= F.col("size") * LENGTH_GAP)
-    a, b = F.col("bits"), F.col("t_bits")
-    shared = lambda first, less: F.least(F.col("size") - less - lacking(a, b, first), F.col("t_size") - less - lacking(b, a, first))
-    # m matched letters stand in at most total - 2 m + 1 blocks, so at least 3 m - total - 1 bigrams are shared.
-    bound = F.least(2 * shared(0, 0) / total, (F.lit(2 / 3) * (shared(WORDS, 1) + total + 1)) / total)
-    joined = own.join(others, ["doc", "near"]).where(lengths).withColumn("bound", bound).where(F.col("bound") >= MATCH - SLACK)
-    return joined.select(*needles.columns, "place", "t", "bound")
-
-
-def best(needles: DataFrame, sentences: DataFrame) -> DataFrame:
-    """(doc, n, ratio, place) of each needle: its best ratio of MATCH or more, and the first place of the best sentence.
-
-    The search for the ratio ends at the first sentence of EARLY or more; that
-    for the place doesn't.  Without a match both are null.
-    """
-    first = sentences.groupBy("doc", "s").agg(F.min("n").alias("place"))
-    equal = needles.join(first, ["doc", "s"], "left")
-    rest = equal.where("place is null").select("doc", "n", "s")
-    rated = lambda df: df.withColumn("ratio", ratio(F.col("s"), F.col("t")))
-    likely = pairs(rest, sentences).groupBy("doc", "n", "s").agg(F.max_by(F.struct("place", "t"), F.struct("bound", -F.col("place"))).alias("x")).select("doc", "n", "s", "x.place", "x.t")
-    tried = rated(likely).select("doc", "n", "s", F.col("ratio").alias("least"), F.col("place").alias("tried"))
-    may = (F.col("bound") >= F.col("least") - SLACK) | ((F.col("least") >= EARLY) & (F.col("place") < F.col("tried")) & (F.col("bound") >= EARLY - SLACK))
-    found = rated(pairs(tried, sentences).where(may)).where(F.col("ratio") >= MATCH)
-    early = F.min_by(F.when(F.col("ratio") >= EARLY, F.col("ratio")), F.when(F.col("ratio") >= EARLY, F.col("place")))
-    matched = found.groupBy("doc", "n").agg(F.coalesce(early, F.max("ratio")).alias("r"), F.max_by("place", F.struct("ratio", -F.col("place"))).alias("p"))
-    both = equal.join(matched, ["doc", "n"], "left")
-    return both.select("doc", "n", F.when(F.col("place").isNotNull(), 1.0).otherwise(F.col("r")).alias("ratio"), F.coalesce("place", "p").alias("place"))
+    listed = lambda df, name: df.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias(name))
+    both = listed(needles, "x").join(listed(sentences, "y"), "doc")
+    found = both.select("doc", "x", "y", F.explode(F.pandas_udf(run, "array<struct<i:int,p:int,bound:double>>")(F.col("x.s"), F.col("y.s"))).alias("f"))
+    x, y = F.col("x")[F.col("f.i")], F.col("y")[F.col("f.p")]
+    return found.select("doc", x["n"].alias("n"), x["s"].alias("s"), y["n"].alias("place"), y["s"].alias("t"), "f.bound")
 
 
 def fuzzy_scores(df: DataFrame, key: str, extracted: str, reference: str) -> DataFrame:
@@ -134,17 +165,15 @@ def fuzzy_scores(df: DataFrame, key: str, extracted: str, reference: str) -> Dat
     times the share of matched sentences, null under MIN_MATCHED sentences or
     matches.
     """
-    e, r = sentences_of(df, key, extracted), sentences_of(df, key, reference)
-    share = F.round(F.coalesce(F.sum("ratio"), F.lit(0.0)) / F.count("*"), 4)
-    places = F.transform(F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("n", "place")))), lambda x: x["place"])
-    recall = best(r, e).groupBy("doc").agg(share.alias("_recall"), places.alias("_places"))
-    precision = best(e, r).groupBy("doc").agg(share.alias("_precision"))
-    scored = df.join(recall, F.col(f"`{key}`") == recall["doc"], "left").drop("doc").join(precision, F.col(f"`{key}`") == precision["doc"], "left").drop("doc")
-    sizes = F.least(F.size(reference), F.size(extracted), F.size("_places"))
-    rising = folds.udf(folds.rising_share, "double")(F.col("_places"))
-    order = F.when(sizes >= MIN_MATCHED, F.round(rising * F.size("_places") / F.size(reference), 4))
-    out = {"recall": F.coalesce("_recall", F.lit(1.0)), "precision": F.coalesce("_precision", F.lit(0.0)), "order": order}
-    return scored.withColumns(out).drop("_recall", "_precision", "_places")
+    e, r = F.col(f"`{extracted}`"), F.col(f"`{reference}`")
+    share = lambda found, own: F.when(F.size(own) > 0, F.round(found["total"] / F.size(own), 4))
+    scored = df.withColumns({"_recall": matches(r, e), "_precision": matches(e, r)})
+    places = F.col("_recall.places")
+    sizes = F.least(F.size(r), F.size(e), F.size(places))
+    rising = folds.udf(folds.rising_share, "double")(places)
+    order = F.when(sizes >= MIN_MATCHED, F.round(rising * F.size(places) / F.size(r), 4))
+    out = {"recall": F.coalesce(share(F.col("_recall"), r), F.lit(1.0)), "precision": F.coalesce(share(F.col("_precision"), e), F.lit(0.0)), "order": order}
+    return scored.withColumns(out).drop("_recall", "_precision")
 
 
 # Functions travel inside the tasks, so workers need not import this package.

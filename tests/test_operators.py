@@ -320,3 +320,26 @@ def test_expected_names_and_passages(spark):
     assert tuple(row(Q.author_accuracy(F.col("t"), array()))) == (0.0, 0.0) and row(Q.keyword_accuracy(F.col("t"), array())) is None
     assert tuple(row(Q.continuity(F.col("t"), array("wrote this", "wrote thus text")))) [:2] == (2, 2)
     assert tuple(row(Q.continuity(F.col("t"), F.lit(None).cast("array<string>")))) == (0, 0, 0.0)
+
+
+def test_fuzzy_scores_in_the_row(spark):
+    """Nothing is shuffled; odd rows; bounds in blocks hold, also where bins have more than their bits tell."""
+    from difflib import SequenceMatcher
+
+    a = ["a" * 40 + "b", "", None, "one two three four", "x"]
+    b = ["a" * 36, "", None, "one two three fou", None]
+    df = spark.createDataFrame([(0, a, b), (1, None, None), (2, [], []), (3, [None], ["y"])], "i int, e array<string>, r array<string>")
+    got = matching.fuzzy_scores(df, "i", "e", "r")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    r = [SequenceMatcher(None, b[k], a[k]).ratio() for k in (0, 3)]
+    p = [SequenceMatcher(None, a[k], b[k]).ratio() for k in (0, 3)]
+    want = [(round((sum(r) + 1) / 5, 4), round((sum(p) + 1) / 5, 4), 0.6), (1.0, 0.0, None), (1.0, 0.0, None), (0.0, 0.0, None)]
+    assert [tuple(x) for x in got.orderBy("i").select("recall", "precision", "order").collect()] == want
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdef ") for _ in range(rng.randrange(1, 90))) for _ in range(300)]
+    edited = ["".join(c for c in s if rng.random() > 0.12) for s in base]
+    seen = {(i, p): x for i, places, bounds in matching.near(base, edited) for p, x in zip(places.tolist(), bounds.tolist(), strict=True)}
+    for i, s in enumerate(base):
+        for p in (i, rng.randrange(300), rng.randrange(300)):
+            ratio = SequenceMatcher(None, s, edited[p]).ratio() if edited[p] and abs(len(s) - len(edited[p])) <= 0.5 * len(s) else 0
+            assert ratio < matching.MATCH or seen[i, p] >= ratio - 1e-9
