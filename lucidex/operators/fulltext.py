@@ -15,17 +15,22 @@ that aren't the query's.  With | every hit is a cover of its own.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from functools import reduce
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import let
 from ..sources.tables import Tables
 from .retrieval import HIT_WEIGHT, tokens
 
 BUCKETS = 64
+#: Rows of one Arrow batch that goes back to the JVM.
+OUT_ROWS = 1 << 16
 #: Operators of queries; only one kind in a query.
 MODES = {"<->": "phrase", "&": "all", "|": "any"}
 
@@ -47,11 +52,40 @@ def bucket_of(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
 
+def _inverted(parts):
+    """Of batches (doc, words) the rows (term, doc, positions), sorted by term in each."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for part in parts:
+        doc, words = part.column("doc"), part.column("words")
+        sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        found = words.flatten().dictionary_encode()
+        owner = np.repeat(np.arange(len(doc)), sizes)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+        row = found.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(doc)) + owner
+        order = np.argsort(row, kind="stable")
+        first = np.flatnonzero(np.diff(row[order], prepend=-1))
+        heads, ends = order[first], np.append(first, len(order))
+        positions = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[order].astype(np.int32)))
+        terms = found.dictionary.take(found.indices.take(pa.array(heads)))
+        out = pa.RecordBatch.from_arrays([terms, doc.take(pa.array(owner[heads])), positions], names=["term", "doc", "positions"])
+        yield from (out.slice(i, OUT_ROWS) for i in range(0, len(out), OUT_ROWS))
+
+
 def postings(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(bucket, term, doc, n, positions) of texts; positions from 1."""
-    each = texts.select(F.col(f"`{key}`").alias("doc"), F.posexplode(tokens(F.col(f"`{text}`"))).alias("pos", "term"))
-    own = each.groupBy("term", "doc").agg(F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
-    return own.select((F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int").alias("bucket"), "term", "doc", F.size("positions").alias("n"), "positions")
+    """(term, doc, positions) of texts; positions from 1.
+
+    A text's words are grouped in its row, so nothing is shuffled here; only
+    where keys repeat are the rows of one key and term put together.
+    """
+    own = texts.select(F.col(f"`{key}`").alias("doc"), tokens(F.col(f"`{text}`")).alias("words"))
+    fields = [T.StructField("term", T.StringType()), T.StructField("doc", own.schema["doc"].dataType), T.StructField("positions", T.ArrayType(T.IntegerType()))]
+    rows = own.mapInArrow(_inverted, T.StructType(fields))
+    if not texts.groupBy(F.col(f"`{key}`")).count().where("count > 1").take(1):
+        return rows
+    return rows.groupBy("term", "doc").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
 
 
 class Index:
@@ -68,7 +102,10 @@ class Index:
         if known is not None:
             own = own.join(known, "doc", "left_anti")
         after = {} if replace else state["tables"]
-        rows = postings(own, "doc").repartitionByRange("bucket", "term", "doc").sortWithinPartitions("bucket", "term", "doc")
+        bucket = (F.crc32(F.col("term").cast("binary")) % BUCKETS).cast("int")
+        # What follows from a row is added behind the shuffle.
+        dealt = postings(own, "doc").repartitionByRange(bucket, "term", "doc").select(bucket.alias("bucket"), "term", "doc", F.size("positions").alias("n"), "positions")
+        rows = dealt.sortWithinPartitions("bucket", "term", "doc")
         entries = {"postings": self.tables.write("postings", rows, ("bucket",), after.get("postings")), "documents": self.tables.write("documents", own.select("doc"), (), after.get("documents"))}
         self.tables.commit(state, entries, notes)
 
@@ -129,3 +166,7 @@ def cover_rank(lists: Column, n: int) -> Column:
         return let(last, judged)
 
     return F.aggregate(hits, start, step, lambda s: s["score"])
+
+
+# Functions travel inside the tasks, so workers need not import this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -163,3 +163,20 @@ def test_prompts(spark):
     assert [(r["keyword"], r["vec_id"]) for r in found] == [("autism", 2)]
     with pytest.raises(ValueError, match="unknown narrative: x; there are air, autism, blank"):
         retrieval.narrative_prompts(prompts, ["x"])
+
+
+def test_postings_without_a_shuffle(spark):
+    """Words are grouped in their row; repeated keys, empty and null texts and wide letters are as in a grouping of all."""
+    from lucidex.operators import fulltext
+
+    texts = [(1, "b a b É_1 😀 b"), (2, ""), (3, None), (4, "a"), (5, "... --")]
+    plain = lambda rows: sorted((t, d, [i + 1 for i, w in enumerate(x.lower().split()) if w == t]) for d, x in rows for t in set(x.lower().split()))
+    own = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    found = fulltext.postings(own)
+    assert "Exchange" not in found.select("term")._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    want = plain([(1, "b a b é_1 - b"), (4, "a")])
+    # The emoji is no word, so what follows it moves up.
+    want = sorted((t, d, [p - (d == 1 and p > 5) for p in ps]) for t, d, ps in want if t != "-")
+    assert sorted((r["term"], r["doc"], r["positions"]) for r in found.collect()) == want
+    twice = fulltext.postings(spark.createDataFrame([(1, "a b"), (1, "c a")], "doc_id long, text string").repartition(2))
+    assert sorted((r["term"], r["doc"], r["positions"]) for r in twice.collect()) == [("a", 1, [1, 2]), ("b", 1, [2]), ("c", 1, [1])]
