@@ -89,7 +89,7 @@ def strip_implicit_references(c: Column) -> Column:
     def cut(ls: Column) -> Column:
         start = F.floor(F.size(ls) * REFERENCES_SHARE).cast("int")
         tail = F.slice(ls, start + 1, F.greatest(F.size(ls), F.lit(1)))
-        body = F.filter(tail, lambda x: ~T.reference_like(T.trim(x)))
+        body = F.filter(tail, lambda x: T.let(T.trim(x), lambda s: ~T.reference_like(s)))
 
         def judged(b: Column) -> Column:
             hits = F.size(tail) - F.size(b)

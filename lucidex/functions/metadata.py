@@ -56,7 +56,9 @@ def title(c: Column) -> Column:
 
 def abstract(c: Column) -> Column:
     """Up to 500 characters after abstract or summary, before the next section; null under 21."""
-    cue = r"(?isU)(?:abstract|summary)\s*[:]*\s*(.+?)(?=(?:introduction|keywords|1\.\s|methods|methodology|related work|background)|\z)"
+    # A run of white space and any other character are one of the squeezed text, so what lies beyond 502 of them doesn't count.
+    unit, stop = r"(?:\s++|\S)", r"(?=(?:introduction|keywords|1\.\s|methods|methodology|related work|background)|\z)"
+    cue = rf"(?isU)(?:abstract|summary)\s*[:]*\s*((?:{unit}{{1,502}}?{stop}|{unit}{{502}}))"
     own = F.substring(T.squeeze(F.regexp_extract(c, cue, 1)), 1, 500)
     return F.when(F.length(own) > 20, own)
 
@@ -102,7 +104,7 @@ def summary(c: Column) -> Column:
     from .policy import authors
 
     own = doi(c)
-    return F.struct(authors(c).alias("authors"), own.alias("doi"), title(c).alias("title"), abstract(c).alias("abstract"), journal(c).alias("journal"), year(c).alias("year"), link(c, own).alias("link"))
+    return F.struct(F.when(c != "", authors(c)).alias("authors"), own.alias("doi"), title(c).alias("title"), abstract(c).alias("abstract"), journal(c).alias("journal"), year(c).alias("year"), link(c, own).alias("link"))
 
 
 def _flag(condition: Column) -> Column:

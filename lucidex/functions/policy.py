@@ -108,10 +108,13 @@ def authors(c: Column) -> Column:
 
     rows = F.filter(F.transform(F.slice(F.split(c, "\n"), 1, AUTHOR_LINES), trim), author_line)
     people = F.filter(F.transform(F.flatten(F.transform(rows, lambda s: F.split(s, r",\s*|\s+and\s+"))), person), lambda p: p["surname"] != "")
-    address, named = F.regexp_extract(c, CORRESPONDENCE, 2), trim(F.regexp_replace(F.regexp_extract(c, CORRESPONDENCE, 1), MARKS, ""))
+    part = lambda group: F.when(F.contains(c, F.lit("*Correspondence")), F.regexp_extract(c, CORRESPONDENCE, group)).otherwise("")
+    corresponding = F.struct(part(2).alias("address"), trim(F.regexp_replace(part(1), MARKS, "")).alias("named"))
 
-    def with_address(p: Column) -> Column:
+    def with_address(p: Column, x: Column) -> Column:
         full = F.concat_ws(" ", p["name"], p["surname"])
-        return F.struct(p["name"].alias("name"), p["surname"].alias("surname"), F.when((address != "") & (F.contains(full, named) | F.contains(named, full)), address).otherwise(F.lit("")).alias("email"))
+        own = (x["address"] != "") & (F.contains(full, x["named"]) | F.contains(x["named"], full))
+        return F.struct(p["name"].alias("name"), p["surname"].alias("surname"), F.when(own, x["address"]).otherwise(F.lit("")).alias("email"))
 
-    return F.slice(F.transform(people, with_address), 1, MAX_AUTHORS)
+    # The address is looked for once a text, not once a name.
+    return let(corresponding, lambda x: F.slice(F.transform(people, lambda p: with_address(p, x)), 1, MAX_AUTHORS))

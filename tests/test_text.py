@@ -178,3 +178,32 @@ def test_fuzzy_ratio_of_long_texts():
     with mock.patch.object(folds, "gestalt", wraps=folds.gestalt) as made:
         assert folds.fuzzy_ratio(hay, hay[:30] + "§" * 10) == 0.75
     assert made.call_count <= 20
+
+
+def test_lines_are_trimmed_and_judged_cheaply(spark):
+    """Trimming is no pattern; the cheap conditions before the line patterns change no verdict."""
+    white = [chr(i) for i in range(0x3001) if re.match(r"[\s\x85]", chr(i)) and not 0x1C <= i <= 0x1F]
+    assert sorted(white) == sorted(T.WHITE_SPACE)
+    texts = ["", None, *("".join(x) for x in zip(white, "ab" * 20, reversed(white))), *randoms([*white, "a", "é", "\x1c"])]
+    assert "regexp" not in str(T.trim(F.col("t")))
+    assert run(spark, T.trim, texts) == run(spark, lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+\z", ""), texts)
+    rows = randoms(["http://", "HTTPS://", "DOI.org", "arXiv:", "10.1234/", "..", ".", "|", " 12", "3", "٣", "(2001)", ",", "Part ", "[1] ", "- ", "\t"], 600)
+    rows = [r.strip() for r in rows]
+    toc = r"(?U)^\s*(?:[-*]\s*)?(?:\d+(?:\.\d+)*\s+)?[^\n]{2,140}?\s+\d{1,4}\s*\z"
+    pipes = lambda s: s.startswith("|") & (F.length(s) - F.length(F.replace(s, F.lit("|"))) >= 2)
+    assert run(spark, T.toc_like, rows) == run(spark, lambda s: (s != "") & (s.rlike(r"\.{2,}") | pipes(s) | s.rlike(r"(?U)^\|?\s*\d{1,3}\s*\|") | s.rlike(toc)), rows)
+    assert run(spark, T.citation_like, rows) == run(spark, lambda s: s.rlike(r"(?iU)(https?://|doi\.org|arxiv:|^10\.\d{4,}/)"), rows)
+
+
+def test_abstract_ends_early(spark):
+    """The first 500 characters of the squeezed abstract, as a search up to its end gives them."""
+    from lucidex.functions import metadata as M
+
+    def plain(t):
+        m = re.search(r"(?is)(?:abstract|summary)\s*[:]*\s*(.+?)(?=(?:introduction|keywords|1\.\s|methods|methodology|related work|background)|\Z)", t)
+        own = " ".join(m[1].split())[:500] if m else ""
+        return own if len(own) > 20 else None
+
+    texts = randoms(["Abstract:", "summary ", "some words here ", "  \n\t ", "Introduction", "1. ", "1.", "x", "a longer run of words with  gaps " * 12, "Background"], 300)
+    assert run(spark, M.abstract, texts) == [plain(t) for t in texts]
+    assert "502" in str(M.abstract(F.col("t")))
