@@ -97,7 +97,8 @@ class Catalogue:
         state = self.store.state()
         old = tables_of(self.store, state)
         batch = self._stored("batch", one_per_doi(artifacts))
-        changed = self._stored("changed", self._changed(batch, old))
+        # Into an empty catalogue all is new: nothing to compare, and the texts needn't move.
+        changed = self._stored("changed", self._changed(batch, old)) if "documents" in state["tables"] else batch
         if changed.isEmpty():
             return state
         entries = entries_of(changed)
@@ -146,5 +147,7 @@ class Catalogue:
 def one_per_doi(artifacts: DataFrame) -> DataFrame:
     """A row for each non-blank DOI; a null title is blank, null keywords are none."""
     rows = artifacts.where(blank_to_null(F.col("doi")).isNotNull()).select("doi", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "authors", "postprocessed_text", "parser_config")
+    if not rows.groupBy("doi").count().where("count > 1").take(1):
+        return rows  # the usual case; texts aren't shuffled
     rest = [c for c in rows.columns if c != "doi"]
     return rows.groupBy("doi").agg(F.max(F.struct(*rest)).alias("r")).select("doi", *[F.col(f"r.{c}").alias(c) for c in rest])

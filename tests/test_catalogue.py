@@ -147,3 +147,14 @@ def test_stream_equals_table_after_a_restart(spark, tmp_path):
     found.pop(99, None)
     assert found == plain(events)
     assert found == {k: v for k, v in states(runs.run_states(spark.createDataFrame(events, EVENTS))).items()}
+
+
+def test_single_dois_are_not_shuffled(spark):
+    from lucidex.operators import catalog
+
+    row = lambda doi, title: (doi, title, None, None, "text", "{}")
+    made = lambda *rows: catalog.one_per_doi(spark.createDataFrame(list(rows), catalog.ARTIFACT))
+    single = made(row("a", None), row("b", "B"), row(" ", "C"), row(None, "D"))
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["doi"], r["title"]) for r in single.collect()) == [("a", ""), ("b", "B")]
+    assert sorted((r["doi"], r["title"]) for r in made(row("a", "x"), row("a", "y"), row("b", None)).collect()) == [("a", "y"), ("b", "")]
