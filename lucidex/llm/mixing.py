@@ -128,6 +128,13 @@ class Classifier:
         x, self.gradient = descend(loss, x, TOLERANCE)
         self.weights[used], self.bias = scale[:, None] * x[:-1], x[-1]
 
+    def load(self, used: bytes, weights: bytes, bias: bytes, gradient: float) -> None:
+        """Take over what was learned elsewhere: numbers of features, their rows of weights, the bias and the last gradient."""
+        import numpy as np
+
+        self.weights[np.frombuffer(used, np.int64)] = np.frombuffer(weights).reshape(-1, len(self.domains))
+        self.bias, self.gradient = np.frombuffer(bias), gradient
+
     def posterior(self, present: list[int]) -> list[float]:
         import numpy as np
 
@@ -191,9 +198,22 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             numbers = [features(t)[1] for t in text_bytes(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("y"), part.column("mark"), pa.array(numbers, pa.list_(pa.int32()))], names=["y", "mark", "present"])
 
-    # Repeated rows are one; at most SAMPLE_DOCS of a domain, of TEXT_CHARS characters each, come to the driver.
+    def fit(parts):
+        import numpy as np
+        import pyarrow as pa
+
+        rows = [(mark, y, x.values.to_numpy()) for part in parts for mark, y, x in zip(part.column("mark").to_pylist(), part.column("y").to_pylist(), part.column("present"), strict=True)]
+        model = Classifier((y, x) for _, y, x in sorted(rows, key=lambda r: r[:2]))
+        used = np.flatnonzero(model.weights.any(1))
+        values = [used.tobytes(), model.weights[used].tobytes(), model.bias.tobytes(), model.gradient]
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["used", "weights", "bias", "gradient"])
+
+    # Repeated rows are one; at most SAMPLE_DOCS of a domain, of TEXT_CHARS characters each, meet in one task; the driver gets the weights only.
     out = found.mapInArrow(run, "y int, mark long, present array<int>").groupBy("mark", "y").agg(F.first("present").alias("present"))
-    return Classifier((r["y"], r["present"]) for r in sorted(out.collect(), key=lambda r: (r["mark"], r["y"])))
+    model = Classifier(())
+    for r in out.repartition(1).mapInArrow(fit, "used binary, weights binary, bias binary, gradient double").collect():
+        model.load(r["used"], r["weights"], r["bias"], r["gradient"])
+    return model
 
 
 def with_posteriors(docs: DataFrame, model: Classifier, text: str = "text", names: tuple[str, str] = ("_tokens", "_p")) -> DataFrame:

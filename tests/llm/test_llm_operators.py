@@ -629,6 +629,23 @@ def test_mixing(spark, empty):
     assert {r["rate"] for r in mixing.rates(docs, table.where("false")).collect()} != set()
 
 
+def test_training_leaves_the_driver_alone(spark):
+    """The sample's features stay in the tasks; the driver holds the weights, some times over while they are read, and nothing that grows with the sample."""
+    import tracemalloc
+
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), F.lit(200_000)))))
+    docs = spark.range(1500).select(F.col("id").alias("doc_id"), text.alias("text"))
+    table = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    tracemalloc.start()
+    try:
+        model = mixing.train(docs, table)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (model.weights != 0).any(1).sum() > 50_000 and 0 < model.gradient <= mixing.TOLERANCE
+    assert peak < 5 * model.weights.nbytes
+
+
 def test_projected_gradient_against_plain_numpy(spark):
     """The same steps in numpy, and a target that needs the projection."""
     import numpy as np
