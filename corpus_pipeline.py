@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each near-duplicate group."""
+    """One document, that with the smallest id, of each near-duplicate group: operator 6's links, and MinHash keys for what is over two bits apart; all verified."""
     return near_copies.deduplicate(docs, shingle=SHINGLE)
 
 

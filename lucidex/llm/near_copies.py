@@ -1,23 +1,27 @@
 """SimHash near-copies in the wide: texts whose sets of word shingles have a Jaccard similarity of MIN_JACCARD or more.
 
-Two bits of a fingerprint, operator 6's own rule, find about half of the edited
-copies.  This form of it takes the fingerprints of shingle sets to a radius
-that holds for MIN_JACCARD, and verifies survivors by the exact similarity.
-
-Texts with equal shingle sets are one node.  No key made of fingerprint bits
-holds at such a radius, so MinHash values (BANDS groups of ROWS) propose pairs:
-a pair shares a group's key with probability J ** ROWS, so one of exactly
-MIN_JACCARD goes unseen in about 3 of a million cases and closer ones more
-seldom.  Proposed pairs are discarded by their set sizes, which is exact, and
-by more than RADIUS differing fingerprint bits (at MIN_JACCARD about 10 are
+Texts with equal shingle sets are one node.  Operator 6 links the fingerprints
+of these sets: distances to its references, for each choice of runs of bits,
+are keys, the largest difference of distances discards, Hamming distances
+verify.  Its links between two nodes each, and from every node to the first one
+of its fingerprint, are proposed (see near_prints).
+
+Two bits, operator 6's own rule, find about half of the edited copies, and no
+key made of fingerprint bits holds at a radius for MIN_JACCARD.  What lies
+further apart is proposed by MinHash values (BANDS groups of ROWS): a pair
+shares a group's key with probability J ** ROWS, so one of exactly MIN_JACCARD
+goes unseen in about 3 of a million cases and closer ones more seldom.
+
+Pairs proposed in either way are discarded by their set sizes, which is exact,
+and by more than RADIUS differing fingerprint bits (at MIN_JACCARD about 10 are
 expected with a deviation of 3).  Every survivor is verified by the exact
 Jaccard similarity of its shingle sets (as 64-bit hashes); the groups are the
 connected components of the verified pairs.
 
 Keys don't pair all their nodes at once.  A shingle that at most RARE nodes have
 is in few pairs, which are listed and counted; the others of a node's shingles
-are common ones, which any pair may share.  First each node is compared with one
-head of each of its keys, the node with the least share of rare shingles, as
+are common ones, which any pair may share.  First, beside operator 6's pairs,
+each node is compared with one head of each of its keys, the node with the least share of rare shingles, as
 the origin of edited copies is.  Then, in keys that still hold several
 components, nodes of different components are compared, but only where an exact
 bound on what they can share allows it.  So in a crowd of edited copies those
@@ -39,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import batches, by_value, first_of_groups, materialize, text_bytes
 from .components import components
 from .simhash import distance, majority, signed
@@ -186,19 +191,28 @@ def rare_shingles(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("shared"))
 
 
+def near_prints(nodes: DataFrame) -> DataFrame:
+    """(a, b) pairs of nodes whose fingerprints operator 6 links: first nodes of two linked fingerprints, and each node with the first of its own."""
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "first-nodes")
+    x, y = [first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")) for c in "ab"]
+    apart = simhash.links(first.select("fp")).join(x, "a").join(y, "b").select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
+    return apart.union(nodes.select("node", "fp").join(first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")))
+
+
 def links(nodes: DataFrame, docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(a, b) verified pairs of nodes, enough for exact components of all pairs that share a key."""
+    """(a, b) verified pairs of nodes, enough for exact components of all pairs that share a key, and those of operator 6 among them."""
+    near = materialize(near_prints(nodes), "near-prints")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key")
     crowd = materialize(keyed.join(several, "key"), "band-members")
-    inside = crowd.select("node").distinct()
+    inside = crowd.select("node").union(near.select("a")).union(near.select("b")).distinct()
     sets = shingle_sets(inside, nodes, docs, text, shingle)
     rare, shared = rare_shingles(sets)
     rest = materialize(nodes.join(inside, "node", "left_semi").join(rare, "node", "left").select("node", "n", "fp", "keys", (F.col("n") - F.coalesce("rare", F.lit(0))).alias("common")), "band-nodes")
     # The node with the least of its own is nearest to what its key's nodes have in common.
     heads = crowd.join(rest, "node").groupBy("key").agg(F.max_by("node", F.struct(F.col("common") / F.col("n"), "node")).alias("head"))
     members = materialize(crowd.join(heads, "key"), "headed-members")
-    first = members.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    first = members.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).union(near).distinct()
     could = first.join(rest.alias("x"), F.col("a") == F.col("x.node")).join(rest.alias("y"), F.col("b") == F.col("y.node")).where(possible("x", "y")).select("a", "b")
     stars = materialize(verified(could, sets), "star-links")
     rooted = materialize(components(stars), "star-roots")

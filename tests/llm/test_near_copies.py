@@ -7,8 +7,10 @@ import random
 
 import brute
 import corpus_pipeline
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from lucidex.llm import near_copies, simhash
+from lucidex.llm import common, near_copies, simhash
 
 
 def shingle_set(text, n=5):
@@ -115,3 +117,30 @@ def test_crowd_bound_is_exact(spark):
             own[rng.randrange(120)] = f"x{rng.randrange(40)}" if rng.random() < 0.3 else f"y{rng.random()}"
         rows.append((i, " ".join(own)))
     assert stage(spark, rows) == survivors(rows)
+
+
+def test_operator_six_links_without_any_key(spark):
+    """Pairs within two bits come from reference distances alone, in crowds too, and are verified like those of keys."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for length in (60, 400, 1500):
+        for _ in range(12):
+            text = [word() for _ in range(length)]
+            rows += [" ".join(text), " ".join([*text[:-1], "changed"])]
+    long = [word() for _ in range(2500)]
+    rows += [" ".join([*long[:i], "x", *long[i + 1 :]]) for i in range(0, 2500, 25)]  # a crowd of one fingerprint or a few
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    nodes = near_copies.prints(docs).groupBy("node").agg(F.min("mark").alias("mark"), *[F.first(c).alias(c) for c in ("n", "fp", "keys")])
+    bare = common.materialize(nodes.withColumn("keys", F.expr("array()").cast("array<long>")), "bare-nodes")
+    fp, size = {r["node"]: r["fp"] for r in bare.collect()}, bare.count()
+    apart = lambda a, b: bin((fp[a] ^ fp[b]) & (1 << 64) - 1).count("1")
+    sets = [near_copies.shingles(t.encode()) for t in rows]
+    node = [simhash.signed(xxh64_intdigest(t.tobytes(), 42)) for t in sets]
+    near = {tuple(sorted((node[i], node[j]))) for i, j in itertools.combinations(range(72), 2) if apart(node[i], node[j]) <= 2 and 5 * len(set(sets[i]) & set(sets[j])) >= 4 * len(set(sets[i]) | set(sets[j]))}
+    found = [(r["a"], r["b"]) for r in near_copies.links(bare, docs).collect()]
+    assert size == len(rows) and near and near <= set(found) and len(found) == len(set(found))
+    crowd = set(node[72:])
+    assert len([1 for a, b in found if a in crowd and b in crowd]) >= 60
+    proposed = {(r["a"], r["b"]) for r in near_copies.near_prints(bare).collect()}
+    assert near <= proposed and all(a < b and apart(a, b) <= 2 for a, b in proposed)
