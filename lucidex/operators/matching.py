@@ -1,12 +1,13 @@
 """Best matches between the sentences of documents, with exact bounds.
 
 A sentence that the other side has as it is needs no ratio.  The others are
-compared with the sentences of the same document, in blocks of bounded size,
-whose length a ratio of at least MATCH allows.  Every sentence has two bitmaps,
+compared with the sentences of the same document whose length a ratio of at
+least MATCH allows, for many documents at once and in blocks of bounded size.
+Every sentence has two bitmaps,
 of its letters and of its bigrams, each dealt into bins and a bit for every
 further one in its bin.  A bit that one sentence has and the other lacks stands
 for at least one letter or bigram that isn't shared, which bounds the ratio
-from above, by bit counts only.
+from above, by bit counts only.  Bitmaps serve both directions.
 
 Ratios are made from the highest bound down until no bound reaches the best
 (and, where a search ends at the first close match, for earlier ones that may
@@ -36,8 +37,8 @@ MATCH, EARLY, LENGTH_GAP, MIN_MATCHED = 0.80, 0.95, 0.5, 3
 SLACK = 1e-9
 #: Bins of each of the two bitmaps, and the bits of a bin.
 BINS = ((64, 8), (256, 2))
-#: Sentences of one side in a block of pairs, and letters whose bins are counted at once.
-BLOCK, LETTERS = 128, 1 << 20
+#: Pairs of sentences in a block, about, and letters whose bins are counted at once.
+PAIRS, LETTERS = 1 << 14, 1 << 20
 
 
 def bitmaps(texts: list[str]):
@@ -61,81 +62,131 @@ def bitmaps(texts: list[str]):
     return np.concatenate(out)
 
 
-def near(needles: list[str], sentences: list[str]):
-    """For every needle with some: its number, the numbers of the sentences whose ratio may be MATCH or more (rising), and what each is at most."""
+def near_all(docs: list[tuple[list[str], list[str]]]):
+    """For every needle with some, of documents (needles, sentences): their number and its own, the numbers of the document's sentences whose ratio may be MATCH or more (rising), and what each is at most."""
     import numpy as np
 
+    row: dict[str, int] = {}
     sides = []
-    for texts in (needles, sentences):
-        own = sorted((i for i, t in enumerate(texts) if t), key=lambda i: len(texts[i]))
-        bits = bitmaps([texts[i] for i in own])
-        sides.append((np.array(own, np.int64), np.array([len(texts[i]) for i in own], np.int64), bits, [np.bitwise_count(x).sum(1, dtype=np.int64) for x in (bits[:, :8], bits[:, 8:])]))
-    (left, sizes, bits, ones), (right, t_sizes, t_bits, t_ones) = sides
-    for at in range(0, len(left), BLOCK):
-        rows = slice(at, at + BLOCK)
-        # Lengths x and y allow at most 2 min(x, y) / (x + y).
-        cols = slice(*np.searchsorted(t_sizes, [sizes[rows][0] * MATCH / (2 - MATCH) - 1, sizes[rows][-1] * (2 - MATCH) / MATCH + 1]))
-        n, m = sizes[rows, None], t_sizes[None, cols]
-        both = [np.zeros((len(n), m.shape[1]), np.int64) for _ in BINS]
-        for word in range(16):
-            both[word // 8] += np.bitwise_count(bits[rows, word, None] & t_bits[None, cols, word])
-        shared = [np.minimum(n - k - (ones[k][rows, None] - both[k]), m - k - (t_ones[k][None, cols] - both[k])) for k in (0, 1)]
-        total = n + m
-        # m matched letters stand in at most total - 2 m + 1 blocks, so at least 3 m - total - 1 bigrams are shared.
-        bound = np.minimum(2 * shared[0] / total, 2 / 3 * (shared[1] + total + 1) / total)
-        may = (bound >= MATCH - SLACK) & (2 * np.minimum(n, m) >= MATCH * total - SLACK) & (abs(n - m) <= n * LENGTH_GAP)
-        for i in np.flatnonzero(may.any(1)):
-            found = np.flatnonzero(may[i])
-            order = np.argsort(right[cols][found])
-            yield int(left[at + i]), right[cols][found][order], bound[i, found][order]
-
-
-def search(needle: str, sentences: list[str], places, bounds) -> tuple[float | None, int | None]:
+    for side in (0, 1):
+        own = [(d, i, row.setdefault(t, len(row))) for d, doc in enumerate(docs) for i, t in enumerate(doc[side]) if t]
+        sides.append(np.array(own, np.int64).reshape(-1, 3).T)
+    if not row:
+        return
+    bits, sizes = bitmaps(list(row)), np.array([len(t) for t in row], np.int64)
+    ones = [np.bitwise_count(x).sum(1, dtype=np.int64) for x in (bits[:, :8], bits[:, 8:])]
+    (doc, number, left), (its, place, right) = sides
+    # Sentences by document and length: lengths x and y allow at most 2 min(x, y) / (x + y).
+    over = 2 * sizes.max() + 3
+    keys = its * over + sizes[right]
+    by = np.argsort(keys, kind="stable")
+    keys, place, right = keys[by], place[by], right[by]
+    start = np.searchsorted(keys, doc * over + np.maximum((sizes[left] * MATCH / (2 - MATCH)).astype(np.int64) - 1, 0))
+    many = np.searchsorted(keys, doc * over + np.minimum((sizes[left] * (2 - MATCH) / MATCH).astype(np.int64) + 1, over - 1), "right") - start
+    ends = np.cumsum(many)
+    for block in np.split(np.arange(len(doc)), np.flatnonzero(np.diff(ends // PAIRS)) + 1):
+        own = np.repeat(block, many[block])
+        at = np.arange(len(own)) - np.repeat(ends[block] - many[block] - (ends[block[0]] - many[block[0]]), many[block]) + start[own]
+        bound = np.ones(len(own))
+        for k, words in enumerate((slice(0, 8), slice(8, 16))):
+            x, y = left[own], right[at]
+            n, m = sizes[x], sizes[y]
+            both = np.bitwise_count(bits[x, words] & bits[y, words]).sum(1, dtype=np.int64)
+            shared, total = np.minimum(n - k - (ones[k][x] - both), m - k - (ones[k][y] - both)), n + m
+            # m matched letters stand in at most total - 2 m + 1 blocks, so at least 3 m - total - 1 bigrams are shared.
+            bound = np.minimum(bound, 2 / 3 * (shared + total + 1) / total if k else 2 * shared / total)
+            may = (bound >= MATCH - SLACK) & (2 * np.minimum(n, m) >= MATCH * total - SLACK) & (abs(n - m) <= n * LENGTH_GAP)
+            own, at, bound = own[may], at[may], bound[may]
+        by = np.lexsort((place[at], own))
+        own, at, bound = own[by], at[by], bound[by]
+        cuts = np.flatnonzero(np.diff(own, prepend=-1, append=-1))
+        for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield int(doc[own[x]]), int(number[own[x]]), place[at[x:y]], bound[x:y]
+
+
+def near(needles: list[str], sentences: list[str]):
+    """near_all() of one document."""
+    return ((i, places, bounds) for _, i, places, bounds in near_all([(needles, sentences)]))
+
+
+def search(needle: str, sentences: list[str], places, bounds, known: dict[tuple[str, str], float]) -> tuple[float | None, int | None]:
     """Its best ratio of MATCH or more, and the first place of the best sentence; nulls without a match.
 
+    known has ratios of pairs (sentence, needle) that are the same both ways, and gets new ones.
+
     The search for the ratio ends at the first sentence of EARLY or more; that for the place doesn't.
     """
+    places, bounds = places.tolist(), bounds.tolist()
     rated: dict[int, float] = {}
 
     def rate(k: int) -> float:
         if k not in rated:
-            rated[k] = folds.gestalt(needle, sentences[places[k]])
+            s = sentences[places[k]]
+            rated[k], same = (known[s, needle], False) if (s, needle) in known else folds.gestalt_both(needle, s, min(best, EARLY))
+            if same:
+                known[needle, s] = rated[k]
         return rated[k]
 
     best, place = MATCH, None
-    for k in (-bounds).argsort(kind="stable").tolist():
+    for k in sorted(range(len(bounds)), key=bounds.__getitem__, reverse=True):
         if bounds[k] < best - SLACK:
             break
         if (r := rate(k)) > best or (r == best and (place is None or places[k] < place)):
-            best, place = r, int(places[k])
+            best, place = r, places[k]
     if place is None:
         return None, None
-    early = (rate(k) for k in (bounds >= EARLY - SLACK).nonzero()[0].tolist()) if best >= EARLY else ()
+    early = (rate(k) for k, x in enumerate(bounds) if x >= EARLY - SLACK) if best >= EARLY else ()
     return next((r for r in early if r >= EARLY), best), place
 
 
-def best(needles: list[str], sentences: list[str]) -> list[tuple[float | None, int | None]]:
-    """(ratio, place) of each needle: 1 and the first place for one that is there, else those of search()."""
-    first: dict[str, int] = {}
+def first_places(sentences: list[str]) -> dict[str, int]:
+    """The first place of every sentence."""
+    out: dict[str, int] = {}
     for k, s in enumerate(sentences):
-        first.setdefault(s, k)
-    found = [(1.0, first[s]) if s is not None and s in first else (None, None) for s in needles]
-    rest = [n for n, s in enumerate(needles) if s and s not in first]
-    if rest:
-        for i, places, bounds in near([needles[n] for n in rest], sentences):
-            found[rest[i]] = search(needles[rest[i]], sentences, places, bounds)
+        if s is not None:
+            out.setdefault(s, k)
+    return out
+
+
+def best_of(docs: list[tuple[dict[str, int], dict[str, int]]]) -> list[dict[str, tuple[float, int]]]:
+    """(ratio, place) of the needles of each document's (needles, sentences) that have a match: 1 and the first place for one that is there, else those of search()."""
+    found = [{s: (1.0, there[s]) for s in own if s in there} for own, there in docs]
+    rest = [[s for s in own if s and s not in there] for own, there in docs]
+    # Of equal sentences the first is the one to find.
+    left = [(needles, list(there) if needles else []) for needles, (_, there) in zip(rest, docs, strict=True)]
+    known: dict[tuple[str, str], float] = {}
+    for d, i, places, bounds in near_all(left):
+        needles, sentences = left[d]
+        ratio, k = search(needles[i], sentences, places, bounds, known)
+        if k is not None:
+            found[d][needles[i]] = ratio, docs[d][1][sentences[k]]
     return found
 
 
-def matches(needles: Column, sentences: Column) -> Column:
-    """struct(total, places) of two arrays of sentences: the sum of the needles' ratios, and the places of those with a match, in their order."""
+def matches(extracted: Column, reference: Column) -> Column:
+    """Of two arrays of sentences: the sums of the ratios of the reference's sentences and of the extracted ones, each at its best in the other, and the places of the former's matches, in their order.
 
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        found = [[] if x is None else best(list(x), [] if y is None else list(y)) for x, y in zip(a, b, strict=True)]
-        # The sum is exact, so that its rounding doesn't hang on the order.
-        return pd.DataFrame({"total": [math.fsum(r or 0.0 for r, _ in x) for x in found], "places": [[p for _, p in x if p is not None] for x in found]})
+    Documents are compared in groups of about LETTERS letters.
+    """
 
-    return F.pandas_udf(run, "total double, places array<int>")(needles, sentences)
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out, group, letters = [], [], 0
+        rows = [[[] if x is None else list(x) for x in row] for row in zip(a, b, strict=True)]
+        for n, (e, r) in enumerate(rows):
+            group.append((e, r))
+            letters += sum(len(s) for s in e if s) + sum(len(s) for s in r if s)
+            if letters < LETTERS and n + 1 < len(rows):
+                continue
+            first = [(first_places(e), first_places(r)) for e, r in group]
+            found = best_of([(r, e) for e, r in first] + first)
+            for (e, r), to_e, to_r in zip(group, found[: len(group)], found[len(group) :], strict=True):
+                # The sums are exact, so that their rounding doesn't hang on the order.
+                total, back = (math.fsum(to[s][0] for s in own if s in to) for own, to in ((r, to_e), (e, to_r)))
+                out.append((total, back, [to_e[s][1] for s in r if s in to_e]))
+            group, letters = [], 0
+        return pd.DataFrame(out, columns=["recalled", "precise", "places"])
+
+    return F.pandas_udf(run, "recalled double, precise double, places array<int>")(extracted, reference)
 
 
 def sentences_of(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -166,14 +217,14 @@ def fuzzy_scores(df: DataFrame, key: str, extracted: str, reference: str) -> Dat
     matches.
     """
     e, r = F.col(f"`{extracted}`"), F.col(f"`{reference}`")
-    share = lambda found, own: F.when(F.size(own) > 0, F.round(found["total"] / F.size(own), 4))
-    scored = df.withColumns({"_recall": matches(r, e), "_precision": matches(e, r)})
-    places = F.col("_recall.places")
+    share = lambda total, own: F.when(F.size(own) > 0, F.round(total / F.size(own), 4))
+    scored = df.withColumn("_found", matches(e, r))
+    places = F.col("_found.places")
     sizes = F.least(F.size(r), F.size(e), F.size(places))
     rising = folds.udf(folds.rising_share, "double")(places)
     order = F.when(sizes >= MIN_MATCHED, F.round(rising * F.size(places) / F.size(r), 4))
-    out = {"recall": F.coalesce(share(F.col("_recall"), r), F.lit(1.0)), "precision": F.coalesce(share(F.col("_precision"), e), F.lit(0.0)), "order": order}
-    return scored.withColumns(out).drop("_recall", "_precision")
+    out = {"recall": F.coalesce(share(F.col("_found.recalled"), r), F.lit(1.0)), "precision": F.coalesce(share(F.col("_found.precise"), e), F.lit(0.0)), "order": order}
+    return scored.withColumns(out).drop("_found")
 
 
 # Functions travel inside the tasks, so workers need not import this package.

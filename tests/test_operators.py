@@ -343,3 +343,35 @@ def test_fuzzy_scores_in_the_row(spark):
         for p in (i, rng.randrange(300), rng.randrange(300)):
             ratio = SequenceMatcher(None, s, edited[p]).ratio() if edited[p] and abs(len(s) - len(edited[p])) <= 0.5 * len(s) else 0
             assert ratio < matching.MATCH or seen[i, p] >= ratio - 1e-9
+
+
+def test_sentences_of_many_documents_at_once():
+    """Documents are bounded together, in both directions, with the results of each alone; equal sentences stand for their first."""
+    from difflib import SequenceMatcher
+    from unittest import mock
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 8)))
+    base = [[" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(rng.randrange(12))] for _ in range(40)]
+    edit = lambda s: "".join(c for c in s if rng.random() > 0.04)
+    docs = [([*map(edit, d), *d[:2], ""], [*d, *d[-2:], None]) for d in base] + [([], []), ([None], ["x"])]
+    first = [(matching.first_places(e), matching.first_places(r)) for e, r in docs]
+    both = [(r, e) for e, r in first] + first
+    with mock.patch.object(matching, "bitmaps", wraps=matching.bitmaps) as made, mock.patch.object(matching, "PAIRS", 50):
+        found = matching.best_of(both)
+    assert made.call_count == 1
+    pairs = [([s], [s.replace("a", "e", 1)]) for d in base for s in d if 40 < len(s) < 190 and "a" in s]
+    halves = [(matching.first_places(e), matching.first_places(r)) for r, e in pairs]
+    with mock.patch.object(matching.folds, "gestalt_both", wraps=matching.folds.gestalt_both) as made:
+        matching.best_of([(r, e) for e, r in halves] + halves)
+    assert len(pairs) <= made.call_count < 1.5 * len(pairs)
+    for (needles, sentences), got in zip(both, found, strict=True):
+        assert got == matching.best_of([(needles, sentences)])[0]
+        for s in needles:
+            rated = [(1.0 if s == t else SequenceMatcher(None, s, t).ratio(), t) for t in sentences if s and t and abs(len(s) - len(t)) <= 0.5 * len(s)]
+            top = max((r for r, _ in rated), default=0.0)
+            if s in sentences or top < matching.MATCH:
+                assert got.get(s) == ((1.0, sentences[s]) if s in sentences else None)
+                continue
+            ratio = next((r for r, _ in rated if r >= matching.EARLY), top)
+            assert got[s] == (ratio, sentences[next(t for r, t in rated if r == top)])

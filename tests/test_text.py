@@ -180,6 +180,41 @@ def test_gestalt_is_the_library_ratio():
             assert folds.gestalt(a, b) == SequenceMatcher(None, a, b).ratio()
 
 
+def test_gestalt_of_edited_and_long_texts():
+    """Blocks between edits and around rare letters; a ratio under the least may come out higher, after fewer blocks; many are the same both ways."""
+    from difflib import SequenceMatcher
+    from unittest import mock
+
+    rng = random.Random(8)
+    unlike, both_ways = [], []
+    for letters in ("ab", "abc ", "etaoinshrdlu .,", "abcdefghijklmnopqrstuvwxyzäöü .,eeeennnn"):
+        for size in (3, 30, 120, 199, 200, 260, 700):
+            for rate in (0.0, 0.01, 0.05, 0.4, 1.0):
+                a = "".join(rng.choice(letters) for _ in range(size))
+                b = "".join(rng.choice(["", letters[0], c + rng.choice(letters)]) if rng.random() < rate else c for c in a)
+                for x, y in ((a, b), (b, a)):
+                    ratio = SequenceMatcher(None, x, y).ratio()
+                    back = SequenceMatcher(None, y, x).ratio()
+                    with mock.patch.object(folds, "SequenceMatcher", side_effect=AssertionError):
+                        assert folds.gestalt(x, y) == ratio
+                        both_ways.append(folds.gestalt_both(x, y)[1])
+                        assert not both_ways[-1] or back == ratio
+                        for least in (0.8, 0.95, ratio):
+                            got = folds.gestalt(x, y, least)
+                            assert got == ratio or ratio <= got < least
+                    if ratio < 0.7 and 100 < size < 200:
+                        unlike.append((x, y))
+    with mock.patch.object(folds, "longest_block", wraps=folds.longest_block) as made:
+        calls = []
+        for least in (0.0, 0.8):
+            for x, y in unlike:
+                folds.gestalt(x, y, least)
+            calls.append(made.call_count)
+    assert unlike and 2 * (calls[1] - calls[0]) < calls[0]
+    assert 0 < sum(both_ways) < len(both_ways)
+    assert folds.gestalt_both("a" * 30, "bc" * 100) == (0.0, False)
+
+
 def test_fuzzy_ratio_of_long_texts():
     """The windows' ratios in their order, with few of them made."""
     from difflib import SequenceMatcher
